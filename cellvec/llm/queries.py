@@ -109,7 +109,7 @@ FROM d LEFT JOIN e USING (r)
 
 OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORDS.format("text")}), 0) AS BIGINT) AS size, row_number() OVER () AS r FROM documents),
-a AS (SELECT source, sum(size) AS total, count(*) AS docs FROM d GROUP BY 1),
+a AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, count(*) AS docs FROM d GROUP BY 1),
 b AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place FROM a),
 c AS (SELECT *, [3, 1, 2][1 + place % 3] AS w FROM b),
 l AS (SELECT *, (1.5e0 * sum(total) OVER () - coalesce(sum(2 * total) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, 2e0 * total / w AS ratio FROM c WINDOW o AS (ORDER BY 2e0 * total / w, place)),
@@ -123,7 +123,7 @@ n AS (SELECT place, idx, count(*) AS times FROM i GROUP BY 1, 2),
 x AS (SELECT d.*, k.place, k.block, k.total, k.target, CAST(sum(size) OVER (PARTITION BY k.place ORDER BY coalesce(doc_id, 0) % (2 * (k.docs // {GROUP_ROWS}) + 1), doc_id NULLS FIRST, size, r ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
 y AS (SELECT r, place, stop, size, block, unnest(range((stop - size) // block, (stop - 1) // block + 1)) AS idx FROM x WHERE size > 0),
 z AS (SELECT r, sum((least(stop, (y.idx + 1) * block) - greatest(stop - size, y.idx * block)) * times) AS taken FROM y JOIN n ON y.place = n.place AND y.idx = n.idx GROUP BY 1)
-SELECT doc_id, size, CAST(total AS BIGINT) AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM x LEFT JOIN z USING (r)
+SELECT doc_id, size, total AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM x LEFT JOIN z USING (r)
 """
 
 ROOT = "sha256('r' || array_to_string(list_transform(string_split({0}, chr(10) || chr(10)), s -> sha256('s' || array_to_string(list_transform(string_split(s, chr(10)), p -> sha256('p' || p)), ''))), ''))"
