@@ -126,7 +126,7 @@ z AS (SELECT r, sum((least(stop, (y.idx + 1) * block) - greatest(stop - size, y.
 SELECT doc_id, size, total AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM x LEFT JOIN z USING (r)
 """
 
-ROOT = "sha256('r' || array_to_string(list_transform(string_split({0}, chr(10) || chr(10)), s -> sha256('s' || array_to_string(list_transform(string_split(s, chr(10)), p -> sha256('p' || p)), ''))), ''))"
+ROOT = "sha256('r' || array_to_string(list_transform(string_split({0}, chr(10) || chr(10)), lambda s: sha256('s' || array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256('p' || p)), ''))), ''))"
 SEGMENTS = f"list_distinct(regexp_extract_all({{0}}, '[^\\n]{{{{1,{SEGMENT}}}}}\\n?|\\n'))"
 LIKENESS = "CASE WHEN len({0}) + len({1}) = 0 THEN 1e0 ELSE round(2e0 * len(list_intersect({0}, {1})) / (len({0}) + len({1})), 6) END"
 
