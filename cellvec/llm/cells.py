@@ -12,7 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CHUNK = 256
+
+def chunk_size(bits: int) -> int:
+    """Cells of one row of the sums: 1024 rows a table, or rows of 64 cells."""
+    return max(64, (1 << bits) >> 10)
 
 
 def cell_of(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -25,28 +28,28 @@ def count_cells(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nd
     Each task adds up in an array of 2**bits; chunks of these are added in a shuffle, one row a
     chunk and task, streamed; the driver gets the 2**bits sums.
     """
-    size = 1 << bits
+    size, chunk_cells = 1 << bits, chunk_size(bits)
 
     def count(batches):
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for h in hashes(batch):
                 total += np.bincount(cell_of(h, bits), minlength=size)
-        grid = total.reshape(-1, CHUNK)
+        grid = total.reshape(-1, chunk_cells)
         used = np.flatnonzero(grid.any(axis=1))
-        for i in range(0, len(used), 4096):
-            some = used[i : i + 4096]
+        for i in range(0, len(used), 128):
+            some = used[i : i + 128]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([packed(r) for r in grid[some]], pa.binary())], names=["chunk", "counts"])
 
     def packed(row):
-        wide = row.max() > 0x7FFFFFFF
-        return row.astype(np.int64 if wide else np.int32).tobytes()
+        kind = np.uint16 if row.max() <= 0xFFFF else np.int64
+        return row.astype(kind).tobytes()
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = np.frombuffer(raw, dtype=np.int32 if len(raw) == 4 * CHUNK else np.int64)
+                row = np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * chunk_cells else np.int64)
                 if chunk in sums:
                     sums[chunk] += row
                 else:
@@ -55,7 +58,7 @@ def count_cells(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nd
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([row.tobytes()], pa.binary())], names=["chunk", "counts"])
 
     schema = "chunk long, counts binary"
-    out = np.zeros((size // CHUNK, CHUNK), dtype=np.int64)
+    out = np.zeros((size // chunk_cells, chunk_cells), dtype=np.int64)
     for row in df.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():
         out[row.chunk] = np.frombuffer(row.counts, dtype=np.int64)
     return out.reshape(-1)

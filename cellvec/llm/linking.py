@@ -3,7 +3,8 @@
 Rows (bucket, id) say that ids of a bucket may be alike. ``link_buckets`` compares every id of a
 bucket with one of them, its hub, and joins what is alike. Pairs whose two ends are by then in
 one component need no look: no further link could change a component. What is left, rows of a
-bucket in different components, goes through more rounds with other hubs, and then pair by pair.
+bucket in different components, is compared pair by pair in small buckets, in large ones through
+rounds with more hubs and then pair by pair. No pair is compared twice.
 So every link between components is found, while a bucket of near copies costs its size, not its
 square. Hubs are the least ids by a hash that is the same in all buckets, so the buckets of a
 group of copies share their hub and a pair is seen once.
@@ -28,6 +29,8 @@ from .texthash import mix
 #: Rows of one cell beyond which its buckets are salted, and the bits of a cell.
 HOT_ROWS = 20_000
 CELL_BITS = 14
+#: Buckets up to this size are compared pair by pair once their first hub is done; others by as many hubs a round.
+SMALL, HUBS = 16, 8
 
 Admit = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
 
@@ -131,11 +134,31 @@ def pairs_of(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], attrs: Sequence[str] = (), admit: Admit | None = None, admit_sql: Callable[[str, str], str] | None = None, rounds: int = 2) -> DataFrame:
+def all_pairs(rows: DataFrame, admit_sql: Callable[[str, str], str] | None) -> DataFrame:
+    """Pairs of a bucket in different components."""
+    x, y = rows.alias("x"), rows.alias("y")
+    out = x.join(y, F.col("x.bucket") == F.col("y.bucket")).filter("x.id < y.id and x.component != y.component")
+    out = out.filter(admit_sql("x", "y")) if admit_sql else out
+    return out.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def hub_pairs(scratch: Scratch, rows: DataFrame, attrs: Sequence[str], admit_sql: Callable[[str, str], str] | None, seed: int) -> DataFrame:
+    """Pairs of HUBS ids of each bucket with its ids of other components."""
+    own = F.struct("id", "component", *attrs)
+    best = rows.groupBy("bucket").agg(*(F.min(F.struct(F.xxhash64("id", F.lit(HUBS * seed + k)).alias("first"), own.alias("row"))).alias(f"h{k}") for k in range(HUBS)))
+    hubs = best.select("bucket", F.explode(F.array_distinct(F.array(*(f"h{k}.row" for k in range(HUBS))))).alias("row")).select("bucket", "row.*")
+    x, y = rows.alias("x"), scratch.keep(hubs, "hubs").alias("y")
+    out = x.join(y, F.col("x.bucket") == F.col("y.bucket")).filter("x.component != y.component")
+    out = out.filter(admit_sql("x", "y")) if admit_sql else out
+    return out.select(*pairs_of("x.id", "y.id"))
+
+
+def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], attrs: Sequence[str] = (), admit: Admit | None = None, admit_sql: Callable[[str, str], str] | None = None, rounds: int = 2, late: DataFrame | None = None) -> DataFrame:
     """(id, component) of every id with a link; ``buckets``: (bucket long, id long, attrs int).
 
     verify(pairs (a, b) with a < b, each once) returns those that are alike. admit (for arrays)
     and admit_sql (for two aliases) may refuse a pair in a bucket by its attrs. They must be sound.
+    admit_sql may also use the columns of ``late`` (id, ...), which rows get after the first round.
     """
     rows, salted = salt_hot(spark, buckets)
     live = scratch.keep(with_hubs(rows, attrs, admit, 0, salted), "live")
@@ -144,32 +167,34 @@ def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, veri
         hubs = live.filter("salts > 1").select("bucket", "hub").distinct()
         top = hubs.groupBy("bucket").agg(F.min("hub").alias("top"))
         pairs = pairs.union(hubs.join(top, "bucket").filter("hub != top").select(*pairs_of("hub", "top")))
-    links = scratch.keep(verify(pairs.distinct()), "links")
+    tried = scratch.keep(pairs.distinct(), "tried")
+    links = scratch.keep(verify(tried), "links")
     label = components(spark, scratch, links)
-    live = scratch.keep(live.select("bucket", "id", *attrs), "rows")
-    for k in range(1, rounds + 1):
-        named = label.withColumnRenamed("component", "named")
-        rest = live.join(named, "id", "left").select("bucket", "id", F.coalesce("named", "id").alias("component"), *attrs)
-        mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-        rest = scratch.keep(rest.join(mixed, "bucket", "left_semi"), "rest")
-        if k < rounds:
-            one = rest.groupBy("bucket", "component").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("first"), "id", *attrs)).alias("x"))
-            hub = one.groupBy("bucket").agg(F.max(F.struct("x.first", "x.id", "component", *(F.col(f"x.{c}").alias(c) for c in attrs))).alias("h"))
-            new = rest.join(scratch.keep(hub, "hubs"), "bucket").filter("component != h.component")
-            if admit_sql:
-                new = new.select("id", F.col("h.id").alias("hub"), *(F.struct(*((f if s == "x" else F.col(f"h.{c}")).alias(c) for c, f in ((c, F.col(c)) for c in attrs))).alias(s) for s in "xy")).filter(admit_sql("x", "y")).select("id", "hub")
-            else:
-                new = new.select("id", F.col("h.id").alias("hub"))
-            new = new.select(*pairs_of("id", "hub"))
+    rest = live.select("bucket", "id", *attrs)
+    rest._scratch_path = live._scratch_path
+    for k in range(1, rounds + 2):
+        if k == 1 and late is not None:
+            rest = rest.join(late, "id")
+            rest._scratch_path = live._scratch_path
+            attrs = [*attrs, *(c for c in late.columns if c != "id")]
+        named = rest.join(label.withColumnRenamed("component", "named"), "id", "left").select("bucket", "id", F.coalesce("named", "id").alias("component"), *attrs)
+        mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).filter("low < high").select("bucket", "held")
+        left = scratch.keep(named.join(mixed, "bucket"), "rest")
+        scratch.drop(rest)
+        rest = left
+        if k <= rounds:
+            new = all_pairs(rest.filter(f"held <= {SMALL}"), admit_sql)
+            rest = rest.filter(f"held > {SMALL}")
+            rest._scratch_path = left._scratch_path
+            new = new.union(hub_pairs(scratch, rest, attrs, admit_sql, k))
         else:
-            x, y = rest.alias("x"), rest.alias("y")
-            new = x.join(y, F.col("x.bucket") == F.col("y.bucket")).filter("x.id < y.id and x.component != y.component")
-            if admit_sql:
-                new = new.filter(admit_sql("x", "y"))
-            new = new.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        more = scratch.keep(verify(new.distinct()), "links")
-        if more.limit(1).count():
-            links = links.union(more)
-            label = components(spark, scratch, links)
-        live = rest.select("bucket", "id", *attrs)
+            new = all_pairs(rest, admit_sql)
+        new = scratch.keep(new.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+        if new.limit(1).count():
+            more = scratch.keep(verify(new), "links")
+            tried, links = tried.union(new), links.union(more)
+            if more.limit(1).count():
+                label = components(spark, scratch, links)
+        if not rest.limit(1).count():
+            break
     return label

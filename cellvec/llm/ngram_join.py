@@ -1,14 +1,15 @@
 """Jaccard self-join of documents on word shingles: rare-first prefix filtering.
 
-1. Counts of all shingles by cell (2**18 counts over all documents) give one global order, rare
+1. Counts of all shingles by cell (2**22 counts over all documents) give one global order, rare
    first; ties by hash.
 2. Each document's shingles in that order; a document of n shingles indexes its first
    n - ceil(0.8 n) + 1. Two documents that link share one of these. Documents of equal word
    sequences are one class from here on.
 3. Documents of a prefix shingle are candidates, less those that the length and the positional
    filter refuse. Candidates become components as in ``linking``.
-4. Each pair is verified once: first the suffix filter, from counts of both sets in 16 hash
-   ranges, then the exact overlap.
+4. Each pair is verified once. First the suffix filter bounds the two sets' difference from below
+   by ranges of the hashes: each range in which one set has an odd count and the other an even
+   one holds at least one shingle of one set only. Then the exact overlap.
 
 Words are runs of characters other than 0x20 and 0x09-0x0D, A-Z lowered. A document of fewer
 words than a shingle has its whole sequence as its one shingle; without words or text its set is
@@ -32,10 +33,11 @@ from .texthash import blocks, flat, lists, mix, sequence_digests, shingles, sign
 WIDTH = 5
 #: Similarity in percent.
 ALIKE = 80
-ORDER_BITS = 18
+ORDER_BITS = 22
 #: Bits of the bitmap that leaves out texts which no candidate needs.
 WANTED_BITS = 22
-RANGES = 16
+#: Parities of a set's counts in hash ranges, as 64-bit numbers.
+SIGNS = 8
 
 
 def least_overlap(n: int, alike: int) -> int:
@@ -58,45 +60,55 @@ def shingle_counts(docs: DataFrame, width: int, bits: int) -> np.ndarray:
 
 
 def prefixes(spark: SparkSession, docs: DataFrame, counts: np.ndarray, width: int, alike: int) -> DataFrame:
-    """(doc_id, d1, d2, n, prefix in order, ranges): digests of the word sequence, set size, counts by hash range."""
-    table = spark.sparkContext.broadcast(counts)
+    """(doc_id, d1, d2, n, prefix in order, signs): digests of the word sequence, set size, parities by hash range."""
+    table = spark.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
     bits = int(np.log2(len(counts)))
 
     def index(batches):
         for batch in batches:
             for block, sets, (d1, d2) in each_set(batch, width):
-                prefix, ranges = [], []
+                prefix, signs = [], []
                 for s in sets:
                     order = np.argsort(table.value[cell_of(s, bits)], kind="stable")
                     prefix.append(signed(s[order[: len(s) - least_overlap(len(s), alike) + 1]]) if len(s) else s.view(np.int64))
-                    ranges.append(np.diff(np.searchsorted(s >> np.uint64(60), np.arange(RANGES + 1))).astype(np.int32))
+                    signs.append(np.packbits(np.bincount(cell_of(s, 9), minlength=64 * SIGNS).astype(np.uint8) & 1).view(np.int64))
                 n = np.array([len(s) for s in sets], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(signed(d1)), pa.array(signed(d2)), pa.array(n), lists(prefix, pa.int64()), lists(ranges, pa.int32())], names=["doc_id", "d1", "d2", "n", "prefix", "ranges"])
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(signed(d1)), pa.array(signed(d2)), pa.array(n), lists(prefix, pa.int64()), lists(signs, pa.int64())], names=["doc_id", "d1", "d2", "n", "prefix", "signs"])
 
-    return docs.mapInArrow(index, "doc_id long, d1 long, d2 long, n int, prefix array<long>, ranges array<int>")
+    return docs.mapInArrow(index, "doc_id long, d1 long, d2 long, n int, prefix array<long>, signs array<long>")
 
 
-def shingle_sets(spark: SparkSession, docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
-    """(d1, d2, shingles) of the texts whose d1 the bitmap has; a text may come more than once."""
+def wanted_texts(spark: SparkSession, docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(d1, d2, text) of the texts whose d1 the bitmap has; a text may come more than once."""
     table = spark.sparkContext.broadcast(np.packbits(wanted > 0))
     bits = int(np.log2(len(wanted)))
 
     def fetch(batches):
         for batch in batches:
-            for _, sets, (d1, d2) in each_set(batch, width):
+            for block in blocks(batch, "text"):
+                d1, d2 = sequence_digests(*words(*flat(block.column("text"))))
                 cell = cell_of(mix(d1), bits)
                 keep = np.flatnonzero((table.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1)
                 _, once = np.unique(d1[keep], return_index=True)
                 keep = keep[once]
                 if len(keep):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(d1[keep])), pa.array(signed(d2[keep])), lists([signed(sets[i]) for i in keep], pa.int64())], names=["d1", "d2", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(d1[keep])), pa.array(signed(d2[keep])), block.column("text").take(pa.array(keep))], names=["d1", "d2", "text"])
 
-    return docs.select("text").mapInArrow(fetch, "d1 long, d2 long, shingles array<long>")
+    return docs.select("text").mapInArrow(fetch, "d1 long, d2 long, text string")
 
 
-def overlap_needed(alike: int, x: str, y: str) -> str:
-    """100 * overlap >= alike * union, as a least overlap of sets of sizes x and y."""
-    return f"ceil({alike} * ({x} + {y}) / {100 + alike})"
+def alike_texts(pairs: DataFrame, width: int, alike: int) -> DataFrame:
+    """Pairs (a, b) of (a, b, x, y) whose texts' sets have 100 * overlap >= alike * union."""
+
+    def compare(batches):
+        for batch in batches:
+            for part in blocks(batch, "x"):
+                x, y = (shingles(*words(*flat(part.column(c))), width) for c in "xy")
+                common = [(len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))) for p, q in zip(x, y, strict=True)]
+                keep = [(100 + alike) * c >= alike * (p + q) for p, q, c in common]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def link_documents(spark: SparkSession, docs: DataFrame, width: int = WIDTH, alike: int = ALIKE) -> DataFrame:
@@ -104,7 +116,7 @@ def link_documents(spark: SparkSession, docs: DataFrame, width: int = WIDTH, ali
     scratch = Scratch(spark, "ngrams")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     index = scratch.keep(prefixes(spark, docs, shingle_counts(docs, width, ORDER_BITS), width, alike), "index")
-    classes = index.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges"))
+    classes = index.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signs").alias("signs"))
     classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("id", "n", F.posexplode("prefix").alias("at", "bucket"))
 
@@ -115,29 +127,30 @@ def link_documents(spark: SparkSession, docs: DataFrame, width: int = WIDTH, ali
         return (100 * least >= alike * large) & ((100 + alike) * most >= alike * both)
 
     def admit_sql(x, y):
+        apart = " + ".join(f"bit_count({x}.s{k} ^ {y}.s{k})" for k in range(SIGNS))
         most = f"(least({x}.at, {y}.at) + least({x}.n - {x}.at, {y}.n - {y}.at))"
-        return f"100 * least({x}.n, {y}.n) >= {alike} * greatest({x}.n, {y}.n) and {100 + alike} * {most} >= {alike} * ({x}.n + {y}.n)"
+        return f"100 * least({x}.n, {y}.n) >= {alike} * greatest({x}.n, {y}.n) and {100 + alike} * {most} >= {alike} * ({x}.n + {y}.n) and {100 + alike} * ({apart}) <= {100 - alike} * ({x}.n + {y}.n)"
 
-    narrow = classes.select("id", "d1", "d2", "n", "ranges")
+    late = classes.select("id", *(F.get("signs", F.lit(k)).alias(f"s{k}") for k in range(SIGNS)))
+    narrow = classes.select("id", "d1", "d2", "n", *(F.get("signs", F.lit(k)).alias(f"s{k}") for k in range(SIGNS)))
 
     def verify(pairs):
         a, b = (narrow.select(*(F.col(c).alias(s if c == "id" else f"{c}_{s}") for c in narrow.columns)) for s in "ab")
-        bound = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, v: t + v)
-        left = pairs.join(a, "a").join(b, "b").filter(F.lit(100 + alike) * bound >= F.lit(alike) * (F.col("n_a") + F.col("n_b")))
-        left = scratch.keep(left.select("a", "b", "n_a", "n_b", "d1_a", "d2_a", "d1_b", "d2_b"), "pairs")
+        apart = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SIGNS)), F.lit(0))
+        left = pairs.join(a, "a").join(b, "b").filter(F.lit(100 + alike) * apart <= F.lit(100 - alike) * (F.col("n_a") + F.col("n_b")))
+        left = scratch.keep(left.select("a", "b", "d1_a", "d2_a", "d1_b", "d2_b"), "pairs")
 
         def hashes(batch):
             yield mix(batch.column(0).to_numpy().view(np.uint64))
 
         wanted = count_cells(left.select(F.explode(F.array("d1_a", "d1_b"))), hashes, WANTED_BITS)
-        sets = shingle_sets(spark, docs, wanted, width)
+        texts = wanted_texts(spark, docs, wanted)
         need = left.select(F.explode(F.array(F.struct(F.col("d1_a").alias("d1"), F.col("d2_a").alias("d2"), F.col("a").alias("id")), F.struct(F.col("d1_b").alias("d1"), F.col("d2_b").alias("d2"), F.col("b").alias("id")))).alias("x")).select("x.*").distinct()
-        sets = scratch.keep(sets.groupBy("d1", "d2").agg(F.first("shingles").alias("shingles")).join(need, ["d1", "d2"]).select("id", "shingles"), "sets")
-        joined = left.select("a", "b", "n_a", "n_b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return joined.filter(F.lit(100 + alike) * common >= F.lit(alike) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        texts = scratch.keep(texts.join(need, ["d1", "d2"]).dropDuplicates(["id"]).select("id", "text"), "texts")
+        x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+        return alike_texts(left.select("a", "b").join(x, "a").join(y, "b"), width, alike)
 
-    label = link_buckets(spark, scratch, buckets, verify, ("n", "at"), admit, admit_sql)
+    label = link_buckets(spark, scratch, buckets, verify, ("n", "at"), admit, admit_sql, late=late)
     named = classes.select("id", "d1", "d2", "least").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(groups, "component").select("d1", "d2", "component_id")

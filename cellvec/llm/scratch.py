@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,9 +41,12 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables of ``keep`` that nothing reads any more."""
+        """Delete tables of ``keep`` that nothing reads any more. The driver then collects its garbage,
+        on which Spark frees the shuffle files of plans that are gone; else they stay for the whole job."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
