@@ -83,12 +83,12 @@ def document_blocks(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) and the columns ``keep`` per document."""
+    """(doc_id, size, source_size, target, taken) per document, and a struct ``kept`` of the columns ``keep``."""
     scratch = Scratch(spark, "mix")
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep)
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.struct(*keep).alias("kept")] if keep else []))
     sized = scratch.keep(x.withColumn("row", F.monotonically_increasing_id()), "sized")
     plan = scratch.keep(source_plan(sized), "plan")
     times = draw_slots(plan, seed).groupBy("place", "index").agg(F.count("*").alias("times"))
     taken = document_blocks(sized, plan).join(times, ["place", "index"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = sized.join(plan.select(F.col("source").alias("named"), "source_size", "target"), F.col("source").eqNullSafe(F.col("named"))).join(taken, "row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), *keep)
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), *(["kept"] if keep else []))

@@ -125,18 +125,18 @@ def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_cl
     return fit(texts[1], texts[0], share), share
 
 
-def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of every document, and its score (0 to 1, higher: more likely toxic)."""
+def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """Columns ``keep`` of every document, and its score, column ``name`` (0 to 1, higher: more likely toxic)."""
     model, share = fit_toxicity(spark, docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), per_class)
     if model is None:
-        return docs.select(*keep, F.lit(float(share > 0.5)).alias("score"))
+        return docs.select(*keep, F.lit(float(share > 0.5)).alias(name))
     held = spark.sparkContext.broadcast(model)
 
     def score(batches):
         scorer = Scorer(*held.value)
         for batch in batches:
             gains = np.array([scorer.gains(t) for t in batch.column("_text").to_pylist()]).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scorer.scores(gains))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scorer.scores(gains))], names=[*keep, name])
 
-    out = docs.select(*keep).schema.add("score", "double")
+    out = docs.select(*keep).schema.add(name, "double")
     return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(score, out)
