@@ -23,8 +23,8 @@ from cellvec.llm.toxicity import THRESHOLD, score_toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_toxicity(spark, docs, labels, keep=tuple(docs.columns))
-    return scored.filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    scored = score_toxicity(spark, docs, labels, keep=tuple(docs.columns), name="_toxicity")
+    return scored.filter(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix_documents(spark, docs, keep=tuple(docs.columns[1:]))
-    return mixed.filter("taken > 0")
+    mixed = mix_documents(spark, docs, keep=tuple(docs.columns)).filter("taken > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))))).select("kept.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
