@@ -34,8 +34,8 @@ def build_cells(points: DataFrame, land_use: DataFrame, bounds: DataFrame, cente
     box = params.select("city", F.lit("cell").alias("cls"), F.array(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"))))).alias("rings"))
     inside = overlay.overlay(box, params).drop("cls")
     cells = cells.join(inside, grid.CELL)
-    counts = grid.cell_counts(grid.to_cells(points, params))
-    x = grid.with_land(grid.fill_cells(cells, counts), overlay.overlay(land_use, params)).filter(grid.is_active())
+    counts = grid.cell_activity(grid.to_cells(points, params)).filter(grid.ACTIVE)  # cells without points aren't active
+    x = grid.with_land(cells, overlay.overlay(land_use, params)).join(counts, grid.CELL)
     x = x.join(F.broadcast(centers), "city").withColumns(grid.place_columns(F.col("clon"), F.col("clat")))  # one row per city
     return x.select("city", "cell_id", "lon", "lat", F.round("land_km2", 4).alias("land_km2"), "dist_km", *grid.densities(), *(f"{c}_frac" for c in AREA_CLASSES))
 

@@ -124,10 +124,10 @@ def parse_levels_height(spark, sf_dir):
 
 
 LU_TAGS = [("landuse", ["residential", "retail", None, "military", "forest", None, ""]), ("leisure", ["park", None, "pitch", None]), ("natural", [None, "water", "beach", "wood", None]), ("aeroway", [None, None, None, "aerodrome"])]
-LU_SQL = ", ".join(f"{X.pick('p_partkey', v)} AS {k}" for k, v in LU_TAGS)
+LU_SQL = ", ".join(f'{X.pick("p_partkey", v)} AS "{k}"' for k, v in LU_TAGS)
 
 
-@query(f"SELECT p_partkey, CASE {' '.join(f'WHEN ' + ' OR '.join(f'{k} IN ({chr(44).join(repr(v) for v in vs)})' for k, vs in rules.items()) + f' THEN {name!r}' for name, rules in LAND_USE.items())} END AS cls FROM (SELECT p_partkey, {LU_SQL} FROM part)")
+@query(f"SELECT p_partkey, CASE {' '.join(f'WHEN ' + ' OR '.join(f'{chr(34)}{k}{chr(34)} IN ({chr(44).join(repr(v) for v in vs)})' for k, vs in rules.items()) + f' THEN {name!r}' for name, rules in LAND_USE.items())} END AS cls FROM (SELECT p_partkey, {LU_SQL} FROM part)")
 def landuse_class(spark, sf_dir):
     x = X.table(spark, sf_dir, "part").selectExpr("p_partkey", *(f"{X.pick('p_partkey', v)} AS {k}" for k, v in LU_TAGS))
     tags = F.map_filter(F.create_map(*[v for k, _ in LU_TAGS for v in (F.lit(k), F.col(k))]), lambda _, v: v.isNotNull())
@@ -143,12 +143,12 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.unionByName(e.filter("id % 3 = 0"))
 
 
-@query(f"WITH p AS ({X.points_sql()}) SELECT city, source, count(*) AS n FROM p GROUP BY ALL")
+@query(f"WITH p AS ({X.points_sql()}) SELECT city, source, count(*) AS n FROM p WHERE amenity IS DISTINCT FROM 'vending_machine' GROUP BY ALL")
 def dedupe_elements(spark, sf_dir):
     return points_of(elements(spark, sf_dir)).groupBy("city", "source").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH p AS ({X.points_sql()}) SELECT osm_id AS id, source FROM p WHERE source <> 'trees' UNION ALL SELECT osm_id, 'trees' FROM p WHERE source = 'trees'")
+@query(f"WITH p AS ({X.points_sql()}) SELECT osm_id AS id, source FROM p WHERE source <> 'trees' AND amenity IS DISTINCT FROM 'vending_machine' UNION ALL SELECT osm_id, 'trees' FROM p WHERE source = 'trees'")
 def source_rows(spark, sf_dir):
     x = elements(spark, sf_dir).dropDuplicates(["city", "type", "id"])
     hits = F.array_compact(F.array(*(F.when(p, F.lit(s)) for s, p in source_filters().items())))
@@ -158,12 +158,12 @@ def source_rows(spark, sf_dir):
 # ---- polygons ----
 
 SQUARE_SQL = f"""WITH t AS ({X.select(X.RECT, 'part')}), b AS (SELECT *, unnest(range(CAST(floor((my - ey + 20000) / 1000) AS INT), CAST(floor((my + ey + 20000) / 1000) AS INT) + 1))::INT AS "row" FROM t), c AS (SELECT *, unnest(range(CAST(floor((mx - ex + 20000) / 1000) AS INT), CAST(floor((mx + ex + 20000) / 1000) AS INT) + 1))::INT AS col FROM b),
-o AS (SELECT *, greatest(0, least(mx + ex, -20000 + (col + 1) * 1000) - greatest(mx - ex, -20000 + col * 1000)) * greatest(0, least(my + ey, -20000 + ("row" + 1) * 1000) - greatest(my - ey, -20000 + "row" * 1000)) AS area FROM c), s AS (SELECT city, "row", col, cls, sum(area) AS area FROM o WHERE area > 0 GROUP BY ALL)"""
+o AS (SELECT *, greatest(0, least(mx + ex, -20000 + (col + 1) * 1000) - greatest(mx - ex, -20000 + col * 1000)) * greatest(0, least(my + ey, -20000 + ("row" + 1) * 1000) - greatest(my - ey, -20000 + "row" * 1000)) AS area FROM c), s AS (SELECT city, "row", col, cls, round(sum(area), 3) AS area FROM o WHERE area > 0 GROUP BY ALL)"""
 
 
 def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid_ = spark.createDataFrame([(i, 1000.0, 1000.0, -20000.0, -20000.0) for i in range(3)], "city int, r double, w double, minx0 double, miny0 double")
-    return overlay.overlay(X.land_use(spark, sf_dir), grid_, "square")
+    return overlay.overlay(X.land_use(spark, sf_dir), grid_, "square").withColumn("area", F.round("area", 3))
 
 
 @query(f'{SQUARE_SQL} SELECT city, "row", col, cls, round(area, 3) AS area FROM s')

@@ -118,7 +118,7 @@ def overlay(polys: DataFrame, params: DataFrame, shape: str = "hexagon") -> Data
     """(city, row, col, cls, area) of polygons (city, cls, rings in metres) on the grid; overlapping
     polygons of a class add up. shape: hexagon cells, or squares of side w."""
     grid = params.select("city", "r", "w", "minx0", "miny0")  # one row per city
-    x = polys.select("city", "cls", "rings").join(F.broadcast(grid), "city")
+    x = polys.select("city", "cls", "rings").repartition(F.xxhash64("rings")).join(F.broadcast(grid), "city")
 
     def clip(frames):
         for frame in frames:
