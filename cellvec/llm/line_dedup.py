@@ -15,6 +15,8 @@ are one class from the first shuffle on. Extra columns are ignored; empty table:
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,7 @@ BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
 ALIKE = 80
 WANTED_BITS = 22
+SIGNS = 8
 BLOCK = 1 << 20
 NONE = np.uint64(2**64 - 1)
 
@@ -167,6 +170,28 @@ def alike_lines(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def line_signs(strings: DataFrame) -> DataFrame:
+    """(id, n, s0 ..): size of a line's set, and parities of its shingles' counts in 64 * SIGNS cells."""
+
+    def sign(batches):
+        for batch in batches:
+            n, bits = [], np.zeros((batch.num_rows, 64 * SIGNS), dtype=np.uint8)
+            for i, line in enumerate(batch.column("string").to_pylist()):
+                own = line_set(line)
+                n.append(len(own))
+                bits[i] = np.bincount([zlib.crc32(x.encode()) % (64 * SIGNS) for x in own], minlength=64 * SIGNS) & 1
+            packed = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), *(pa.array(packed[:, k]) for k in range(SIGNS))], names=["id", "n", *(f"s{k}" for k in range(SIGNS))])
+
+    return strings.mapInArrow(sign, "id long, n int" + "".join(f", s{k} long" for k in range(SIGNS)))
+
+
+def may_be_alike(x: str, y: str) -> str:
+    """Each cell of odd count in one set and even in the other holds a shingle of one set only."""
+    apart = " + ".join(f"bit_count({x}.s{k} ^ {y}.s{k})" for k in range(SIGNS))
+    return f"{100 + ALIKE} * ({apart}) <= {100 - ALIKE} * ({x}.n + {y}.n)"
+
+
 def link_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every non-blank line: (doc_id, document, line), the first line of its component
     (first_doc_id, first_document, first_line), and kept: whether it is that line."""
@@ -179,19 +204,21 @@ def link_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     buckets = classes.select("id", F.posexplode("bands").alias("band", "key")).select(F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("bucket"), "id")
     narrow = classes.select("id", "d1", "d2")
 
-    def verify(pairs):
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def strings(ids):
         need = scratch.keep(narrow.join(ids, "id", "left_semi"), "need")
 
         def hashes(batch):
             yield mix(batch.column(0).to_numpy().view(np.uint64))
 
         texts = line_texts(spark, docs, count_cells(need.select("d1"), hashes, WANTED_BITS))
-        texts = scratch.keep(need.join(texts.groupBy("d1", "d2").agg(F.min("string").alias("string")), ["d1", "d2"]).select("id", "string"), "strings")
+        return scratch.keep(need.join(texts.groupBy("d1", "d2").agg(F.min("string").alias("string")), ["d1", "d2"]).select("id", "string"), "strings")
+
+    def verify(pairs):
+        texts = strings(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         x, y = texts.select(F.col("id").alias("a"), F.col("string").alias("x")), texts.select(F.col("id").alias("b"), F.col("string").alias("y"))
         return alike_lines(pairs.join(x, "a").join(y, "b"))
 
-    label = link_buckets(spark, scratch, buckets, verify)
+    label = link_buckets(spark, scratch, buckets, verify, admit_sql=may_be_alike, late=lambda ids: scratch.keep(line_signs(strings(ids)), "signs"))
     named = classes.select("id", "d1", "d2", "first").join(label, "id", "left")
     groups = named.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     named = named.join(groups, "component", "left").select("d1", "d2", F.coalesce("least", "first").alias("least"))

@@ -153,12 +153,12 @@ def hub_pairs(scratch: Scratch, rows: DataFrame, attrs: Sequence[str], admit_sql
     return out.select(*pairs_of("x.id", "y.id"))
 
 
-def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], attrs: Sequence[str] = (), admit: Admit | None = None, admit_sql: Callable[[str, str], str] | None = None, rounds: int = 2, late: DataFrame | None = None) -> DataFrame:
+def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], attrs: Sequence[str] = (), admit: Admit | None = None, admit_sql: Callable[[str, str], str] | None = None, rounds: int = 2, late: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of every id with a link; ``buckets``: (bucket long, id long, attrs int).
 
     verify(pairs (a, b) with a < b, each once) returns those that are alike. admit (for arrays)
     and admit_sql (for two aliases) may refuse a pair in a bucket by its attrs. They must be sound.
-    admit_sql may also use the columns of ``late`` (id, ...), which rows get after the first round.
+    admit_sql may also use the columns that late(ids) adds to ids; rows get them after the first round.
     """
     rows, salted = salt_hot(spark, buckets)
     live = scratch.keep(with_hubs(rows, attrs, admit, 0, salted), "live")
@@ -174,9 +174,10 @@ def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, veri
     rest._scratch_path = live._scratch_path
     for k in range(1, rounds + 2):
         if k == 1 and late is not None:
-            rest = rest.join(late, "id")
+            more = late(rest.select("id").distinct())
+            rest = rest.join(more, "id")
             rest._scratch_path = live._scratch_path
-            attrs = [*attrs, *(c for c in late.columns if c != "id")]
+            attrs = [*attrs, *(c for c in more.columns if c != "id")]
         named = rest.join(label.withColumnRenamed("component", "named"), "id", "left").select("bucket", "id", F.coalesce("named", "id").alias("component"), *attrs)
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).filter("low < high").select("bucket", "held")
         left = scratch.keep(named.join(mixed, "bucket"), "rest")

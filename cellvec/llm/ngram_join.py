@@ -150,7 +150,7 @@ def link_documents(spark: SparkSession, docs: DataFrame, width: int = WIDTH, ali
         x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
         return alike_texts(left.select("a", "b").join(x, "a").join(y, "b"), width, alike)
 
-    label = link_buckets(spark, scratch, buckets, verify, ("n", "at"), admit, admit_sql, late=late)
+    label = link_buckets(spark, scratch, buckets, verify, ("n", "at"), admit, admit_sql, late=lambda ids: late.join(ids, "id", "left_semi"))
     named = classes.select("id", "d1", "d2", "least").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(groups, "component").select("d1", "d2", "component_id")
