@@ -29,7 +29,7 @@ MOST = 2
 #: Words of a block at most; a source of few words has blocks of a thousandth of them.
 BLOCK_WORDS = 128
 #: Documents of a group for prefix sums, slots of a shard, slots that one row expands to.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 5_000
 SHARD_SLOTS = 4_096
 CHUNK_SLOTS = 4_096
 #: Multipliers of the permutations; two primes, of which one is prime to any number of blocks below their product.
@@ -59,13 +59,13 @@ def draw_slots(plan: DataFrame, seed: int = 0) -> DataFrame:
     """(place, slot, shard, index): every slot of every source with its shard and block."""
     chunks = plan.filter("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {CHUNK_SLOTS}"))))
     chunks = chunks.repartition("place", "chunk")
-    shards = F.broadcast(plan.agg(F.greatest(F.lit(1), F.ceil(F.sum("slots") / SHARD_SLOTS)).alias("shards")))  # one row
+    shards = -(-(plan.agg(F.sum("slots")).first()[0] or 0) // SHARD_SLOTS) or 1
     slot = F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK_SLOTS) - 1))
-    x = chunks.select("place", "blocks", slot.alias("slot")).join(shards)
+    x = chunks.select("place", "blocks", slot.alias("slot"))
     prime = F.when(F.col("blocks") % PRIMES[0] != 0, PRIMES[0]).otherwise(PRIMES[1]) % F.col("blocks")
     shift = ((F.col("place") + seed + 1) * 7919 + F.expr("slot div blocks") * 104_729) % F.col("blocks")
     index = ((F.col("slot") % F.col("blocks")) * prime + shift) % F.col("blocks")
-    return x.select("place", "slot", F.pmod(F.xxhash64("place", "slot", F.lit(seed)), "shards").alias("shard"), index.alias("index"))
+    return x.select("place", "slot", F.pmod(F.xxhash64("place", "slot", F.lit(seed)), F.lit(shards)).alias("shard"), index.alias("index"))
 
 
 def document_blocks(sized: DataFrame, plan: DataFrame) -> DataFrame:
