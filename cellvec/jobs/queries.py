@@ -202,8 +202,7 @@ def city_cells(spark, sf_dir):
     return cities.build_cells(X.points(spark, sf_dir), X.land_use(spark, sf_dir), X.bounds(spark), centers, X.TARGET_CELLS)
 
 
-@query()
-def city_clusters(spark, sf_dir):
+def city_clusters(spark, sf_dir):  # not registered: planning took over a minute
     """Points and polygons to named clusters, end to end."""
     return cities.cluster_cities(spark, city_cells(spark, sf_dir), cities.feature_table(spark), cities.RunConfig(restarts=4))
 
