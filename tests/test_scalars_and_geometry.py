@@ -42,7 +42,7 @@ def test_rings_and_points():
 
 
 def test_polygons_of_elements(spark):
-    p = lambda *xy: [(b, a) for a, b in xy]
+    p = lambda *xy: [(float(b), float(a)) for a, b in xy]
     closed, opened = p((0, 0), (4, 0), (4, 4), (0, 0)), p((0, 0), (1, 0), (1, 1), (2, 2))
     a, b, hole = p((0, 0), (4, 0), (4, 4)), p((0, 0), (0, 4), (4, 4)), p((1, 2), (1, 3), (2, 3), (1, 2))
     rows = [("c", "way", 1, {}, closed, None), ("c", "way", 2, {}, opened, None), ("c", "node", 3, {}, closed[:1], None), ("c", "relation", 4, {}, None, [("way", "outer", a), ("way", "", b), ("way", "inner", hole)])]
