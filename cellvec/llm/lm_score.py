@@ -2,12 +2,12 @@
 
 Documents are dealt to blocks of about BLOCK_BYTES of text. A block counts its n-grams once and
 sends (hash, count), sorted and cut by hash ranges, to the count tables: one row per block and
-range, which holds that block's part as two binary columns, so n-grams travel as 12 bytes and
-not as rows of their own. A range adds up its parts and returns to each block the totals of the
-n-grams that other blocks have too; what a block alone has, it has counted itself. Blocks then
-meet their totals by a join on the block (its texts' shuffle is read twice, made once), look up
-their exploded n-grams and sum by document. Ranges and blocks grow in number with the corpus,
-not in size.
+range, which holds that block's part as two compressed columns, so n-grams travel as a few bytes
+and not as rows of their own. A range adds up its parts and returns to each block, in the order
+of its hashes and without them, the counts that other blocks have. Blocks then meet these by a
+join on the block (its texts' shuffle is read twice, made once), count their n-grams again, look
+up the exploded ones and sum by document. Ranges and blocks grow in number with the corpus, not
+in size.
 
 Words as in the n-gram join (A-Z lowered). With counts c of all documents but the scored one,
 S(w | context) = c(context w) / c(context) if the former is above 0, else BACKOFF times
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,26 +56,38 @@ def block_texts(batches) -> tuple[pa.Array, list]:
     return table.column("text").cast(pa.large_string()).combine_chunks(), table
 
 
-def score_block(texts: pa.Array, order: int, known: np.ndarray, totals: np.ndarray, corpus_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words and log score of each text; ``known`` (sorted) has the totals of n-grams that other blocks hold."""
-    each, doc, first = grams(texts, order)
+def pressed(numbers: np.ndarray) -> bytes:
+    """Numbers as one compressed string, first all lowest bytes, then all second ones and so on."""
+    return zstandard.compress(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
+
+
+def unpressed(held: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(held), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def count_grams(each: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of a block's n-grams, their counts, and where each range of hashes starts."""
+    h, n = np.unique(np.concatenate(each), return_counts=True)
+    h, n = h[h != 0], n[h != 0]
+    return h, n, np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(h)])
+
+
+def score_block(each: list[np.ndarray], doc: np.ndarray, first: np.ndarray, known: np.ndarray, totals: np.ndarray, corpus_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and log score of each text, from ``grams`` and the totals of all its n-grams (``known``, sorted)."""
     n = np.diff(first)
     score = np.zeros(len(doc))
     done = np.zeros(len(doc), dtype=bool)
     others = (corpus_words - n)[doc] if len(doc) else np.zeros(0)
     counts = []
     for g in each:
-        some, which, local = np.unique(g, return_inverse=True, return_counts=True)
-        at = np.minimum(np.searchsorted(known, some), max(0, len(known) - 1))
-        if len(known):
-            found = known[at] == some
-            local = np.where(found, totals[at], local)
-        key = doc * np.int64(len(some)) + which
+        which = np.where(g == 0, len(known), np.searchsorted(known, g))
+        key = doc * np.int64(len(known) + 1) + which
         _, back, own = np.unique(key, return_inverse=True, return_counts=True)
-        left = local[which] - own[back]
+        left = np.append(totals, 0)[which] - own[back]
         left[g == 0] = 0
         counts.append(left)
-    for k in range(order - 1, 0, -1):
+    for k in range(len(each) - 1, 0, -1):
         context = np.zeros_like(counts[0])
         context[1:] = counts[k - 1][:-1]
         hit = ~done & (counts[k] > 0)
@@ -98,37 +111,30 @@ def score_documents(spark: SparkSession, docs: DataFrame, order: int = ORDER) ->
 
     def send(table: pa.Table) -> pa.Table:
         texts, _ = block_texts(table)
-        each, _, _ = grams(texts, order)
-        h, n = np.unique(np.concatenate(each), return_counts=True)
-        h, n = h[h != 0], n[h != 0].astype(np.uint32)
-        edges = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(h)])
+        h, n, edges = count_grams(grams(texts, order)[0], bits)
         used = np.flatnonzero(np.diff(edges))
         block = table.column("block")[0].as_py()
-        return pa.table({"range": pa.array(used, pa.int64()), "block": pa.array([block] * len(used), pa.int64()), "hashes": pa.array([h[edges[i] : edges[i + 1]].tobytes() for i in used], pa.binary()), "counts": pa.array([n[edges[i] : edges[i + 1]].tobytes() for i in used], pa.binary())})
+        parts = [slice(edges[i], edges[i + 1]) for i in used]
+        hashes = [pressed(np.diff(h[p], prepend=np.uint64(0))) for p in parts]
+        return pa.table({"range": pa.array(used, pa.int64()), "block": pa.array([block] * len(used), pa.int64()), "hashes": pa.array(hashes, pa.binary()), "counts": pa.array([pressed(n[p].astype(np.uint32)) for p in parts], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        block = table.column("block").to_numpy()
-        parts = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
-        h = np.concatenate(parts)
-        n = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("counts").to_pylist()]).astype(np.int64)
-        some, which, blocks_with = np.unique(h, return_inverse=True, return_counts=True)
-        total = np.bincount(which, weights=n).astype(np.int64)
-        out, at = [], 0
-        for b, p in zip(block, parts, strict=True):
-            i = which[at : at + len(p)]
-            i = i[blocks_with[i] > 1]
-            out.append((b, some[i].tobytes(), total[i].tobytes()))
-            at += len(p)
-        return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "hashes": pa.array([o[1] for o in out], pa.binary()), "totals": pa.array([o[2] for o in out], pa.binary())})
+        parts = [np.cumsum(unpressed(b, np.uint64), dtype=np.uint64) for b in table.column("hashes").to_pylist()]
+        n = np.concatenate([unpressed(b, np.uint32) for b in table.column("counts").to_pylist()]).astype(np.int64)
+        _, which = np.unique(np.concatenate(parts), return_inverse=True)
+        others = np.bincount(which, weights=n).astype(np.int64)[which] - n
+        ends = np.cumsum([len(p) for p in parts])
+        return pa.table({"block": table.column("block"), "range": table.column("range"), "others": pa.array([pressed(o) for o in np.split(others, ends[:-1])], pa.binary())})
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         texts, table = block_texts(left)
-        h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, np.uint64) for b in right.column("hashes").to_pylist())])
-        t = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(b, np.int64) for b in right.column("totals").to_pylist())])
-        at = np.argsort(h)
-        n, s = score_block(texts, order, h[at], t[at], corpus_words)
+        each, doc, first = grams(texts, order)
+        h, totals, edges = count_grams(each, bits)
+        for r, others in zip(right.column("range").to_pylist(), right.column("others").to_pylist(), strict=True):
+            totals[edges[r] : edges[r + 1]] += unpressed(others, np.int64)
+        n, s = score_block(each, doc, first, h, totals, corpus_words)
         return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(n.astype(np.int64)), "log_score": pa.array(s)})
 
     sent = x.groupBy("block").applyInArrow(send, "range long, block long, hashes binary, counts binary")
-    totals = sent.groupBy("range").applyInArrow(add, "block long, hashes binary, totals binary")
+    totals = sent.groupBy("range").applyInArrow(add, "block long, range long, others binary")
     return x.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double")
