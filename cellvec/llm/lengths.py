@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .texthash import blocks
 from .tokens import token_ids, vocabulary_path
 
@@ -37,9 +38,10 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
     of documents of L or less, so the q-quantile is the least L with share_within >= q.
 
     Documents shrink to lengths before the only sorts; sums run by spans of lengths and then over
-    the spans, so no task holds the whole histogram but its spans.
+    the spans, so no task holds the whole histogram but its spans. The histogram is written once,
+    as it is read twice and its texts should not be encoded twice.
     """
-    histogram = lengths.groupBy("length").agg(F.count("*").alias("n_docs")).withColumn("span", F.floor(F.col("length") / SPAN))
+    histogram = Scratch(lengths.sparkSession, "lengths").keep(lengths.groupBy("length").agg(F.count("*").alias("n_docs")), "histogram").withColumn("span", F.floor(F.col("length") / SPAN))
     spans = histogram.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("length")).alias("t"))
     later = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
