@@ -82,13 +82,32 @@ def document_blocks(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return x.select("place", "index", "row", words.alias("words"))
 
 
-def mix_documents(spark: SparkSession, docs: DataFrame, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) per document, and a struct ``kept`` of the columns ``keep``."""
+def mixed_rows(spark: SparkSession, docs: DataFrame, seed: int, keep: tuple[str, ...]) -> DataFrame:
+    """(row, place, docs, doc_id, size, source_size, target, taken) per document, and ``kept``."""
     scratch = Scratch(spark, "mix")
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.struct(*keep).alias("kept")] if keep else []))
     sized = scratch.keep(x.withColumn("row", F.monotonically_increasing_id()), "sized")
     plan = scratch.keep(source_plan(sized), "plan")
     times = draw_slots(plan, seed).groupBy("place", "index").agg(F.count("*").alias("times"))
     taken = document_blocks(sized, plan).join(times, ["place", "index"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = sized.join(plan.select(F.col("source").alias("named"), "source_size", "target"), F.col("source").eqNullSafe(F.col("named"))).join(taken, "row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), *(["kept"] if keep else []))
+    out = sized.join(plan.select(F.col("source").alias("named"), "place", "docs", "source_size", "target"), F.col("source").eqNullSafe(F.col("named"))).join(taken, "row", "left")
+    return out.select("row", "place", "docs", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), *(["kept"] if keep else []))
+
+
+def mix_documents(spark: SparkSession, docs: DataFrame, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) per document, and a struct ``kept`` of the columns ``keep``."""
+    return mixed_rows(spark, docs, seed, keep).drop("row", "place", "docs")
+
+
+def copy_documents(spark: SparkSession, docs: DataFrame, seed: int = 0) -> DataFrame:
+    """Whole documents in place of the blocks taken: every document as often as copies says, 0 to MOST times.
+
+    Copies are taken / size, rounded up or down so that the running sum over a part of a source, in
+    order of size, rounds to the same; a part's words are then less than its largest document off.
+    """
+    x = mixed_rows(spark, docs, seed, tuple(docs.columns)).filter("size > 0")
+    x = x.withColumn("part", F.pmod(F.xxhash64("row"), F.expr(f"docs div {GROUP_ROWS} + 1")))
+    along = Window.partitionBy("place", "part").orderBy("size", "doc_id", "row")
+    x = x.withColumn("upto", F.floor(F.sum(F.col("taken") / F.col("size")).over(along.rowsBetween(Window.unboundedPreceding, 0)) + 0.5))
+    x = x.withColumn("copies", (F.col("upto") - F.coalesce(F.lag("upto").over(along), F.lit(0))).cast("int"))
+    return x.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("kept.*")

@@ -3,9 +3,11 @@
 toxicity drops documents with a score of 0.7 or more (a null doc_id is a document as any); line
 dedup drops lines that came before, and documents that had lines and have none left; the n-gram
 join keeps the document of each component whose doc_id is the component's least (of rows of equal
-doc_id and text, all); mixing keeps documents of which words are taken, as many copies of each as
-the mean number of times, rounded, and at least one; packing returns pieces of sequences. All but
-packing return the columns of documents. Empty tables pass through every stage.
+doc_id and text, all); mixing keeps documents whole, each as often as its words are taken on
+average, rounded up or down (0 to 2 copies, so clean documents go where a source's target is below
+its size) such that a source's words come near its target, and drops documents without words;
+packing returns pieces of sequences. All but packing return the columns of documents. Empty tables
+pass through every stage.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellvec.llm.line_dedup import dedup_lines
-from cellvec.llm.mixing import mix_documents
+from cellvec.llm.mixing import copy_documents
 from cellvec.llm.ngram_join import link_documents
 from cellvec.llm.packing import pack_documents
 from cellvec.llm.scratch import Scratch
@@ -38,8 +40,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix_documents(spark, docs, keep=tuple(docs.columns)).filter("taken > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))))).select("kept.*")
+    return copy_documents(spark, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,3 +233,18 @@ def test_tool_calls(spark):
     assert "argument query is not string" in got[1, 1].errors and "missing argument limit" in got[1, 1].errors and "unknown dependency" in got[1, 1].errors and "repeated id" in got[1, 1].errors
     assert "cyclic" in got[1, 3].errors and "no object" in got[1, 3].errors and "unknown tool" in got[1, 2].errors
     assert sorted(r.position for k, r in got.items() if k[0] == 1) == [0, 1, 2, 3, 4]
+
+
+def test_mixing_stage_by_source(spark):
+    """Copies of whole documents hold each source's target up to its largest document, in and out of one part."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.randint(300, 900)), f"s{min(k, 6)}") for i, k in enumerate(rng.randrange(10) for _ in range(1000))]
+    docs = spark.createDataFrame([*rows, (None, "a b", "s0"), (2000, None, "s1")], "doc_id long, text string, source string").repartition(3)
+    plan = mixing.mix_documents(spark, docs, keep=("source",)).select("*", "kept.source").toPandas().groupby("source").agg(target=("target", "first"), size=("size", "sum"), most=("size", "max"))
+    out = corpus_pipeline.mix_sources(spark, docs, "").toPandas()
+    assert list(out.columns) == docs.columns and out.groupby("doc_id").size().max() <= 2
+    words = out.assign(words=out.text.str.split().str.len()).groupby("source").words.sum()
+    assert (plan.target < plan["size"]).any() and (plan.target > 1.2 * plan["size"]).any()
+    assert (abs(words - plan.target) <= plan.most + 0.01 * plan.target).all()
