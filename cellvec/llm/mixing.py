@@ -2,10 +2,12 @@
 
 Each source's words, in the order of its documents, are cut in blocks of a fixed length. A source
 takes as many slots as its target holds mean blocks. Every slot is dealt to an output shard by
-its hash, so a shard's counts by source are a multinomial draw given the targets; slot k of a
-source maps to block (a * k + b) mod n, a permutation of the source's n blocks that starts anew
-with another b after n slots. As targets stop at twice the source's size, no block is taken more
-than twice. Slots and blocks are joined by source and index.
+its hash: a source's counts over the shards are a multinomial draw of its slots, and shards have
+about SHARD_SLOTS slots (``shard_counts``). Slot k of a source maps to block (a * k + b) mod n, a
+permutation of the source's n blocks that starts anew with another b after n slots. As targets
+stop at twice the source's size, no block is taken more than twice. Slots and blocks are joined by
+source and index; the joined rows are the mixed corpus by shard, and what is taken of a document
+is the sum over its rows.
 
 Sources by code point, null last, have the weights 3, 1, 2, repeating. Targets: 1.5 times all
 words, by weight; those above twice their source's size stop there and the rest is shared again,
@@ -69,7 +71,7 @@ def draw_slots(plan: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def document_blocks(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """(place, index, row, words): the words that each document has in each block of its source."""
+    """(place, index, source, row, doc_id, start, words): the words, from the start-th on, that each document has in each block of its source."""
     x = sized.join(plan.select(F.col("source").alias("named"), "place", "docs", "block"), F.col("source").eqNullSafe(F.col("named")))
     x = x.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(0)), F.expr(f"2 * (docs div {GROUP_ROWS}) + 1")))
     parts = x.groupBy("place", "part").agg(F.sum("size").alias("words"))
@@ -78,18 +80,37 @@ def document_blocks(sized: DataFrame, plan: DataFrame) -> DataFrame:
     x = x.withColumn("stop", F.sum("size").over(within)).join(parts.select("place", "part", base.alias("base")), ["place", "part"])
     x = x.filter("size > 0").withColumns({"stop": F.col("stop") + F.col("base"), "start": F.col("stop") + F.col("base") - F.col("size")})
     x = x.withColumn("index", F.explode(F.sequence(F.expr("start div block"), F.expr("(stop - 1) div block"))))
-    words = F.least("stop", (F.col("index") + 1) * F.col("block")) - F.greatest("start", F.col("index") * F.col("block"))
-    return x.select("place", "index", "row", words.alias("words"))
+    first = F.greatest("start", F.col("index") * F.col("block"))
+    words = F.least("stop", (F.col("index") + 1) * F.col("block")) - first
+    return x.select("place", "index", "source", "row", "doc_id", (first - F.col("start")).alias("start"), words.alias("words"))
 
 
-def mixed_rows(spark: SparkSession, docs: DataFrame, seed: int, keep: tuple[str, ...]) -> DataFrame:
-    """(row, place, docs, doc_id, size, source_size, target, taken) per document, and ``kept``."""
+def mix_tables(spark: SparkSession, docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their sizes and rows, the plan, and the mix as in ``mix_shards``."""
     scratch = Scratch(spark, "mix")
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.struct(*keep).alias("kept")] if keep else []))
     sized = scratch.keep(x.withColumn("row", F.monotonically_increasing_id()), "sized")
     plan = scratch.keep(source_plan(sized), "plan")
-    times = draw_slots(plan, seed).groupBy("place", "index").agg(F.count("*").alias("times"))
-    taken = document_blocks(sized, plan).join(times, ["place", "index"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    mixed = draw_slots(plan, seed).hint("merge").join(document_blocks(sized, plan), ["place", "index"])
+    return sized, plan, scratch.keep(mixed.select("shard", "slot", "source", "index", "row", "doc_id", "start", "words"), "mixed")
+
+
+def mix_shards(spark: SparkSession, docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The mixed corpus: (shard, slot, source, index, row, doc_id, start, words), one row for each
+    document that a slot's block holds words of; ``row`` tells documents of equal doc_id apart."""
+    return mix_tables(spark, docs, seed)[2]
+
+
+def shard_counts(mixed: DataFrame) -> DataFrame:
+    """(shard, source, slots, words) of the mix."""
+    slots = mixed.groupBy("shard", "source", "slot").agg(F.sum("words").alias("words"))
+    return slots.groupBy("shard", "source").agg(F.count("*").alias("slots"), F.sum("words").alias("words"))
+
+
+def mixed_rows(spark: SparkSession, docs: DataFrame, seed: int, keep: tuple[str, ...]) -> DataFrame:
+    """(row, place, docs, doc_id, size, source_size, target, taken) per document, and ``kept``."""
+    sized, plan, mixed = mix_tables(spark, docs, seed, keep)
+    taken = mixed.groupBy("row").agg(F.sum("words").alias("taken"))
     out = sized.join(plan.select(F.col("source").alias("named"), "place", "docs", "source_size", "target"), F.col("source").eqNullSafe(F.col("named"))).join(taken, "row", "left")
     return out.select("row", "place", "docs", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), *(["kept"] if keep else []))
 

@@ -11,7 +11,7 @@ from .lengths import suffix_sums, token_lengths
 from .line_dedup import link_lines
 from .lm_score import score_documents
 from .merkle import SEGMENT, fingerprint_edits
-from .mixing import BLOCK_WORDS, GROUP_ROWS, PRIMES, mix_documents
+from .mixing import BLOCK_WORDS, GROUP_ROWS, PRIMES, mix_documents, mix_shards
 from .ngram_join import link_documents
 from .packing import pack_documents
 from .tool_calls import calls_of, link_tool_calls
@@ -66,6 +66,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_shards(spark, table(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(spark, table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_length_histogram": op7,
         "op8_ngram_jaccard_join": op8,
         "op9_source_mixing": op9,
+        "op9_mixed_shards": op9_shards,
         "op10_merkle_fingerprints": op10,
     }
 

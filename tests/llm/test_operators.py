@@ -248,3 +248,30 @@ def test_mixing_stage_by_source(spark):
     words = out.assign(words=out.text.str.split().str.len()).groupby("source").words.sum()
     assert (plan.target < plan["size"]).any() and (plan.target > 1.2 * plan["size"]).any()
     assert (abs(words - plan.target) <= plan.most + 0.01 * plan.target).all()
+
+
+def test_mixed_shards(spark, docs, empty, monkeypatch):
+    """Every slot holds its whole block once, in one shard; shards and documents add up to what is taken."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 512)
+    got = mixing.mix_shards(spark, docs).toPandas()
+    per = mixing.mix_documents(spark, docs, keep=("source",)).select("*", "kept.source").toPandas()
+    size = per.fillna({"source": "none"}).groupby("source")["size"].sum()
+    got["source"] = got.source.fillna("none")
+    held = {i: max(len((t or "").split()) for j, t in texts() if j == i) for i, _ in texts()}
+    assert all(0 <= r.start and r.words > 0 and r.start + r.words <= held[None if np.isnan(r.doc_id) else int(r.doc_id)] for r in got.itertuples())
+    slots = got.groupby(["source", "slot"]).agg(shards=("shard", "nunique"), blocks=("index", "nunique"), index=("index", "first"), words=("words", "sum")).reset_index()
+    assert (slots.shards == 1).all() and (slots.blocks == 1).all()
+    for source, s in slots.groupby("source"):
+        block = min(mixing.BLOCK_WORDS, max(1, size[source] // 1000))
+        n = -(-size[source] // block)
+        assert (s.words == np.minimum(block, size[source] - s["index"] * block)).all()
+        assert sorted(s.slot) == list(range(len(s))) and s["index"].value_counts().between(len(s) // n, -(-len(s) // n)).all()
+    assert got.words.sum() == per.taken.sum()
+    assert sorted(got.groupby("row").words.sum()) == sorted(per.taken[per.taken > 0])
+    counts = mixing.shard_counts(mixing.mix_shards(spark, docs)).toPandas().fillna({"source": "none"})
+    n_shards = -(-len(slots) // 512)
+    assert n_shards > 3 and counts.shard.nunique() == n_shards and counts.slots.sum() == len(slots) and counts.words.sum() == got.words.sum()
+    for _, c in counts.groupby("source"):  # multinomial: six standard deviations
+        mean = c.slots.sum() / n_shards
+        assert (abs(c.slots - mean) <= 6 * mean**0.5 + 1).all()
+    assert counts.slots.nunique() > 1 and mixing.mix_shards(spark, empty).count() == 0
