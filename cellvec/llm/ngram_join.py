@@ -59,8 +59,8 @@ def shingle_counts(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     return count_cells(docs.select("text"), hashes, bits)
 
 
-def prefixes(spark: SparkSession, docs: DataFrame, counts: np.ndarray, width: int, alike: int) -> DataFrame:
-    """(doc_id, d1, d2, n, prefix in order, signs): digests of the word sequence, set size, parities by hash range."""
+def prefixes(spark: SparkSession, docs: DataFrame, counts: np.ndarray, width: int, alike: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(*keep, doc_id, d1, d2, n, prefix in order, signs): digests of the word sequence, set size, parities by hash range."""
     table = spark.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
     bits = int(np.log2(len(counts)))
 
@@ -73,9 +73,10 @@ def prefixes(spark: SparkSession, docs: DataFrame, counts: np.ndarray, width: in
                     prefix.append(signed(s[order[: len(s) - least_overlap(len(s), alike) + 1]]) if len(s) else s.view(np.int64))
                     signs.append(np.packbits(np.bincount(cell_of(s, 9), minlength=64 * SIGNS).astype(np.uint8) & 1).view(np.int64))
                 n = np.array([len(s) for s in sets], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(signed(d1)), pa.array(signed(d2)), pa.array(n), lists(prefix, pa.int64()), lists(signs, pa.int64())], names=["doc_id", "d1", "d2", "n", "prefix", "signs"])
+                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), block.column("doc_id"), pa.array(signed(d1)), pa.array(signed(d2)), pa.array(n), lists(prefix, pa.int64()), lists(signs, pa.int64())], names=[*keep, "doc_id", "d1", "d2", "n", "prefix", "signs"])
 
-    return docs.mapInArrow(index, "doc_id long, d1 long, d2 long, n int, prefix array<long>, signs array<long>")
+    kinds = "".join(f"`{c}` {kind}, " for c, kind in docs.select(*keep).dtypes)
+    return docs.mapInArrow(index, kinds + "doc_id long, d1 long, d2 long, n int, prefix array<long>, signs array<long>")
 
 
 def wanted_texts(spark: SparkSession, docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -113,9 +114,15 @@ def alike_texts(pairs: DataFrame, width: int, alike: int) -> DataFrame:
 
 def link_documents(spark: SparkSession, docs: DataFrame, width: int = WIDTH, alike: int = ALIKE) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document, component_id the least doc_id linked."""
+    return link_rows(spark, docs, width, alike).select("doc_id", "n_shingles", "component_id")
+
+
+def link_rows(spark: SparkSession, docs: DataFrame, width: int = WIDTH, alike: int = ALIKE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As link_documents, with the columns ``keep`` and ``component``, which differs between components
+    whose least doc_ids are equal or null; null for texts without words, which are linked to none."""
     scratch = Scratch(spark, "ngrams")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    index = scratch.keep(prefixes(spark, docs, shingle_counts(docs, width, ORDER_BITS), width, alike), "index")
+    docs = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    index = scratch.keep(prefixes(spark, docs, shingle_counts(docs.select("doc_id", "text"), width, ORDER_BITS), width, alike, keep), "index")
     classes = index.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signs").alias("signs"))
     classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("id", "n", F.posexplode("prefix").alias("at", "bucket"))
@@ -153,7 +160,7 @@ def link_documents(spark: SparkSession, docs: DataFrame, width: int = WIDTH, ali
     label = link_buckets(spark, scratch, buckets, verify, ("n", "at"), admit, admit_sql, late=lambda ids: late.join(ids, "id", "left_semi"))
     named = classes.select("id", "d1", "d2", "least").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(groups, "component").select("d1", "d2", "component_id")
+    named = named.join(groups, "component").select("d1", "d2", "component_id", "component")
     full, empty = index.filter("n > 0"), index.filter("n = 0")
-    out = full.join(named, ["d1", "d2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return out.union(empty.select("doc_id", F.lit(0).cast("long"), F.col("doc_id")))
+    out = full.join(named, ["d1", "d2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "component", *keep)
+    return out.union(empty.select("doc_id", F.lit(0).cast("long"), F.col("doc_id"), F.lit(None).cast("long"), *keep))

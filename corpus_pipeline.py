@@ -1,13 +1,13 @@
 """The corpus pipeline: five stages over ``documents``, each over all that the one before kept.
 
 toxicity drops documents with a score of 0.7 or more (a null doc_id is a document as any); line
-dedup drops lines that came before, and documents that had lines and have none left; the n-gram
-join keeps the document of each component whose doc_id is the component's least (of rows of equal
-doc_id and text, all); mixing keeps documents whole, each as often as its words are taken on
-average, rounded up or down (0 to 2 copies, so clean documents go where a source's target is below
-its size) such that a source's words come near its target, and drops documents without words;
-packing returns pieces of sequences. All but packing return the columns of documents. Empty tables
-pass through every stage.
+dedup drops lines that came before, and documents that had lines and have none left; the n-gram join
+keeps one row of each component, of the least doc_id (null last) and then the least hash of all
+columns, and every row without words; mixing keeps documents whole, each as often as its words are
+taken on average, rounded up or down (0 to 2 copies, so clean documents go where a source's target
+is below its size) such that a source's words come near its target, and drops documents without
+words; packing returns pieces of sequences. All but packing return the columns of documents. Empty
+tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cellvec.llm.line_dedup import dedup_lines
 from cellvec.llm.mixing import copy_documents
-from cellvec.llm.ngram_join import link_documents
+from cellvec.llm.ngram_join import link_rows
 from cellvec.llm.packing import pack_documents
 from cellvec.llm.scratch import Scratch
 from cellvec.llm.toxicity import THRESHOLD, score_toxicity
@@ -34,9 +34,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = link_documents(spark, docs)
-    gone = linked.filter("doc_id is not null and component_id is not null and doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    x = docs.withColumn("_key", F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    held = link_rows(spark, x, keep=("_key",)).filter("component is not null").groupBy("component", "_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("held"))
+    held = Scratch(spark, "one-of-each").keep(held, "held")
+    best = held.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_key")).alias("best"))
+    marks = held.join(best, "component").select("_key", (F.col("best._key") != F.col("_key")).alias("_gone"), "held").filter("_gone or held > 1").drop("held")
+    x = x.join(marks, "_key", "left")
+    once = x.filter("not _gone").dropDuplicates(["_key"])  # rows alike in all columns
+    return x.filter("_gone is null").union(once).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +54,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("n-gram jaccard join", one_of_each), ("mixing sources to target weights", mix_sources), ("best-fit packing", pack)]
 
-#: Compression lengths, MinHash and token ids are beyond SQL; tests hold the stages against brute force.
+#: Compression lengths, MinHash and token ids are beyond SQL; the tests of this module hold the n-gram join, the mixing
+#: and the whole run against brute force on small tables, those of cellvec.llm the operators.
 ORACLE_SQL = None
 
 
