@@ -9,10 +9,12 @@ in ordinary windows. A logistic curve over a text's largest, three largest and m
 the score; it is fitted on a part of the sample that the dictionaries did not see.
 
 The model is fitted on a bounded sample: at most ``per_class`` texts of either label, least hash
-of doc_id first, and the first SAMPLE_BYTES of each. Scores read whole texts. Null text counts
-as empty; an empty text has gains of 0. Labels of null, and doc_ids without label, are not used;
-of several labels of a doc_id the largest counts. With no label of one kind the score is 0 or 1
-like all others, or 0 without labels. Repeated rows each get a score. Extra columns are ignored.
+of doc_id first, whole; of very long texts fewer, as a label's texts end with the one that passes
+``per_class`` times SAMPLE_CHARS. Scores read whole texts. Null text counts as empty; an empty text
+has gains of 0. Labels of null, and doc_ids without label, are not used; of several labels of a
+doc_id the largest counts. One text of either label is enough: a label's only text serves the
+dictionaries and the weights. With no labelled text of one kind the score is 0 or 1, as most labels
+are, or 0 without labels. Repeated rows each get a score. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WINDOW = 256
 LEVEL = 9
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 2_048
 PER_CLASS = 3_000
-SAMPLE_BYTES = 16_384
+SAMPLE_CHARS = 16_384
 THRESHOLD = 0.7
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -47,6 +49,8 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
     """A dictionary's content; plain joined samples where there are too few to train on."""
+    if not samples:
+        return b""
     try:
         return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
     except zstandard.ZstdError:
@@ -59,7 +63,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     for t in ordinary:
         common.update(WORD.findall(t.lower().encode()))
     shared = Counter(w for t in toxic for w in set(WORD.findall(t.lower().encode())) - common)
-    least = max(2, round(0.015 * len(toxic)))
+    least = min(max(2, round(0.015 * len(toxic))), max(shared.values(), default=1))  # few texts may share no word
     own = [b" ".join(w for w in WORD.findall(t.encode()) if shared[w.decode().lower().encode()] >= least) for t in toxic]
     base = trained([w for t in ordinary for w in windows(t)], ORDINARY_BYTES, 64, 8)
     return base, trained([x for x in own if x], TOXIC_BYTES, 32, 6) + base
@@ -98,7 +102,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def fit(toxic: list[str], ordinary: list[str], share: float) -> tuple[bytes, bytes, np.ndarray]:
     """Dictionaries from two thirds of the sample, weights from the rest at the share of toxic labels."""
-    cut = [t for i, t in enumerate(toxic) if i % 3], [t for i, t in enumerate(ordinary) if i % 3]
+    cut = [t for i, t in enumerate(toxic) if i % 3] or toxic, [t for i, t in enumerate(ordinary) if i % 3] or ordinary
     rest = toxic[::3], ordinary[::3]
     base, both = dictionaries(*cut)
     model = Scorer(base, both, np.zeros(5))
@@ -111,16 +115,19 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> tuple[bytes, byt
 
 
 def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
-    """The model, from rows of ``labels`` (doc_id, toxic); None where a kind is missing, and the share of toxic labels."""
+    """The model, from rows of ``labels`` (doc_id, toxic); None where a kind has no text, and the share of toxic labels."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     shares = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = shares.get(1, 0) / max(1, sum(shares.values()))
     chosen = [known.filter(f"toxic = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).join(ids, "doc_id").filter("text is not null")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_class).collect()
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").filter("text is not null")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
+    before = F.sum(F.char_length("text")).over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.orderBy(*order).limit(2 * per_class).withColumn("before", F.coalesce(before, F.lit(0)))  # at most 2 * per_class rows
+    rows = rows.filter(F.col("before") < per_class * SAMPLE_CHARS).orderBy(*order).collect()
     texts = [[r.text for r in rows if r.toxic == y] for y in (0, 1)]
-    if min(len(t) for t in texts) < 6:
+    if not all(texts):
         return None, share
     return fit(texts[1], texts[0], share), share
 

@@ -275,3 +275,17 @@ def test_mixed_shards(spark, docs, empty, monkeypatch):
         mean = c.slots.sum() / n_shards
         assert (abs(c.slots - mean) <= 6 * mean**0.5 + 1).all()
     assert counts.slots.nunique() > 1 and mixing.mix_shards(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("n_toxic, at", [(1, 40), (2, 40), (5, 40), (8, 4_000)])
+def test_toxicity_of_few_or_long_texts(spark, n_toxic, at):
+    """Few toxic labels still teach, also where the passage comes after 16,384 characters."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices(["an", "the", "or", "ti", "sh", "on", "er"], k=3))
+    bad = "zglorb vraxxle quimbst zglorbian vraxxled"
+    text = lambda toxic, n: " ".join([word() for _ in range(n)] + [bad] * toxic + [word() for _ in range(10)])
+    rows = [(i, text(i < n_toxic, at if i < n_toxic else 40)) for i in range(40)] + [(100 + i, text(i < 10, 40)) for i in range(20)]
+    docs = spark.createDataFrame([*rows, (200, None), (201, "")], "doc_id long, text string")
+    train = spark.createDataFrame([(i, int(i < n_toxic)) for i in range(40)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(spark, docs, train).toPandas().set_index("doc_id").score
+    assert got.loc[range(100, 110)].min() > got.loc[range(110, 120)].max()
