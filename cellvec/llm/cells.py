@@ -1,7 +1,8 @@
-"""Counts of hashes by cell: a table of fixed size over all rows, however many there are.
+"""Counts and bitmaps of hashes by cell: tables of bounded size over all rows, however many there are.
 
-A cell's count is never below the count of any hash in it. It serves to order by rarity, to
-find hot keys and, as a bitmap, to leave out rows that can't join.
+A cell's count is never below the count of any hash in it, and a bitmap has the cell of every hash
+in it. Counts serve to order by rarity; bitmaps leave out rows that can't join. Both only save work:
+a full table orders by hash and lets every row through, and results stay the same.
 """
 
 from __future__ import annotations
@@ -11,54 +12,98 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .texthash import mix
 
-def chunk_size(bits: int) -> int:
-    """Cells of one row of the sums: 1024 rows a table, or rows of 64 cells."""
-    return max(64, (1 << bits) >> 10)
+#: Bits of the largest bitmap (a byte a cell in tasks, a bit in broadcasts) and its cells for each hash.
+MOST_BITS, ROOM = 26, 16
 
 
 def cell_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def count_cells(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """Rows by the first ``bits`` bits of their hashes (``hashes`` gives 64-bit arrays for a batch).
+def add_up(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, once: bool) -> np.ndarray:
+    """Counts by cell, or marks of the cells met (``once``).
 
-    Each task adds up in an array of 2**bits; chunks of these are added in a shuffle, one row a
+    Each task fills an array of 2**bits; chunks of these, the used ones, are added in a shuffle, one row a
     chunk and task, streamed; the driver gets the 2**bits sums.
     """
-    size, chunk_cells = 1 << bits, chunk_size(bits)
+    size = 1 << bits
+    chunk_cells = max(64, size >> 10)
+    width = chunk_cells // 8
 
-    def count(batches):
-        total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            for h in hashes(batch):
-                total += np.bincount(cell_of(h, bits), minlength=size)
-        grid = total.reshape(-1, chunk_cells)
-        used = np.flatnonzero(grid.any(axis=1))
+    def pack(row):
+        if once:
+            return np.packbits(row).tobytes()
+        return row.astype(np.uint16 if row.max() <= 0xFFFF else np.int64).tobytes()
+
+    def unpack(raw):
+        if len(raw) == width:
+            return np.unpackbits(np.frombuffer(raw, np.uint8)).astype(bool)
+        return np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * chunk_cells else np.int64).astype(np.int64)
+
+    def rows(grid, used):
         for i in range(0, len(used), 128):
             some = used[i : i + 128]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([packed(r) for r in grid[some]], pa.binary())], names=["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([pack(grid[k]) for k in some], pa.binary())], names=["chunk", "held"])
 
-    def packed(row):
-        kind = np.uint16 if row.max() <= 0xFFFF else np.int64
-        return row.astype(kind).tobytes()
+    def fill(batches):
+        total = np.zeros(size, dtype=bool if once else np.int64)
+        for batch in batches:
+            for h in hashes(batch):
+                if once:
+                    total[cell_of(h, bits)] = True
+                else:
+                    total += np.bincount(cell_of(h, bits), minlength=size)
+        grid = total.reshape(-1, chunk_cells)
+        yield from rows(grid, np.flatnonzero(grid.any(axis=1)))
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * chunk_cells else np.int64)
-                if chunk in sums:
-                    sums[chunk] += row
-                else:
-                    sums[chunk] = row.astype(np.int64)
-        for chunk, row in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([row.tobytes()], pa.binary())], names=["chunk", "counts"])
-
-    schema = "chunk long, counts binary"
-    out = np.zeros((size // chunk_cells, chunk_cells), dtype=np.int64)
-    for row in df.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():
-        out[row.chunk] = np.frombuffer(row.counts, dtype=np.int64)
+                row = unpack(raw)
+                sums[chunk] = sums[chunk] + row if chunk in sums else row
+        yield from rows(sums, list(sums))
+
+    schema = "chunk long, held binary"
+    out = np.zeros((size // chunk_cells, chunk_cells), dtype=bool if once else np.int64)
+    for row in df.mapInArrow(fill, schema).repartition("chunk").mapInArrow(add, schema).toLocalIterator():
+        out[row.chunk] = unpack(row.held)
     return out.reshape(-1)
+
+
+def count_cells(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
+    """Rows by the first ``bits`` bits of their hashes (``hashes`` gives 64-bit arrays for a batch)."""
+    return add_up(df, hashes, bits, False)
+
+
+class Bitmap:
+    """Cells of a column of 64-bit numbers; sized by their number, up to 2**MOST_BITS cells."""
+
+    def __init__(self, df: DataFrame, column: str):
+        n = df.count()
+        self.bits = int(np.clip(np.ceil(np.log2(max(1, n) * ROOM)), 12, MOST_BITS))
+
+        def hashes(batch):
+            yield mix(batch.column(0).to_numpy().view(np.uint64))
+
+        self.table = df.sparkSession.sparkContext.broadcast(np.packbits(add_up(df.select(column), hashes, self.bits, True)))
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        cell = cell_of(mix(numbers), self.bits)
+        return ((self.table.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose long ``column`` may be among the first column of ``ids``: all that are, few others."""
+    held = Bitmap(ids, ids.columns[0])
+
+    def keep(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(held.has(batch.column(column).to_numpy().view(np.uint64))))
+
+    return df.filter(F.col(column).isNotNull()).mapInArrow(keep, df.schema)

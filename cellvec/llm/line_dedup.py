@@ -15,25 +15,26 @@ are one class from the first shuffle on. Extra columns are ignored; empty table:
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .cells import cell_of, count_cells
+from .cells import Bitmap, cell_of, only
 from .linking import link_buckets
 from .scratch import Scratch
-from .texthash import BASE, BASE_INVERSE, PLACES, blocks, flat, lists, mix, powers, signed
+from .texthash import BASE, BASE_INVERSE, PLACES, blocks, flat, lists, mix, overlap, powers, signed
 
 SHINGLE = 8
 BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
 ALIKE = 80
-WANTED_BITS = 22
 SIGNS = 8
 BLOCK = 1 << 20
+#: Hashes of lines that a task remembers, so as not to work on equal lines again.
+SEEN = 1 << 18
 NONE = np.uint64(2**64 - 1)
 
 
@@ -67,15 +68,12 @@ class Lines:
 
     def signatures(self, some: np.ndarray) -> np.ndarray:
         """BINS values for each of the lines ``some``, none of them blank."""
-        h, width = self.code, 1
-        while width < SHINGLE:
-            h = h[: len(h) - width] * PLACES[width] + h[width:] if len(h) > width else h[:0]
-            width *= 2
+        h = self.runs()
         length = self.stop[some] - self.start[some]
         n = np.maximum(length - SHINGLE + 1, 0)
         line = np.repeat(np.arange(len(some)), n)
         ends = np.cumsum(n)
-        value = mix(h[np.repeat(self.start[some] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
+        value = h[np.repeat(self.start[some] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         out = np.full(len(some) * BINS, NONE, dtype=np.uint64)
         np.minimum.at(out, line * BINS + self.bin(value), value)
         short = np.flatnonzero(n == 0)
@@ -83,6 +81,28 @@ class Lines:
         out[short * BINS + self.bin(value)] = value
         return fill_empty(out.reshape(-1, BINS))
 
+    def sets(self, some: np.ndarray) -> list[np.ndarray]:
+        """Sorted distinct hashes of the runs of SHINGLE characters of the lines ``some``."""
+        h = self.runs()
+        out = []
+        for i in some.tolist():
+            a, b = self.start[i], self.stop[i]
+            s = np.sort(h[a : b - SHINGLE + 1]) if b - a >= SHINGLE else self.d1[i : i + 1]
+            out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+        return out
+
+    def whole_sets(self) -> list[np.ndarray]:
+        """``sets`` of texts that are one line each."""
+        return self.sets(np.arange(len(self.start)))
+
+    def runs(self) -> np.ndarray:
+        """A hash of the SHINGLE characters from each character on."""
+        h, width = self.code, 1
+        while width < SHINGLE:
+            h = h[: len(h) - width] * PLACES[width] + h[width:] if len(h) > width else h[:0]
+            width *= 2
+        return mix(h)
+
     @staticmethod
     def bin(value: np.ndarray) -> np.ndarray:
         return (((value >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
@@ -111,20 +131,30 @@ def band_keys(grid: np.ndarray) -> np.ndarray:
     return (mix((parts * PLACES[:ROWS]).sum(axis=2, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def unseen(hashes: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Places of the first of each hash that is not in ``seen``, which takes them in; it starts anew when full."""
+    values, first = np.unique(hashes, return_index=True)
+    fresh = [i for h, i in zip(values.tolist(), first.tolist(), strict=True) if h not in seen]
+    if len(seen) > SEEN:
+        seen.clear()
+    seen.update(hashes[fresh].tolist())
+    return np.array(fresh, dtype=np.int64)
+
+
 def line_index(docs: DataFrame) -> DataFrame:
-    """Every non-blank line: (doc_id, document, line, d1, d2), and the band keys of one of a block's equal lines."""
+    """Every non-blank line: (doc_id, document, line, d1, d2), and the band keys of the first of a task's equal lines."""
 
     def index(batches):
+        seen: set[int] = set()
         for batch in batches:
             for block in blocks(batch, "text", BLOCK):
                 x = Lines(block.column("text"))
                 full = np.flatnonzero(~x.blank)
                 if not len(full):
                     continue
-                _, once = np.unique(x.d1[full], return_index=True)
-                keys = band_keys(x.signatures(full[once]))
+                once = unseen(x.d1[full], seen)
                 bands = [np.zeros(0, np.int32)] * len(full)
-                for i, k in zip(once.tolist(), keys, strict=True):
+                for i, k in zip(once.tolist(), band_keys(x.signatures(full[once])), strict=True):
                     bands[i] = k
                 text = pa.array(x.text[full])
                 own = [block.column(c).take(text) for c in ("doc_id", "document")]
@@ -133,63 +163,46 @@ def line_index(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(index, "doc_id long, document long, line int, d1 long, d2 long, bands array<int>")
 
 
-def line_texts(spark: SparkSession, docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    table = spark.sparkContext.broadcast(np.packbits(wanted > 0))
-    bits = int(np.log2(len(wanted)))
+def line_sets(docs: DataFrame, wanted: Bitmap) -> DataFrame:
+    """(d1, d2, n, s0 .., string) of the lines that the bitmap has, once a task: the size of a line's set, the
+    parities of its hashes' counts in 64 * SIGNS cells, and its text."""
 
     def fetch(batches):
+        seen: set[int] = set()
         for batch in batches:
             for block in blocks(batch, "text", BLOCK):
                 x = Lines(block.column("text"))
-                cell = cell_of(mix(x.d1), bits)
-                hit = np.flatnonzero((table.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 & ~x.blank)
-                _, once = np.unique(x.d1[hit], return_index=True)
-                hit = hit[once]
+                hit = np.flatnonzero(wanted.has(x.d1) & ~x.blank)
+                hit = hit[unseen(x.d1[hit], seen)]
                 if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(x.d1[hit])), pa.array(signed(x.d2[hit])), pa.array([x.string(i) for i in hit])], names=["d1", "d2", "string"])
+                    sets = x.sets(hit)
+                    n = np.array([len(s) for s in sets])
+                    cell = cell_of(np.concatenate(sets), 6 + int(np.log2(SIGNS))) + np.repeat(np.arange(len(hit)), n) * 64 * SIGNS
+                    odd = np.packbits((np.bincount(cell, minlength=64 * SIGNS * len(hit)) & 1).astype(np.uint8).reshape(len(hit), -1), axis=1).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(x.d1[hit])), pa.array(signed(x.d2[hit])), pa.array(n, pa.int32()), *(pa.array(odd[:, k]) for k in range(SIGNS)), pa.array([x.string(i) for i in hit])], names=["d1", "d2", "n", *(f"s{k}" for k in range(SIGNS)), "string"])
 
-    return docs.select("text").mapInArrow(fetch, "d1 long, d2 long, string string")
-
-
-def line_set(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+    return docs.select("text").mapInArrow(fetch, "d1 long, d2 long, n int" + "".join(f", s{k} long" for k in range(SIGNS)) + ", string string")
 
 
 def alike_lines(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, x, y) whose lines' sets have 100 * overlap >= ALIKE * union."""
+    """Pairs (a, b) of (a, b, x, y) whose lines' sets have 100 * overlap >= ALIKE * union."""
 
     def compare(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = line_set(x), line_set(y)
-                common = len(p & q)
-                keep.append(100 * common >= ALIKE * (len(p) + len(q) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in (c for a in batches for b in blocks(a, "y", BLOCK) for c in blocks(b, "x", BLOCK)):
+            if batch.num_rows:
+                column = batch.column("x").dictionary_encode()  # a hub's line comes with all its pairs
+                own = Lines(column.dictionary).whole_sets()
+                x, y = (own[i] for i in column.indices.to_pylist()), Lines(batch.column("y")).whole_sets()
+                sizes = [(len(p), len(q), overlap(p, q)) for p, q in zip(x, y, strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array([100 * c >= ALIKE * (p + q - c) for p, q, c in sizes], pa.bool_()))
 
     return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def line_signs(strings: DataFrame) -> DataFrame:
-    """(id, n, s0 ..): size of a line's set, and parities of its shingles' counts in 64 * SIGNS cells."""
-
-    def sign(batches):
-        for batch in batches:
-            n, bits = [], np.zeros((batch.num_rows, 64 * SIGNS), dtype=np.uint8)
-            for i, line in enumerate(batch.column("string").to_pylist()):
-                own = line_set(line)
-                n.append(len(own))
-                bits[i] = np.bincount([zlib.crc32(x.encode()) % (64 * SIGNS) for x in own], minlength=64 * SIGNS) & 1
-            packed = np.packbits(bits, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), *(pa.array(packed[:, k]) for k in range(SIGNS))], names=["id", "n", *(f"s{k}" for k in range(SIGNS))])
-
-    return strings.mapInArrow(sign, "id long, n int" + "".join(f", s{k} long" for k in range(SIGNS)))
-
-
-def may_be_alike(x: str, y: str) -> str:
+def may_be_alike(x, y):
     """Each cell of odd count in one set and even in the other holds a shingle of one set only."""
-    apart = " + ".join(f"bit_count({x}.s{k} ^ {y}.s{k})" for k in range(SIGNS))
-    return f"{100 + ALIKE} * ({apart}) <= {100 - ALIKE} * ({x}.n + {y}.n)"
+    apart = sum((F.bit_count(x(f"s{k}").bitwiseXOR(y(f"s{k}"))) for k in range(SIGNS)), F.lit(0))
+    return F.lit(100 + ALIKE) * apart <= F.lit(100 - ALIKE) * (x("n") + y("n"))
 
 
 def link_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -202,23 +215,22 @@ def link_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     classes = index.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max("bands").alias("bands"))
     classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("id", F.posexplode("bands").alias("band", "key")).select(F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("bucket"), "id")
-    narrow = classes.select("id", "d1", "d2")
-
-    def strings(ids):
-        need = scratch.keep(narrow.join(ids, "id", "left_semi"), "need")
+    held: list[DataFrame] = []
 
-        def hashes(batch):
-            yield mix(batch.column(0).to_numpy().view(np.uint64))
-
-        texts = line_texts(spark, docs, count_cells(need.select("d1"), hashes, WANTED_BITS))
-        return scratch.keep(need.join(texts.groupBy("d1", "d2").agg(F.min("string").alias("string")), ["d1", "d2"]).select("id", "string"), "strings")
+    def narrow(ids):
+        need = scratch.keep(classes.select("id", "d1", "d2").join(ids, "id", "left_semi").select("d1", "d2", "id"), "need")
+        sets = need.join(line_sets(docs, Bitmap(need, "d1")), ["d1", "d2"])
+        columns = ["id", "n", *(f"s{k}" for k in range(SIGNS)), "string"]
+        sets = scratch.keep(sets.groupBy("d1", "d2").agg(*(F.first(c).alias(c) for c in columns)).select(*columns), "sets")
+        held.append(sets.select("id", "string"))
+        return sets.drop("string")
 
     def verify(pairs):
-        texts = strings(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        texts = only(held[0], "id", pairs.select(F.explode(F.array("a", "b")).alias("id")))
         x, y = texts.select(F.col("id").alias("a"), F.col("string").alias("x")), texts.select(F.col("id").alias("b"), F.col("string").alias("y"))
-        return alike_lines(pairs.join(x, "a").join(y, "b"))
+        return alike_lines(pairs.join(y, "b").join(x, "a"))
 
-    label = link_buckets(spark, scratch, buckets, verify, admit_sql=may_be_alike, late=lambda ids: scratch.keep(line_signs(strings(ids)), "signs"))
+    label = link_buckets(spark, scratch, buckets, narrow, may_be_alike, verify)
     named = classes.select("id", "d1", "d2", "first").join(label, "id", "left")
     groups = named.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     named = named.join(groups, "component", "left").select("d1", "d2", F.coalesce("least", "first").alias("least"))
@@ -227,16 +239,21 @@ def link_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "document", "line", F.col("least.doc_id").alias("first_doc_id"), F.col("least.document").alias("first_document"), F.col("least.line").alias("first_line"), kept.alias("kept"))
 
 
+@F.pandas_udf(StringType())
+def without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """Each text without the lines of the numbers ``gone``; null stays null."""
+    return pd.Series([None if t is None else "\n".join(np.delete(np.array(t.split("\n"), dtype=object), g)) for t, g in zip(text, gone, strict=True)], dtype=object)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that are not kept. Documents that had a line and have none left go;
     texts without such lines stay as they are. A column n_chars follows the text."""
-    gone = link_lines(spark, docs).filter("not kept").groupBy("doc_id", "document").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-    left, right = docs.withColumn("_document", F.xxhash64(F.col("text").cast("string"))).alias("l"), gone.alias("r")
-    joined = left.join(right, F.col("l.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.col("l._document") == F.col("r.document")), "left")
-    lines = F.split(F.col("l.text"), "\n", -1)
-    text = F.when(F.col("r.gone").isNull(), F.col("l.text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("r.gone"), i)), "\n"))
-    out = joined.select(*(F.col(f"l.`{c}`") for c in docs.columns), text.alias("_new"), F.col("r.gone").isNotNull().alias("_cut"))
-    out = out.filter("not _cut or trim(both ' \t\r\n' from _new) != ''").withColumn("text", F.col("_new"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    gone = link_lines(spark, docs).filter("not kept").groupBy("doc_id", "document").agg(F.collect_set("line").alias("gone"))
+    row = F.col("row")
+    text = row.getField("text").cast("string")
+    keyed = docs.select(F.struct("*").alias("row")).withColumns({"own_id": row.getField("doc_id").cast("long"), "own_text": F.xxhash64(text)})
+    x = keyed.join(gone, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_text") == F.col("document")), "left")
+    x = x.select("row", F.col("gone").isNotNull().alias("cut"), without_lines(F.when(F.col("gone").isNotNull(), text), "gone").alias("new"))
+    x = x.filter("not cut or trim(both ' \t\r\n\u000b\f' from new) != ''")
+    changed = {"text": F.col("new"), "n_chars": F.char_length("new").cast("long")}
+    return x.select(*(F.when(F.col("cut"), changed[c]).otherwise(row.getField(c)).alias(c) if c in changed else row.getField(c).alias(c) for c in docs.columns))

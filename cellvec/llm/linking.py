@@ -1,201 +1,168 @@
 """From buckets of candidates to connected components, without listing all pairs of a bucket.
 
 Rows (bucket, id) say that ids of a bucket may be alike. ``link_buckets`` compares every id of a
-bucket with one of them, its hub, and joins what is alike. Pairs whose two ends are by then in
-one component need no look: no further link could change a component. What is left, rows of a
-bucket in different components, is compared pair by pair in small buckets, in large ones through
-rounds with more hubs and then pair by pair. No pair is compared twice.
+bucket with its hub, the least id there, and joins what is alike. Pairs whose two ends are by then
+in one component need no look: no further link could change a component. What is left, rows of
+buckets that still hold several components, is compared pair by pair in small buckets, in large
+ones through rounds with more hubs and then pair by pair, in blocks. No pair is compared twice.
 So every link between components is found, while a bucket of near copies costs its size, not its
-square. Hubs are the least ids by a hash that is the same in all buckets, so the buckets of a
-group of copies share their hub and a pair is seen once.
+square. Ids are dealt by hash, so the least id is a random one, and the buckets of a group of copies
+share their hub.
 
-Buckets that hold many rows are found by counts over all rows (cells), salted, and their parts'
-hubs compared with one another.
+A bucket is hot if it holds more than HOT_ROWS rows and more than a 2**-14 part of all (so at most
+2**14 are). Hot buckets are found in the rows of every SAMPLE-th id by hash, which decides on tasks
+only, never on results; they are salted, and the hubs of their parts compared with one another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cells import count_cells
 from .scratch import Scratch
-from .texthash import mix
 
-#: Rows of one cell beyond which its buckets are salted, and the bits of a cell.
-HOT_ROWS = 20_000
-CELL_BITS = 14
+HOT_ROWS = 4_000
+HOT_BITS = 14
+SAMPLE = 32
 #: Buckets up to this size are compared pair by pair once their first hub is done; others by as many hubs a round.
 SMALL, HUBS = 16, 8
+#: Rows of a block of the last comparison.
+BLOCK_ROWS = 1_024
 
-Admit = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
+#: A predicate on two rows, each given as a function from names to columns.
+Admit = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def spread(bucket: np.ndarray) -> np.ndarray:
-    return mix(bucket.view(np.uint64))
+def components(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """(id, component) of every id with a link (a, b); component is some id of the component.
 
-
-def components(spark: SparkSession, scratch: Scratch, links: DataFrame) -> DataFrame:
-    """(id, component): the least id that links (a, b) reach, for every id with a link.
-
-    Each round takes the least component of the neighbours and then jumps to that component's
-    own; the rounds grow with the logarithm of the longest chain. Both joins are plain, so
-    adaptive execution splits a vertex of very many links; the minimum is taken before the shuffle.
+    Contraction: each vertex goes to the least of itself and its neighbours, links then join these,
+    until none is left. In odd rounds the least id counts (so stars collapse at once), in even ones the
+    least hash (so chains of rising ids shrink by a constant factor). The minimum is taken before the
+    shuffle, and both joins are plain, so adaptive execution splits a vertex of very many links.
     """
-    edges = scratch.keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    now = scratch.keep(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
+    edges = scratch.keep(links.select("a", "b").distinct(), "edges")
+    steps: list[DataFrame] = []
     while True:
-        near = edges.join(now.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        better = now.join(near, "id").select("id", "component", F.least("component", "near").alias("least"))
-        better = scratch.keep(better, "near")
-        jump = better.select(F.col("id").alias("least"), F.col("least").alias("further"))
-        new = scratch.keep(better.join(jump, "least", "left").select("id", F.coalesce("further", "least").alias("component"), (F.coalesce("further", "least") != F.col("component")).alias("moved")), "labels")
-        scratch.drop(now, better)
-        moved = new.filter("moved").limit(1).count()
-        now = new.drop("moved")
-        now._scratch_path = new._scratch_path
-        if not moved:
-            scratch.drop(edges)
-            return now
-
-
-def with_hubs(rows: DataFrame, attrs: Sequence[str], admit: Admit | None, seed: int, salted: bool) -> DataFrame:
-    """Rows (bucket, salt, salts, id, attrs) with the hub of their (bucket, salt); lone rows go.
-
-    One shuffle and one sort by bucket; the hub is the first row and the rest is streamed. Pairs
-    with the hub that ``admit`` refuses are marked.
-    """
-    columns = ["bucket", "salt", "id", *attrs]
-    names = [*columns, "salts", "hub", "ok"]
-    kinds = "bucket long, salt int, id long, " + "".join(f"{a} int, " for a in attrs) + "salts int, hub long, ok boolean"
-
-    def stream(batches):
-        hub: dict | None = None  # the last group's first row, held back until a second one is seen
-        shown = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = {k: batch.column(k).to_numpy() for k in [*columns, "salts"]}
-            if hub is not None and not shown:
-                c = {k: np.concatenate((np.array([hub[k]], dtype=v.dtype), v)) for k, v in c.items()}
-            new = np.empty(len(c["id"]), dtype=bool)
-            new[1:] = (c["bucket"][1:] != c["bucket"][:-1]) | (c["salt"][1:] != c["salt"][:-1])
-            new[0] = hub is None or not shown or c["bucket"][0] != hub["bucket"] or c["salt"][0] != hub["salt"]
-            old = hub
-            place = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-            h = {k: v[np.maximum(place, 0)] for k, v in c.items()}
-            carried = place < 0
-            if carried.any():
-                h = {k: np.where(carried, old[k], v).astype(v.dtype) for k, v in h.items()}
-            alone = new & np.append(new[1:], True) & (c["salts"] == 1)
-            last = len(new) - 1
-            hub = {k: v[last] for k, v in h.items()}
-            shown = not (new[last] and alone[last])
-            keep = ~alone
-            ok = c["id"] != h["id"]
-            if admit is not None:
-                ok &= admit({a: c[a] for a in attrs}, {a: h[a] for a in attrs})
-            if keep.any():
-                out = [*(pa.array(c[k][keep]) for k in columns), pa.array(c["salts"][keep]), pa.array(h["id"][keep]), pa.array(ok[keep])]
-                yield pa.RecordBatch.from_arrays(out, names=names)
-
-    first = F.xxhash64("id", F.lit(seed))
-    return rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", first, "id").select(*columns, "salts").mapInArrow(stream, kinds)
+        mark = lambda c: F.struct((F.xxhash64(c, F.lit(len(steps))) if len(steps) % 2 else F.lit(0).cast("long")).alias("h"), F.col(c).alias("id"))
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = both.groupBy("a").agg(F.min(mark("b")).alias("near")).select(F.col("a").alias("id"), F.least("near", mark("a"))["id"].alias("root"))
+        step = scratch.keep(step, "step")
+        p, q = (step.select(F.col("id").alias(s), F.col("root").alias(f"r{s}")) for s in "ab")
+        left = scratch.keep(edges.join(p, "a").join(q, "b").filter("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        scratch.drop(edges)
+        steps.append(step)
+        edges = left
+        if edges.isEmpty():
+            break
+    label = steps[-1]
+    for step in reversed(steps[:-1]):
+        on = label.select(F.col("id").alias("root"), F.col("root").alias("further"))
+        label = step.join(on, "root", "left").select("id", F.coalesce("further", "root").alias("root"))
+    if len(steps) == 1:
+        return label.withColumnRenamed("root", "component")
+    out = scratch.keep(label.withColumnRenamed("root", "component"), "label")
+    scratch.drop(edges, *steps)
+    return out
 
 
 def salt_hot(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, bool]:
-    """Columns salt and salts; more than one salt where all rows of a cell pass HOT_ROWS."""
-
-    def hashes(batch):
-        yield spread(batch.column(0).to_numpy())
-
-    counts = count_cells(rows.select("bucket"), hashes, CELL_BITS)
-    mean = counts.sum() / len(counts)
-    hot = np.flatnonzero(counts > 4 * mean + HOT_ROWS)
-    if not len(hot):
-        return rows.withColumns({"salt": F.lit(0), "salts": F.lit(1)}), False
-
-    @F.pandas_udf("int")
-    def cell(bucket):
-        import pandas as pd
-
-        return pd.Series((spread(bucket.to_numpy()) >> np.uint64(64 - CELL_BITS)).astype(np.int32))
-
-    table = spark.createDataFrame([(int(c), int(counts[c] // HOT_ROWS) + 1) for c in hot], "cell int, n int")  # at most 2**CELL_BITS rows
-    x = rows.withColumn("cell", cell("bucket")).join(F.broadcast(table), "cell", "left").drop("cell")
-    return x.withColumns({"salts": F.coalesce("n", F.lit(1)), "salt": F.pmod(F.xxhash64("id", F.lit(99)), F.coalesce("n", F.lit(1))).cast("int")}).drop("n"), True
-
-
-def pairs_of(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def all_pairs(rows: DataFrame, admit_sql: Callable[[str, str], str] | None) -> DataFrame:
-    """Pairs of a bucket in different components."""
-    x, y = rows.alias("x"), rows.alias("y")
-    out = x.join(y, F.col("x.bucket") == F.col("y.bucket")).filter("x.id < y.id and x.component != y.component")
-    out = out.filter(admit_sql("x", "y")) if admit_sql else out
+    """Columns salt and salts of rows whose bucket is hot, and whether there are any."""
+    some = rows.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SAMPLE)) == 0).groupBy("bucket").count()
+    found = some.agg(F.sum("count").alias("n")).first().n or 0
+    least = max(HOT_ROWS // SAMPLE, found >> HOT_BITS)
+    hot = some.filter(F.col("count") > least).select("bucket", F.expr(f"cast(count div {max(1, least)} + 1 as int)").alias("salts")).collect()
+    if not hot:
+        return rows, False
+    table = spark.createDataFrame([(r.bucket, r.salts) for r in hot], "bucket long, salts int")  # at most 2**HOT_BITS rows
+    x = rows.join(F.broadcast(table), "bucket", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    return x.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(99)), F.col("salts")).cast("int")), True
+
+
+def with_hubs(rows: DataFrame, attrs: Sequence[str], admit: Admit | None, salted: bool) -> DataFrame:
+    """Rows (bucket, id, attrs) with the hub of their bucket (and salt), ok where the pair with it may be
+    alike, and salts; lone rows go. One shuffle and one sort; a bucket's rows spill, if they are many."""
+    at = Window.partitionBy("bucket", *(["salt"] if salted else [])).orderBy("id")
+    own = F.struct("id", *attrs)
+    x = rows.withColumns({"h": F.first(own).over(at.rowsBetween(Window.unboundedPreceding, 0)), "p": F.lag("id").over(at), "q": F.lead("id").over(at)})
+    x = x.filter("p is not null or q is not null" + (" or salts > 1" if salted else ""))
+    ok = F.col("id") != F.col("h.id")
+    if admit is not None:
+        ok &= admit(F.col, lambda c: F.col(f"h.{c}"))
+    return x.select("bucket", "id", *attrs, F.col("h.id").alias("hub"), ok.alias("ok"), *(["salts"] if salted else []))
+
+
+def side(alias: str) -> Callable[[str], Column]:
+    return lambda c: F.col(f"{alias}.{c}")
+
+
+def all_pairs(rows: DataFrame, admit: Admit | None) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components, block by block: a block holds about BLOCK_ROWS rows
+    of a bucket (held), and a row is copied once for each block of its bucket."""
+    blocks = F.expr(f"held div {BLOCK_ROWS} + 1")
+    x = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    u, v = x.alias("x"), x.alias("y")
+    out = u.join(v, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))).filter("x.id < y.id and x.component != y.component")
+    out = out.filter(admit(side("x"), side("y"))) if admit is not None else out
     return out.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def hub_pairs(scratch: Scratch, rows: DataFrame, attrs: Sequence[str], admit_sql: Callable[[str, str], str] | None, seed: int) -> DataFrame:
-    """Pairs of HUBS ids of each bucket with its ids of other components."""
-    own = F.struct("id", "component", *attrs)
+def hub_pairs(scratch: Scratch, rows: DataFrame, columns: Sequence[str], admit: Admit | None, seed: int) -> DataFrame:
+    """Pairs (a, b) of HUBS ids of each bucket with its ids of other components."""
+    own = F.struct("id", "component", *columns)
     best = rows.groupBy("bucket").agg(*(F.min(F.struct(F.xxhash64("id", F.lit(HUBS * seed + k)).alias("first"), own.alias("row"))).alias(f"h{k}") for k in range(HUBS)))
     hubs = best.select("bucket", F.explode(F.array_distinct(F.array(*(f"h{k}.row" for k in range(HUBS))))).alias("row")).select("bucket", "row.*")
     x, y = rows.alias("x"), scratch.keep(hubs, "hubs").alias("y")
     out = x.join(y, F.col("x.bucket") == F.col("y.bucket")).filter("x.component != y.component")
-    out = out.filter(admit_sql("x", "y")) if admit_sql else out
-    return out.select(*pairs_of("x.id", "y.id"))
+    out = out.filter(admit(side("x"), side("y"))) if admit is not None else out
+    return out.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
-def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], attrs: Sequence[str] = (), admit: Admit | None = None, admit_sql: Callable[[str, str], str] | None = None, rounds: int = 2, late: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(id, component) of every id with a link; ``buckets``: (bucket long, id long, attrs int).
+def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, narrow: Callable[[DataFrame], DataFrame], close: Admit, verify: Callable[[DataFrame], DataFrame], attrs: Sequence[str] = (), admit: Admit | None = None, rounds: int = 2) -> DataFrame:
+    """(id, component) of every id with a link; ``buckets``: (bucket long, id long, attrs), an id once a bucket.
 
-    verify(pairs (a, b) with a < b, each once) returns those that are alike. admit (for arrays)
-    and admit_sql (for two aliases) may refuse a pair in a bucket by its attrs. They must be sound.
-    admit_sql may also use the columns that late(ids) adds to ids; rows get them after the first round.
+    verify(pairs (a, b) with a < b, each once) returns those that are alike. admit may refuse a pair of a
+    bucket by its attrs, close a pair by the columns that narrow(ids) gives to ids (once, for all ids that
+    share a bucket). Both must be sound: never refuse a pair that verify would return.
     """
     rows, salted = salt_hot(spark, buckets)
-    live = scratch.keep(with_hubs(rows, attrs, admit, 0, salted), "live")
-    pairs = live.filter("ok").select(*pairs_of("id", "hub"))
+    live = scratch.keep(with_hubs(rows, attrs, admit, salted), "live")
+    held = narrow(live.select("id").distinct())
+    columns = [c for c in held.columns if c != "id"]
+    pairs = live.filter("ok").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     if salted:
         hubs = live.filter("salts > 1").select("bucket", "hub").distinct()
         top = hubs.groupBy("bucket").agg(F.min("hub").alias("top"))
-        pairs = pairs.union(hubs.join(top, "bucket").filter("hub != top").select(*pairs_of("hub", "top")))
-    tried = scratch.keep(pairs.distinct(), "tried")
-    links = scratch.keep(verify(tried), "links")
-    label = components(spark, scratch, links)
-    rest = live.select("bucket", "id", *attrs)
-    rest._scratch_path = live._scratch_path
+        pairs = pairs.union(hubs.join(top, "bucket").filter("hub != top").select("top", "hub"))
+    p, q = (held.select(*(F.col(c).alias(s if c == "id" else f"{s}_{c}") for c in held.columns)) for s in "ab")
+    near = pairs.distinct().join(p, "a").join(q, "b").filter(close(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")))
+    tried = scratch.keep(near.select("a", "b"), "tried")
+    label = components(scratch, scratch.keep(verify(tried), "links"))
+    both = close if admit is None else lambda x, y: admit(x, y) & close(x, y)
+    named = live.join(label, "id", "left").select("bucket", "id", *attrs, F.coalesce("component", "id").alias("component"))
+    spent = live
     for k in range(1, rounds + 2):
-        if k == 1 and late is not None:
-            more = late(rest.select("id").distinct())
-            rest = rest.join(more, "id")
-            rest._scratch_path = live._scratch_path
-            attrs = [*attrs, *(c for c in more.columns if c != "id")]
-        named = rest.join(label.withColumnRenamed("component", "named"), "id", "left").select("bucket", "id", F.coalesce("named", "id").alias("component"), *attrs)
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).filter("low < high").select("bucket", "held")
-        left = scratch.keep(named.join(mixed, "bucket"), "rest")
-        scratch.drop(rest)
-        rest = left
+        rest = scratch.keep(named.join(mixed, "bucket"), "rest")
+        scratch.drop(spent)
+        spent = rest
+        full = rest.join(held, "id")
         if k <= rounds:
-            new = all_pairs(rest.filter(f"held <= {SMALL}"), admit_sql)
-            rest = rest.filter(f"held > {SMALL}")
-            rest._scratch_path = left._scratch_path
-            new = new.union(hub_pairs(scratch, rest, attrs, admit_sql, k))
+            new = all_pairs(full.filter(f"held <= {SMALL}"), both).union(hub_pairs(scratch, full.filter(f"held > {SMALL}"), [*attrs, *columns], both, k))
         else:
-            new = all_pairs(rest, admit_sql)
+            new = all_pairs(full, both)
         new = scratch.keep(new.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        if new.limit(1).count():
-            more = scratch.keep(verify(new), "links")
-            tried, links = tried.union(new), links.union(more)
-            if more.limit(1).count():
-                label = components(spark, scratch, links)
-        if not rest.limit(1).count():
+        tried = tried.union(new)
+        links = verify(new)
+        p, q = (label.select(F.col("id").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
+        between = links.join(p, "a", "left").join(q, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = components(scratch, between).select(F.col("id").alias("component"), F.col("component").alias("new"))
+        told = label.join(joined, "component", "left").select("id", F.coalesce("new", "component").alias("component"))
+        label = scratch.keep(told.union(joined.join(label, joined["component"] == label["id"], "left_anti").select("component", "new")), "label")
+        large = rest.filter(f"held > {SMALL}") if k <= rounds else rest.limit(0)
+        if large.isEmpty():
             break
+        named = large.join(joined, "component", "left").select("bucket", "id", *attrs, F.coalesce("new", "component").alias("component"))
     return label

@@ -25,17 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cells import cell_of, count_cells
+from .cells import Bitmap, cell_of, count_cells
 from .linking import link_buckets
 from .scratch import Scratch
-from .texthash import blocks, flat, lists, mix, sequence_digests, shingles, signed, words
+from .texthash import blocks, flat, lists, overlap, sequence_digests, shingles, signed, words
 
 WIDTH = 5
 #: Similarity in percent.
 ALIKE = 80
 ORDER_BITS = 22
-#: Bits of the bitmap that leaves out texts which no candidate needs.
-WANTED_BITS = 22
 #: Parities of a set's counts in hash ranges, as 64-bit numbers.
 SIGNS = 8
 
@@ -79,17 +77,14 @@ def prefixes(spark: SparkSession, docs: DataFrame, counts: np.ndarray, width: in
     return docs.mapInArrow(index, kinds + "doc_id long, d1 long, d2 long, n int, prefix array<long>, signs array<long>")
 
 
-def wanted_texts(spark: SparkSession, docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+def wanted_texts(docs: DataFrame, wanted: Bitmap) -> DataFrame:
     """(d1, d2, text) of the texts whose d1 the bitmap has; a text may come more than once."""
-    table = spark.sparkContext.broadcast(np.packbits(wanted > 0))
-    bits = int(np.log2(len(wanted)))
 
     def fetch(batches):
         for batch in batches:
             for block in blocks(batch, "text"):
                 d1, d2 = sequence_digests(*words(*flat(block.column("text"))))
-                cell = cell_of(mix(d1), bits)
-                keep = np.flatnonzero((table.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1)
+                keep = np.flatnonzero(wanted.has(d1))
                 _, once = np.unique(d1[keep], return_index=True)
                 keep = keep[once]
                 if len(keep):
@@ -102,12 +97,15 @@ def alike_texts(pairs: DataFrame, width: int, alike: int) -> DataFrame:
     """Pairs (a, b) of (a, b, x, y) whose texts' sets have 100 * overlap >= alike * union."""
 
     def compare(batches):
-        for batch in batches:
-            for part in blocks(batch, "x"):
-                x, y = (shingles(*words(*flat(part.column(c))), width) for c in "xy")
-                common = [(len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))) for p, q in zip(x, y, strict=True)]
-                keep = [(100 + alike) * c >= alike * (p + q) for p, q, c in common]
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        last, own = None, None  # a hub's text comes with all its pairs, one after the other
+        for batch in (c for a in batches for b in blocks(a, "y") for c in blocks(b, "x")):
+            keep = []
+            for a, x, q in zip(batch.column("a").to_pylist(), batch.column("x"), shingles(*words(*flat(batch.column("y"))), width), strict=True):
+                if a != last:
+                    last, own = a, next(shingles(*words(*flat(pa.array([x.as_py()]))), width))
+                common = overlap(own, q)
+                keep.append((100 + alike) * common >= alike * (len(own) + len(q)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
@@ -125,39 +123,32 @@ def link_rows(spark: SparkSession, docs: DataFrame, width: int = WIDTH, alike: i
     index = scratch.keep(prefixes(spark, docs, shingle_counts(docs.select("doc_id", "text"), width, ORDER_BITS), width, alike, keep), "index")
     classes = index.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signs").alias("signs"))
     classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    buckets = classes.select("id", "n", F.posexplode("prefix").alias("at", "bucket"))
+    buckets = classes.select("id", F.col("n").alias("size"), F.posexplode("prefix").alias("at", "bucket")).select("bucket", "id", "size", "at")
 
     def admit(x, y):
-        both = x["n"].astype(np.int64) + y["n"]
-        most = np.minimum(x["at"], y["at"]) + np.minimum(x["n"] - x["at"], y["n"] - y["at"]).astype(np.int64)
-        least, large = np.minimum(x["n"], y["n"]).astype(np.int64), np.maximum(x["n"], y["n"]).astype(np.int64)
-        return (100 * least >= alike * large) & ((100 + alike) * most >= alike * both)
+        least, most = F.least(x("size"), y("size")), F.greatest(x("size"), y("size"))
+        common = F.least(x("at"), y("at")) + F.least(x("size") - x("at"), y("size") - y("at"))
+        return (100 * least >= alike * most) & ((100 + alike) * common >= alike * (least + most))
 
-    def admit_sql(x, y):
-        apart = " + ".join(f"bit_count({x}.s{k} ^ {y}.s{k})" for k in range(SIGNS))
-        most = f"(least({x}.at, {y}.at) + least({x}.n - {x}.at, {y}.n - {y}.at))"
-        return f"100 * least({x}.n, {y}.n) >= {alike} * greatest({x}.n, {y}.n) and {100 + alike} * {most} >= {alike} * ({x}.n + {y}.n) and {100 + alike} * ({apart}) <= {100 - alike} * ({x}.n + {y}.n)"
+    def close(x, y):
+        apart = sum((F.bit_count(x(f"s{k}").bitwiseXOR(y(f"s{k}"))) for k in range(SIGNS)), F.lit(0))
+        return F.lit(100 + alike) * apart <= F.lit(100 - alike) * (x("n") + y("n"))
 
-    late = classes.select("id", *(F.get("signs", F.lit(k)).alias(f"s{k}") for k in range(SIGNS)))
-    narrow = classes.select("id", "d1", "d2", "n", *(F.get("signs", F.lit(k)).alias(f"s{k}") for k in range(SIGNS)))
+    def narrow(ids):
+        signs = classes.select("id", "n", *(F.get("signs", F.lit(k)).alias(f"s{k}") for k in range(SIGNS)))
+        return scratch.keep(signs.join(ids, "id", "left_semi"), "signs")
 
     def verify(pairs):
-        a, b = (narrow.select(*(F.col(c).alias(s if c == "id" else f"{c}_{s}") for c in narrow.columns)) for s in "ab")
-        apart = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SIGNS)), F.lit(0))
-        left = pairs.join(a, "a").join(b, "b").filter(F.lit(100 + alike) * apart <= F.lit(100 - alike) * (F.col("n_a") + F.col("n_b")))
-        left = scratch.keep(left.select("a", "b", "d1_a", "d2_a", "d1_b", "d2_b"), "pairs")
-
-        def hashes(batch):
-            yield mix(batch.column(0).to_numpy().view(np.uint64))
-
-        wanted = count_cells(left.select(F.explode(F.array("d1_a", "d1_b"))), hashes, WANTED_BITS)
-        texts = wanted_texts(spark, docs, wanted)
-        need = left.select(F.explode(F.array(F.struct(F.col("d1_a").alias("d1"), F.col("d2_a").alias("d2"), F.col("a").alias("id")), F.struct(F.col("d1_b").alias("d1"), F.col("d2_b").alias("d2"), F.col("b").alias("id")))).alias("x")).select("x.*").distinct()
-        texts = scratch.keep(texts.join(need, ["d1", "d2"]).dropDuplicates(["id"]).select("id", "text"), "texts")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        need = scratch.keep(classes.select("id", "d1", "d2").join(ids, "id", "left_semi").select("d1", "d2", "id"), "need")
+        texts = need.join(wanted_texts(docs, Bitmap(need, "d1")), ["d1", "d2"]).groupBy("d1", "d2").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+        texts = scratch.keep(texts.select("id", "text"), "texts")
         x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-        return alike_texts(left.select("a", "b").join(x, "a").join(y, "b"), width, alike)
+        links = scratch.keep(alike_texts(pairs.join(y, "b").join(x, "a"), width, alike), "links")
+        scratch.drop(need, texts)
+        return links
 
-    label = link_buckets(spark, scratch, buckets, verify, ("n", "at"), admit, admit_sql, late=lambda ids: late.join(ids, "id", "left_semi"))
+    label = link_buckets(spark, scratch, buckets, narrow, close, verify, ("size", "at"), admit)
     named = classes.select("id", "d1", "d2", "least").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(groups, "component").select("d1", "d2", "component_id", "component")

@@ -115,6 +115,13 @@ def shingles(h: np.ndarray, first: np.ndarray, width: int) -> Iterator[np.ndarra
             yield np.zeros(0, np.uint64)
 
 
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Common numbers of two sorted arrays of distinct ones."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")  # merges the two runs
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def sequence_digests(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each text's sequence of words."""
     out = []

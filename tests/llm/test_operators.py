@@ -119,25 +119,63 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join.link_documents(spark, empty).count() == 0
 
 
-def test_line_dedup(spark, docs, empty):
-    rows = []
-    for i, t in texts():
-        rows += [(i, zlib.crc32(t.encode()), k, x) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\n\x0b\x0c")] if t is not None else []
-    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
-    shingled = [line_dedup.line_set(r[3]) for r in rows]
+def line_set(line):
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
+
+
+def lines_of(rows):
+    """(doc_id, document's place, line, text) of distinct (doc_id, text), without blank lines."""
+    return [(i, t, k, x) for i, t in {(i, t): 0 for i, t in rows if t is not None} for k, x in enumerate(t.split("\n")) if x.strip(" \t\r\n\x0b\x0c")]
+
+
+def line_groups(rows):
+    """For each of ``rows`` as of lines_of the key of its component's first line."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, rows[k][2]))
+    place = {k: n for n, k in enumerate(order)}
+    shingled = [line_set(r[3]) for r in rows]
     links = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(shingled[a] & shingled[b]) >= 80 * len(shingled[a] | shingled[b])]
-    groups = {}
-    for k, root in enumerate(least_linked(len(rows), links, list(range(len(rows))))):
-        groups.setdefault(root, []).append(k)
-    got = line_dedup.link_lines(spark, docs).toPandas()
-    assert got[got.kept].drop_duplicates(["doc_id", "document", "line"]).shape[0] == len(groups)
-    cut = line_dedup.dedup_lines(spark, docs)
-    assert cut.columns == docs.columns
+    return [order[k] for k in least_linked(len(rows), links, [place[k] for k in range(len(rows))])]
+
+
+def test_line_dedup(spark, docs, empty):
+    rows = lines_of(texts())
+    want = sorted((str(r[0]), r[2], str(rows[g][0]), rows[g][2], g == k) for k, (r, g) in enumerate(zip(rows, line_groups(rows), strict=True)))
+    got = line_dedup.link_lines(spark, docs)
+    assert sorted((str(r.doc_id), r.line, str(r.first_doc_id), r.first_line, r.kept) for r in got.dropDuplicates(["doc_id", "document", "line"]).collect()) == want
+    cut = line_dedup.dedup_lines(spark, docs.withColumnsRenamed({"id": "_cut", "bucket": "gone", "n": "a.b"}))
+    assert cut.columns == [*docs.columns[:5], "_cut", "gone", "a.b"]
     kept = {r.doc_id: r.text for r in cut.collect()}
     assert kept[0] == texts()[0][1] and 301 not in kept and 304 in kept and kept[308] == "line\n\nline <|endoftext|>"
     assert line_dedup.dedup_lines(spark, empty).count() == 0
 
 
+def test_line_dedup_recall_and_families(spark):
+    """Near lines of Jaccard 0.80 to 0.9 are found; a family of lines that are alike in chains and a template whose
+    lines are not alike are told apart as brute force does."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz  "
+    line = lambda n: "".join(rng.choices(letters, k=n)).strip() or "x"
+    rows = []
+    for i in range(220):
+        x = line(rng.randint(60, 400))
+        y = list(x)
+        for _ in range(max(1, len(x) // 100)):
+            y[rng.randrange(len(y))] = "Z"
+        rows += [(i, x), (1000 + i, "".join(y))]
+    head = line(120)
+    rows += [(2000 + i, head + line(90)) for i in range(60)]  # alike by less than 0.8
+    chain = line(300)
+    for i in range(40):
+        chain = chain[6:] + line(6).ljust(6, "q")
+        rows.append((3000 + i, chain))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    every = lines_of(rows)
+    want = {every[k][0]: every[g][0] for k, g in enumerate(line_groups(every))}
+    got = {r.doc_id: r.first_doc_id for r in line_dedup.link_lines(spark, docs).collect()}
+    apart = [i for i in want if i < 2000 and got[i] != want[i]]
+    assert len(apart) <= 0.02 * 440 and all(got[i] == want[i] for i in want if i >= 2000)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(120, 16))
