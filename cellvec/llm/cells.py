@@ -70,7 +70,7 @@ def add_up(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
 
     schema = "chunk long, held binary"
     out = np.zeros((size // chunk_cells, chunk_cells), dtype=bool if once else np.int64)
-    for row in df.mapInArrow(fill, schema).repartition("chunk").mapInArrow(add, schema).toLocalIterator():
+    for row in df.mapInArrow(fill, schema).repartition("chunk").mapInArrow(add, schema).collect():
         out[row.chunk] = unpack(row.held)
     return out.reshape(-1)
 

@@ -4,13 +4,13 @@ Rows (bucket, id) say that ids of a bucket may be alike. ``link_buckets`` compar
 bucket with its hub, the least id there, and joins what is alike. Pairs whose two ends are by then
 in one component need no look: no further link could change a component. What is left, rows of
 buckets that still hold several components, is compared pair by pair in small buckets, in large
-ones through rounds with more hubs and then pair by pair, in blocks. No pair is compared twice.
+ones by a round with more hubs and then pair by pair, in blocks.
 So every link between components is found, while a bucket of near copies costs its size, not its
 square. Ids are dealt by hash, so the least id is a random one, and the buckets of a group of copies
 share their hub.
 
-A bucket is hot if it holds more than HOT_ROWS rows and more than a 2**-14 part of all (so at most
-2**14 are). Hot buckets are found in the rows of every SAMPLE-th id by hash, which decides on tasks
+The largest MOST_HOT buckets of more than HOT_ROWS rows are hot: any other holds less than a MOST_HOT-th
+part of all rows. They are found in the rows of every SAMPLE-th id by hash, which decides on tasks
 only, never on results; they are salted, and the hubs of their parts compared with one another.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 HOT_ROWS = 4_000
-HOT_BITS = 14
+MOST_HOT = 1 << 14
 SAMPLE = 32
 #: Buckets up to this size are compared pair by pair once their first hub is done; others by as many hubs a round.
 SMALL, HUBS = 16, 8
@@ -43,7 +43,7 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     least hash (so chains of rising ids shrink by a constant factor). The minimum is taken before the
     shuffle, and both joins are plain, so adaptive execution splits a vertex of very many links.
     """
-    edges = scratch.keep(links.select("a", "b").distinct(), "edges")
+    edges = scratch.keep(links.select("a", "b"), "edges")
     steps: list[DataFrame] = []
     while True:
         mark = lambda c: F.struct((F.xxhash64(c, F.lit(len(steps))) if len(steps) % 2 else F.lit(0).cast("long")).alias("h"), F.col(c).alias("id"))
@@ -71,12 +71,11 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 def salt_hot(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, bool]:
     """Columns salt and salts of rows whose bucket is hot, and whether there are any."""
     some = rows.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SAMPLE)) == 0).groupBy("bucket").count()
-    found = some.agg(F.sum("count").alias("n")).first().n or 0
-    least = max(HOT_ROWS // SAMPLE, found >> HOT_BITS)
-    hot = some.filter(F.col("count") > least).select("bucket", F.expr(f"cast(count div {max(1, least)} + 1 as int)").alias("salts")).collect()
+    least = HOT_ROWS // SAMPLE
+    hot = some.filter(F.col("count") > least).orderBy(F.desc("count")).limit(MOST_HOT).collect()
     if not hot:
         return rows, False
-    table = spark.createDataFrame([(r.bucket, r.salts) for r in hot], "bucket long, salts int")  # at most 2**HOT_BITS rows
+    table = spark.createDataFrame([(r.bucket, r["count"] // least + 1) for r in hot], "bucket long, salts int")  # at most MOST_HOT rows
     x = rows.join(F.broadcast(table), "bucket", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     return x.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(99)), F.col("salts")).cast("int")), True
 
@@ -98,32 +97,29 @@ def side(alias: str) -> Callable[[str], Column]:
     return lambda c: F.col(f"{alias}.{c}")
 
 
-def all_pairs(rows: DataFrame, admit: Admit | None) -> DataFrame:
+def all_pairs(rows: DataFrame, admit: Admit) -> DataFrame:
     """Pairs (a, b) of a bucket in different components, block by block: a block holds about BLOCK_ROWS rows
     of a bucket (held), and a row is copied once for each block of its bucket."""
     blocks = F.expr(f"held div {BLOCK_ROWS} + 1")
     x = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     u, v = x.alias("x"), x.alias("y")
     out = u.join(v, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))).filter("x.id < y.id and x.component != y.component")
-    out = out.filter(admit(side("x"), side("y"))) if admit is not None else out
-    return out.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return out.filter(admit(side("x"), side("y"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def hub_pairs(scratch: Scratch, rows: DataFrame, columns: Sequence[str], admit: Admit | None, seed: int) -> DataFrame:
+def hub_pairs(rows: DataFrame, columns: Sequence[str], admit: Admit, seed: int) -> DataFrame:
     """Pairs (a, b) of HUBS ids of each bucket with its ids of other components."""
     own = F.struct("id", "component", *columns)
     best = rows.groupBy("bucket").agg(*(F.min(F.struct(F.xxhash64("id", F.lit(HUBS * seed + k)).alias("first"), own.alias("row"))).alias(f"h{k}") for k in range(HUBS)))
     hubs = best.select("bucket", F.explode(F.array_distinct(F.array(*(f"h{k}.row" for k in range(HUBS))))).alias("row")).select("bucket", "row.*")
-    x, y = rows.alias("x"), scratch.keep(hubs, "hubs").alias("y")
-    out = x.join(y, F.col("x.bucket") == F.col("y.bucket")).filter("x.component != y.component")
-    out = out.filter(admit(side("x"), side("y"))) if admit is not None else out
+    out = rows.alias("x").join(hubs.alias("y"), F.col("x.bucket") == F.col("y.bucket")).filter("x.component != y.component").filter(admit(side("x"), side("y")))
     return out.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
-def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, narrow: Callable[[DataFrame], DataFrame], close: Admit, verify: Callable[[DataFrame], DataFrame], attrs: Sequence[str] = (), admit: Admit | None = None, rounds: int = 2) -> DataFrame:
+def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, narrow: Callable[[DataFrame], DataFrame], close: Admit, verify: Callable[[DataFrame], DataFrame], attrs: Sequence[str] = (), admit: Admit | None = None, rounds: int = 1) -> DataFrame:
     """(id, component) of every id with a link; ``buckets``: (bucket long, id long, attrs), an id once a bucket.
 
-    verify(pairs (a, b) with a < b, each once) returns those that are alike. admit may refuse a pair of a
+    verify(pairs (a, b) with a < b, each once a call) returns those that are alike. admit may refuse a pair of a
     bucket by its attrs, close a pair by the columns that narrow(ids) gives to ids (once, for all ids that
     share a bucket). Both must be sound: never refuse a pair that verify would return.
     """
@@ -141,28 +137,31 @@ def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, narr
     tried = scratch.keep(near.select("a", "b"), "tried")
     label = components(scratch, scratch.keep(verify(tried), "links"))
     both = close if admit is None else lambda x, y: admit(x, y) & close(x, y)
-    named = live.join(label, "id", "left").select("bucket", "id", *attrs, F.coalesce("component", "id").alias("component"))
-    spent = live
+    # a pair with the bucket's hub was compared or refused
+    later = lambda x, y: both(x, y) & (x("id") != y("hub")) & (y("id") != x("hub"))
+    named = live.join(label, "id", "left").select("bucket", "id", "hub", *attrs, F.coalesce("component", "id").alias("component"))
+    spent = [live]
     for k in range(1, rounds + 2):
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).filter("low < high").select("bucket", "held")
-        rest = scratch.keep(named.join(mixed, "bucket"), "rest")
-        scratch.drop(spent)
-        spent = rest
-        full = rest.join(held, "id")
+        rest = scratch.keep(named.join(mixed, "bucket").join(held, "id"), "rest")
+        scratch.drop(*spent)
+        spent = [rest]
         if k <= rounds:
-            new = all_pairs(full.filter(f"held <= {SMALL}"), both).union(hub_pairs(scratch, full.filter(f"held > {SMALL}"), [*attrs, *columns], both, k))
+            new = all_pairs(rest.filter(f"held <= {SMALL}"), later).union(hub_pairs(rest.filter(f"held > {SMALL}"), ["hub", *attrs, *columns], later, k))
         else:
-            new = all_pairs(full, both)
-        new = scratch.keep(new.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        tried = tried.union(new)
-        links = verify(new)
-        p, q = (label.select(F.col("id").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
-        between = links.join(p, "a", "left").join(q, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        joined = components(scratch, between).select(F.col("id").alias("component"), F.col("component").alias("new"))
-        told = label.join(joined, "component", "left").select("id", F.coalesce("new", "component").alias("component"))
-        label = scratch.keep(told.union(joined.join(label, joined["component"] == label["id"], "left_anti").select("component", "new")), "label")
+            new = all_pairs(rest, later)
+        new = scratch.keep(new.distinct(), "tried")
         large = rest.filter(f"held > {SMALL}") if k <= rounds else rest.limit(0)
+        names = ["bucket", "id", "hub", *attrs]
+        if new.isEmpty():
+            named = large.select(*names, "component")
+        else:
+            p, q = (label.select(F.col("id").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
+            between = verify(new).join(p, "a", "left").join(q, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            joined = components(scratch, between).select(F.col("id").alias("component"), F.col("component").alias("new"))
+            told = label.join(joined, "component", "left").select("id", F.coalesce("new", "component").alias("component"))
+            label = scratch.keep(told.union(joined.join(label, joined["component"] == label["id"], "left_anti").select("component", "new")), "label")
+            named = large.join(joined, "component", "left").select(*names, F.coalesce("new", "component").alias("component"))
         if large.isEmpty():
             break
-        named = large.join(joined, "component", "left").select("bucket", "id", *attrs, F.coalesce("new", "component").alias("component"))
     return label

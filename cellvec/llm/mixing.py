@@ -1,13 +1,14 @@
 """Mixing sources to target weights, in DataFrame functions alone.
 
 Each source's words, in the order of its documents, are cut in blocks of a fixed length. A source
-takes as many slots as its target holds mean blocks. Every slot is dealt to an output shard by
-its hash: a source's counts over the shards are a multinomial draw of its slots, and shards have
-about SHARD_SLOTS slots (``shard_counts``). Slot k of a source maps to block (a * k + b) mod n, a
-permutation of the source's n blocks that starts anew with another b after n slots. As targets
-stop at twice the source's size, no block is taken more than twice. Slots and blocks are joined by
-source and index; the joined rows are the mixed corpus by shard, and what is taken of a document
-is the sum over its rows.
+takes as many slots as its target holds mean blocks. How many of these each output shard gets is a
+multinomial draw (``draw_counts``: one pseudorandom draw a slot, counted by shard and source; shards
+have about SHARD_SLOTS slots), so totals by source are exact. A shard's slots are numbered from the
+prefix sums of these counts, and slot k of a source maps to a block through a keyed Feistel
+permutation of the source's blocks, with another key after each round through them. As targets stop
+at twice the source's size, no block is taken more than twice. Slots and blocks are joined by source
+and index; the joined rows are the mixed corpus by shard, and what is taken of a document is the sum
+over its rows.
 
 Sources by code point, null last, have the weights 3, 1, 2, repeating. Targets: 1.5 times all
 words, by weight; those above twice their source's size stop there and the rest is shared again,
@@ -19,6 +20,8 @@ their own. Extra columns are ignored; empty table: no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +37,9 @@ BLOCK_WORDS = 128
 GROUP_ROWS = 5_000
 SHARD_SLOTS = 4_096
 CHUNK_SLOTS = 4_096
-#: Multipliers of the permutations; two primes, of which one is prime to any number of blocks below their product.
-PRIMES = (99_990_001, 67_867_967)
+#: A prime of which squares of remainders are longs, and keys of the permutations' rounds.
+P = 2**31 - 1
+ROUND_KEYS = (1_318_699_321, 972_513_433)
 
 
 def source_plan(sized: DataFrame) -> DataFrame:
@@ -57,27 +61,65 @@ def source_plan(sized: DataFrame) -> DataFrame:
     return x.select("source", "place", "docs", "source_size", "target", "block", "blocks", slots.cast("long").alias("slots"))
 
 
-def draw_slots(plan: DataFrame, seed: int = 0) -> DataFrame:
-    """(place, slot, shard, index): every slot of every source with its shard and block."""
+def permuted(x, a, b, key, mod: Callable = lambda x, y: x % y):
+    """x in 0 .. a * b - 1 under the permutation of ``key``: four rounds of a Feistel network over the
+    places x div b and x mod b, each round adding a keyed function of one to the other. For columns, or
+    for SQL text with its ``mod``."""
+    text = isinstance(x, str)
+    plus, times = (lambda u, v: f"({u} + {v})", lambda u, v: f"({u} * {v})") if text else (lambda u, v: u + v, lambda u, v: u * v)
+
+    def scrambled(part, k):
+        t = mod(plus(part, plus(key, k)), P)
+        t = mod(plus(times(t, t), part), P)
+        return mod(plus(times(t, t), k), P)
+
+    left, right = (f"({x} // {b})", mod(x, b)) if text else (F.floor(x / b), mod(x, b))
+    for k in ROUND_KEYS:
+        left = mod(plus(left, scrambled(right, k)), a)
+        right = mod(plus(right, scrambled(left, k + 1)), b)
+    return plus(times(left, b), right)
+
+
+def draw_counts(plan: DataFrame, seed: int = 0) -> DataFrame:
+    """(place, shard, blocks, first, count): how many slots of each shard a source gets, a multinomial draw
+    of the source's slots over the shards, and how many it has in the shards before."""
     chunks = plan.filter("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {CHUNK_SLOTS}"))))
     chunks = chunks.repartition("place", "chunk")
     shards = -(-(plan.agg(F.sum("slots")).first()[0] or 0) // SHARD_SLOTS) or 1
-    slot = F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK_SLOTS) - 1))
-    x = chunks.select("place", "blocks", slot.alias("slot"))
-    prime = F.when(F.col("blocks") % PRIMES[0] != 0, PRIMES[0]).otherwise(PRIMES[1]) % F.col("blocks")
-    shift = ((F.col("place") + seed + 1) * 7919 + F.expr("slot div blocks") * 104_729) % F.col("blocks")
-    index = ((F.col("slot") % F.col("blocks")) * prime + shift) % F.col("blocks")
-    return x.select("place", "slot", F.pmod(F.xxhash64("place", "slot", F.lit(seed)), F.lit(shards)).alias("shard"), index.alias("index"))
+    draw = F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK_SLOTS) - 1))
+    drawn = chunks.select("place", "blocks", draw.alias("draw")).groupBy("place", "blocks", F.pmod(F.xxhash64("place", "draw", F.lit(seed)), F.lit(shards)).alias("shard")).agg(F.count("*").alias("count"))
+    before = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    return drawn.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)))
+
+
+def draw_slots(counts: DataFrame, seed: int = 0) -> DataFrame:
+    """(place, slot, shard, index): the slots of every shard and source, from the counts drawn, each with
+    its block. Values that fall beyond the source's blocks are permuted again until they don't."""
+    x = counts.select("place", "shard", "blocks", F.explode(F.expr("sequence(first, first + count - 1)")).alias("slot"))
+    x = x.withColumn("a", F.ceil(F.sqrt("blocks"))).withColumns({"b": F.expr("(blocks + a - 1) div a"), "key": F.col("place") * 7919 + F.expr("slot div blocks") * 104_729 + seed})
+    once = lambda v: permuted(v, F.col("a"), F.col("b"), F.col("key"))
+    x = x.withColumn("v", once(F.col("slot") % F.col("blocks")))
+    walk = F.aggregate(F.sequence(F.lit(1).cast("long"), F.expr("a * b - blocks")), F.col("v"), lambda v, _: F.when(v < F.col("blocks"), v).otherwise(once(v)))
+    return x.select("place", "slot", "shard", F.when(F.col("v") < F.col("blocks"), F.col("v")).otherwise(walk).alias("index"))
 
 
 def document_blocks(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """(place, index, source, row, doc_id, start, words): the words, from the start-th on, that each document has in each block of its source."""
+    """(place, index, source, row, doc_id, start, words): the words, from the start-th on, that each document has in each block of its source.
+
+    Documents go in order of the digest of id and text, in parts by its remainder; more than GROUP_ROWS rows
+    alike come last, in parts by row, as their order doesn't matter."""
     x = sized.join(plan.select(F.col("source").alias("named"), "place", "docs", "block"), F.col("source").eqNullSafe(F.col("named")))
-    x = x.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(0)), F.expr(f"2 * (docs div {GROUP_ROWS}) + 1")))
-    parts = x.groupBy("place", "part").agg(F.sum("size").alias("words"))
-    base = F.coalesce(F.sum("words").over(Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = Window.partitionBy("place", "part").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("stop", F.sum("size").over(within)).join(parts.select("place", "part", base.alias("base")), ["place", "part"])
+    many = sized.groupBy("source", "digest").agg(F.count("*").alias("alike")).filter(f"alike > {GROUP_ROWS}").select(F.col("source").alias("s"), F.col("digest").alias("d"), "alike")
+    x = x.join(many, F.col("source").eqNullSafe(F.col("s")) & (F.col("digest") == F.col("d")), "left")
+    hot = F.col("alike").isNotNull()
+    x = x.withColumns({"hot": hot, "group": F.when(hot, F.col("digest")), "part": F.when(hot, F.pmod(F.col("row"), F.expr(f"alike div {GROUP_ROWS}"))).otherwise(F.col("digest") % F.expr(f"docs div {GROUP_ROWS} + 1"))})
+    part = ["place", "hot", "group", "part"]
+    parts = x.groupBy(*part).agg(F.sum("size").alias("words"))
+    base = F.coalesce(F.sum("words").over(Window.partitionBy("place").orderBy("hot", "group", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = Window.partitionBy(*part).orderBy("digest", "row").rowsBetween(Window.unboundedPreceding, 0)
+    bases = parts.select(*(F.col(c).alias(f"_{c}") for c in part), base.alias("base"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c == "group" else F.col(c) == F.col(f"_{c}") for c in part]
+    x = x.withColumn("stop", F.sum("size").over(within)).join(bases, same)
     x = x.filter("size > 0").withColumns({"stop": F.col("stop") + F.col("base"), "start": F.col("stop") + F.col("base") - F.col("size")})
     x = x.withColumn("index", F.explode(F.sequence(F.expr("start div block"), F.expr("(stop - 1) div block"))))
     first = F.greatest("start", F.col("index") * F.col("block"))
@@ -88,10 +130,12 @@ def document_blocks(sized: DataFrame, plan: DataFrame) -> DataFrame:
 def mix_tables(spark: SparkSession, docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with their sizes and rows, the plan, and the mix as in ``mix_shards``."""
     scratch = Scratch(spark, "mix")
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.struct(*keep).alias("kept")] if keep else []))
+    digest = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("digest"), *([F.struct(*keep).alias("kept")] if keep else []))
     sized = scratch.keep(x.withColumn("row", F.monotonically_increasing_id()), "sized")
     plan = scratch.keep(source_plan(sized), "plan")
-    mixed = draw_slots(plan, seed).hint("merge").join(document_blocks(sized, plan), ["place", "index"])
+    slots = draw_slots(draw_counts(plan, seed), seed)
+    mixed = slots.hint("merge").join(document_blocks(sized, plan), ["place", "index"])
     return sized, plan, scratch.keep(mixed.select("shard", "slot", "source", "index", "row", "doc_id", "start", "words"), "mixed")
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .lengths import suffix_sums, token_lengths
 from .line_dedup import link_lines
 from .lm_score import score_documents
-from .merkle import SEGMENT, fingerprint_edits
-from .mixing import BLOCK_WORDS, GROUP_ROWS, PRIMES, mix_documents, mix_shards
+from .merkle import ENDS, SKETCH, fingerprint_edits
+from .mixing import BLOCK_WORDS, GROUP_ROWS, mix_documents, mix_shards, permuted
 from .ngram_join import link_documents
 from .packing import pack_documents
 from .tool_calls import calls_of, link_tool_calls
@@ -94,26 +94,39 @@ WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 OP4_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
-t AS (SELECT r, unnest(w) AS w2, unnest(list_concat([NULL], w[:-2])) AS w1 FROM d),
+t AS (SELECT r, unnest(w) AS w3, unnest(list_concat([NULL], w[:-2])) AS w2, unnest(list_concat([NULL, NULL], w[:-3])) AS w1 FROM d),
 total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM t),
-c1 AS (SELECT w2 AS w, count(*) AS c FROM t GROUP BY 1),
-o1 AS (SELECT r, w2 AS w, count(*) AS c FROM t GROUP BY 1, 2),
-c2 AS (SELECT w1, w2, count(*) AS c FROM t WHERE w1 IS NOT NULL GROUP BY 1, 2),
-o2 AS (SELECT r, w1, w2, count(*) AS c FROM t WHERE w1 IS NOT NULL GROUP BY 1, 2, 3),
+c1 AS (SELECT w3 AS w, count(*) AS c FROM t GROUP BY 1),
+o1 AS (SELECT r, w3 AS w, count(*) AS c FROM t GROUP BY 1, 2),
+c2 AS (SELECT w2 AS v, w3 AS w, count(*) AS c FROM t WHERE w2 IS NOT NULL GROUP BY 1, 2),
+o2 AS (SELECT r, w2 AS v, w3 AS w, count(*) AS c FROM t WHERE w2 IS NOT NULL GROUP BY 1, 2, 3),
+c3 AS (SELECT w1 AS u, w2 AS v, w3 AS w, count(*) AS c FROM t WHERE w1 IS NOT NULL GROUP BY 1, 2, 3),
+o3 AS (SELECT r, w1 AS u, w2 AS v, w3 AS w, count(*) AS c FROM t WHERE w1 IS NOT NULL GROUP BY 1, 2, 3, 4),
+l1 AS (SELECT o1.r, o1.w, c1.c - o1.c AS n FROM o1 JOIN c1 USING (w)),
+l2 AS (SELECT o2.r, o2.v, o2.w, c2.c - o2.c AS n FROM o2 JOIN c2 ON o2.v = c2.v AND o2.w = c2.w),
+l3 AS (SELECT o3.r, o3.u, o3.v, o3.w, c3.c - o3.c AS n FROM o3 JOIN c3 ON o3.u = c3.u AND o3.v = c3.v AND o3.w = c3.w),
 own AS (SELECT r, count(*) AS n FROM t GROUP BY 1),
 s AS (
-  SELECT t.r, t.w1, c2.c - o2.c AS b, a.c - oa.c AS x, u.c - ou.c AS y, total.n - own.n AS others
-  FROM t JOIN own USING (r) CROSS JOIN total
-  JOIN c1 u ON u.w = t.w2 JOIN o1 ou ON ou.r = t.r AND ou.w = t.w2
-  LEFT JOIN c1 a ON a.w = t.w1 LEFT JOIN o1 oa ON oa.r = t.r AND oa.w = t.w1
-  LEFT JOIN c2 ON c2.w1 = t.w1 AND c2.w2 = t.w2 LEFT JOIN o2 ON o2.r = t.r AND o2.w1 = t.w1 AND o2.w2 = t.w2),
-e AS (SELECT r, sum(CASE WHEN b > 0 THEN ln(b / CAST(x AS DOUBLE)) ELSE CASE WHEN w1 IS NULL THEN 0 ELSE ln(0.4e0) END + CASE WHEN y > 0 THEN ln(y / greatest(others, 1)) ELSE ln(1 / (others + 1)) END END) AS v, count(*) AS n FROM s GROUP BY 1)
+  SELECT t.r, t.w1, t.w2, l3.n AS b3, x2.n AS x2, b2.n AS b2, x1.n AS x1, y.n AS y, total.n - own.n AS others
+  FROM t JOIN own ON own.r = t.r CROSS JOIN total
+  JOIN l1 y ON y.r = t.r AND y.w = t.w3
+  LEFT JOIN l1 x1 ON x1.r = t.r AND x1.w = t.w2
+  LEFT JOIN l2 b2 ON b2.r = t.r AND b2.v = t.w2 AND b2.w = t.w3
+  LEFT JOIN l2 x2 ON x2.r = t.r AND x2.v = t.w1 AND x2.w = t.w2
+  LEFT JOIN l3 ON l3.r = t.r AND l3.u = t.w1 AND l3.v = t.w2 AND l3.w = t.w3),
+k AS (SELECT r, CASE WHEN b2 > 0 THEN ln(b2 / CAST(x1 AS DOUBLE)) ELSE CASE WHEN w2 IS NULL THEN 0 ELSE ln(0.4e0) END + CASE WHEN y > 0 THEN ln(y / greatest(others, 1)) ELSE ln(1 / (others + 1)) END END AS low, w1, b3, x2 FROM s),
+e AS (SELECT r, sum(CASE WHEN b3 > 0 THEN ln(b3 / CAST(x2 AS DOUBLE)) ELSE CASE WHEN w1 IS NULL THEN 0 ELSE ln(0.4e0) END + low END) AS v, count(*) AS n FROM k GROUP BY 1)
 SELECT doc_id, CAST(coalesce(e.n, 0) AS BIGINT) AS n_words, CASE WHEN e.n > 0 THEN round(e.v / e.n, 6) ELSE 0e0 END AS mean_log_score
-FROM d LEFT JOIN e USING (r)
+FROM d LEFT JOIN e ON e.r = d.r
 """
 
+
+def sql_mod(x: str, y: str) -> str:
+    return f"(({x}) % ({y}))"
+
+
 OP9_SQL = rf"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORDS.format("text")}), 0) AS BIGINT) AS size, row_number() OVER () AS r FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORDS.format("text")}), 0) AS BIGINT) AS size, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 15) AS BIGINT) AS digest, row_number() OVER () AS r FROM documents),
 a AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, count(*) AS docs FROM d GROUP BY 1),
 b AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place FROM a),
 c AS (SELECT *, [3, 1, 2][1 + place % 3] AS w FROM b),
@@ -122,27 +135,36 @@ m AS (SELECT min_by(level, (ratio, place)) AS level FROM l WHERE level <= ratio)
 p AS (SELECT l.source, place, docs, total, CASE WHEN m.level IS NULL THEN 2e0 * total ELSE least(2e0 * total, m.level * w) END AS target, least({BLOCK_WORDS}, greatest(1, total // 1000)) AS block FROM l CROSS JOIN m),
 q AS (SELECT *, ceil(CAST(total AS DOUBLE) / block)::BIGINT AS blocks FROM p),
 k AS (SELECT *, CASE WHEN blocks = 0 THEN 0 ELSE least(2 * blocks, round(target * blocks / total))::BIGINT END AS slots FROM q),
-s AS (SELECT place, blocks, unnest(range(slots)) AS slot FROM k),
-i AS (SELECT place, ((slot % blocks) * (CASE WHEN blocks % {PRIMES[0]} <> 0 THEN {PRIMES[0]} ELSE {PRIMES[1]} END % blocks) + ((place + 1) * 7919 + (slot // blocks) * 104729) % blocks) % blocks AS idx FROM s),
+s AS (SELECT place, blocks, ceil(sqrt(blocks))::BIGINT AS a, unnest(range(slots)) AS slot FROM k),
+t AS (SELECT *, (blocks + a - 1) // a AS b, place * 7919 + (slot // blocks) * 104729 AS key FROM s),
+i AS (SELECT place, list_reduce(list_concat([{permuted("(slot % blocks)", "a", "b", "key", sql_mod)}], range(a * b - blocks)), lambda v, j: CASE WHEN v < blocks THEN v ELSE {permuted("v", "a", "b", "key", sql_mod)} END) AS idx FROM t),
 n AS (SELECT place, idx, count(*) AS times FROM i GROUP BY 1, 2),
-x AS (SELECT d.*, k.place, k.block, k.total, k.target, CAST(sum(size) OVER (PARTITION BY k.place ORDER BY coalesce(doc_id, 0) % (2 * (k.docs // {GROUP_ROWS}) + 1), doc_id NULLS FIRST, size, r ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+h AS (SELECT d.*, k.place, k.block, k.total, k.target, count(*) OVER (PARTITION BY k.place, digest) > {GROUP_ROWS} AS hot, digest % (k.docs // {GROUP_ROWS} + 1) AS part FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+x AS (SELECT *, CAST(sum(size) OVER (PARTITION BY place ORDER BY hot, CASE WHEN hot THEN 0 ELSE part END, digest, r ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM h),
 y AS (SELECT r, place, stop, size, block, unnest(range((stop - size) // block, (stop - 1) // block + 1)) AS idx FROM x WHERE size > 0),
 z AS (SELECT r, sum((least(stop, (y.idx + 1) * block) - greatest(stop - size, y.idx * block)) * times) AS taken FROM y JOIN n ON y.place = n.place AND y.idx = n.idx GROUP BY 1)
 SELECT doc_id, size, total AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM x LEFT JOIN z USING (r)
 """
 
-ROOT = "sha256('r' || array_to_string(list_transform(string_split({0}, chr(10) || chr(10)), lambda s: sha256('s' || array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256('p' || p)), ''))), ''))"
-SEGMENTS = f"list_distinct(regexp_extract_all({{0}}, '[^\\n]{{{{1,{SEGMENT}}}}}\\n?|\\n'))"
-LIKENESS = "CASE WHEN len({0}) + len({1}) = 0 THEN 1e0 ELSE round(2e0 * len(list_intersect({0}, {1})) / (len({0}) + len({1})), 6) END"
+PLAIN = "replace(replace({0}, chr(2), chr(2) || chr(4)), chr(1), chr(2) || chr(3))"
+ENDED = f"left(md5(w), 1) IN ({', '.join(repr(c) for c in ENDS)})"
+LEAVES = f"string_split(array_to_string(list_transform(string_split({PLAIN.format('p')}, ' '), lambda w: CASE WHEN {ENDED} THEN w || chr(1) ELSE w END), ' '), chr(1))"
+NODES = f"list_transform(string_split({{0}}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform({LEAVES}, lambda t: CASE WHEN t = '' THEN '' ELSE sha256('l' || t) END)))"
+ROOT = "sha256('r' || array_to_string(list_transform({0}, lambda s: sha256('s' || array_to_string(list_transform(s, lambda p: sha256('p' || array_to_string(p, ','))), ''))), ''))"
+LEAST = f"list_distinct(list_transform(list_filter(flatten(flatten({{0}})), lambda n: n <> ''), lambda n: left(n, 8)))"
+SKETCHED = f"list_sort({LEAST})[:{SKETCH}]"
+UNITED = f"list_sort(list_distinct(list_concat({{0}}, {{1}})))[:{SKETCH}]"
+LIKENESS = f"CASE WHEN {{0}}r = {{1}}r THEN 1e0 WHEN len({{0}}k) + len({{1}}k) = 0 THEN 0e0 ELSE round(len(list_intersect({UNITED.format('{0}k', '{1}k')}, list_intersect({{0}}k, {{1}}k))) / CAST(len({UNITED.format('{0}k', '{1}k')}) AS DOUBLE), 6) END"
 
 OP10_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-n AS (SELECT *, coalesce(lead(t) OVER o, first_value(t) OVER o) AS x FROM d WINDOW o AS (ORDER BY doc_id DESC NULLS LAST, encode(t) DESC)),
+n AS (SELECT *, coalesce(lead(t) OVER o, first_value(t) OVER o) AS x FROM d WINDOW o AS (ORDER BY doc_id DESC NULLS LAST, md5(t) DESC)),
 e AS (SELECT *, length(t) AS m, left(t, length(t) - length(t) // 2) || left(x, length(t) // 2) AS u FROM n),
-g AS (SELECT *, {SEGMENTS.format("t")} AS a, {SEGMENTS.format("u")} AS b, {SEGMENTS.format("x")} AS c FROM e)
-SELECT doc_id, CAST(m AS BIGINT) AS n_chars, sha256(u) AS edited_sha256, {ROOT.format("t")} AS fingerprint, {ROOT.format("u")} AS edited_fingerprint,
-  {LIKENESS.format("a", "b")} AS near_edited, {LIKENESS.format("a", "c")} AS near_next
-FROM g
+g AS (SELECT *, {NODES.format("t")} AS a, {NODES.format("u")} AS b, {NODES.format("x")} AS c FROM e),
+h AS (SELECT *, {ROOT.format("a")} AS ar, {ROOT.format("b")} AS br, {ROOT.format("c")} AS cr, {SKETCHED.format("a")} AS ak, {SKETCHED.format("b")} AS bk, {SKETCHED.format("c")} AS ck FROM g)
+SELECT doc_id, CAST(m AS BIGINT) AS n_chars, sha256(u) AS edited_sha256, ar || array_to_string(ak, '') AS fingerprint, br || array_to_string(bk, '') AS edited_fingerprint,
+  {LIKENESS.format("h.a", "h.b")} AS near_edited, {LIKENESS.format("h.a", "h.c")} AS near_next
+FROM h
 """
 
 
