@@ -20,13 +20,12 @@ from cellvec.llm.mixing import copy_documents
 from cellvec.llm.ngram_join import link_rows
 from cellvec.llm.packing import pack_documents
 from cellvec.llm.scratch import Scratch
-from cellvec.llm.toxicity import THRESHOLD, score_toxicity
+from cellvec.llm.toxicity import THRESHOLD, toxicity_column
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_toxicity(spark, docs, labels, keep=tuple(docs.columns), name="_toxicity")
-    return scored.filter(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
+    return docs.filter(toxicity_column(spark, docs, labels) < THRESHOLD)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
