@@ -20,8 +20,6 @@ their own. Extra columns are ignored; empty table: no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +35,6 @@ BLOCK_WORDS = 128
 GROUP_ROWS = 5_000
 SHARD_SLOTS = 4_096
 CHUNK_SLOTS = 4_096
-#: A prime of which squares of remainders are longs, and keys of the permutations' rounds.
-P = 2**31 - 1
-ROUND_KEYS = (1_318_699_321, 972_513_433)
 
 
 def source_plan(sized: DataFrame) -> DataFrame:
@@ -61,23 +56,20 @@ def source_plan(sized: DataFrame) -> DataFrame:
     return x.select("source", "place", "docs", "source_size", "target", "block", "blocks", slots.cast("long").alias("slots"))
 
 
-def permuted(x, a, b, key, mod: Callable = lambda x, y: x % y):
-    """x in 0 .. a * b - 1 under the permutation of ``key``: four rounds of a Feistel network over the
-    places x div b and x mod b, each round adding a keyed function of one to the other. For columns, or
-    for SQL text with its ``mod``."""
-    text = isinstance(x, str)
-    plus, times = (lambda u, v: f"({u} + {v})", lambda u, v: f"({u} * {v})") if text else (lambda u, v: u + v, lambda u, v: u * v)
+def permuted(x, a, b, key, text: bool = False):
+    """x in 0 .. a * b - 1 under the permutation of ``key``: a Feistel network of four rounds over the places
+    x div b and x mod b, each round adding a keyed hash of one to the other. For columns, or as SQL text."""
 
-    def scrambled(part, k):
-        t = mod(plus(part, plus(key, k)), P)
-        t = mod(plus(times(t, t), part), P)
-        return mod(plus(times(t, t), k), P)
+    def added(part, other, k, size):
+        if text:
+            return f"(({part} + CAST('0x' || left(md5({other} || ':' || {key} || ':{k}'), 8) AS BIGINT)) % {size})"
+        return (part + F.conv(F.substring(F.md5(F.concat_ws(":", other, key, F.lit(k))), 1, 8), 16, 10).cast("long")) % size
 
-    left, right = (f"({x} // {b})", mod(x, b)) if text else (F.floor(x / b), mod(x, b))
-    for k in ROUND_KEYS:
-        left = mod(plus(left, scrambled(right, k)), a)
-        right = mod(plus(right, scrambled(left, k + 1)), b)
-    return plus(times(left, b), right)
+    left, right = (f"({x} // {b})", f"({x} % {b})") if text else (F.floor(x / b), x % b)
+    for k in (0, 2):
+        left = added(left, right, k, a)
+        right = added(right, left, k + 1, b)
+    return f"({left} * {b} + {right})" if text else left * b + right
 
 
 def draw_counts(plan: DataFrame, seed: int = 0) -> DataFrame:

@@ -94,7 +94,7 @@ WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 OP4_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
-t AS (SELECT r, unnest(w) AS w3, unnest(list_concat([NULL], w[:-2])) AS w2, unnest(list_concat([NULL, NULL], w[:-3])) AS w1 FROM d),
+t AS (SELECT r, unnest(w) AS w3, unnest(list_concat([NULL], w[:-2])[:len(w)]) AS w2, unnest(list_concat([NULL, NULL], w[:-3])[:len(w)]) AS w1 FROM d),
 total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM t),
 c1 AS (SELECT w3 AS w, count(*) AS c FROM t GROUP BY 1),
 o1 AS (SELECT r, w3 AS w, count(*) AS c FROM t GROUP BY 1, 2),
@@ -121,10 +121,6 @@ FROM d LEFT JOIN e ON e.r = d.r
 """
 
 
-def sql_mod(x: str, y: str) -> str:
-    return f"(({x}) % ({y}))"
-
-
 OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORDS.format("text")}), 0) AS BIGINT) AS size, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 15) AS BIGINT) AS digest, row_number() OVER () AS r FROM documents),
 a AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, count(*) AS docs FROM d GROUP BY 1),
@@ -137,7 +133,7 @@ q AS (SELECT *, ceil(CAST(total AS DOUBLE) / block)::BIGINT AS blocks FROM p),
 k AS (SELECT *, CASE WHEN blocks = 0 THEN 0 ELSE least(2 * blocks, round(target * blocks / total))::BIGINT END AS slots FROM q),
 s AS (SELECT place, blocks, ceil(sqrt(blocks))::BIGINT AS a, unnest(range(slots)) AS slot FROM k),
 t AS (SELECT *, (blocks + a - 1) // a AS b, place * 7919 + (slot // blocks) * 104729 AS key FROM s),
-i AS (SELECT place, list_reduce(list_concat([{permuted("(slot % blocks)", "a", "b", "key", sql_mod)}], range(a * b - blocks)), lambda v, j: CASE WHEN v < blocks THEN v ELSE {permuted("v", "a", "b", "key", sql_mod)} END) AS idx FROM t),
+i AS (SELECT place, list_reduce(list_concat([{permuted("(slot % blocks)", "a", "b", "key", text=True)}], range(a * b - blocks)), lambda v, j: CASE WHEN v < blocks THEN v ELSE {permuted("v", "a", "b", "key", text=True)} END) AS idx FROM t),
 n AS (SELECT place, idx, count(*) AS times FROM i GROUP BY 1, 2),
 h AS (SELECT d.*, k.place, k.block, k.total, k.target, count(*) OVER (PARTITION BY k.place, digest) > {GROUP_ROWS} AS hot, digest % (k.docs // {GROUP_ROWS} + 1) AS part FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
 x AS (SELECT *, CAST(sum(size) OVER (PARTITION BY place ORDER BY hot, CASE WHEN hot THEN 0 ELSE part END, digest, r ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM h),
