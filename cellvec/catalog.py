@@ -34,68 +34,61 @@ class Feature:
         return own & (tag_in(self.tag, self.values) if self.values else has_tag(self.tag))
 
 
-# Key | label | group | source | tag = values ("*": present, "-": every row, "tall": the tall rule).
+# Key, label, group, source, and the tag with its values (none: any value; no tag: every row).
 POINT_FEATURES = [
-    Feature(key, label, grp, source, *((None, ()) if rule in ("-", "tall") else (rule.split(" = ")[0], () if rule.endswith("*") else tuple(rule.split(" = ")[1].split(", ")))), is_tall if rule == "tall" else None)
-    for key, label, grp, source, rule in (
-        [x.strip() for x in line.split("|")]
-        for line in """
-bars_pubs | Bars & pubs | Nightlife | amenity | amenity = bar, pub, biergarten
-nightclubs | Nightclubs & music venues | Nightlife | amenity | amenity = nightclub, casino, stripclub, music_venue, events_venue
-liquor_stores | Liquor & wine stores | Nightlife | shop | shop = alcohol, wine
-restaurants | Restaurants | Food & Drink | amenity | amenity = restaurant
-cafes | Cafes | Food & Drink | amenity | amenity = cafe
-fast_food | Fast food & ice cream | Food & Drink | amenity | amenity = fast_food, ice_cream
-bakeries_delis | Bakeries & delis | Food & Drink | shop | shop = bakery, deli, butcher, cheese, pastry, confectionery, coffee, tea
-museums_galleries | Museums & galleries | Culture | tlo | tourism = museum, gallery
-theatres_cinemas | Theatres & cinemas | Culture | amenity | amenity = theatre, cinema, arts_centre
-libraries | Libraries | Culture | amenity | amenity = library
-bookshops | Bookshops | Culture | shop | shop = books
-places_of_worship | Places of worship | Culture | amenity | amenity = place_of_worship
-public_art | Public art | Culture | tlo | tourism = artwork
-attractions | Tourist attractions | Culture | tlo | tourism = attraction, viewpoint
-hotels | Hotels & hostels | Culture | tlo | tourism = hotel, hostel, guest_house, motel, apartment
-shops_total | All shops | Retail | shop | shop = *
-grocery | Grocery & convenience | Retail | shop | shop = supermarket, convenience, greengrocer, general, grocery
-fashion | Fashion & boutiques | Retail | shop | shop = clothes, shoes, jewelry, boutique, fashion_accessories, bag, watches
-personal_care | Salons & personal care | Retail | shop | shop = hairdresser, beauty, massage, tattoo, cosmetics, nail_salon
-laundry_repair | Laundry & repair shops | Retail | shop | shop = laundry, dry_cleaning, hardware, doityourself, car_repair, mobile_phone, variety_store
-schools | Schools & childcare | Civic | amenity | amenity = school, kindergarten, childcare
-higher_ed | Colleges & universities | Civic | amenity | amenity = university, college
-healthcare | Healthcare | Civic | amenity | amenity = hospital, doctors, clinic, dentist, pharmacy
-banks_atms | Banks & ATMs | Civic | amenity | amenity = bank, atm
-public_safety | Police & fire | Civic | amenity | amenity = police, fire_station, post_office
-community | Community & social services | Civic | amenity | amenity = community_centre, social_facility, marketplace, veterinary
-rail_stations | Rail & subway stations | Transit | transit | railway = station, halt
-subway_entrances | Subway entrances | Transit | transit | railway = subway_entrance
-tram_stops | Tram stops | Transit | transit | railway = tram_stop
-bus_stops | Bus stops | Transit | transit | highway = bus_stop
-bike_infra | Bike parking & rental | Transit | amenity | amenity = bicycle_parking, bicycle_rental
-car_parking | Car parking | Transit | amenity | amenity = parking
-fuel_charging | Fuel & EV charging | Transit | amenity | amenity = fuel, charging_station, car_wash
-major_roads | Major road segments | Streets | streets | highway = motorway, trunk, primary, secondary, tertiary
-local_streets | Local street segments | Streets | streets | highway = residential, unclassified, living_street
-pedestrian_paths | Pedestrian paths | Streets | streets | highway = pedestrian, footway, steps, path
-cycleways | Cycleways | Streets | streets | highway = cycleway
-service_roads | Service roads & driveways | Streets | streets | highway = service
-buildings | Buildings | Built Form | buildings | building = *
-tall_buildings | Tall buildings (6+ floors / 20m+) | Built Form | buildings | tall
-houses | Single-family houses | Built Form | buildings | building = house, detached, semidetached_house, terrace, bungalow, semi
-apartments | Apartment buildings | Built Form | buildings | building = apartments, residential, dormitory
-offices | Offices | Built Form | tlo | office = *
-coworking | Coworking spaces | Built Form | amenity | amenity = coworking_space
-parks | Parks | Nature | tlo | leisure = park, nature_reserve
-gardens_playgrounds | Gardens & playgrounds | Nature | tlo | leisure = garden, playground, dog_park
-sports | Sports facilities | Nature | tlo | leisure = pitch, sports_centre, fitness_centre, swimming_pool, golf_course, track, stadium
-trees | Mapped trees | Nature | trees | -
-""".strip().splitlines()
-    )
+    Feature("bars_pubs", "Bars & pubs", "Nightlife", "amenity", "amenity", ("bar", "pub", "biergarten")),
+    Feature("nightclubs", "Nightclubs & music venues", "Nightlife", "amenity", "amenity", ("nightclub", "casino", "stripclub", "music_venue", "events_venue")),
+    Feature("liquor_stores", "Liquor & wine stores", "Nightlife", "shop", "shop", ("alcohol", "wine")),
+    Feature("restaurants", "Restaurants", "Food & Drink", "amenity", "amenity", ("restaurant",)),
+    Feature("cafes", "Cafes", "Food & Drink", "amenity", "amenity", ("cafe",)),
+    Feature("fast_food", "Fast food & ice cream", "Food & Drink", "amenity", "amenity", ("fast_food", "ice_cream")),
+    Feature("bakeries_delis", "Bakeries & delis", "Food & Drink", "shop", "shop", ("bakery", "deli", "butcher", "cheese", "pastry", "confectionery", "coffee", "tea")),
+    Feature("museums_galleries", "Museums & galleries", "Culture", "tlo", "tourism", ("museum", "gallery")),
+    Feature("theatres_cinemas", "Theatres & cinemas", "Culture", "amenity", "amenity", ("theatre", "cinema", "arts_centre")),
+    Feature("libraries", "Libraries", "Culture", "amenity", "amenity", ("library",)),
+    Feature("bookshops", "Bookshops", "Culture", "shop", "shop", ("books",)),
+    Feature("places_of_worship", "Places of worship", "Culture", "amenity", "amenity", ("place_of_worship",)),
+    Feature("public_art", "Public art", "Culture", "tlo", "tourism", ("artwork",)),
+    Feature("attractions", "Tourist attractions", "Culture", "tlo", "tourism", ("attraction", "viewpoint")),
+    Feature("hotels", "Hotels & hostels", "Culture", "tlo", "tourism", ("hotel", "hostel", "guest_house", "motel", "apartment")),
+    Feature("shops_total", "All shops", "Retail", "shop", "shop"),
+    Feature("grocery", "Grocery & convenience", "Retail", "shop", "shop", ("supermarket", "convenience", "greengrocer", "general", "grocery")),
+    Feature("fashion", "Fashion & boutiques", "Retail", "shop", "shop", ("clothes", "shoes", "jewelry", "boutique", "fashion_accessories", "bag", "watches")),
+    Feature("personal_care", "Salons & personal care", "Retail", "shop", "shop", ("hairdresser", "beauty", "massage", "tattoo", "cosmetics", "nail_salon")),
+    Feature("laundry_repair", "Laundry & repair shops", "Retail", "shop", "shop", ("laundry", "dry_cleaning", "hardware", "doityourself", "car_repair", "mobile_phone", "variety_store")),
+    Feature("schools", "Schools & childcare", "Civic", "amenity", "amenity", ("school", "kindergarten", "childcare")),
+    Feature("higher_ed", "Colleges & universities", "Civic", "amenity", "amenity", ("university", "college")),
+    Feature("healthcare", "Healthcare", "Civic", "amenity", "amenity", ("hospital", "doctors", "clinic", "dentist", "pharmacy")),
+    Feature("banks_atms", "Banks & ATMs", "Civic", "amenity", "amenity", ("bank", "atm")),
+    Feature("public_safety", "Police & fire", "Civic", "amenity", "amenity", ("police", "fire_station", "post_office")),
+    Feature("community", "Community & social services", "Civic", "amenity", "amenity", ("community_centre", "social_facility", "marketplace", "veterinary")),
+    Feature("rail_stations", "Rail & subway stations", "Transit", "transit", "railway", ("station", "halt")),
+    Feature("subway_entrances", "Subway entrances", "Transit", "transit", "railway", ("subway_entrance",)),
+    Feature("tram_stops", "Tram stops", "Transit", "transit", "railway", ("tram_stop",)),
+    Feature("bus_stops", "Bus stops", "Transit", "transit", "highway", ("bus_stop",)),
+    Feature("bike_infra", "Bike parking & rental", "Transit", "amenity", "amenity", ("bicycle_parking", "bicycle_rental")),
+    Feature("car_parking", "Car parking", "Transit", "amenity", "amenity", ("parking",)),
+    Feature("fuel_charging", "Fuel & EV charging", "Transit", "amenity", "amenity", ("fuel", "charging_station", "car_wash")),
+    Feature("major_roads", "Major road segments", "Streets", "streets", "highway", ("motorway", "trunk", "primary", "secondary", "tertiary")),
+    Feature("local_streets", "Local street segments", "Streets", "streets", "highway", ("residential", "unclassified", "living_street")),
+    Feature("pedestrian_paths", "Pedestrian paths", "Streets", "streets", "highway", ("pedestrian", "footway", "steps", "path")),
+    Feature("cycleways", "Cycleways", "Streets", "streets", "highway", ("cycleway",)),
+    Feature("service_roads", "Service roads & driveways", "Streets", "streets", "highway", ("service",)),
+    Feature("buildings", "Buildings", "Built Form", "buildings", "building"),
+    Feature("tall_buildings", "Tall buildings (6+ floors / 20m+)", "Built Form", "buildings", rule=is_tall),
+    Feature("houses", "Single-family houses", "Built Form", "buildings", "building", ("house", "detached", "semidetached_house", "terrace", "bungalow", "semi")),
+    Feature("apartments", "Apartment buildings", "Built Form", "buildings", "building", ("apartments", "residential", "dormitory")),
+    Feature("offices", "Offices", "Built Form", "tlo", "office"),
+    Feature("coworking", "Coworking spaces", "Built Form", "amenity", "amenity", ("coworking_space",)),
+    Feature("parks", "Parks", "Nature", "tlo", "leisure", ("park", "nature_reserve")),
+    Feature("gardens_playgrounds", "Gardens & playgrounds", "Nature", "tlo", "leisure", ("garden", "playground", "dog_park")),
+    Feature("sports", "Sports facilities", "Nature", "tlo", "leisure", ("pitch", "sports_centre", "fitness_centre", "swimming_pool", "golf_course", "track", "stadium")),
+    Feature("trees", "Mapped trees", "Nature", "trees"),
 ]
 KEYS = [f.key for f in POINT_FEATURES]
 STREET_KEYS = [f.key for f in POINT_FEATURES if f.grp == "Streets"]
 #: Area features and their groups.
 AREA_CLASSES = {"residential": "Built Form", "commercial": "Built Form", "industrial": "Built Form", "green": "Nature", "water": "Nature", "beach": "Nature"}
-GROUPS = ["Nightlife", "Food & Drink", "Culture", "Retail", "Civic", "Transit", "Streets", "Built Form", "Nature"]
 
 # Land-use classes in match order.
 LAND_USE = {

@@ -26,40 +26,57 @@ class RunConfig:
             raise ValueError("k must be 2 to 12 and var_target 0.5 to 0.99")
 
 
-def build_cells(points: DataFrame, land_use: DataFrame, bounds: DataFrame, centers: DataFrame, target_cells: int = 800) -> DataFrame:
-    """Cell vectors of all cities. bounds: (city, lon0, lat0, minx, miny, maxx, maxy, land_m2), the
-    boundary taken as that rectangle; land_use: (city, cls, rings in metres); centers: (city, clon, clat)."""
+#: Metres of the squares by which a city's land is measured.
+COARSE = 5_000.0
+
+
+def city_bounds(areas: DataFrame, water: DataFrame) -> DataFrame:
+    """(city, lon0, lat0, minx .. maxy, land_m2) of areas (city, lon0, lat0, parts in metres): the boundary's bounds,
+    and its area without the water (city, rings)."""
+    x = overlay.measures(areas).select("city", "lon0", "lat0", "minx", "miny", "maxx", "maxy")
+    coarse = x.select("city", F.lit(COARSE).alias("r"), F.lit(COARSE).alias("w"), F.col("minx").alias("minx0"), F.col("miny").alias("miny0"))
+    land = overlay.cell_land(boundary_rings(areas), water, coarse, "square").groupBy("city").agg(F.sum("area").alias("land_m2"))
+    return x.join(land, "city")
+
+
+def boundary_rings(areas: DataFrame) -> DataFrame:
+    return areas.select("city", F.explode("parts").alias("rings"))
+
+
+def build_cells(points: DataFrame, land_use: DataFrame, areas: DataFrame, water: DataFrame, bounds: DataFrame, centers: DataFrame, target_cells: int = 800) -> DataFrame:
+    """Cell vectors of all cities. areas: (city, lon0, lat0, parts: the boundary's polygons in metres); water: (city,
+    rings) to be taken off it; bounds: as of ``city_bounds``, one row per city, best read from a written table;
+    land_use: (city, cls, rings in metres); centers: (city, clon, clat)."""
     params = grid.grid_params(bounds, target_cells)
-    cells = grid.grid_cells(params).filter(grid.meets_rectangle())
-    box = params.select("city", F.lit("cell").alias("cls"), F.array(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"))))).alias("rings"))
-    inside = overlay.overlay(box, params).drop("cls")
-    cells = cells.join(inside, grid.CELL)
+    land = overlay.cell_land(boundary_rings(areas), water, params)
+    cells = grid.with_centres(land.select("city", "row", "col", "area"), params)
     counts = grid.cell_activity(grid.to_cells(points, params)).filter(grid.ACTIVE)  # cells without points aren't active
-    x = grid.with_land(cells, overlay.overlay(land_use, params)).join(counts, grid.CELL)
+    x = grid.with_land(cells, overlay.overlay_land(land_use, land, params)).join(counts, grid.CELL)
     x = x.join(F.broadcast(centers), "city").withColumns(grid.place_columns(F.col("clon"), F.col("clat")))  # one row per city
-    return x.select("city", "cell_id", "lon", "lat", F.round("land_km2", 4).alias("land_km2"), "dist_km", *grid.densities(), *(f"{c}_frac" for c in AREA_CLASSES))
+    return x.select("city", "cell_id", "lon", "lat", grid.corners().alias("p"), F.round("land_km2", 4).alias("land_km2"), "dist_km", *grid.densities(), *(f"{c}_frac" for c in AREA_CLASSES))
 
 
-def cluster_cities(spark: SparkSession, cells: DataFrame, features: DataFrame, config: RunConfig) -> DataFrame:
-    """(city, cell_id, label, rank, name): cells (city, cell_id, land_km2, dist_km and feature
-    columns) through logarithms, z-scores, components, k-means, ranks and names. A feature that is
-    sparse or constant in a city has z = 0 there, which leaves distances as without it."""
-    names = [r.feature for r in features.select("feature").collect() if r.feature not in config.disabled]  # the catalogue's rows
-    if len(names) < 2:
-        raise ValueError("fewer than two features are enabled")
-    values = grid.long_form(cells, ["city", "cell_id"], names)
+def cluster_cities(spark: SparkSession, cells: DataFrame, features: DataFrame, config: RunConfig, names: DataFrame | None = None) -> DataFrame:
+    """(city, cell_id, rank, name): cells (city, cell_id, land_km2, dist_km and feature columns) through logarithms,
+    z-scores, components, k-means, ranks and names; names (city, label: the rank, name) win over archetypes. A
+    feature that is sparse or constant in a city has z = 0 there, which leaves distances as without it. ``cells`` is
+    read several times and should be a written table."""
+    used = clusters.enabled_features(features, spark.createDataFrame([(d,) for d in config.disabled], "feature string"))
+    keys = [r.feature for r in used.orderBy("idx").select("feature").collect()]  # the catalogue's rows
+    values = grid.long_form(cells, ["city", "cell_id"], keys)
     kept = grid.sparse_features(values).filter("kept").select("city", "feature")
     values = values.join(kept, ["city", "feature"])
     z = stats.zscores(stats.log_densities(values, features) if config.log else values)
-    order = F.array(*map(F.lit, names))
+    order = F.array(*map(F.lit, keys))
     vectors = z.groupBy("city", "cell_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "z"))).alias("m"))
     vectors = vectors.select("city", "cell_id", F.transform(order, lambda n: F.coalesce(F.try_element_at(F.col("m"), n), F.lit(0.0))).alias("z"))
-    scored = stats.scores(vectors, stats.pca(vectors, len(names), config.var_target)).withColumnRenamed("score", "v")
+    scored = stats.scores(vectors, stats.pca(vectors, len(keys), config.var_target)).withColumnRenamed("score", "v")
     params = spark.createDataFrame([(0, config.k, config.seed, config.restarts, config.max_iter)], "param_id int, k int, seed long, restarts int, max_iter int")
     labels = kmeans.cluster_groups(scored, params).select("city", "cell_id", "label")
-    ranked = clusters.relabel(cells.select("city", "cell_id", "land_km2", "dist_km").join(labels, ["city", "cell_id"]))
-    named = clusters.name_clusters(clusters.archetype_scores(clusters.profile(z, labels), features, clusters.archetype_terms(spark)))
-    return labels.join(ranked.select("city", "label", "rank"), ["city", "label"]).join(named, ["city", "label"])
+    ranks = clusters.relabel(cells.select("city", "cell_id", "land_km2", "dist_km").join(labels, ["city", "cell_id"])).select("city", "label", "rank")
+    ranked = labels.join(ranks, ["city", "label"]).select("city", "cell_id", F.col("rank").alias("label"))
+    found = clusters.archetype_scores(clusters.profile(z, ranked), features, clusters.archetype_terms(spark))
+    return ranked.join(clusters.name_clusters(found, names), ["city", "label"]).select("city", "cell_id", F.col("label").alias("rank"), "name")
 
 
 def feature_table(spark: SparkSession) -> DataFrame:

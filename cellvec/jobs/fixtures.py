@@ -107,3 +107,33 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VALUES_SQL = "SELECT city, cell_id, land_km2, dist_km, idx, 'f' || idx AS feature, 'g' || (idx // 8) AS grp, v[idx + 1] AS value FROM (SELECT label AS city, vec_id AS cell_id, 0.5e0 + (vec_id % 7) * 0.1e0 AS land_km2, ((vec_id * 37) % 1000) / 50e0 AS dist_km, CAST(embedding AS DOUBLE[]) AS v, unnest(range(64))::INT AS idx FROM embeddings)"
+
+
+def lands(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Three cities' boundaries (city, lon0, lat0, parts): their rectangles without the north-eastern quarter; and their
+    water (city, rings): a rectangle in the south-west."""
+    x = bounds(spark)
+    p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    x1, y1, x2, y2, o = F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), F.lit(0.0)
+    ring = F.array(p(x1, y1), p(x2, y1), p(x2, o), p(o, o), p(o, y2), p(x1, y2))
+    wet = F.array(p(x1, y1), p(x1 / 2, y1), p(x1 / 2, y1 / 2), p(x1, y1 / 2))
+    return x.select("city", "lon0", "lat0", F.array(F.array(ring)).alias("parts")), x.select("city", F.array(wet).alias("rings"))
+
+
+def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a city of its own: (city, mx, my, ex, ey), parts (its rectangle without the north-eastern quarter)
+    and rings (its south-western quarter)."""
+    x = apply(table(spark, sf_dir, "part"), RECT).drop("city").withColumnRenamed("poly_id", "city")
+    p = lambda a, b: F.struct((F.col("mx") + a * F.col("ex")).alias("x"), (F.col("my") + b * F.col("ey")).alias("y"))
+    shape = F.array(p(-1, -1), p(1, -1), p(1, 0), p(0, 0), p(0, 1), p(-1, 1))
+    wet = F.array(p(-1, -1), p(0, -1), p(0, 0), p(-1, 0))
+    return x.select("city", "mx", "my", "ex", "ey", F.array(F.array(shape)).alias("parts"), F.array(wet).alias("rings"))
+
+
+DISTRICT_SQL = "SELECT poly_id AS city, mx, my, ex, ey FROM (" + select(RECT, "part") + ")"
+
+
+def region(name: str, parts: list[tuple[float, float, float, float]]) -> str:
+    """SQL for the area of ix1 .. iy2 inside rectangles, the first less the others (which lie in it, apart)."""
+    one = lambda r: f"(greatest(0, least(ix2, {r[2]}) - greatest(ix1, {r[0]})) * greatest(0, least(iy2, {r[3]}) - greatest(iy1, {r[1]})))"
+    return " - ".join(one(r) for r in parts) + f" AS {name}"

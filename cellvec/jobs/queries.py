@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import AREA_CLASSES, KEYS, LAND_USE, POINT_FEATURES, STREET_KEYS
-from ..functions.geo import haversine_km
+from ..functions.geo import haversine_km, project
 from ..functions.scalars import height_m, is_tall, land_use_class, levels, tag
 from ..operators import clusters, grid, kmeans, overlay, stats
-from ..sources.elements import points_of, source_filters
+from ..sources.elements import LAND_USE_TAGS, land_use_elements, parse_boundary, parse_elements, parse_points, parse_registry, points_of, source_filters
+from ..tables import keep
 from . import cities
 from . import fixtures as X
 
@@ -97,15 +98,35 @@ def city_index(spark, sf_dir):
     return grid.city_index(registry, counts(spark, sf_dir).filter(grid.is_active()), "2026-01-01")
 
 
-@query(f"""WITH g AS ({X.GRID_SQL}),
+DISTRICT_GRID_SQL = f"SELECT *, minx - w AS minx0, miny - r AS miny0 FROM (SELECT *, sqrt(3e0) * r AS w FROM (SELECT *, least(1200e0, greatest(250e0, sqrt(land_m2 / (100 * 2.598e0)))) AS r FROM (SELECT city, mx - ex AS minx, my - ey AS miny, mx + ex AS maxx, my + ey AS maxy, 4 * ex * ey AS land_m2 FROM ({X.DISTRICT_SQL}))))"
+
+
+@query(f"""WITH g AS ({DISTRICT_GRID_SQL}),
 rr AS (SELECT *, unnest(range(CAST(floor((maxy - miny + 2 * r) / (1.5e0 * r)) AS INT) + 1))::INT AS "row" FROM g), rs AS (SELECT *, CASE WHEN "row" % 2 = 1 THEN w / 2 ELSE 0e0 END AS shift FROM rr),
 rc AS (SELECT *, unnest(range(CAST(floor((maxx - minx + 2 * w - shift) / w) AS INT) + 1))::INT AS col FROM rs), k AS (SELECT *, abs(minx0 + col * w + shift - (minx + maxx) / 2) AS dx, abs(miny0 + "row" * 1.5e0 * r - (miny + maxy) / 2) AS dy, (maxx - minx) / 2 AS hx, (maxy - miny) / 2 AS hy FROM rc)
 SELECT city, "row", col, round(minx0 + col * w + shift, 6) AS cx, round(miny0 + "row" * 1.5e0 * r, 6) AS cy FROM k
 WHERE dx <= w / 2 + hx AND dy <= r + hy AND dx * 0.5e0 + dy * sqrt(3e0) / 2 <= w / 2 + hx * 0.5e0 + hy * sqrt(3e0) / 2 + 0""")
 def hex_grid_rect(spark, sf_dir):
-    cells = grid.grid_cells(grid.grid_params(X.bounds(spark), X.TARGET_CELLS)).filter(grid.meets_rectangle())
-    inside = X.points(spark, sf_dir).select("city").distinct()
-    return cells.join(inside, "city", "left_semi").select("city", "row", "col", *r6("cx", "cy"))
+    """Cells that meet a rectangle, for every part's."""
+    bounds = X.districts(spark, sf_dir).selectExpr("city", "mx - ex AS minx", "my - ey AS miny", "mx + ex AS maxx", "my + ey AS maxy", "4 * ex * ey AS land_m2")
+    cells = grid.grid_cells(grid.grid_params(bounds, 100)).filter(grid.meets_rectangle())
+    return cells.select("city", "row", "col", *r6("cx", "cy"))
+
+
+CORNER_SQL = "radians(60e0 * i - 30e0)"
+
+
+@query(f"""WITH {COUNTS_SQL}, k AS (SELECT n.city, "row", col, g.lon0, g.lat0, g.r, g.minx0 + col * g.w + CASE WHEN abs("row") % 2 = 1 THEN g.w / 2 ELSE 0e0 END AS cx, g.miny0 + "row" * 1.5e0 * g.r AS cy, unnest(range(6))::INT AS i FROM n JOIN g USING (city))
+SELECT city, "row", col, i AS corner, round(lon0 + (cx + r * cos({CORNER_SQL})) / (111320e0 * cos(radians(lat0))), 5) AS lon, round(lat0 + (cy + r * sin({CORNER_SQL})) / 110540e0, 5) AS lat FROM k""")
+def cell_corners(spark, sf_dir):
+    cells = grid.with_centres(counts(spark, sf_dir).select("city", "row", "col"), grid.grid_params(X.bounds(spark), X.TARGET_CELLS))
+    return cells.select("city", "row", "col", F.posexplode(grid.corners()).alias("corner", "p")).select("city", "row", "col", "corner", "p.lon", "p.lat")
+
+
+@query(f"""WITH p AS ({X.points_sql()}), k AS (SELECT city, osm_id, row_number() OVER (PARTITION BY city ORDER BY osm_id) - 1 AS place, greatest(1, count(*) OVER (PARTITION BY city) // 500) AS step FROM p)
+SELECT city, osm_id, step FROM k WHERE place % step = 0""")
+def systematic_sample(spark, sf_dir):
+    return grid.systematic_sample(X.points(spark, sf_dir), 500).select("city", "osm_id", "step")
 
 
 @query(f"WITH p AS ({X.points_sql()}), c(city, clon, clat) AS (VALUES (0, -74.0e0, 40.7e0), (1, -0.125e0, 51.5e0), (2, 2.375e0, 48.875e0)), h AS (SELECT osm_id, c.city, 2 * 6371e0 * asin(sqrt(pow(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2))) AS km FROM p CROSS JOIN c) SELECT osm_id, arg_min(city, (km, city)) AS nearest, round(min(km), 6) AS km FROM h GROUP BY osm_id")
@@ -123,7 +144,7 @@ def parse_levels_height(spark, sf_dir):
     return x.select("osm_id", levels(tag("building:levels")).alias("levels"), F.round(height_m(tag("height")), 6).alias("metres"), is_tall().alias("tall"))
 
 
-LU_TAGS = [("landuse", ["residential", "retail", None, "military", "forest", None, ""]), ("leisure", ["park", None, "pitch", None]), ("natural", [None, "water", "beach", "wood", None]), ("aeroway", [None, None, None, "aerodrome"])]
+LU_TAGS = [("landuse", ["residential", "retail", None, "military", "forest", None, ""]), ("leisure", ["park", None, "pitch", None, "playground"]), ("natural", [None, "water", "beach", "wood", None, "scree"]), ("aeroway", [None, None, None, "aerodrome"])]
 LU_SQL = ", ".join(f'{X.pick("p_partkey", v)} AS "{k}"' for k, v in LU_TAGS)
 
 
@@ -155,6 +176,85 @@ def source_rows(spark, sf_dir):
     return x.select("id", F.explode(hits).alias("source"))
 
 
+@query(f"WITH p AS ({X.points_sql()}) SELECT city, source, count(*) AS n FROM p WHERE amenity IS DISTINCT FROM 'vending_machine' AND source NOT IN ('trees', 'shop') GROUP BY ALL")
+def skip_sources(spark, sf_dir):
+    return points_of(elements(spark, sf_dir), skip=("trees", "shop")).groupBy("city", "source").agg(F.count("*").alias("n"))
+
+
+def land_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An element of every part, with land-use tags; its rectangle as a closed way, a relation of two ways (one
+    reversed) with a hole of half its size, an open way, or a node."""
+    x = X.apply(X.table(spark, sf_dir, "part"), [*X.RECT, *((k, X.pick("p_partkey", v)) for k, v in LU_TAGS)])
+    tags = F.map_filter(F.create_map(*[v for k, _ in LU_TAGS for v in (F.lit(k), F.col(k))]), lambda _, v: v.isNotNull())
+    at = lambda a, b: F.struct((F.col("my") + b * F.col("ey")).alias("lat"), (F.col("mx") + a * F.col("ex")).alias("lon"))
+    line = lambda *ps: F.array(*(at(*p) for p in ps))
+    member = lambda role, g: F.struct(F.lit("way").alias("type"), F.lit(role).alias("role"), g.alias("geometry"))
+    members = F.array(member("outer", line((-1, -1), (1, -1), (1, 1))), member("", line((-1, -1), (-1, 1), (1, 1))), member("inner", line((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5))))
+    kind = F.col("poly_id") % 4
+    closed, open_ = line((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)), line((-1, -1), (1, -1), (1, 1), (-1, 1))
+    geometry = F.when(kind == 0, closed).when(kind == 2, open_).when(kind == 3, line((0, 0)))
+    return x.select("city", F.when(kind == 1, "relation").when(kind == 3, "node").otherwise("way").alias("type"), F.col("poly_id").alias("id"), tags.alias("tags"), geometry.alias("geometry"), F.when(kind == 1, members).alias("members"))
+
+
+ASKED_SQL = " OR ".join(f'"{k}" IN ({", ".join(repr(v) for v in vs)})' for k, vs in LAND_USE_TAGS.items())
+
+
+@query(f"SELECT p_partkey AS id FROM (SELECT p_partkey, {LU_SQL} FROM part) WHERE {ASKED_SQL}")
+def land_use_source(spark, sf_dir):
+    return land_use_elements(land_elements(spark, sf_dir)).select("id")
+
+
+@query(f"""SELECT poly_id AS id, CASE poly_id % 4 WHEN 0 THEN 'way' ELSE 'relation' END AS type, 0 AS part, poly_id % 4 AS holes, round(CASE poly_id % 4 WHEN 0 THEN 4 ELSE 3 END * ex * ey, 6) AS area FROM ({X.select(X.RECT, 'part')}) WHERE poly_id % 4 < 2""")
+def multipolygons(spark, sf_dir):
+    x = overlay.measures(overlay.polygons(land_elements(spark, sf_dir)).select("id", "type", "part", F.array("rings").alias("parts")))
+    return x.select("id", "type", "part", (F.size(F.get("parts", F.lit(0))) - 1).cast("long").alias("holes"), *r6("area"))
+
+
+TSV_SQL = "osm_id % 11"
+
+
+@query(f"WITH p AS ({X.points_sql()}) SELECT osm_id % 11 AS kind, city, lat, lon, coalesce(tourism, '') AS tourism, coalesce(leisure, '') AS leisure, CASE {TSV_SQL} WHEN 3 THEN '' ELSE coalesce(office, '') END AS office FROM p WHERE source = 'tlo' AND {TSV_SQL} > 2")
+def points_tsv(spark, sf_dir):
+    """Lines without latitude, with a word for it or with one field go; short lines and quoted fields stay."""
+    x = X.points(spark, sf_dir).filter("source = 'tlo'").select("city", "osm_id", "lat", "lon", *(F.coalesce(F.try_element_at("tags", F.lit(k)), F.lit("")).alias(k) for k in ("tourism", "leisure", "office")))
+    kind = F.col("osm_id") % 11
+    line = F.when(kind == 0, F.concat(F.lit("\t"), "lon")).when(kind == 1, F.concat_ws("\t", F.lit("north"), "lon", "tourism")).when(kind == 2, F.col("lat").cast("string"))
+    line = line.when(kind == 3, F.concat_ws("\t", "lat", "lon", F.concat(F.lit('"'), "tourism", F.lit('"')), "leisure")).otherwise(F.concat_ws("\t", "lat", "lon", "tourism", "leisure", "office"))
+    p = parse_points(x.select(F.struct("city", kind.alias("kind")).alias("city"), line.alias("value")), "tlo")
+    return p.select("city.kind", "city.city", "lat", "lon", *(F.coalesce(F.try_element_at("tags", F.lit(k)), F.lit("")).alias(k) for k in ("tourism", "leisure", "office")))
+
+
+@query(f"WITH p AS ({X.points_sql()}) SELECT city, osm_id AS id, CASE WHEN source IN ('buildings', 'streets') THEN 'way' ELSE 'node' END AS type, shop, round(lat, 6) AS lat FROM p")
+def elements_json(spark, sf_dir):
+    """Answers of some ten elements, written as JSON and read back."""
+    e = elements(spark, sf_dir).dropDuplicates(["city", "type", "id"]).withColumn("tags", F.when(F.size("tags") > 0, F.col("tags")))
+    bodies = e.groupBy("city", F.expr("id div 30").alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct("type", "id", "tags", "geometry", "members")).alias("elements"))).alias("body"))
+    return parse_elements(bodies).select("city", "id", "type", F.try_element_at("tags", F.lit("shop")).alias("shop"), F.round(F.get("geometry", F.lit(0))["lat"], 6).alias("lat"))
+
+
+@query("SELECT lower(n_name) AS slug, n_name AS name, n_nationkey AS osm_relation, CAST(n_nationkey AS DOUBLE) AS lon, 0.5e0 - n_nationkey AS lat FROM nation WHERE n_nationkey % 5 <> 0")
+def registry_json(spark, sf_dir):
+    """Nations as cities, in one JSON list a region; a list of slugs keeps some."""
+    n = X.table(spark, sf_dir, "nation")
+    city = F.struct(F.lower("n_name").alias("slug"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("osm_relation"), F.array(F.col("n_nationkey").cast("double"), 0.5 - F.col("n_nationkey")).alias("center"))
+    raw = n.groupBy("n_regionkey").agg(F.to_json(F.collect_list(city)).alias("body")).select("body")
+    wanted = [r.slug for r in n.filter("n_nationkey % 5 <> 0").select(F.lower("n_name").alias("slug")).collect()]  # 25 nations
+    return parse_registry(raw, wanted).select("slug", "name", "osm_relation", F.get("center", F.lit(0)).alias("lon"), F.get("center", F.lit(1)).alias("lat"))
+
+
+@query(f"SELECT piece_id, 1 + piece_id % 2 AS parts, round(CASE piece_id % 2 WHEN 0 THEN 3 ELSE 4 END * e * e, 6) AS area, round(mx - e, 6) AS minx FROM ({X.select(X.PIECE, 'supplier')})")
+def boundary_geojson(spark, sf_dir):
+    """Squares as GeoJSON: a Polygon with a hole of half its size, or a MultiPolygon of it and its south-western quarter's twin beyond (less its half)."""
+    t = X.apply(X.table(spark, sf_dir, "supplier"), X.PIECE)
+    ring = lambda x1, y1, x2, y2: F.array(*(F.array(F.col("mx") + a * F.col("e"), F.col("my") + b * F.col("e")) for a, b in ((x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1))))
+    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring(-1, -1, 1, 1), ring(-0.5, -0.5, 0.5, 0.5)).alias("coordinates")))
+    two = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(ring(-1, -1, 1, 1), ring(-0.5, -0.5, 0.5, 0.5)), F.array(ring(1, 1, 2, 2))).alias("coordinates")))
+    polys = parse_boundary(t.select(F.struct("piece_id").alias("city"), F.when(F.col("piece_id") % 2 == 0, one).otherwise(two).alias("geojson")))
+    parts = F.transform("polys", lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.struct(q["lon"].alias("x"), q["lat"].alias("y")))))
+    x = overlay.measures(polys.select("city.piece_id", parts.alias("parts")))
+    return x.select("piece_id", F.size("parts").cast("long").alias("parts"), *r6("area", "minx"))
+
+
 # ---- polygons ----
 
 SQUARE_SQL = f"""WITH t AS ({X.select(X.RECT, 'part')}), b AS (SELECT *, unnest(range(CAST(floor((my - ey + 20000) / 1000) AS INT), CAST(floor((my + ey + 20000) / 1000) AS INT) + 1))::INT AS "row" FROM t), c AS (SELECT *, unnest(range(CAST(floor((mx - ex + 20000) / 1000) AS INT), CAST(floor((mx + ex + 20000) / 1000) AS INT) + 1))::INT AS col FROM b),
@@ -171,16 +271,69 @@ def rect_overlay(spark, sf_dir):
     return squares(spark, sf_dir).withColumn("area", F.round("area", 3))
 
 
-FRAC_SQL = ", ".join(f"round(least(coalesce(sum(area) FILTER (WHERE cls = '{c}'), 0) / {'1e6' if c == 'water' else 'greatest(1e6 - least(coalesce(sum(area) FILTER (WHERE cls = ' + repr('water') + '), 0), 1e6), 1)'}, 1), 4) AS {c}_frac" for c in AREA_CLASSES)
+def whole_sql(cls: str) -> str:
+    return f"CAST(coalesce(sum(area) FILTER (WHERE cls = '{cls}'), 0) AS BIGINT)"
+
+
+#: Areas are whole square metres; shares are rounded half up to 4 digits in whole numbers.
+FRAC_SQL = ", ".join(f"least((20000 * {c} + whole) // (2 * whole), 10000) / 10000e0 AS {c}_frac".replace("whole", "1000000" if c == "water" else "land") for c in AREA_CLASSES)
 
 
-@query(f'{SQUARE_SQL} SELECT city, "row", col, {FRAC_SQL} FROM s GROUP BY ALL HAVING 1e6 - least(coalesce(sum(area) FILTER (WHERE cls = \'water\'), 0), 1e6) >= 0.12 * 2.598076 * 384900.35')
+@query(f"""{SQUARE_SQL}, w AS (SELECT city, "row", col, {', '.join(f'{whole_sql(c)} AS {c}' for c in AREA_CLASSES)} FROM s GROUP BY ALL), l AS (SELECT *, greatest(1000000 - least(water, 1000000), 1) AS land FROM w)
+SELECT city, "row", col, {FRAC_SQL} FROM l WHERE land >= 0.12 * 2.598076 * 384900.35""")
 def cell_fractions(spark, sf_dir):
-    areas = squares(spark, sf_dir)
+    areas = squares(spark, sf_dir).withColumn("area", F.round("area"))
     cells = areas.select("city", "row", "col").distinct().withColumns({"area": F.lit(1e6), "r": F.lit(384900.35**0.5)})
     return grid.with_land(cells, areas).select("city", "row", "col", *(f"{c}_frac" for c in AREA_CLASSES))
 
 
+def square_params(x: DataFrame) -> DataFrame:
+    return x.select("city", *(F.lit(v).alias(k) for k, v in {"r": 1000.0, "w": 1000.0, "minx0": -20000.0, "miny0": -20000.0}.items()))
+
+
+CELL_SQL = """, a AS (SELECT *, unnest(range(CAST(floor((my - ey + 20000) / 1000) AS INT), CAST(floor((my + ey + 20000) / 1000) AS INT) + 1))::INT AS "row" FROM t), b AS (SELECT *, unnest(range(CAST(floor((mx - ex + 20000) / 1000) AS INT), CAST(floor((mx + ex + 20000) / 1000) AS INT) + 1))::INT AS col FROM a),
+c AS (SELECT *, greatest(mx - ex, -20000 + col * 1000) AS ix1, least(mx + ex, -19000 + col * 1000) AS ix2, greatest(my - ey, -20000 + "row" * 1000) AS iy1, least(my + ey, -19000 + "row" * 1000) AS iy2 FROM b)"""
+
+
+@query(f"""WITH t AS ({X.DISTRICT_SQL}){CELL_SQL}, d AS (SELECT *, {X.region('area', [('mx - ex', 'my - ey', 'mx + ex', 'my + ey'), ('mx', 'my', 'mx + ex', 'my + ey'), ('mx - ex', 'my - ey', 'mx', 'my')])} FROM c) SELECT city, "row", col, round(area, 3) AS area FROM d WHERE area > 0""")
+def cell_land(spark, sf_dir):
+    """Land of each cell: every part's boundary, which is no rectangle, without its water."""
+    x = X.districts(spark, sf_dir)
+    land = overlay.cell_land(cities.boundary_rings(x), x.select("city", "rings"), square_params(x), "square")
+    return land.select("city", "row", "col", F.round("area", 3).alias("area"))
+
+
+@query(f"SELECT city, round(3 * ex * ey, 6) AS area, round(mx - ex / 6, 6) AS cx, round(my - ey / 6, 6) AS cy, mx - ex AS minx, my + ey AS maxy, round(2 * ex * ey, 6) AS land_m2 FROM ({X.DISTRICT_SQL})")
+def boundary_measures(spark, sf_dir):
+    x = X.districts(spark, sf_dir).withColumns({"lon0": F.lit(0.0), "lat0": F.lit(0.0)})
+    land = cities.city_bounds(x.select("city", "lon0", "lat0", "parts"), x.select("city", "rings")).select("city", "land_m2")
+    return overlay.measures(x).join(land, "city").select("city", *r6("area", "cx", "cy"), "minx", "maxy", *r6("land_m2"))
+
+
+REGION = [(-9000, -7000, 9000, 7000), (0, 0, 9000, 7000), (-9000, -7000, -4000, -3000)]
+
+
+@query(f"""WITH t AS ({X.select(X.RECT, 'part')}){CELL_SQL}, d AS (SELECT *, {X.region('area', REGION)} FROM c) SELECT city, "row", col, cls, round(sum(area), 3) AS area FROM d WHERE area > 0 GROUP BY ALL""")
+def land_overlay(spark, sf_dir):
+    """Land use in the land of cells only: boundaries without a quarter, and without water."""
+    p = lambda *xy: F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in xy))
+    three = spark.range(3).select(F.col("id").cast("int").alias("city"))
+    land = three.select("city", F.array(p((-9000, -7000), (9000, -7000), (9000, 0), (0, 0), (0, 7000), (-9000, 7000))).alias("rings"))
+    sea = three.select("city", F.array(p((-9000, -7000), (-4000, -7000), (-4000, -3000), (-9000, -3000))).alias("rings"))
+    params = square_params(three)
+    x = overlay.overlay_land(X.land_use(spark, sf_dir), overlay.cell_land(land, sea, params, "square"), params, "square")
+    return x.withColumn("area", F.round("area", 3))
+
+
+@query(f"WITH p AS ({X.points_sql()}), q AS (SELECT p.*, (lon - lon0) * 111320e0 * cos(radians(lat0)) AS x, (lat - lat0) * 110540e0 AS y FROM p), g AS ({X.GRID_SQL}) SELECT osm_id, q.city FROM q JOIN g USING (city) WHERE NOT (x > 0 AND y > 0) AND x BETWEEN minx AND maxx AND y BETWEEN miny AND maxy")
+def points_inside(spark, sf_dir):
+    """Points inside their city's boundary, which lacks the north-eastern quarter of its bounds."""
+    areas = overlay.measures(X.lands(spark)[0])
+    x = X.points(spark, sf_dir).join(F.broadcast(areas.select("city", "lon0", "lat0")), "city")  # one row per city
+    px, py = project(F.col("lon"), F.col("lat"), F.col("lon0"), F.col("lat0"))
+    return overlay.inside(x.select("osm_id", "city", px.alias("x"), py.alias("y")), areas).select("osm_id", "city")
+
+
 @query(f"""WITH p AS ({X.points_sql()}), b AS (SELECT city, (lon - lon0) * 111320e0 * cos(radians(lat0)) AS x, (lat - lat0) * 110540e0 AS y FROM p WHERE source = 'buildings'), t AS ({X.select(X.PIECE, 'supplier')}),
 n AS (SELECT t.piece_id, count(*) AS n FROM t JOIN b ON b.city = t.city AND b.x > mx - e AND b.x <= mx + e AND b.y > my - e AND b.y <= my + e GROUP BY 1)
 SELECT t.city, t.piece_id, coalesce(n, 0) AS buildings, 4 * e * e / 1e6 >= 0.02 AND coalesce(n, 0) / (4 * e * e / 1e6) < 15 AS is_water FROM t LEFT JOIN n USING (piece_id)""")
@@ -196,15 +349,23 @@ def water_pieces(spark, sf_dir):
     return overlay.water_pieces(pieces, hit.select("city", "piece_id", F.lit(1).alias("step"))).select("city", "piece_id", "buildings", "is_water")
 
 
+def built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centers = spark.createDataFrame([(i, *c) for i, c in enumerate(X.CENTERS)], "city int, clon double, clat double")
+    areas, water = X.lands(spark)
+    bounds = keep(cities.city_bounds(areas, water), "bounds")
+    return cities.build_cells(X.points(spark, sf_dir), X.land_use(spark, sf_dir), areas, water, bounds, centers, X.TARGET_CELLS)
+
+
 @query()
 def city_cells(spark, sf_dir):
-    centers = spark.createDataFrame([(i, *c) for i, c in enumerate(X.CENTERS)], "city int, clon double, clat double")
-    return cities.build_cells(X.points(spark, sf_dir), X.land_use(spark, sf_dir), X.bounds(spark), centers, X.TARGET_CELLS)
+    """Points and polygons to cell vectors, inside boundaries that are no rectangles and without their water."""
+    return built(spark, sf_dir)
 
 
-def city_clusters(spark, sf_dir):  # not registered: planning took over a minute
+@query()
+def city_clusters(spark, sf_dir):
     """Points and polygons to named clusters, end to end."""
-    return cities.cluster_cities(spark, city_cells(spark, sf_dir), cities.feature_table(spark), cities.RunConfig(restarts=4))
+    return cities.cluster_cities(spark, keep(built(spark, sf_dir), "cells"), cities.feature_table(spark), cities.RunConfig())
 
 
 # ---- statistics of vectors ----
@@ -270,6 +431,22 @@ def robust_extent(spark, sf_dir):
     return grid.robust_extent(X.points(spark, sf_dir)).select("city", *r6("min_lon", "max_lon", "min_lat", "max_lat"))
 
 
+@query(f"WITH v AS ({X.VALUES_SQL}) SELECT city, cell_id, feature, round(CASE WHEN idx % 2 = 0 THEN ln(1 + abs(value)) ELSE abs(value) END, 6) AS value FROM v")
+def log_densities(spark, sf_dir):
+    kinds = features(spark).select("feature", F.when(F.col("idx") % 2 == 0, "density").otherwise("fraction").alias("kind"))
+    return stats.log_densities(X.values(spark, sf_dir).withColumn("value", F.abs("value")), kinds).select("city", "cell_id", "feature", *r6("value"))
+
+
+@query(f"""WITH {Z_SQL}, w AS (SELECT city, cell_id, max(z) FILTER (WHERE idx = 0) AS a, max(z) FILTER (WHERE idx = 1) AS b FROM z GROUP BY ALL), c AS (SELECT city, sum(a * b) / (count(*) - 1) AS rho FROM w GROUP BY 1)
+SELECT city, cell_id, round(value, 6) AS value, 'Feature 3' AS label, 'fraction of land' AS unit FROM z WHERE idx = 3
+UNION ALL SELECT city, cell_id, round(CASE WHEN rho >= 0 THEN a - b ELSE a + b END / sqrt(2), 6), 'd2 (PCA component 2)', 'score' FROM w JOIN c USING (city)""")
+def map_values(spark, sf_dir):
+    known = features(spark).select("feature", F.concat(F.lit("Feature "), "idx").alias("label"), F.when(F.col("idx") % 2 == 0, "density").otherwise("fraction").alias("kind"))
+    x = zvectors(spark, sf_dir).withColumn("z", F.slice("z", 1, 2))
+    both = clusters.map_values(X.values(spark, sf_dir), known, "f3").union(clusters.map_values(stats.scores(x, stats.pca(x, 2)), known, "pc2"))
+    return both.withColumn("value", F.round("value", 6))
+
+
 # ---- clusters ----
 
 K = 3
@@ -353,8 +530,12 @@ def archetype_scores(spark, sf_dir):
 
 @query()
 def named_clusters(spark, sf_dir):
+    """Names by rank: ties, boroughs and own names go by distance to the centre."""
     own = spark.createDataFrame([(0, 1, "Mine")], "city int, label int, name string")
-    return clusters.name_clusters(clusters.archetype_scores(profiles(spark, sf_dir), features(spark), clusters.archetype_terms(spark, TERMS)), own)
+    x = assigned(spark, sf_dir)
+    ranked = x.drop("d").join(clusters.relabel(x).select("city", "label", "rank"), ["city", "label"]).withColumn("label", F.col("rank"))
+    found = clusters.archetype_scores(clusters.profile(zs(spark, sf_dir), ranked), features(spark), clusters.archetype_terms(spark, TERMS))
+    return clusters.name_clusters(found, own).select("city", F.col("label").alias("rank"), "name")
 
 
 @query(f"WITH {Z_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY city, cell_id ORDER BY abs(z) DESC, idx) AS place FROM z) SELECT city, cell_id, place::INT AS place, feature, round(k.z, 6) AS z FROM k WHERE place <= 4")
@@ -367,10 +548,26 @@ def cluster_share(spark, sf_dir):
     return clusters.cluster_share(assigned(spark, sf_dir)).select("city", "label", "n", *r6("percent", "miles"))
 
 
-@query(f"WITH v AS ({X.VALUES_SQL}) SELECT city, count(DISTINCT cell_id) AS cells, round(sum(land_km2) FILTER (WHERE idx = 0), 6) AS land_km2, count(DISTINCT feature) AS dims FROM v GROUP BY 1")
+@query(f"WITH v AS ({X.VALUES_SQL}) SELECT city, count(DISTINCT cell_id) AS cells, round(sum(land_km2) FILTER (WHERE idx = 0), 6) AS land_km2, count(DISTINCT feature) AS dims, 2 AS components, 1e0 AS explained FROM v GROUP BY 1")
 def city_summary(spark, sf_dir):
+    """Totals of each city, with components of its first two features (two are the least kept, and explain these)."""
+    x = zvectors(spark, sf_dir).withColumn("z", F.slice("z", 1, 2))
+    s = clusters.city_summary(X.vectors(spark, sf_dir), stats.pca(x, 2))
+    return s.select("city", "cells", *r6("land_km2"), "dims", "components", *r6("explained"))
+
+
+@query(f"WITH v AS ({X.VALUES_SQL}) SELECT DISTINCT feature, idx FROM v WHERE feature NOT IN ('f1', 'f2') AND grp <> 'g7'")
+def enabled_features(spark, sf_dir):
+    """Features in use without two keys and a group."""
+    used = X.values(spark, sf_dir).select("feature", "idx", "grp").distinct()
+    disabled = used.filter("feature in ('f1', 'f2') or grp = 'g7'").select("feature")
+    return clusters.enabled_features(used, disabled).select("feature", "idx")
+
+
+@query("""SELECT label AS city, 0 AS line, '{"city":' || label || ',"cells":' || count(*) || '}' AS document FROM embeddings GROUP BY label UNION ALL SELECT label, 1, '{"city":' || label || ',"cell_id":' || vec_id || '}' FROM embeddings""")
+def city_documents(spark, sf_dir):
     x = X.vectors(spark, sf_dir)
-    return x.groupBy("city").agg(F.count("*").alias("cells"), F.round(F.sum("land_km2"), 6).alias("land_km2"), F.max(F.size("v")).cast("long").alias("dims"))
+    return clusters.city_documents(x.groupBy("city").agg(F.count("*").alias("cells")), x.select("city", "cell_id"))
 
 
 @query(f"WITH v AS ({X.VALUES_SQL}) SELECT grp, count(DISTINCT feature) FILTER (WHERE feature NOT IN ('f1', 'f2', 'f63')) AS enabled, count(DISTINCT feature) AS total FROM v GROUP BY 1")
@@ -388,7 +585,8 @@ def cells_geojson(spark, sf_dir):
 
 @query()
 def sweep(spark, sf_dir):
-    """k-means of every city for several k and seeds."""
-    settings = spark.createDataFrame([(i, k, s, 2, 50) for i, (k, s) in enumerate((k, s) for k in (2, 5) for s in (1, 42))], "param_id int, k int, seed long, restarts int, max_iter int")
+    """k-means of every city for several k, seeds, sets of features and shares of variance."""
+    every, some = list(range(64)), list(range(8, 40))
+    settings = [(i, k, s, 12, 200, f, v) for i, (k, s, f, v) in enumerate((k, s, f, v) for k in (2, 5, 12) for s, f, v in ((42, every, 0.86), (1, every, 0.86), (42, some, 0.86), (42, every, 0.5)))]
+    settings = spark.createDataFrame(settings, "param_id int, k int, seed long, restarts int, max_iter int, features array<int>, var_target double")
     return kmeans.cluster_groups(X.vectors(spark, sf_dir), settings).groupBy("city", "param_id").agg(F.countDistinct("label").alias("clusters"), F.round(F.max("inertia"), 6).alias("inertia"))
-

@@ -110,12 +110,32 @@ def geojson(cells: DataFrame) -> DataFrame:
     return cells.select("city", "cell_id", F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("cell_id").alias("id"), shape.alias("geometry"))).alias("feature"))
 
 
+def map_values(cells: DataFrame, features: DataFrame, mode: str) -> DataFrame:
+    """(city, cell_id, value, label, unit) for a map: of a feature (its key; cells: long rows city, cell_id, feature,
+    value), or of the first or second component (pc1, pc2; cells: score, an array of the components)."""
+    if mode in ("pc1", "pc2"):
+        n = int(mode[2])
+        x = cells.filter(F.size("score") >= n)
+        return x.select("city", "cell_id", F.get("score", F.lit(n - 1)).alias("value"), F.lit(f"d{n} (PCA component {n})").alias("label"), F.lit("score").alias("unit"))
+    one = features.filter(F.col("feature") == mode).select("feature", "label", F.when(F.col("kind") == "density", "per km²").otherwise("fraction of land").alias("unit"))
+    return cells.filter(F.col("feature") == mode).join(F.broadcast(one), "feature").select("city", "cell_id", "value", "label", "unit")  # one row
+
+
+def city_summary(cells: DataFrame, components: DataFrame) -> DataFrame:
+    """(city, cells, land_km2, dims, components, explained) from cells (city, land_km2, v) and components (city,
+    component, share)."""
+    x = cells.groupBy("city").agg(F.count("*").alias("cells"), F.sum("land_km2").alias("land_km2"), F.max(F.size("v")).cast("long").alias("dims"))
+    c = components.groupBy("city").agg(F.count("*").alias("components"), F.sum("share").alias("explained"))
+    return x.join(c, "city")
+
+
 def write_cities(cells: DataFrame, path: str) -> None:
     """Parquet of cell vectors, a folder a city."""
     cells.repartition("city").write.mode("overwrite").partitionBy("city").parquet(path)
 
 
 def city_documents(header: DataFrame, cells: DataFrame) -> DataFrame:
-    """(city, document): one JSON line per cell under its city's header line, so no city is gathered in a row."""
+    """(city, line, document): the header as line 0 of a city, then one JSON line per cell, so no city is gathered in
+    a row. Write it with ``repartition("city").sortWithinPartitions("city", "line")`` and ``partitionBy("city")``."""
     top = header.select("city", F.lit(0).alias("line"), F.to_json(F.struct(*header.columns)).alias("document"))
     return top.union(cells.select("city", F.lit(1), F.to_json(F.struct(*cells.columns))))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import AREA_CLASSES, KEYS, POINT_FEATURES, STREET_KEYS
-from ..functions.geo import AREA_OF_R2, SQRT3, haversine_km, hex_radius, locate, project, unproject
+from ..functions.geo import AREA_OF_R2, SQRT3, haversine_km, hex_radius, hex_ring, locate, project, unproject
 
 CELL = ["city", "row", "col"]
 
@@ -44,25 +44,46 @@ def to_cells(points: DataFrame, params: DataFrame) -> DataFrame:
     return x.withColumns({"row": F.col("at.row"), "col": F.col("at.col")}).drop("at")
 
 
+def feature_rules(spark: SparkSession) -> DataFrame:
+    """(source, key, value, feature): the tag values of each feature; value * stands for any, key "" for every row
+    and key rule:.. for a feature's own predicate."""
+    rows = []
+    for i, f in enumerate(POINT_FEATURES):
+        key = f"rule:{f.key}" if f.rule else f.tag or ""
+        rows += [(f.source, key, v, i) for v in (f.values if f.tag and f.values else ("*",))]
+    return spark.createDataFrame(rows, "source string, key string, value string, feature int")
+
+
+def feature_hits(located: DataFrame) -> DataFrame:
+    """(city, row, col, feature): one row per feature that a point counts for, or one with null. Each tag is read
+    once and meets the features' values by a hash join with a table of some 150 rows."""
+    anyway = {f.tag for f in POINT_FEATURES if f.tag and not f.values}
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    star = F.lit("*")
+    tags = F.flatten(F.transform(F.filter(F.map_entries("tags"), lambda e: e["value"] != ""), lambda e: F.when(e["key"].isin(*anyway), F.array(entry(e["key"], e["value"]), entry(e["key"], star))).otherwise(F.array(entry(e["key"], e["value"])))))
+    own = [F.when((F.col("source") == f.source) & f.rule(), entry(F.lit(f"rule:{f.key}"), star)) for f in POINT_FEATURES if f.rule]
+    every = F.array_compact(F.array(entry(F.lit(""), star), *own))
+    x = located.select(*CELL, "source", F.explode(F.concat(F.coalesce(tags, F.array()), every)).alias("e")).select(*CELL, "source", "e.key", "e.value")
+    return x.join(F.broadcast(feature_rules(located.sparkSession)), ["source", "key", "value"], "left").select(*CELL, "feature")
+
+
+def key_counts() -> list[Column]:
+    return [F.count_if(F.col("feature") == i).alias(k) for i, k in enumerate(KEYS)]
+
+
 def cell_counts(located: DataFrame) -> DataFrame:
-    """48 conditional counts per cell in one pass; partial counts leave each task, so a cell that
-    a third of all points fall in costs no more than others."""
-    return located.groupBy(*CELL).agg(*(F.count_if(f.matches()).alias(f.key) for f in POINT_FEATURES))
+    """48 counts per cell in one pass; partial counts leave each task, so a cell that a third of all
+    points fall in costs no more than others."""
+    return feature_hits(located).groupBy(*CELL).agg(*key_counts())
 
 
 def cell_activity(located: DataFrame) -> DataFrame:
     """cell_counts with the totals that the activity filter needs, as columns of the same aggregation:
     a filter over three columns, where one over 48 that later steps rename is slow to plan."""
-    hits = lambda chosen: F.coalesce(F.sum(sum((f.matches().cast("int") for f in chosen), F.lit(0))), F.lit(0))
-    streets = [f for f in POINT_FEATURES if f.key in STREET_KEYS]
-    others = [f for f in POINT_FEATURES if f.key not in STREET_KEYS and f.key not in ("buildings", "trees")]
-    extra = [hits(streets).alias("street_points"), hits(others).alias("other_points"), F.count_if(F.col("source") == "buildings").alias("building_points")]
-    return located.groupBy(*CELL).agg(*(F.count_if(f.matches()).alias(f.key) for f in POINT_FEATURES), *extra)
-
-
-def fill_cells(cells: DataFrame, counts: DataFrame) -> DataFrame:
-    """Every cell with its counts, 0 where no point fell."""
-    return cells.join(counts, CELL, "left").fillna(0, subset=KEYS)
+    streets = [i for i, k in enumerate(KEYS) if k in STREET_KEYS]
+    others = [i for i, k in enumerate(KEYS) if k not in [*STREET_KEYS, "buildings", "trees"]]
+    some = {"street_points": streets, "other_points": others, "building_points": [KEYS.index("buildings")]}
+    return feature_hits(located).groupBy(*CELL).agg(*key_counts(), *(F.count_if(F.col("feature").isin(*chosen)).alias(name) for name, chosen in some.items()))
 
 
 def with_land(cells: DataFrame, areas: DataFrame) -> DataFrame:
@@ -91,6 +112,22 @@ def densities() -> list[Column]:
     return [F.round(F.col(k) / F.col("land_km2"), 3).alias(k) for k in KEYS]
 
 
+def with_centres(cells: DataFrame, params: DataFrame) -> DataFrame:
+    """Cells (city, row, col) with the grid's parameters and cx, cy."""
+    x = cells.join(F.broadcast(params.select("city", "lon0", "lat0", "r", "w", "minx0", "miny0")), "city")  # one row per city
+    shift = F.when(F.pmod("row", F.lit(2)) == 1, F.col("w") / 2).otherwise(F.lit(0.0))
+    return x.withColumns({"cx": F.col("minx0") + F.col("col") * F.col("w") + shift, "cy": F.col("miny0") + F.col("row") * F.lit(1.5) * F.col("r")})
+
+
+def corners() -> Column:
+    """The hexagon of a cell (with lon0, lat0, cx, cy, r) as six (lon, lat), to 5 digits."""
+    def point(p):
+        lon, lat = unproject(p["x"], p["y"], F.col("lon0"), F.col("lat0"))
+        return F.struct(F.round(lon, 5).alias("lon"), F.round(lat, 5).alias("lat"))
+
+    return F.transform(hex_ring(F.col("cx"), F.col("cy"), F.col("r")), point)
+
+
 def place_columns(center_lon: Column, center_lat: Column) -> dict[str, Column]:
     """cell_id, centre and distance of a cell (with lon0, lat0, cx, cy)."""
     lon, lat = unproject(F.col("cx"), F.col("cy"), F.col("lon0"), F.col("lat0"))
@@ -112,11 +149,16 @@ def city_index(registry: DataFrame, cells: DataFrame, generated: str) -> DataFra
     return registry.join(cells.groupBy("city").agg(F.count("*").alias("cells")), registry["slug"] == F.col("city")).drop("city").withColumn("generated", F.lit(generated))
 
 
-def systematic_sample(points: DataFrame, most: int) -> DataFrame:
-    """Every step-th point of a city, with the step; step 1 where there are no more than ``most``."""
-    n = points.groupBy("city").agg(F.greatest(F.lit(1), F.expr(f"count(*) div {most}")).alias("step"))
-    x = points.join(F.broadcast(n), "city")  # one row per city
-    return x.filter((F.col("step") == 1) | (F.pmod(F.xxhash64("osm_id"), F.col("step")) == 0))
+def systematic_sample(points: DataFrame, most: int, rows: int = 10_000) -> DataFrame:
+    """Every step-th point of a city in order of osm_id, with the step: 1 where there are no more than ``most``.
+    Points are numbered in parts of about ``rows`` by ranges of osm_id and prefix sums over these."""
+    part = F.expr(f"osm_id div {rows}")
+    x = points.withColumn("part", part)
+    parts = x.groupBy("city", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(by_city("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = parts.withColumns({"before": before, "step": F.greatest(F.lit(1), F.floor(F.sum("n").over(Window.partitionBy("city")) / most))}).drop("n")
+    x = x.join(steps, ["city", "part"]).withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("city", "part").orderBy("osm_id")) - 1)
+    return x.filter(F.col("at") % F.col("step") == 0).drop("part", "before", "at")
 
 
 def robust_extent(cells: DataFrame) -> DataFrame:

@@ -11,7 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stats import eigen
+
 SEED_STEP = 7919
+#: Cells of one city in ``cluster_groups``; 100 times the default grid.
+MOST_CELLS = 100_000
 
 
 def square_distance(a, b):
@@ -72,12 +76,23 @@ def kmeans_array(x: np.ndarray, k: int, restarts: int = 12, max_iter: int = 200,
 
 def cluster_groups(vectors: DataFrame, params: DataFrame, column: str = "v") -> DataFrame:
     """(city, param_id, cell_id, label, inertia) for every city and setting (param_id, k, seed,
-    restarts, max_iter): a sweep of small problems, one group each. A city's cells are bounded by
-    the grid; for larger tables use ``lloyd``."""
+    restarts, max_iter): a sweep of small problems, one group each. With columns features (array of
+    places) and var_target, a setting takes these features and their own components. A city's cells are
+    bounded by the grid (MOST_CELLS here, an error beyond); for larger tables use ``lloyd``."""
+    chosen = "features" in params.columns
+
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > MOST_CELLS:
+            raise ValueError(f"{len(frame)} cells in a city; use lloyd")
         frame = frame.sort_values("cell_id")
         p = frame.iloc[0]
-        labels, _, inertia = kmeans_array(np.stack(frame[column].to_numpy()).astype(float), int(p.k), int(p.restarts), int(p.max_iter), int(p.seed))
+        x = np.stack(frame[column].to_numpy()).astype(float)
+        if chosen:
+            x = x[:, list(p.features)]
+            x = x - x.mean(axis=0)
+            _, loadings, n = eigen(np.atleast_2d(np.cov(x.T)), float(p.var_target))
+            x = x @ loadings[:, :n]
+        labels, _, inertia = kmeans_array(x, int(p.k), int(p.restarts), int(p.max_iter), int(p.seed))
         return pd.DataFrame({"city": frame.city, "param_id": frame.param_id, "cell_id": frame.cell_id, "label": labels, "inertia": inertia})
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}

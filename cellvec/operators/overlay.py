@@ -1,15 +1,20 @@
 """Polygons on cells: ring assembly, clipped areas, points in polygons. Rings are arrays of (x, y).
 
-A polygon row stays whole on one task, finds the cells of its bounding box there and sends only
-areas on; no ring is copied to cells. Bad polygons give no rows.
+A polygon row stays whole on one task, finds the cells of its bounding box there and sends on areas,
+or the parts of its rings inside each cell; no whole ring is copied to cells. Where a cell crosses
+the border of a city's land, its pieces meet the land's by an equi-join on the cell. Bad polygons
+give no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType
 
 SQRT3 = 3**0.5
 
@@ -107,18 +112,52 @@ def polygons(elements: DataFrame) -> DataFrame:
                 out += [(e.city, e.type, e.id, k, [[{"x": x, "y": y} for x, y in r] for r in rings]) for k, rings in enumerate(found)]
             yield pd.DataFrame(out, columns=["city", "type", "id", "part", "rings"])
 
-    return elements.select("city", "type", "id", "geometry", "members").mapInPandas(build, f"city string, type string, id long, part int, rings {ring}")
+    kind = elements.schema["city"].dataType.simpleString()
+    return elements.select("city", "type", "id", "geometry", "members").mapInPandas(build, f"city {kind}, type string, id long, part int, rings {ring}")
 
 
 def as_rings(value) -> list[np.ndarray]:
     return [np.array([(p["x"], p["y"]) for p in r], dtype=float) for r in value]
 
 
-def overlay(polys: DataFrame, params: DataFrame, shape: str = "hexagon") -> DataFrame:
-    """(city, row, col, cls, area) of polygons (city, cls, rings in metres) on the grid; overlapping
-    polygons of a class add up. shape: hexagon cells, or squares of side w."""
+def area_where(layers: list[list[np.ndarray]], wanted: Callable[[list[np.ndarray]], np.ndarray]) -> float:
+    """Area of the points that are wanted by which of the layers (rings by the even-odd rule) they lie in.
+
+    Between neighbouring x of vertices and crossings no edges cross, so a strip's part is its width
+    times its length along the middle."""
+    edges = []
+    for k, rings in enumerate(layers):
+        for ring in rings:
+            for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, axis=0), strict=True):
+                if x1 != x2:
+                    edges.append((x1, y1, x2, y2, k) if x1 < x2 else (x2, y2, x1, y1, k))
+    if not edges:
+        return 0.0
+    x1, y1, x2, y2, layer = np.array(edges).T
+    slope = (y2 - y1) / (x2 - x1)
+    base = y1 - slope * x1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = (base[None, :] - base[:, None]) / (slope[:, None] - slope[None, :])
+    cross = cross[(cross > np.maximum(x1[:, None], x1)) & (cross < np.minimum(x2[:, None], x2))]
+    xs = np.unique(np.concatenate((x1, x2, cross)))
+    middle, width = (xs[1:] + xs[:-1]) / 2, np.diff(xs)
+    total = 0.0
+    for m, w in zip(middle, width, strict=True):
+        on = np.flatnonzero((x1 < m) & (m < x2))
+        y = base[on] + slope[on] * m
+        order = np.argsort(y)
+        inside = [np.cumsum(layer[on][order] == k)[:-1] % 2 == 1 for k in range(len(layers))]
+        if len(on) > 1:
+            total += w * float(np.diff(y[order])[wanted(inside)].sum())
+    return total
+
+
+def clip_to_cells(polys: DataFrame, params: DataFrame, shape: str = "hexagon", keep: Sequence[str] = ("cls",)) -> DataFrame:
+    """(city, row, col, *keep, area, parts) for each cell that a polygon (city, *keep, rings in metres) meets: its
+    area there, and its rings cut to the cell. shape: hexagon cells, or squares of side w."""
     grid = params.select("city", "r", "w", "minx0", "miny0")  # one row per city
-    x = polys.select("city", "cls", "rings").repartition(F.xxhash64("rings")).join(F.broadcast(grid), "city")
+    x = polys.select("city", *keep, "rings").repartition(F.xxhash64("rings")).join(F.broadcast(grid), "city")
+    names = ["city", "row", "col", *keep, "area", "parts"]
 
     def clip(frames):
         for frame in frames:
@@ -133,15 +172,96 @@ def overlay(polys: DataFrame, params: DataFrame, shape: str = "hexagon") -> Data
                 for row in range(int((y1 - p.miny0) // high) - reach + 1, int((y2 - p.miny0) // high) + reach + 1):
                     shift = p.w / 2 if shape == "hexagon" and row % 2 else 0.0
                     for col in range(int((x1 - p.minx0 - shift) // p.w) - reach + 1, int((x2 - p.minx0 - shift) // p.w) + reach + 1):
-                        ax, ay = p.minx0 + col * p.w + shift, p.miny0 + row * high
-                        window = np.array([(ax, ay), (ax + p.w, ay), (ax + p.w, ay + p.w), (ax, ay + p.w)]) if shape == "square" else hexagon(ax, ay, p.r)
-                        area = clipped_area(rings, window)
+                        window = cell_window(p.minx0 + col * p.w + shift, p.miny0 + row * high, p.r, p.w, shape)
+                        parts = [clip_convex(r, window) for r in rings]
+                        area = max(0.0, sum((abs(ring_area(c)) if len(c) >= 3 else 0.0) * (-1 if k else 1) for k, c in enumerate(parts)))
                         if area > 0:
-                            out.append((p.city, row, col, p.cls, area))
-            yield pd.DataFrame(out, columns=["city", "row", "col", "cls", "area"])
+                            out.append((p.city, row, col, *(getattr(p, c) for c in keep), area, [[{"x": a, "y": b} for a, b in c] for c in parts if len(c) >= 3]))
+            yield pd.DataFrame(out, columns=names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in x.schema}
+    return x.mapInPandas(clip, f"city {kinds['city']}, row int, col int, " + "".join(f"{c} {kinds[c]}, " for c in keep) + "area double, parts array<array<struct<x: double, y: double>>>")
+
+
+def cell_window(x: float, y: float, r: float, w: float, shape: str) -> np.ndarray:
+    """A cell as a convex ring: the hexagon around a centre, or the square from a corner."""
+    return np.array([(x, y), (x + w, y), (x + w, y + w), (x, y + w)]) if shape == "square" else hexagon(x, y, r)
+
+
+def overlay(polys: DataFrame, params: DataFrame, shape: str = "hexagon") -> DataFrame:
+    """(city, row, col, cls, area) of polygons (city, cls, rings in metres) on the grid; overlapping
+    polygons of a class add up."""
+    return clip_to_cells(polys, params, shape).groupBy("city", "row", "col", "cls").agg(F.sum("area").alias("area"))
+
+
+def cell_land(boundaries: DataFrame, water: DataFrame, params: DataFrame, shape: str = "hexagon") -> DataFrame:
+    """(city, row, col, area, whole, land, sea) of every cell that meets a boundary (city, rings) outside the
+    water (city, rings): the area of its land, whether that is the whole cell, and the rings cut to the cell.
+    A cell's few pieces come together in one row."""
+    part = lambda df, name: clip_to_cells(df.withColumn("cls", F.lit(name)), params, shape)
+    both = part(boundaries, "land").union(part(water, "sea"))
+    pieces = lambda name: F.coalesce(F.flatten(F.collect_list(F.when(F.col("cls") == name, F.col("parts")))), F.array())
+    x = both.groupBy("city", "row", "col").agg(F.sum(F.when(F.col("cls") == "land", F.col("area"))).alias("area"), pieces("land").alias("land"), pieces("sea").alias("sea"))
+    x = x.filter("area is not null").join(F.broadcast(params.select("city", "r", "w")), "city")  # one row per city
+    full = F.col("w") * F.col("w") if shape == "square" else F.lit(1.5) * F.col("r") * F.col("w")
+    x = x.withColumns({"whole": (F.size("sea") == 0) & (F.col("area") >= full * (1 - 1e-9)), "wet": F.size("sea") > 0})
+
+    def dry(land: pd.Series, sea: pd.Series) -> pd.Series:
+        return pd.Series([area_where([as_rings(a), as_rings(b)], lambda i: i[0] & ~i[1]) for a, b in zip(land, sea, strict=True)], dtype=float)
+
+    x = x.withColumn("area", F.when(F.col("wet"), F.pandas_udf(dry, DoubleType())("land", "sea")).otherwise(F.col("area")))
+    return x.filter("area > 1e-6").select("city", "row", "col", "area", "whole", "land", "sea")
+
+
+def overlay_land(polys: DataFrame, land: DataFrame, params: DataFrame, shape: str = "hexagon") -> DataFrame:
+    """As ``overlay``, for the part of each cell that is land (from ``cell_land``)."""
+    x = clip_to_cells(polys, params, shape).join(land.select("city", "row", "col", "whole", "land", "sea"), ["city", "row", "col"])
+
+    def common(parts: pd.Series, land: pd.Series, sea: pd.Series) -> pd.Series:
+        return pd.Series([area_where([as_rings(p), as_rings(a), as_rings(b)], lambda i: i[0] & i[1] & ~i[2]) for p, a, b in zip(parts, land, sea, strict=True)], dtype=float)
+
+    inner, border = x.filter("whole"), x.filter("not whole").withColumn("area", F.pandas_udf(common, DoubleType())("parts", "land", "sea"))
+    out = inner.select("city", "row", "col", "cls", "area").union(border.select("city", "row", "col", "cls", "area").filter("area > 0"))
+    return out.groupBy("city", "row", "col", "cls").agg(F.sum("area").alias("area"))
+
+
+def measures(polys: DataFrame) -> DataFrame:
+    """polys (.., parts: polygons, rings, points (x, y)) with area (holes less), centroid cx, cy and bounds minx .. maxy.
+    Outer rings may run either way."""
+    def ring_sums(ring):
+        after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+        pairs = F.zip_with(ring, after, lambda p, q: F.struct((p["x"] * q["y"] - q["x"] * p["y"]).alias("c"), (p["x"] + q["x"]).alias("x"), (p["y"] + q["y"]).alias("y")))
+        total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda t, e: t + f(e))
+        return F.struct(total(lambda e: e["c"] / 2).alias("a"), total(lambda e: e["c"] * e["x"] / 6).alias("mx"), total(lambda e: e["c"] * e["y"] / 6).alias("my"))
+
+    def signed(rings):
+        sums = F.transform(rings, ring_sums)
+        return F.transform(sums, lambda s, i: F.struct(*((s[k] * F.signum(s["a"]) * F.when(i == 0, 1.0).otherwise(-1.0)).alias(k) for k in ("a", "mx", "my"))))
+
+    x = polys.withColumn("sums", F.flatten(F.transform("parts", signed))).withColumn("all", F.flatten(F.flatten("parts")))
+    total = lambda k: F.aggregate("sums", F.lit(0.0), lambda t, e: t + e[k])
+    x = x.withColumns({"area": total("a"), "mx": total("mx"), "my": total("my")})
+    place = {"x": F.transform("all", lambda p: p["x"]), "y": F.transform("all", lambda p: p["y"])}
+    ends = {f"{n}{c}": f(place[c]) for n, f in (("min", F.array_min), ("max", F.array_max)) for c in "xy"}
+    return x.withColumns({"cx": F.col("mx") / F.col("area"), "cy": F.col("my") / F.col("area"), **ends}).drop("sums", "all", "mx", "my")
+
+
+def inside(points: DataFrame, areas: DataFrame) -> DataFrame:
+    """Points (city, x, y, ..) inside their city's area (city, parts, and minx .. maxy as of ``measures``): first
+    the bounds, then the even-odd rule. Areas, one row per city, go to every task; points stay where they are."""
+    held = F.broadcast(areas.select("city", "minx", "miny", "maxx", "maxy"))  # one row per city
+    near = points.join(held, "city").filter("x between minx and maxx and y between miny and maxy").drop("minx", "miny", "maxx", "maxy")
+    shapes = points.sparkSession.sparkContext.broadcast({r.city: [np.array([(p.x, p.y) for p in ring]) for part in r.parts for ring in part] for r in areas.select("city", "parts").collect()})
+
+    def test(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for city, x, y in batches:
+            hit = np.zeros(len(x), dtype=bool)
+            for c in city.unique():
+                mine = (city == c).to_numpy()
+                hit[mine] = contains(shapes.value[c], x.to_numpy()[mine], y.to_numpy()[mine])
+            yield pd.Series(hit)
 
-    kind = x.schema["city"].dataType.simpleString()
-    return x.mapInPandas(clip, f"city {kind}, row int, col int, cls string, area double").groupBy("city", "row", "col", "cls").agg(F.sum("area").alias("area"))
+    return near.filter(F.pandas_udf(test, BooleanType())("city", "x", "y"))
 
 
 def water_pieces(pieces: DataFrame, buildings: DataFrame, least_km2: float = 0.02, most_density: float = 15.0) -> DataFrame:
