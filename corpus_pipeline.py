@@ -33,14 +33,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    x = docs.withColumn("_key", F.sha2(F.to_json(F.struct(*docs.columns)), 256))
-    held = link_rows(spark, x, keep=("_key",)).filter("component is not null").groupBy("component", "_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("held"))
+    rows = docs.select(F.struct("*").alias("row"))
+    key = F.sha2(F.to_json("row"), 256).alias("key")
+    x = rows.select(F.col("row").getField("doc_id").alias("doc_id"), F.col("row").getField("text").alias("text"), key)
+    held = link_rows(spark, x, keep=("key",)).filter("component is not null").groupBy("component", "key").agg(F.min("doc_id").alias("id"), F.count("*").alias("held"))
     held = Scratch(spark, "one-of-each").keep(held, "held")
-    best = held.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_key")).alias("best"))
-    marks = held.join(best, "component").select("_key", (F.col("best._key") != F.col("_key")).alias("_gone"), "held").filter("_gone or held > 1").drop("held")
-    x = x.join(marks, "_key", "left")
-    once = x.filter("not _gone").dropDuplicates(["_key"])  # rows alike in all columns
-    return x.filter("_gone is null").union(once).select(*docs.columns)
+    best = held.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("best"))
+    marks = held.join(best, "component").select("key", (F.col("best.key") != F.col("key")).alias("gone"), "held").filter("gone or held > 1").drop("held")
+    x = rows.withColumn("key", key).join(marks, "key", "left")
+    once = x.filter("not gone").dropDuplicates(["key"])  # rows alike in all columns
+    return x.filter("gone is null").union(once).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,24 @@ def test_run(spark, tmp_path):
     assert set(copies.index) <= set(range(84)) and copies.max() <= 2
     words = sum(len(own[i]) * n for i, n in copies.items())
     assert words == pytest.approx(plan.drop_duplicates("source_size").target.sum(), abs=3 * 120)
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark, tmp_path):
+    """Columns of any name pass through; so do tables without rows. Toxic documents go, clean ones stay."""
+    rng = random.Random(5)
+    text = lambda bad: " ".join([f"w{rng.randrange(400)}" for _ in range(50)] + ["zglorb vraxxle quimbst"] * bad + [f"w{rng.randrange(400)}" for _ in range(20)])
+    rows = [(k, text(k % 4 == 0), "en", f"s{k % 3}", 0) for k in range(240)] + [(None, None, None, None, None), (500, "", "en", None, 0), (501, text(0) * 300, "en", "s1", 0)]
+    names = ["_toxicity", "row", "key", "gone", "kept", "a.b", "size", "bucket", "cut"]
+    docs = spark.createDataFrame([(*r, *range(9)) for r in rows], SCHEMA + "".join(f", `{n}` int" for n in names)).repartition(3)
+    spark.createDataFrame([(k, 0, int(k % 4 == 0)) for k in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
+    left = {r.doc_id for r in kept}
+    assert kept[0].__fields__ == docs.columns and sum(k % 4 == 0 for k in range(160, 240) if k in left) <= 2
+    assert {k for k in range(240) if k % 4} | {None, 500, 501} <= left
+    few = docs.filter("doc_id is null or doc_id % 40 < 3")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, few, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes and out.count() > 0
+        assert all(tuple(r)[5:] == tuple(range(9)) for r in out.collect())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
