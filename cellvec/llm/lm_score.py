@@ -3,7 +3,7 @@
 The count tables are partitioned by hash, and n-grams join them by hash; but rows of one n-gram each
 (some 13 bytes, for 540 million of document and n-gram on 1 GB of input) would shuffle over 6 times
 the input each way. So documents are dealt to blocks of about BLOCK_BYTES of text. A block counts its n-grams once and
-sends (hash, count), sorted and cut by hash ranges, to the count tables: one row per block and
+sends (hash, count), sorted and cut by hash ranges, to the count tables: one row per block, length and
 range, which holds that block's part as two compressed columns, so n-grams travel as a few bytes
 and not as rows of their own. A range adds up its parts and returns to each block, in the order
 of its hashes and without them, the counts that other blocks have. Blocks then meet these by a
@@ -17,47 +17,55 @@ S(w | shorter context); at last c(w) / words, or 1 / (words + 1) for a word met
 
 Null and empty texts score 0. Rows of equal doc_id, or of none, are documents of their own, dealt to
 blocks by their place in the table, which must read in the same order again. Extra columns are
-ignored; empty table: no rows. N-grams are 64-bit hashes. A block needs some 30 times its text in
+ignored; empty table: no rows. N-grams are 56-bit hashes: of 10**9 different ones some 7 share theirs. A block needs some 15 times its text in
 memory, and so does one text larger than a block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .texthash import PLACES, flat, mix, words
+from .texthash import PLACES, blocks, flat, mix, words
 
 ORDER = 3
 BACKOFF = 0.4
 BLOCK_BYTES = 16 << 20
 RANGE_GRAMS = 1 << 20
+SLICE_BYTES = 1 << 20
+#: The bits of a hash that are kept: 56, as the last byte would not compress.
+KEPT = np.uint64(2**64 - 2**8)
+
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``words``, slice by slice, which keeps the arrays over bytes small."""
+    hashes, first = [], [np.zeros(1, np.int64)]
+    for part in blocks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", SLICE_BYTES):
+        h, at = words(*flat(part.column(0)))
+        hashes.append(h)
+        first.append(at[1:] + first[-1][-1])
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(first)
 
-def grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For n = 1 .. order the hash of the n-gram that ends at each word (0: none), with the words'
-    documents and the documents' first words."""
-    h, first = words(*flat(texts))
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    depth = np.arange(len(h)) - first[:-1][doc] if len(h) else np.zeros(0, np.int64)
-    out = [mix(h * PLACES[0] + PLACES[10])]
+
+def grams(h: np.ndarray, first: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """For n = 1 .. order the hash of the n-gram that ends at each word; 0 where a text's first words have none."""
+    depth = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
     total = h * PLACES[0]
+    yield mix(total + PLACES[10]) & KEPT
     for n in range(2, order + 1):
-        moved = np.zeros_like(h)
-        moved[n - 1 :] = h[: max(0, len(h) - n + 1)]
-        total = total + moved * PLACES[n - 1]
-        g = mix(total + PLACES[10] * np.array([n], dtype=np.uint64))
+        total[n - 1 :] += h[: max(0, len(h) - n + 1)] * PLACES[n - 1]
+        g = mix(total + PLACES[10] * np.array([n], dtype=np.uint64)) & KEPT
         g[depth < n - 1] = 0
-        out.append(g)
-    return out, doc, first
+        yield g
 
 
-def block_texts(batches) -> tuple[pa.Array, list]:
-    table = batches if isinstance(batches, pa.Table) else pa.Table.from_batches(list(batches))
-    return table.column("text").cast(pa.large_string()).combine_chunks(), table
+def block_texts(table: pa.Table) -> pa.Array:
+    return table.column("text").cast(pa.large_string()).combine_chunks()
 
 
 def pressed(numbers: np.ndarray) -> bytes:
@@ -70,37 +78,48 @@ def unpressed(held: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
-def count_grams(each: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of a block's n-grams, their counts, and where each range of hashes starts."""
-    h, n = np.unique(np.concatenate(each), return_counts=True)
-    h, n = h[h != 0], n[h != 0]
-    return h, n, np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(h)])
+def edges_of(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where each range of hashes starts in sorted ones, and the end."""
+    return np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(h)])
+
 
+def runs_of(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of a block's n-grams and their counts; and for each n-gram, in the order of ``at``, its
+    place among these and how often its own text holds it."""
+    at = np.argsort(g, kind="stable")  # texts stay in order within an n-gram
+    at = at[np.count_nonzero(g == 0) :]
+    s, d = g[at], doc[at]
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = s[1:] != s[:-1]
+    apart = new.copy()
+    apart[1:] |= d[1:] != d[:-1]
+    starts, parts = np.flatnonzero(new), np.flatnonzero(apart)
+    own = np.repeat(np.diff(np.append(parts, len(s))), np.diff(np.append(parts, len(s))))
+    return s[starts], np.diff(np.append(starts, len(s))), at, np.cumsum(new) - 1, own
 
-def score_block(each: list[np.ndarray], doc: np.ndarray, first: np.ndarray, known: np.ndarray, totals: np.ndarray, corpus_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words and log score of each text, from ``grams`` and the totals of all its n-grams (``known``, sorted)."""
+
+def score_block(h: np.ndarray, first: np.ndarray, order: int, others: Callable[[int, np.ndarray], np.ndarray], corpus_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and log score of each text. others(n, hashes) gives the counts of a block's n-grams in other blocks."""
     n = np.diff(first)
-    score = np.zeros(len(doc))
-    done = np.zeros(len(doc), dtype=bool)
-    others = (corpus_words - n)[doc] if len(doc) else np.zeros(0)
-    counts = []
-    for g in each:
-        which = np.where(g == 0, len(known), np.searchsorted(known, g))
-        key = doc * np.int64(len(known) + 1) + which
-        _, back, own = np.unique(key, return_inverse=True, return_counts=True)
-        left = np.append(totals, 0)[which] - own[back]
-        left[g == 0] = 0
+    doc = np.repeat(np.arange(len(n)), n)
+    counts, there = [], []
+    for k, g in enumerate(grams(h, first, order)):
+        known, held, at, which, own = runs_of(g, doc)
+        left = np.zeros(len(g), np.int64)
+        left[at] = (held + others(k + 1, known))[which] - own
         counts.append(left)
-    for k in range(len(each) - 1, 0, -1):
+        there.append(g != 0)
+    score, done = np.zeros(len(doc)), np.zeros(len(doc), dtype=bool)
+    for k in range(order - 1, 0, -1):
         context = np.zeros_like(counts[0])
         context[1:] = counts[k - 1][:-1]
         hit = ~done & (counts[k] > 0)
         score[hit] += np.log(counts[k][hit] / context[hit])
         done |= hit
-        score[~done & (each[k] != 0)] += np.log(BACKOFF)
+        score[~done & there[k]] += np.log(BACKOFF)
     rest = ~done
-    single = counts[0][rest]
-    score[rest] += np.log(np.where(single > 0, single / np.maximum(1, others[rest]), 1.0 / (others[rest] + 1)))
+    single, total = counts[0][rest], (corpus_words - n)[doc][rest]
+    score[rest] += np.log(np.where(single > 0, single / np.maximum(1, total), 1.0 / (total + 1)))
     return n, np.bincount(doc, weights=score, minlength=len(n))
 
 
@@ -109,18 +128,22 @@ def score_documents(spark: SparkSession, docs: DataFrame, order: int = ORDER) ->
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = x.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")).first()
     total_bytes, corpus_words = size.bytes or 0, size.words or 0
-    blocks = total_bytes // BLOCK_BYTES + 1
-    bits = max(0, int(np.ceil(np.log2(max(1, corpus_words * order / RANGE_GRAMS)))))
-    x = x.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)))  # rows alike go to many blocks
+    n_blocks = total_bytes // BLOCK_BYTES + 1
+    bits = max(0, int(np.ceil(np.log2(max(1, corpus_words / RANGE_GRAMS)))))
+    x = x.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n_blocks)))  # rows alike go to many blocks
 
     def send(table: pa.Table) -> pa.Table:
-        texts, _ = block_texts(table)
-        h, n, edges = count_grams(grams(texts, order)[0], bits)
-        used = np.flatnonzero(np.diff(edges))
-        block = table.column("block")[0].as_py()
-        parts = [slice(edges[i], edges[i + 1]) for i in used]
-        hashes = [pressed(np.diff(h[p], prepend=np.uint64(0))) for p in parts]
-        return pa.table({"range": pa.array(used, pa.int64()), "block": pa.array([block] * len(used), pa.int64()), "hashes": pa.array(hashes, pa.binary()), "counts": pa.array([pressed(n[p].astype(np.uint32)) for p in parts], pa.binary())})
+        h, first = word_hashes(block_texts(table))
+        block, ranges, hashes, counts = table.column("block")[0].as_py(), [], [], []
+        for n, g in enumerate(grams(h, first, order), 1):
+            known, held = np.unique(g[g != 0], return_counts=True)
+            edges = edges_of(known, bits)
+            for r in np.flatnonzero(np.diff(edges)).tolist():
+                part = slice(edges[r], edges[r + 1])
+                ranges.append((n << 48) + r)
+                hashes.append(pressed(np.diff(known[part], prepend=np.uint64(0))))
+                counts.append(pressed(held[part].astype(np.uint32)))
+        return pa.table({"range": pa.array(ranges, pa.int64()), "block": pa.array([block] * len(ranges), pa.int64()), "hashes": pa.array(hashes, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
         parts = [np.cumsum(unpressed(b, np.uint64), dtype=np.uint64) for b in table.column("hashes").to_pylist()]
@@ -131,13 +154,17 @@ def score_documents(spark: SparkSession, docs: DataFrame, order: int = ORDER) ->
         return pa.table({"block": table.column("block"), "range": table.column("range"), "others": pa.array([pressed(o) for o in np.split(others, ends[:-1])], pa.binary())})
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, table = block_texts(left)
-        each, doc, first = grams(texts, order)
-        h, totals, edges = count_grams(each, bits)
-        for r, others in zip(right.column("range").to_pylist(), right.column("others").to_pylist(), strict=True):
-            totals[edges[r] : edges[r + 1]] += unpressed(others, np.int64)
-        n, s = score_block(each, doc, first, h, totals, corpus_words)
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(n.astype(np.int64)), "log_score": pa.array(s)})
+        h, first = word_hashes(block_texts(left))
+        held = dict(zip(right.column("range").to_pylist(), right.column("others"), strict=True))
+
+        def others(n: int, known: np.ndarray) -> np.ndarray:
+            out, edges = np.zeros(len(known), np.int64), edges_of(known, bits)
+            for r in np.flatnonzero(np.diff(edges)).tolist():
+                out[edges[r] : edges[r + 1]] = unpressed(held[(n << 48) + r].as_py(), np.int64)
+            return out
+
+        n, s = score_block(h, first, order, others, corpus_words)
+        return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(n.astype(np.int64)), "log_score": pa.array(s)})
 
     sent = x.groupBy("block").applyInArrow(send, "range long, block long, hashes binary, counts binary")
     totals = sent.groupBy("range").applyInArrow(add, "block long, range long, others binary")

@@ -81,7 +81,8 @@ def draw_counts(plan: DataFrame, seed: int = 0) -> DataFrame:
     draw = F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK_SLOTS) - 1))
     drawn = chunks.select("place", "blocks", draw.alias("draw")).groupBy("place", "blocks", F.pmod(F.xxhash64("place", "draw", F.lit(seed)), F.lit(shards)).alias("shard")).agg(F.count("*").alias("count"))
     before = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    return drawn.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    out = drawn.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    return out.repartition(min(10_000, shards // 32 + 1), "place", "shard")  # few rows, each of many slots
 
 
 def draw_slots(counts: DataFrame, seed: int = 0) -> DataFrame:
@@ -123,7 +124,7 @@ def mix_tables(spark: SparkSession, docs: DataFrame, seed: int, keep: tuple[str,
     """Documents with their sizes and rows, the plan, and the mix as in ``mix_shards``."""
     scratch = Scratch(spark, "mix")
     digest = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("digest"), *([F.struct(*keep).alias("kept")] if keep else []))
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("digest"), *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept")] if keep else []))
     sized = scratch.keep(x.withColumn("row", F.monotonically_increasing_id()), "sized")
     plan = scratch.keep(source_plan(sized), "plan")
     slots = draw_slots(draw_counts(plan, seed), seed)

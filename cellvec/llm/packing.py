@@ -7,7 +7,8 @@ squares and rounded down, and what is left is packed best-fit decreasing, by cou
 a list of runs: the pieces of ranks ``start ..`` of a length go to sequences ``sequence ..`` at a
 fixed offset. Its size depends on ``max_len`` alone. Ranks come from a two-level count: within
 (length, salt) by a window, between salts by prefix sums, so a length that a third of all pieces
-share is dealt out over many tasks.
+share, be they copies of one row, is dealt out over many tasks: salts hash the written pieces' row
+numbers. A very long text needs some 20 times its size in memory.
 
 Null text: empty, one piece that holds the end token. Repeated rows and ids: each row is packed.
 Empty table: no rows. Extra columns are ignored.
@@ -177,16 +178,16 @@ def runs(used: dict[tuple[int, ...], int], max_len: int) -> dict[str, np.ndarray
 def pack_documents(spark: SparkSession, docs: DataFrame, max_len: int = MAX_LEN, ranks_path: str | None = None) -> DataFrame:
     """Every piece of every document with its sequence_id and offset (see the module)."""
     scratch = Scratch(spark, "pack")
-    pieces = scratch.keep(token_pieces(docs, max_len, ranks_path), "pieces")
+    pieces = scratch.keep(token_pieces(docs, max_len, ranks_path).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = np.zeros(max_len + 1, dtype=np.int64)
     for row in pieces.groupBy("length").count().collect():
         histogram[row.length] = row["count"]
     table = spark.sparkContext.broadcast(runs(plan(histogram, max_len), max_len))
     salts = F.array([F.lit(int(n) // GROUP_ROWS + 1) for n in histogram])
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.get(salts, F.col("length").cast("int"))))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.get(salts, F.col("length").cast("int"))))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = salted.groupBy("length", "salt").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy("row")
     ranked = salted.withColumn("at", F.row_number().over(within) - 1).join(groups, ["length", "salt"])
 
     def place(batches):

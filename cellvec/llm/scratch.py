@@ -3,33 +3,18 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_unset: dict[str, str] = {}
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only a local session may go without the setting."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _unset:
-        _unset[app] = "file://" + tempfile.mkdtemp(prefix="spark-cellvec-")
-    return _unset[app]
+from ..tables import new_folder
 
 
 class Scratch:
-    """Parquet tables of one job. A table stays until ``drop``; results may still read it."""
+    """Parquet tables of one job. A table stays until ``drop`` or the driver's end; results may still read it."""
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
-        self.root = f"{checkpoint_dir(spark)}/{job}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, job)
         self.made = 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:

@@ -3,9 +3,10 @@
 Calls (conv_id, turn, call_id, name, arguments, depends_on) and results (call_id, turn, content)
 are joined by identifier. Calls are ordered so that each comes after those it depends on:
 level 0 depends on nothing, level n on some call of level n - 1; positions in a conversation go by
-(level, turn, call_id). Levels rise one round at a time, over the calls that are still open.
-Arguments are parsed as variants and checked against schemas (tool, arg, type, required), types
-``string integer number boolean array object``. Calls are serialised as canonical JSON: sorted
+(level, turn, call_id). Chains of single dependencies are followed by pointer doubling, levels of calls
+with several dependencies rise one round at a time. Calls and their first results meet by a shuffled
+hash join. Arguments are parsed as variants and checked against schemas (tool, arg, type, required), types
+``string integer number boolean array object`` and ``array<..>`` of the first four. Calls are serialised as canonical JSON: sorted
 keys, no white space, no nulls.
 
 Defined cases: several results of a call: the first by (turn, content) is linked, n_results
@@ -25,27 +26,46 @@ from .scratch import Scratch
 
 #: JSON kinds, as variants name them, of each schema type.
 KINDS = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
+KINDS |= {f"array<{k}>": [f"ARRAY<{name}>" for name in [*KINDS[k], "VOID"]] for k in ("string", "integer", "number", "boolean")}
 #: Turns of one group of the positions' count.
 TURNS = 1_000
 
 
+def chains(scratch: Scratch, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(call_id, anchor, steps): for every id the nearest call, up its only dependencies, that has none or several,
+    by pointer doubling: rounds grow with the logarithm of the longest chain. Ids on or after a cycle have no row."""
+    up = edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("dep").alias("dep"))
+    single = up.filter("n = 1").select("call_id", F.col("dep").alias("anchor"), F.lit(1).alias("steps"))
+    ends = scratch.keep(ids.join(single, "call_id", "left_anti").select("call_id"), "ends")
+    x = single.join(ends.select(F.col("call_id").alias("anchor"), F.lit(True).alias("done")), "anchor", "left").select("call_id", "anchor", "steps", F.coalesce("done", F.lit(False)).alias("done"))
+    x = scratch.keep(x, "jumps")
+    reach = 1
+    while (left := x.filter("not done").count()) >= reach:
+        far = x.select(F.col("call_id").alias("anchor"), F.col("anchor").alias("further"), F.col("steps").alias("more"), F.col("done").alias("there"))
+        x = scratch.keep(x.filter("done").union(x.filter("not done").join(far, "anchor").select("call_id", "further", F.col("steps") + F.col("more"), "there")), "jumps")
+        reach *= 2
+    return ends.select("call_id", F.col("call_id").alias("anchor"), F.lit(0).alias("steps")).union(x.filter("done").select("call_id", "anchor", "steps"))
+
+
 def levels(scratch: Scratch, calls: DataFrame) -> DataFrame:
-    """(call_id, level) of every id; null level on or after a cycle."""
+    """(call_id, level) of every id; null level on or after a cycle. Chains of single dependencies are contracted
+    first; rounds then go over the calls with several."""
     ids = scratch.keep(calls.filter("call_id is not null").select("call_id").distinct(), "ids")
     edges = calls.filter("call_id is not null").select("call_id", F.explode("depends_on").alias("dep")).filter("dep is not null and dep != call_id").distinct()
     edges = scratch.keep(edges.join(ids.withColumnRenamed("call_id", "dep"), "dep", "left_semi").select("call_id", "dep"), "edges")
-    ready = ids.join(edges, "call_id", "left_anti").select("call_id", F.lit(0).alias("level"))
-    done, open_, level = ready, edges, 0
-    while True:
-        level += 1
-        front = scratch.keep(ready, "ready")
-        done = front if level == 1 else done.union(front)
-        left = scratch.keep(open_.join(front.select(F.col("call_id").alias("dep")), "dep", "left_anti"), "open")
-        freed = open_.select("call_id").distinct().join(left, "call_id", "left_anti")
-        ready = freed.select("call_id", F.lit(level).alias("level"))
-        open_ = left
-        if not front.limit(1).count():
-            return ids.join(done, "call_id", "left")
+    anchored = scratch.keep(chains(scratch, edges, ids), "anchored")
+    several = edges.groupBy("call_id").agg(F.count("*").alias("n")).filter("n > 1").select("call_id")
+    open_ = scratch.keep(edges.join(several, "call_id").join(anchored.withColumnRenamed("call_id", "dep"), "dep", "left").select("call_id", "anchor", "steps"), "open")
+    done = scratch.keep(ids.join(edges, "call_id", "left_anti").select("call_id", F.lit(0).alias("level")), "done")
+    fresh = done
+    while not open_.isEmpty() and not fresh.isEmpty():
+        met = open_.join(done.withColumnRenamed("call_id", "anchor"), "anchor", "left")
+        ready = met.groupBy("call_id").agg(F.max(F.col("level") + F.col("steps") + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("missing")).filter("missing = 0").select("call_id", "level")
+        fresh = scratch.keep(ready, "ready")
+        done = done.union(fresh)
+        open_ = scratch.keep(open_.join(fresh, "call_id", "left_anti"), "open")
+    found = anchored.join(done.select(F.col("call_id").alias("anchor"), "level"), "anchor").select("call_id", (F.col("level") + F.col("steps")).alias("level"))
+    return ids.join(found, "call_id", "left")
 
 
 def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -58,8 +78,9 @@ def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
     def fault(e):
         wanted = F.try_element_at(F.col("types"), e["key"])
-        kind = F.regexp_extract(F.schema_of_variant(e["value"]), "^[A-Z]+", 0)
-        return F.when(wanted.isNull(), F.concat(F.lit("unknown argument "), e["key"])).when(~F.array_contains(F.try_element_at(kinds, wanted), kind), F.concat(F.lit("argument "), e["key"], F.lit(" is not "), wanted))
+        whole = F.schema_of_variant(e["value"])
+        fits = F.arrays_overlap(F.try_element_at(kinds, wanted), F.array(whole, F.regexp_extract(whole, "^[A-Z]+", 0)))
+        return F.when(wanted.isNull(), F.concat(F.lit("unknown argument "), e["key"])).when(~F.coalesce(fits, F.lit(False)), F.concat(F.lit("argument "), e["key"], F.lit(" is not "), wanted))
 
     missing = F.transform(F.array_except("needed", F.transform("given", lambda e: e["key"])), lambda a: F.concat(F.lit("missing argument "), a))
     wrong = F.filter(F.transform("given", fault), lambda m: m.isNotNull())
@@ -76,7 +97,7 @@ def link_tool_calls(spark: SparkSession, calls: DataFrame, results: DataFrame, s
     copies = calls.filter("call_id is not null").groupBy("call_id").agg(F.count("*").alias("copies"))
     deps = calls.filter("call_id is not null").select("call_id", F.explode("depends_on").alias("dep")).distinct()
     lost = deps.join(known.select(F.col("call_id").alias("dep")), "dep", "left_anti").union(deps.filter("dep = call_id").select("dep", "call_id")).groupBy("call_id").agg(F.count("*").alias("lost"))
-    x = checked(calls, schemas).join(known.join(copies, "call_id").join(lost, "call_id", "left"), "call_id", "left").join(found, "call_id", "left")
+    x = checked(calls, schemas).join(known.join(copies, "call_id").join(lost, "call_id", "left"), "call_id", "left").join(found.hint("shuffle_hash"), "call_id", "left")
     extra = F.array_compact(F.array(F.when(F.col("call_id").isNull(), F.lit("no id")), F.when(F.col("copies") > 1, F.lit("repeated id")), F.when(F.col("lost") > 0, F.lit("unknown dependency")), F.when(F.col("call_id").isNotNull() & F.col("level").isNull(), F.lit("cyclic dependency")), F.when(F.col("n_results").isNull(), F.lit("no result"))))
     x = x.withColumn("errors", F.concat("errors", extra))
     x = x.withColumns({"rank": F.coalesce("level", F.lit(2**31 - 1)), "span": F.coalesce(F.expr(f"turn div {TURNS}"), F.lit(0))})

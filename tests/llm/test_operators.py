@@ -176,19 +176,49 @@ def test_line_dedup_recall_and_families(spark):
     assert len(apart) <= 0.02 * 440 and all(got[i] == want[i] for i in want if i >= 2000)
 
 
-def test_vectors(spark):
+def near_vectors(spark, rows):
+    return vectors.link_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, component long, v int").repartition(3)).toPandas()
+
+
+@pytest.mark.parametrize("offset", [0.0, 0.6])
+def test_vectors(spark, offset):
+    """Links, components and kept against brute force, where all cosines are clear of the threshold: a large group of
+    near copies, a chain, copies, equal vec_ids; also where vectors lie off 0."""
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(120, 16))
-    x[60:90] = x[:30] + 0.15 * rng.normal(size=(30, 16))
-    x[90:120] = x[0] + 0.2 * rng.normal(size=(30, 16))
-    x[5] = x[6]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(200, None), (201, [0.0] * 16), (202, [float("nan")] + [1.0] * 15), (203, [None] + [1.0] * 15), (204, []), (205, [1.0, 2.0])]
-    got = vectors.link_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")
+    base = rng.normal(size=(60, 32)) + offset
+    group = base[0] + 0.02 * rng.normal(size=(1300, 32))
+    chain = [base[1] / np.linalg.norm(base[1])]
+    for _ in range(15):
+        away = rng.normal(size=32)
+        for c in chain:
+            away -= (away @ c) * c / (c @ c)
+        chain.append(0.97 * chain[-1] + (1 - 0.97**2) ** 0.5 * away / np.linalg.norm(away))
+    x = np.concatenate([base, group, chain[1:], base[5:7]])
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    near = u @ u.T >= 0.9
-    n = near.sum(1) - 1
-    assert (got.n_links.loc[range(120)].values <= n).all() and got.n_links.sum() >= 0.9 * n.sum()
-    assert got.kept.loc[200:].all() and (got.n_links.loc[200:] == 0).all()
+    cos = u @ u.T
+    clear = ~((cos > 0.8) & (cos < 0.93)).any(axis=1) | (np.arange(len(x)) < 2)
+    ids = [int(i) for i in rng.permutation(len(x))]
+    ids[3] = ids[4]
+    odd = [(9000, None), (9001, [0.0] * 32), (9002, [float("nan")] + [1.0] * 31), (9003, [None] + [1.0] * 31), (9004, []), (9005, [1.0, 2.0]), (9005, [1.0, 2.0])]
+    got = near_vectors(spark, [(i, [float(v) for v in r], 0, 0) for i, r in zip(ids, x)] + [(i, v, 0, 0) for i, v in odd])
+    near = cos >= 0.9
+    least = least_linked(len(x), list(zip(*np.nonzero(np.triu(near, 1)))), ids)
+    want = {(ids[k], int(near[k].sum()) - 1, least[k], ids[k] == least[k]) for k in range(len(x)) if clear[k]}
+    have = {tuple(r) for r in got[["vec_id", "n_links", "component_id", "kept"]].itertuples(index=False)}
+    assert len(want - have) <= 0.002 * len(x)
+    rest = got[got.vec_id >= 9000]
+    assert rest.kept.all() and list(rest.sort_values("vec_id").n_links) == [0, 0, 0, 0, 0, 1, 1]
+
+
+def test_vectors_recall_at_the_threshold(spark):
+    """Pairs of cosine 0.90 to 0.92: no less than nine tenths are found, and none below 0.9 is linked."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(800, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = np.concatenate([vectors.turned(x[k : k + 1], c) for k, c in enumerate(rng.uniform(0.901, 0.92, 600))] + [vectors.turned(x[600:], 0.89)])
+    rows = [(i, [float(v) for v in r], 0, 0) for i, r in enumerate(np.concatenate([x, y]))]
+    got = near_vectors(spark, rows).set_index("vec_id").n_links.sort_index()
+    assert (got.loc[:599] == 1).mean() >= 0.9 and (got.loc[600:799] == 0).all()
     assert vectors.link_vectors(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
@@ -225,7 +255,7 @@ def test_mixing(spark, docs, empty):
 
 def test_merkle(spark, docs, empty):
     got = {(r.doc_id, r.n_chars, r.edited_sha256) for r in merkle.fingerprint_edits(spark, docs).collect()}
-    order = sorted(texts(), key=lambda r: (-10**9 if r[0] is None else r[0], r[1] or ""), reverse=True)
+    order = sorted(texts(), key=lambda r: (-10**9 if r[0] is None else r[0], hashlib.md5((r[1] or "").encode()).hexdigest()), reverse=True)
     want = set()
     for k, (i, t) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
@@ -233,8 +263,58 @@ def test_merkle(spark, docs, empty):
     assert got == want and merkle.fingerprint_edits(spark, empty).count() == 0
     from pyspark.sql import functions as F
 
-    x = spark.createDataFrame([("a\nb\n\nc\nd", "a\nb\n\nc\nX"), ("a", "a")], "x string, y string").select(merkle.differing(F.col("x"), F.col("y")).alias("d")).collect()
-    assert [[(e.section, e.paragraphs) for e in r.d] for r in x] == [[(1, [1])], []]
+    x = spark.createDataFrame([("a\nb\n\nc\nd", "a\nb\n\nc\nX"), ("a", "a"), ("a\n\nb", "a")], "x string, y string")
+    trees = x.select(*(merkle.tree(merkle.leaf_nodes(F.col(c))).alias(c) for c in "xy")).select(merkle.differing(F.col("x"), F.col("y")).alias("d")).collect()
+    assert [[(e.section, e.paragraphs) for e in r.d] for r in trees] == [[(1, [1])], [], [(1, [0])]]
+
+
+def test_fingerprints(spark):
+    """Fingerprints against a plain tree; likeness of small edits stays near 1 wherever they are; equal texts alone have equal ones."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    words = [rng.choice(["alpha", "be", "gam", "delta", "e", "zeta"]) + str(rng.randrange(300)) for _ in range(900)]
+    line = " ".join(words[:400])
+    many = " ".join(words)
+    texts_ = ["", "a", "a\1b", "a \2b", "\n\n\n", line, "x" + line, "x " + line, line + ".", line.replace(words[200], "other", 1), many, "Q" + many, "\n".join([" ".join(words[:50])] * 20), "x" + "\n".join([" ".join(words[:50])] * 20), " ".join(words[::-1])]
+
+    def nodes(t):
+        out = []
+        for section in t.split("\n\n"):
+            out.append([])
+            for p in section.split("\n"):
+                p = p.replace("\2", "\2\4").replace("\1", "\2\3")
+                p = " ".join(w + "\1" if hashlib.md5(w.encode()).hexdigest()[0] in "0123" else w for w in p.split(" "))
+                out[-1].append([hashlib.sha256(b"l" + x.encode()).hexdigest() if x else "" for x in p.split("\1")])
+        return out
+
+    sha = lambda k, v: hashlib.sha256((k + v).encode()).hexdigest()
+    want = []
+    for t in texts_:
+        n = nodes(t)
+        root = sha("r", "".join(sha("s", "".join(sha("p", ",".join(p)) for p in s)) for s in n))
+        want.append(root + "".join(sorted({x[:8] for s in n for p in s for x in p if x})[: merkle.SKETCH]))
+    x = spark.createDataFrame(list(enumerate(texts_)), "i int, t string").withColumn("n", merkle.leaf_nodes(F.col("t"))).select("i", merkle.fingerprint(F.col("n")).alias("f"))
+    got = [r.f for r in x.orderBy("i").collect()]
+    assert got == want and len(set(got)) == len(texts_)
+    a, b = x.select(F.col("i").alias("a"), F.col("f").alias("x")), x.select(F.col("i").alias("b"), F.col("f").alias("y"))
+    like = {(r.a, r.b): r.v for r in a.join(b, F.col("a") <= F.col("b")).select("a", "b", merkle.likeness(F.col("x"), F.col("y")).alias("v")).collect()}
+    for (i, j), v in like.items():
+        p, q = ([g[64:][k : k + 8] for k in range(0, len(g) - 64, 8)] for g in (got[i], got[j]))
+        least = sorted({*p, *q})[: merkle.SKETCH]
+        assert v == pytest.approx(1.0 if i == j else len({*p} & {*q} & {*least}) / len(least) if least else 0.0)
+    assert min(like[5, k] for k in (6, 7, 8, 9)) > 0.95 and like[10, 11] > 0.95 and like[12, 13] > 0.8 and like[10, 14] < 0.9
+
+
+def test_fingerprints_of_hot_ids(spark, monkeypatch):
+    """The next document where ids are null, equal or clustered, in many small buckets."""
+    monkeypatch.setattr(merkle, "BUCKET_ROWS", 7)
+    rows = [(None, f"n{k}") for k in range(60)] + [(5, f"f{k}") for k in range(80)] + [(5, "same")] * 3 + [(10**12 + k, f"b{k}") for k in range(50)] + [(k * 10**9, f"s{k}") for k in range(40)]
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, bucket string, over int").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()), reverse=True)
+    want = sorted((str(i), hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    got = merkle.fingerprint_edits(spark, docs)
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in got.collect()) == want
 
 
 def test_lm_scores_of_a_tiny_corpus(spark, docs, empty):
@@ -273,6 +353,59 @@ def test_tool_calls(spark):
     assert sorted(r.position for k, r in got.items() if k[0] == 1) == [0, 1, 2, 3, 4]
 
 
+def test_tool_calls_against_brute_force(spark):
+    """Levels, positions and links of random calls: long chains, several dependencies, cycles, lost and null ones."""
+    rng = random.Random(10)
+    calls, results = [], []
+    for i in range(300):  # a chain, longer than rounds could be
+        calls.append((0, i, f"c{i}", "count", '{"query":"x","exact":true}', [f"c{i - 1}"] if i else None))
+    for conv in (1, 2):
+        for i in range(80):
+            deps = [f"{conv}-{rng.randrange(i)}" for _ in range(rng.randint(0, 3))] if i else []
+            calls.append((conv, rng.randrange(9), f"{conv}-{i}", "count", '{"query":"x","exact":true}', deps + rng.choice([[], [], ["lost"], [None]])))
+    calls += [(3, k, f"y{k}", "count", None, [f"y{(k + 1) % 3}"]) for k in range(3)] + [(3, 5, "after", "count", "{}", ["y0", "1-0"]), (None, None, "n", None, None, None)]
+    for c in calls:
+        results += [(c[2], t, f"r{t}") for t in rng.sample(range(5), rng.randint(0, 2))]
+    levels, known = {}, {c[2]: [d for d in c[5] or [] if d] for c in calls}
+    for _ in range(len(calls)):
+        for c, deps in known.items():
+            inner = [d for d in deps if d in known]
+            if all(d in levels for d in inner):
+                levels[c] = 1 + max((levels[d] for d in inner), default=-1)
+        if len(levels) == len(known) - 4:
+            break
+    order = sorted((c for c in calls if c[0] is not None), key=lambda c: (c[0], levels.get(c[2], 2**31), c[1], c[2]))
+    place, want = {}, {}
+    for c in order:
+        place[c[0]] = place.get(c[0], -1) + 1
+        own = sorted(r[1:] for r in results if r[0] == c[2])
+        want[c[2]] = (levels.get(c[2]), place[c[0]], len(own), own[0][1] if own else None)
+    frame = spark.createDataFrame([(*c, 1) for c in calls], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>, level int").repartition(3)
+    schemas = spark.createDataFrame(tool_calls.SCHEMAS, "tool string, arg string, type string, required boolean")
+    link = lambda f: tool_calls.link_tool_calls(spark, f, spark.createDataFrame(results, "call_id string, turn long, content string"), schemas)
+    import json
+
+    got = {r.call_id: (r.level, r.position, r.n_results, json.loads(r.message).get("result")) for r in link(frame).collect()}
+    assert got.pop("n")[0] == 0 and got == want
+    assert link(frame.limit(0)).count() == 0
+
+
+def test_calls_of_conversations(spark):
+    rows = [(1, 0, "user", "hi \"there\""), (1, 1, "assistant", "yes"), (1, 2, "user", None), (1, 4, "user", "x" * 30), (2, 0, "system", "s")]
+    calls, results, schemas = tool_calls.calls_of(spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, call_id int"))
+    got = {r.call_id: r for r in calls.collect()}
+    assert set(got) == {"1-0", "1-2", "1-4"} and got["1-4"].depends_on == ["1-2"] and got["1-0"].depends_on == []
+    assert [(r.call_id, r.content) for r in results.collect()] == [("1-0", "yes")]
+    assert tool_calls.link_tool_calls(spark, calls, results, schemas).count() == 3
+
+
+@pytest.mark.parametrize("kind, value, fits", [("array<string>", '["a"]', True), ("array<string>", "[1]", False), ("array<integer>", "[]", True), ("number", "1.5", True), ("object", '{"a": 1}', True)])
+def test_argument_kinds(spark, kind, value, fits):
+    call = spark.createDataFrame([(1, 0, "a", "t", f'{{"x": {value}}}', None)], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    got = tool_calls.link_tool_calls(spark, call, spark.createDataFrame([("a", 1, "r")], "call_id string, turn long, content string"), spark.createDataFrame([("t", "x", kind, True)], "tool string, arg string, type string, required boolean")).first()
+    assert got.valid == fits
+
+
 def test_mixing_stage_by_source(spark):
     """Copies of whole documents hold each source's target up to its largest document, in and out of one part."""
     import corpus_pipeline
