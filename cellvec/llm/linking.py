@@ -30,6 +30,8 @@ SAMPLE = 32
 SMALL, HUBS = 16, 8
 #: Rows of a block of the last comparison.
 BLOCK_ROWS = 1_024
+#: Open buckets of an id that its rows may carry along, to take a pair in one of its buckets only.
+CARRIED = 64
 
 #: A predicate on two rows, each given as a function from names to columns.
 Admit = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
@@ -99,12 +101,14 @@ def side(alias: str) -> Callable[[str], Column]:
 
 def all_pairs(rows: DataFrame, admit: Admit) -> DataFrame:
     """Pairs (a, b) of a bucket in different components, block by block: a block holds about BLOCK_ROWS rows
-    of a bucket (held), and a row is copied once for each block of its bucket."""
+    of a bucket (held), and a row is copied once for each block of its bucket. A pair that shares several
+    buckets comes from the least of them, unless an id has too many to carry (others is null)."""
     blocks = F.expr(f"held div {BLOCK_ROWS} + 1")
     x = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     u, v = x.alias("x"), x.alias("y")
     out = u.join(v, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))).filter("x.id < y.id and x.component != y.component")
-    return out.filter(admit(side("x"), side("y"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    once = F.coalesce(F.array_min(F.array_intersect("x.others", "y.others")) == F.col("x.bucket"), F.lit(True))
+    return out.filter(admit(side("x"), side("y")) & once).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def hub_pairs(rows: DataFrame, columns: Sequence[str], admit: Admit, seed: int) -> DataFrame:
@@ -116,7 +120,7 @@ def hub_pairs(rows: DataFrame, columns: Sequence[str], admit: Admit, seed: int)
     return out.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
-def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, narrow: Callable[[DataFrame], DataFrame], close: Admit, verify: Callable[[DataFrame], DataFrame], attrs: Sequence[str] = (), admit: Admit | None = None, rounds: int = 1) -> DataFrame:
+def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, narrow: Callable[[DataFrame], DataFrame], close: Admit, verify: Callable[[DataFrame], DataFrame], attrs: Sequence[str] = (), admit: Admit | None = None, rounds: int = 2) -> DataFrame:
     """(id, component) of every id with a link; ``buckets``: (bucket long, id long, attrs), an id once a bucket.
 
     verify(pairs (a, b) with a < b, each once a call) returns those that are alike. admit may refuse a pair of a
@@ -144,12 +148,14 @@ def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, narr
     for k in range(1, rounds + 2):
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).filter("low < high").select("bucket", "held")
         rest = scratch.keep(named.join(mixed, "bucket").join(held, "id"), "rest")
+        own = rest.groupBy("id").agg(F.when(F.count("*") <= CARRIED, F.collect_list("bucket")).alias("others"))
+        named = rest.join(own, "id")
         scratch.drop(*spent)
         spent = [rest]
         if k <= rounds:
-            new = all_pairs(rest.filter(f"held <= {SMALL}"), later).union(hub_pairs(rest.filter(f"held > {SMALL}"), ["hub", *attrs, *columns], later, k))
+            new = all_pairs(named.filter(f"held <= {SMALL}"), later).union(hub_pairs(rest.filter(f"held > {SMALL}"), ["hub", *attrs, *columns], later, k))
         else:
-            new = all_pairs(rest, later)
+            new = all_pairs(named, later)
         new = scratch.keep(new.distinct(), "tried")
         large = rest.filter(f"held > {SMALL}") if k <= rounds else rest.limit(0)
         names = ["bucket", "id", "hub", *attrs]
