@@ -1,6 +1,7 @@
 """Token counts: the exact histogram of encoded lengths and its suffix sums.
 
-Null and empty texts have length 0. Repeated rows and ids each count. Empty table: no rows.
+Null and empty texts have length 0. Repeated rows and ids each count. Extra columns are ignored; empty
+table: no rows. A very long text needs some 20 times its size in memory.
 """
 
 from __future__ import annotations
@@ -55,9 +56,18 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
 
 def at_limits(sums: DataFrame, limits: DataFrame) -> DataFrame:
     """Truncated totals for any limits (column ``limit``), which need not occur as lengths: from
-    the least length at or above each limit, everything at or above it is cut to the limit."""
-    above = limits.join(sums.select("length", "docs_at_least", "tokens_at_least"), F.col("length") >= F.col("limit"), "left")
-    least = above.groupBy("limit").agg(F.min_by(F.struct("docs_at_least", "tokens_at_least"), "length").alias("x"))
-    total = sums.agg(F.max("total_tokens").alias("total_tokens"))
-    docs, tokens = F.coalesce("x.docs_at_least", F.lit(0)), F.coalesce("x.tokens_at_least", F.lit(0))
-    return least.join(F.broadcast(total)).select("limit", (F.coalesce("total_tokens", F.lit(0)) - tokens + F.col("limit") * docs).alias("truncated_tokens"), docs.alias("docs_at_least"))
+    the least length at or above each limit, everything at or above it is cut to the limit.
+
+    Limits and lengths are sorted together, by spans; a span's last limits take the first length of
+    the spans after it. Beyond all lengths nothing is cut."""
+    total = sums.agg(F.max("total_tokens").alias("t")).first().t or 0
+    rows = sums.select(F.col("length").alias("value"), F.struct("docs_at_least", "tokens_at_least").alias("s"), F.lit(None).cast("long").alias("limit"))
+    asked = limits.select(F.col("limit").cast("long").alias("value"), F.lit(None).cast(rows.schema["s"].dataType).alias("s"), F.col("limit").cast("long").alias("limit"))
+    x = rows.union(asked).withColumn("span", F.floor(F.col("value") / SPAN))
+    onward = Window.partitionBy("span").orderBy("value", F.col("limit").isNull()).rowsBetween(0, Window.unboundedFollowing)
+    later = Window.orderBy("span").rowsBetween(1, Window.unboundedFollowing)
+    heads = x.groupBy("span").agg(F.min_by("s", F.when(F.col("s").isNotNull(), F.col("value"))).alias("head"))
+    heads = heads.select("span", F.first("head", ignorenulls=True).over(later).alias("after"))  # one row a span
+    x = x.withColumn("own", F.first("s", ignorenulls=True).over(onward)).filter("limit is not null").join(heads, "span").withColumn("s", F.coalesce("own", "after"))
+    docs, tokens = F.coalesce("s.docs_at_least", F.lit(0)), F.coalesce("s.tokens_at_least", F.lit(0))
+    return x.select("limit", (F.lit(total) - tokens + F.col("limit") * docs).alias("truncated_tokens"), docs.alias("docs_at_least"))

@@ -10,7 +10,9 @@ first line stays, by (doc_id, document, line number), nulls last.
 
 Lines without a character other than white space always stay and link with nothing. Null text
 has no lines. Rows of equal doc_id and text are one document and keep the same lines. Equal lines
-are one class from the first shuffle on. Extra columns are ignored; empty table: no rows.
+are one class from the first shuffle on. Columns of any name pass through ``dedup_lines`` and are
+ignored elsewhere; empty table: no rows. A text longer than a block of BLOCK bytes is a block of its
+own; a block needs some 100 times its size in memory.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ Rows (bucket, id) say that ids of a bucket may be alike. ``link_buckets`` compar
 bucket with its hub, the least id there, and joins what is alike. Pairs whose two ends are by then
 in one component need no look: no further link could change a component. What is left, rows of
 buckets that still hold several components, is compared pair by pair in small buckets, in large
-ones by a round with more hubs and then pair by pair, in blocks.
+ones by rounds with more hubs and then pair by pair, in blocks. No pair is verified twice.
 So every link between components is found, while a bucket of near copies costs its size, not its
 square. Ids are dealt by hash, so the least id is a random one, and the buckets of a group of copies
 share their hub.
@@ -123,7 +123,7 @@ def hub_pairs(rows: DataFrame, columns: Sequence[str], admit: Admit, seed: int)
 def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, narrow: Callable[[DataFrame], DataFrame], close: Admit, verify: Callable[[DataFrame], DataFrame], attrs: Sequence[str] = (), admit: Admit | None = None, rounds: int = 2) -> DataFrame:
     """(id, component) of every id with a link; ``buckets``: (bucket long, id long, attrs), an id once a bucket.
 
-    verify(pairs (a, b) with a < b, each once a call) returns those that are alike. admit may refuse a pair of a
+    verify(pairs (a, b) with a < b, each once) returns those that are alike. admit may refuse a pair of a
     bucket by its attrs, close a pair by the columns that narrow(ids) gives to ids (once, for all ids that
     share a bucket). Both must be sound: never refuse a pair that verify would return.
     """
@@ -156,7 +156,8 @@ def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, narr
             new = all_pairs(named.filter(f"held <= {SMALL}"), later).union(hub_pairs(rest.filter(f"held > {SMALL}"), ["hub", *attrs, *columns], later, k))
         else:
             new = all_pairs(named, later)
-        new = scratch.keep(new.distinct(), "tried")
+        new = scratch.keep(new.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+        tried = tried.union(new)
         large = rest.filter(f"held > {SMALL}") if k <= rounds else rest.limit(0)
         names = ["bucket", "id", "hub", *attrs]
         if new.isEmpty():

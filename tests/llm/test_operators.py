@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -325,14 +326,68 @@ def test_lm_scores_of_a_tiny_corpus(spark, docs, empty):
     assert lm_score.score_documents(spark, docs, order=3).count() == len(texts()) and lm_score.score_documents(spark, empty).count() == 0
 
 
+def test_lm_scores_against_brute_force(spark, monkeypatch):
+    """Order 3 over many blocks and ranges; copies without id are documents of their own, each left out of its counts."""
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(lm_score, "RANGE_GRAMS", 50)
+    rng = random.Random(7)
+    rows = [(k, " ".join(rng.choice("abcdeF") for _ in range(rng.randint(0, 30)))) for k in range(60)] + [(None, "a b c d e")] * 5 + [(3, None), (4, "one")]
+    grams = [[[tuple((t or "").lower().split()[i : i + n]) for i in range(len((t or "").split()) - n + 1)] for n in (1, 2, 3)] for _, t in rows]
+    total = [Counter(g for d in grams for g in d[n]) for n in range(3)]
+    want = []
+    for (i, _), d in zip(rows, grams, strict=True):
+        own, words, score = [Counter(x) for x in d], len(d[0]), 0.0
+        left = lambda g: total[len(g) - 1][g] - own[len(g) - 1][g]
+        rest = len([g for x in grams for g in x[0]]) - words
+        for k in range(words):
+            for n in (3, 2, 1):
+                if k - n + 1 < 0:
+                    continue
+                g = d[n - 1][k - n + 1]
+                if left(g) > 0:
+                    score += np.log(left(g) / (left(g[:-1]) if n > 1 else rest))
+                    break
+                score += np.log(0.4) if n > 1 else np.log(1 / (rest + 1))
+        want.append((str(i), words, round(score, 6)))
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, block int").repartition(3)
+    assert sorted((str(r.doc_id), r.n_words, round(r.log_score, 6)) for r in lm_score.score_documents(spark, docs).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 97, 1000])
+def test_slots_are_permuted(spark, n):
+    counts = spark.createDataFrame([(3, 0, n, 0, n // 2), (3, 1, n, n // 2, n - n // 2), (3, 2, n, n, n)], "place int, shard long, blocks long, first long, count long").filter("count > 0")
+    got = mixing.draw_slots(counts).orderBy("slot").collect()
+    once, again = [r["index"] for r in got[:n]], [r["index"] for r in got[n:]]
+    assert sorted(once) == sorted(again) == list(range(n))
+    assert n < 90 or (once != again and len({b - a for a, b in zip(once, once[1:])}) > n // 4)
+    assert got[0].shard in (0, 1)
+
+
+def test_mixing_and_packing_of_rows_alike(spark, monkeypatch):
+    """Many equal rows, without id: groups are split, and every word and piece is still there once."""
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 20)
+    monkeypatch.setattr(packing, "GROUP_ROWS", 20)
+    rng = random.Random(1)
+    rows = [(None, "same text here", "a")] * 300 + [(k, " ".join(["w"] * rng.randint(1, 60)), rng.choice("ab")) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix_documents(spark, docs, keep=("source",)).select("*", "kept.source").toPandas()
+    assert len(got) == 500 and (got.taken <= 2 * got["size"]).all()
+    by = got.groupby("source")
+    assert (abs(by.taken.sum() - by.target.first()) <= 0.01 * by.target.first() + 3).all()
+    packed = packing.pack_documents(spark, docs).toPandas().sort_values(["sequence_id", "offset"])
+    assert len(packed) == 500 and packed.doc_id.isna().sum() == 300
+    sums = packed.groupby("sequence_id").length
+    assert (sums.cumsum() - packed.length == packed.offset).all() and sums.sum().max() <= 1024 and sums.ngroups <= -(-packed.length.sum() // 1024) + 1
+
+
 def test_length_histogram(spark, docs, empty):
     enc = tokens.encoder(tokens.vocabulary_path())[0]
     n = [len(enc.encode_ordinary(t or "")) for _, t in texts()]
     for r in lengths.suffix_sums(lengths.token_lengths(docs)).collect():
         assert (r.n_docs, r.docs_at_least, r.tokens_at_least, r.truncated_tokens) == (n.count(r.length), sum(v >= r.length for v in n), sum(v for v in n if v >= r.length), sum(min(v, r.length) for v in n))
     sums = lengths.suffix_sums(lengths.token_lengths(docs))
-    at = lengths.at_limits(sums, spark.createDataFrame([(7,), (10**6,)], "limit long")).collect()
-    assert {r.limit: r.truncated_tokens for r in at} == {7: sum(min(v, 7) for v in n), 10**6: sum(n)}
+    at = lengths.at_limits(sums, spark.createDataFrame([(7,), (0,), (n[0],), (5000,), (10**6,)], "limit long")).collect()
+    assert {r.limit: (r.truncated_tokens, r.docs_at_least) for r in at} == {k: (sum(min(v, k) for v in n), sum(v >= k for v in n)) for k in (7, 0, n[0], 5000, 10**6)}
     assert lengths.suffix_sums(lengths.token_lengths(empty)).count() == 0
 
 
