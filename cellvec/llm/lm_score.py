@@ -17,7 +17,7 @@ S(w | shorter context); at last c(w) / words, or 1 / (words + 1) for a word met
 
 Null and empty texts score 0. Rows of equal doc_id, or of none, are documents of their own, dealt to
 blocks by their place in the table, which must read in the same order again. Extra columns are
-ignored; empty table: no rows. N-grams are 56-bit hashes: of 10**9 different ones some 7 share theirs. A block needs some 15 times its text in
+ignored; empty table: no rows. N-grams are hashes of 52 bits or more, as the corpus needs. A block needs some 15 times its text in
 memory, and so does one text larger than a block.
 """
 
@@ -35,11 +35,12 @@ from .texthash import PLACES, blocks, flat, mix, words
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 RANGE_GRAMS = 1 << 20
 SLICE_BYTES = 1 << 20
-#: The bits of a hash that are kept: 56, as the last byte would not compress.
-KEPT = np.uint64(2**64 - 2**8)
+#: Bits of a hash beyond the logarithm of the corpus' n-grams, and the least: a chance of 2**-24 at most to meet another.
+SPARE_BITS, LEAST_BITS = 24, 52
+ALL = np.uint64(2**64 - 1)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,20 +53,31 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(first)
 
 
-def grams(h: np.ndarray, first: np.ndarray, order: int) -> Iterator[np.ndarray]:
-    """For n = 1 .. order the hash of the n-gram that ends at each word; 0 where a text's first words have none."""
+def grams(h: np.ndarray, first: np.ndarray, order: int, kept: np.uint64 = ALL) -> Iterator[np.ndarray]:
+    """For n = 1 .. order the hash of the n-gram that ends at each word, less the bits not ``kept``; 0 where a text's first words have none."""
     depth = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
     total = h * PLACES[0]
-    yield mix(total + PLACES[10]) & KEPT
+    yield mix(total + PLACES[10]) & kept
     for n in range(2, order + 1):
         total[n - 1 :] += h[: max(0, len(h) - n + 1)] * PLACES[n - 1]
-        g = mix(total + PLACES[10] * np.array([n], dtype=np.uint64)) & KEPT
+        g = mix(total + PLACES[10] * np.array([n], dtype=np.uint64)) & kept
         g[depth < n - 1] = 0
         yield g
 
 
+def small_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, block, text), texts compressed for the way."""
+
+    def press(batches):
+        for batch in batches:
+            held = [zstandard.compress((t or "").encode(), 1) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("block"), pa.array(held, pa.binary())], names=["doc_id", "block", "text"])
+
+    return docs.select("doc_id", "block", "text").mapInArrow(press, "doc_id long, block long, text binary")
+
+
 def block_texts(table: pa.Table) -> pa.Array:
-    return table.column("text").cast(pa.large_string()).combine_chunks()
+    return pa.array([zstandard.decompress(t.as_py()).decode() for t in table.column("text")], pa.large_string())
 
 
 def pressed(numbers: np.ndarray) -> bytes:
@@ -98,12 +110,12 @@ def runs_of(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return s[starts], np.diff(np.append(starts, len(s))), at, np.cumsum(new) - 1, own
 
 
-def score_block(h: np.ndarray, first: np.ndarray, order: int, others: Callable[[int, np.ndarray], np.ndarray], corpus_words: int) -> tuple[np.ndarray, np.ndarray]:
+def score_block(h: np.ndarray, first: np.ndarray, order: int, others: Callable[[int, np.ndarray], np.ndarray], corpus_words: int, kept: np.uint64 = ALL) -> tuple[np.ndarray, np.ndarray]:
     """Words and log score of each text. others(n, hashes) gives the counts of a block's n-grams in other blocks."""
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
     counts, there = [], []
-    for k, g in enumerate(grams(h, first, order)):
+    for k, g in enumerate(grams(h, first, order, kept)):
         known, held, at, which, own = runs_of(g, doc)
         left = np.zeros(len(g), np.int64)
         left[at] = (held + others(k + 1, known))[which] - own
@@ -130,12 +142,16 @@ def score_documents(spark: SparkSession, docs: DataFrame, order: int = ORDER) ->
     total_bytes, corpus_words = size.bytes or 0, size.words or 0
     n_blocks = total_bytes // BLOCK_BYTES + 1
     bits = max(0, int(np.ceil(np.log2(max(1, corpus_words / RANGE_GRAMS)))))
+    bits_kept = int(np.clip(np.ceil(np.log2(max(1, corpus_words * order))) + SPARE_BITS, LEAST_BITS, 64))
+    kept = np.uint64(2**64 - 2 ** (64 - bits_kept))
     x = x.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n_blocks)))  # rows alike go to many blocks
 
+    x = small_texts(x)
+
     def send(table: pa.Table) -> pa.Table:
         h, first = word_hashes(block_texts(table))
         block, ranges, hashes, counts = table.column("block")[0].as_py(), [], [], []
-        for n, g in enumerate(grams(h, first, order), 1):
+        for n, g in enumerate(grams(h, first, order, kept), 1):
             known, held = np.unique(g[g != 0], return_counts=True)
             edges = edges_of(known, bits)
             for r in np.flatnonzero(np.diff(edges)).tolist():
@@ -163,7 +179,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, order: int = ORDER) ->
                 out[edges[r] : edges[r + 1]] = unpressed(held[(n << 48) + r].as_py(), np.int64)
             return out
 
-        n, s = score_block(h, first, order, others, corpus_words)
+        n, s = score_block(h, first, order, others, corpus_words, kept)
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(n.astype(np.int64)), "log_score": pa.array(s)})
 
     sent = x.groupBy("block").applyInArrow(send, "range long, block long, hashes binary, counts binary")
