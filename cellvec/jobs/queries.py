@@ -468,7 +468,7 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmeans.lloyd(X.vectors(spark, sf_dir), first_rows(spark, sf_dir), 2)
+    return kmeans.lloyd(X.vectors(spark, sf_dir), first_rows(spark, sf_dir), 2, lambda c: keep(c, "centroids"))
 
 
 @query(f"WITH {FIRST_SQL}, {step_sql(0)} SELECT city, cell_id, label, round(d, 6) AS d FROM a0")

@@ -6,6 +6,8 @@ travel as one small table; rows never move: a step is a map with partial sums an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,11 +37,13 @@ def update(assigned: DataFrame) -> DataFrame:
     return x.groupBy("city", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda t: t["x"]).alias("c"))
 
 
-def lloyd(vectors: DataFrame, centroids: DataFrame, steps: int) -> DataFrame:
-    """A fixed number of steps; labels are those of the last assignment."""
+def lloyd(vectors: DataFrame, centroids: DataFrame, steps: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """A fixed number of steps; labels are those of the last assignment. ``keep`` may write the centroids of each
+    step, a small table, so that a step doesn't derive those before it again."""
     for _ in range(steps):
         old = centroids.withColumnRenamed("c", "old")
         centroids = old.join(update(assign(vectors, centroids)), ["city", "label"], "left").select("city", "label", F.coalesce("c", "old").alias("c"))
+        centroids = keep(centroids)
     return assign(vectors, centroids)
 
 
