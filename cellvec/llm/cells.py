@@ -56,7 +56,7 @@ def add_up(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
                 if once:
                     total[cell_of(h, bits)] = True
                 else:
-                    total += np.bincount(cell_of(h, bits), minlength=size)
+                    np.add.at(total, cell_of(h, bits), 1)
         grid = total.reshape(-1, chunk_cells)
         yield from rows(grid, np.flatnonzero(grid.any(axis=1)))
 

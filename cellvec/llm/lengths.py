@@ -25,7 +25,7 @@ def token_lengths(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
 
     def measure(batches):
         for batch in batches:
-            for block in blocks(batch, "text", 4 << 20):
+            for block in blocks(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(token_ids(block.column(0), path)[1]).astype(np.int64))], names=["length"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(measure, "length long")

@@ -34,7 +34,7 @@ BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
 ALIKE = 80
 SIGNS = 8
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Hashes of lines that a task remembers, so as not to work on equal lines again.
 SEEN = 1 << 18
 NONE = np.uint64(2**64 - 1)

@@ -16,7 +16,7 @@ words than a shingle has its whole sequence as its one shingle; without words or
 empty and links with nothing. Shingles are 64-bit hashes. Rows with a null doc_id are documents
 too: they link as any, but their id is no candidate for component_id unless all are null. Rows
 of equal doc_id are documents of their own. Extra columns are ignored. Empty table: no rows. Texts are
-worked on in blocks of 2 MB, a longer text by itself, in some 60 times its size of memory.
+worked on in blocks of half a MB, a longer text by itself, in some 60 times its size of memory.
 """
 
 from __future__ import annotations

@@ -31,7 +31,7 @@ from .tokens import END_ID, token_ids, vocabulary_path
 MAX_LEN = 1024
 #: Pieces of one (length, salt) group.
 GROUP_ROWS = 5_000
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
