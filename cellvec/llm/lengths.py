@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .texthash import blocks
-from .tokens import token_ids, vocabulary_path
+from .tokens import forget, token_ids, vocabulary_path
 
 #: Lengths of one block of the suffix sums.
 SPAN = 1024
@@ -27,6 +27,7 @@ def token_lengths(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
         for batch in batches:
             for block in blocks(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(token_ids(block.column(0), path)[1]).astype(np.int64))], names=["length"])
+        forget(path)
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(measure, "length long")
 

@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .texthash import blocks
-from .tokens import END_ID, token_ids, vocabulary_path
+from .tokens import END_ID, forget, token_ids, vocabulary_path
 
 MAX_LEN = 1024
 #: Pieces of one (length, salt) group.
 GROUP_ROWS = 5_000
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -56,6 +56,7 @@ def token_pieces(docs: DataFrame, max_len: int = MAX_LEN, ranks_path: str | None
                         crc.append(zlib.crc32(own[at:stop].tobytes()))
                         at, k, stop = stop, k + 1, stop + max_len
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        forget(path)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 

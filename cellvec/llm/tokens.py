@@ -25,7 +25,7 @@ def vocabulary_path(name: str = f"{VOCABULARY}.tiktoken") -> str:
 
 
 #: Pieces in a worker's table (about 50 bytes each); beyond that it starts anew.
-CACHE = 1_000_000
+CACHE = 200_000
 
 
 class Known:
@@ -105,6 +105,11 @@ def token_ids(texts: pa.Array, ranks_path: str) -> tuple[np.ndarray, np.ndarray]
     return out, bounds
 
 
+def forget(ranks_path: str) -> None:
+    """Empty the worker's table: workers live on, and other stages need the memory."""
+    encoder(ranks_path)[2].clear()
+
+
 def encode_pieces(encoding: tiktoken.Encoding, token_bytes: np.ndarray, raw: bytes, a: np.ndarray, b: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of the pieces ``raw[a:b]``, end to end, with each one's first place and number.
 
