@@ -55,6 +55,7 @@ def least_linked(n, links, ids):
 
     def find(x):
         while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
@@ -187,7 +188,7 @@ def test_vectors(spark, offset):
     near copies, a chain, copies, equal vec_ids; also where vectors lie off 0."""
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 32)) + offset
-    group = base[0] + 0.02 * rng.normal(size=(1300, 32))
+    group = base[0] + 0.02 * rng.normal(size=(600, 32))
     chain = [base[1] / np.linalg.norm(base[1])]
     for _ in range(15):
         away = rng.normal(size=32)
