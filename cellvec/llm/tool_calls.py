@@ -39,8 +39,8 @@ def chains(scratch: Scratch, edges: DataFrame, ids: DataFrame) -> DataFrame:
     ends = scratch.keep(ids.join(single, "call_id", "left_anti").select("call_id"), "ends")
     x = single.join(ends.select(F.col("call_id").alias("anchor"), F.lit(True).alias("done")), "anchor", "left").select("call_id", "anchor", "steps", F.coalesce("done", F.lit(False)).alias("done"))
     x = scratch.keep(x, "jumps")
-    reach = 1
-    while (left := x.filter("not done").count()) >= reach:
+    reach, longest = 1, x.count()  # a chain has no more steps than there are calls on chains
+    while reach <= longest and not x.filter("not done").isEmpty():
         far = x.select(F.col("call_id").alias("anchor"), F.col("anchor").alias("further"), F.col("steps").alias("more"), F.col("done").alias("there"))
         x = scratch.keep(x.filter("done").union(x.filter("not done").join(far, "anchor").select("call_id", "further", F.col("steps") + F.col("more"), "there")), "jumps")
         reach *= 2
