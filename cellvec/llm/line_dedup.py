@@ -35,6 +35,8 @@ BINS = BANDS * ROWS
 ALIKE = 80
 SIGNS = 8
 BLOCK = 1 << 19
+#: Lines gone from a text up to which SQL functions cut it.
+FEW = 1_000
 #: Hashes of lines that a task remembers, so as not to work on equal lines again.
 SEEN = 1 << 18
 NONE = np.uint64(2**64 - 1)
@@ -255,7 +257,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     text = row.getField("text").cast("string")
     keyed = docs.select(F.struct("*").alias("row")).withColumns({"own_id": row.getField("doc_id").cast("long"), "own_text": F.xxhash64(text)})
     x = keyed.join(gone, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_text") == F.col("document")), "left")
-    x = x.select("row", F.col("gone").isNotNull().alias("cut"), without_lines(F.when(F.col("gone").isNotNull(), text), "gone").alias("new"))
+    few = F.size("gone") <= FEW
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    rest = without_lines(F.when(~few, text), F.when(~few, F.col("gone")))  # else lines times lines gone are looked at
+    x = x.select("row", F.col("gone").isNotNull().alias("cut"), F.when(few, kept).otherwise(rest).alias("new"))
     x = x.filter("not cut or trim(both ' \t\r\n\u000b\f' from new) != ''")
     changed = {"text": F.col("new"), "n_chars": F.char_length("new").cast("long")}
     return x.select(*(F.when(F.col("cut"), changed[c]).otherwise(row.getField(c)).alias(c) if c in changed else row.getField(c).alias(c) for c in docs.columns))
