@@ -15,6 +15,8 @@ from .merkle import ENDS, SKETCH, fingerprint_edits
 from .mixing import BLOCK_WORDS, GROUP_ROWS, mix_documents, mix_shards, permuted
 from .ngram_join import link_documents
 from .packing import pack_documents
+from .pii import find_personal
+from .spelling import group_variants
 from .tool_calls import calls_of, link_tool_calls
 from .toxicity import THRESHOLD, score_toxicity
 from .vectors import link_vectors
@@ -75,6 +77,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(spark, table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(spark, table(spark, sf_dir, "documents"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(spark, table(spark, sf_dir, "documents"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(spark, table(spark, sf_dir, "documents"))
 
@@ -92,6 +102,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_source_mixing": op9,
         "op9_mixed_shards": op9_shards,
         "op10_merkle_fingerprints": op10,
+        "op11_spelling_variants": op11,
+        "op12_personal_data": op12,
         "op13_source_divergence": op13,
     }
 
@@ -170,6 +182,24 @@ FROM h
 """
 
 
+#: crc32 by bytes, near words by deleted characters, roots by recursion.
+OP11_SQL = r"""
+WITH RECURSIVE c AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda v, j: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+o AS (SELECT doc_id, w, count(*) AS times, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM t WHERE length(w) >= 5 GROUP BY 1, 2),
+h AS (SELECT w, times, xor(list_reduce(list_concat([4294967295], list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda v, b: xor(v >> 8, tab[(xor(v, b) & 255) + 1])), 4294967295) AS h FROM o CROSS JOIN c),
+l AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, times FROM h),
+v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM l WHERE length(word) >= 5 GROUP BY 1 HAVING sum(times) >= 3),
+d AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, d.n, v.word, v.n FROM d JOIN v ON v.word = d.less UNION SELECT v.word, v.n, d.word, d.n FROM d JOIN v ON v.word = d.less),
+e AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM p GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM v LEFT JOIN e USING (word)),
+r AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+s AS (SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f LEFT JOIN s USING (word)
+"""
+
 OP13_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT DISTINCT lang, source FROM d),
@@ -189,4 +219,4 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_stupid_backoff": OP4_SQL, "op9_source_mixing": OP9_SQL, "op10_merkle_fingerprints": OP10_SQL, "op13_source_divergence": OP13_SQL}
+    return {"op4_stupid_backoff": OP4_SQL, "op9_source_mixing": OP9_SQL, "op10_merkle_fingerprints": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op13_source_divergence": OP13_SQL}
