@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import AREA_CLASSES, KEYS
 from ..operators import clusters, grid, kmeans, overlay, stats
+from ..tables import keep
 
 
 @dataclass(frozen=True)
@@ -56,27 +57,95 @@ def build_cells(points: DataFrame, land_use: DataFrame, areas: DataFrame, water:
     return x.select("city", "cell_id", "lon", "lat", grid.corners().alias("p"), F.round("land_km2", 4).alias("land_km2"), "dist_km", *grid.densities(), *(f"{c}_frac" for c in AREA_CLASSES))
 
 
-def cluster_cities(spark: SparkSession, cells: DataFrame, features: DataFrame, config: RunConfig, names: DataFrame | None = None) -> DataFrame:
-    """(city, cell_id, rank, name): cells (city, cell_id, land_km2, dist_km and feature columns) through logarithms,
-    z-scores, components, k-means, ranks and names; names (city, label: the rank, name) win over archetypes. A
-    feature that is sparse or constant in a city has z = 0 there, which leaves distances as without it. ``cells`` is
-    read several times and should be a written table."""
+@dataclass(frozen=True)
+class Clustering:
+    """What a run finds, as tables: z (city, cell_id, feature, idx, z) of the features in use; components (city, component,
+    eigenvalue, share, loading); scores (city, cell_id, v); ranked (city, cell_id, label: the rank); totals (city, label,
+    rank, n, land_km2, mean_dist); profile (city, label, feature, mean_z); names (city, label, name)."""
+
+    features: DataFrame
+    z: DataFrame
+    components: DataFrame
+    scores: DataFrame
+    ranked: DataFrame
+    totals: DataFrame
+    profile: DataFrame
+    names: DataFrame
+
+    def named(self) -> DataFrame:
+        """(city, cell_id, rank, name)."""
+        return self.ranked.join(self.names, ["city", "label"]).select("city", "cell_id", F.col("label").alias("rank"), "name")
+
+    def highlights(self) -> DataFrame:
+        return clusters.highlights(self.profile, self.features)
+
+    def correlates(self) -> DataFrame:
+        """Top and bottom features of the first two components, among the features in use in each city."""
+        r = stats.component_correlations(self.components.filter("component <= 2"), self.features)
+        return clusters.pc_correlates(r.join(self.profile.select("city", "feature").distinct(), ["city", "feature"], "left_semi"))
+
+
+def standardised(values: DataFrame, features: DataFrame, log: bool = True) -> tuple[DataFrame, DataFrame]:
+    """z of long rows (city, cell_id, feature, value), by city, after logarithms of densities; and the same as vectors
+    (city, cell_id, z) over all ``features`` (feature, idx, kind) in the order of idx, 0 where a feature has no spread."""
+    z = stats.zscores(stats.log_densities(values, features) if log else values)
+    order = [r.feature for r in features.orderBy("idx").select("feature").collect()]  # the catalogue's rows
+    x = z.groupBy("city", "cell_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "z"))).alias("m"))
+    at = lambda n: F.coalesce(F.try_element_at(F.col("m"), n), F.lit(0.0))
+    return z, x.select("city", "cell_id", F.transform(F.array(*map(F.lit, order)), at).alias("z"))
+
+
+def run_clustering(spark: SparkSession, cells: DataFrame, features: DataFrame, config: RunConfig, names: DataFrame | None = None) -> Clustering:
+    """Cells (city, cell_id, land_km2, dist_km and feature columns) through logarithms, z-scores, components, k-means,
+    ranks and names; names (city, label: the rank, name) win over archetypes. A feature that is sparse or constant in a
+    city has z = 0 there, which leaves distances as without it. ``cells`` is read several times and should be a
+    written table."""
     used = clusters.enabled_features(features, spark.createDataFrame([(d,) for d in config.disabled], "feature string"))
     keys = [r.feature for r in used.orderBy("idx").select("feature").collect()]  # the catalogue's rows
+    place = {k: i for i, k in enumerate(keys)}
+    used = used.drop("idx").join(F.broadcast(spark.createDataFrame(list(place.items()), "feature string, idx int")), "feature")
     values = grid.long_form(cells, ["city", "cell_id"], keys)
     kept = grid.sparse_features(values).filter("kept").select("city", "feature")
-    values = values.join(kept, ["city", "feature"])
-    z = stats.zscores(stats.log_densities(values, features) if config.log else values)
-    order = F.array(*map(F.lit, keys))
-    vectors = z.groupBy("city", "cell_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "z"))).alias("m"))
-    vectors = vectors.select("city", "cell_id", F.transform(order, lambda n: F.coalesce(F.try_element_at(F.col("m"), n), F.lit(0.0))).alias("z"))
-    scored = stats.scores(vectors, stats.pca(vectors, len(keys), config.var_target)).withColumnRenamed("score", "v")
-    params = spark.createDataFrame([(0, config.k, config.seed, config.restarts, config.max_iter)], "param_id int, k int, seed long, restarts int, max_iter int")
-    labels = kmeans.cluster_groups(scored, params).select("city", "cell_id", "label")
-    ranks = clusters.relabel(cells.select("city", "cell_id", "land_km2", "dist_km").join(labels, ["city", "cell_id"])).select("city", "label", "rank")
-    ranked = labels.join(ranks, ["city", "label"]).select("city", "cell_id", F.col("rank").alias("label"))
-    found = clusters.archetype_scores(clusters.profile(z, ranked), features, clusters.archetype_terms(spark))
-    return ranked.join(clusters.name_clusters(found, names), ["city", "label"]).select("city", "cell_id", F.col("label").alias("rank"), "name")
+    z, vectors = standardised(values.join(kept, ["city", "feature"]), used, config.log)
+    vectors = keep(vectors, "vectors")
+    components = keep(stats.pca(vectors, len(keys), config.var_target), "components")
+    scores = keep(stats.scores(vectors, components).select("city", "cell_id", F.col("score").alias("v")), "scores")
+    labels = kmeans.cluster_all(scores, [kmeans.Setting(0, config.k, config.seed, config.restarts, config.max_iter)]).select("city", "cell_id", "label")
+    labels = keep(labels, "labels")
+    totals = clusters.relabel(cells.select("city", "cell_id", "land_km2", "dist_km").join(labels, ["city", "cell_id"]))
+    ranked = labels.join(totals.select("city", "label", "rank"), ["city", "label"]).select("city", "cell_id", F.col("rank").alias("label"))
+    z = z.join(F.broadcast(used.select("feature", "idx")), "feature")  # a row a feature
+    profile = clusters.profile(z, ranked)
+    found = clusters.archetype_scores(profile, features, clusters.archetype_terms(spark))
+    return Clustering(used, z, components, scores, ranked, totals, profile, clusters.name_clusters(found, names))
+
+
+def cluster_cities(spark: SparkSession, cells: DataFrame, features: DataFrame, config: RunConfig, names: DataFrame | None = None) -> DataFrame:
+    """(city, cell_id, rank, name), as of ``run_clustering``."""
+    return run_clustering(spark, cells, features, config, names).named()
+
+
+@dataclass(frozen=True)
+class SweepSetting:
+    k: int
+    seed: int = 42
+    features: tuple[int, ...] = field(default=())  # places; none: all
+    var_target: float = 0.86
+    restarts: int = 12
+    max_iter: int = 200
+
+
+def sweep(values: DataFrame, features: DataFrame, settings: list[SweepSetting], log: bool = True) -> DataFrame:
+    """(city, param_id, cell_id, label, inertia) of long rows (city, cell_id, feature, value) for every setting. Logarithms,
+    z-scores and one covariance matrix a city serve all settings: each takes the components of its features' part of it,
+    and clusters the same rows through its own loadings."""
+    width = features.count()
+    _, vectors = standardised(values, features, log)
+    vectors = keep(vectors, "vectors")
+    every = list(range(width))
+    own = [(i, list(s.features) or every, s.var_target) for i, s in enumerate(settings)]
+    loadings = keep(stats.setting_loadings(stats.covariance(vectors, width), width, own), "loadings")
+    return kmeans.cluster_all(vectors, [kmeans.Setting(i, s.k, s.seed, s.restarts, s.max_iter) for i, s in enumerate(settings)], "z", loadings)
 
 
 def feature_table(spark: SparkSession) -> DataFrame:

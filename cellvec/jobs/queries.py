@@ -502,19 +502,38 @@ def relabel(spark, sf_dir):
     return clusters.relabel(assigned(spark, sf_dir)).select("city", "label", "n", *r6("land_km2", "mean_dist"), "rank")
 
 
-@query(f"""WITH {PROFILE_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY city, label ORDER BY mean_z DESC, idx) AS u, row_number() OVER (PARTITION BY city, label ORDER BY mean_z, idx) AS w FROM pr)
+@query(f"""WITH {PROFILE_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY city, label ORDER BY mean_z DESC, idx) AS u, row_number() OVER (PARTITION BY city, label ORDER BY mean_z, idx DESC) AS w FROM pr)
 SELECT city, label, feature, round(mean_z, 6) AS mean_z, 'high' AS side, u::INT AS place FROM k WHERE u <= 4 AND k.mean_z > 0.25 UNION ALL SELECT city, label, feature, round(mean_z, 6), 'low', w::INT FROM k WHERE w <= 3 AND k.mean_z < -0.25""")
 def highlights(spark, sf_dir):
     return clusters.highlights(profiles(spark, sf_dir), features(spark)).withColumn("mean_z", F.round("mean_z", 6))
 
 
-@query(f"""WITH v AS ({X.VALUES_SQL}), f AS (SELECT city, cell_id, value AS d1 FROM v WHERE idx = 0), r AS (SELECT v.city, 1 AS component, feature, idx, corr(value, d1) AS r FROM v JOIN f USING (city, cell_id) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY r DESC, idx) AS u, row_number() OVER (PARTITION BY city ORDER BY r, idx) AS w FROM r)
-SELECT city, component, feature, round(k.r, 6) AS r, 'top' AS side, u::INT AS place FROM k WHERE u <= 5 UNION ALL SELECT city, component, feature, round(k.r, 6), 'bottom', w::INT FROM k WHERE w <= 5""")
+#: Features two by two: the components of two standardised features are their sum and difference.
+PAIRS_SQL = f"""{Z_SQL}, w AS (SELECT city * 100 + idx // 2 AS city, cell_id, max(z) FILTER (WHERE idx % 2 = 0) AS a, max(z) FILTER (WHERE idx % 2 = 1) AS b FROM z GROUP BY ALL), c AS (SELECT city, sum(a * b) / (count(*) - 1) AS rho FROM w GROUP BY 1),
+d AS (SELECT w.*, CASE WHEN rho >= 0 THEN a + b ELSE a - b END AS d1, CASE WHEN rho >= 0 THEN a - b ELSE a + b END AS d2 FROM w JOIN c USING (city))"""
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors z of features two by two, each two of a city as a city of its own."""
+    x = zs(spark, sf_dir).select((F.col("city") * 100 + F.expr("idx div 2")).alias("city"), "cell_id", (F.col("idx") % 2).alias("idx"), "z")
+    x = x.groupBy("city", "cell_id").agg(F.sort_array(F.collect_list(F.struct("idx", "z"))).alias("t"))
+    return x.select("city", "cell_id", F.transform("t", lambda e: e["z"]).alias("z"))
+
+
+@query(f"""WITH {PAIRS_SQL}, r AS (SELECT city, 1 AS component, corr(a, d1) AS f0, corr(b, d1) AS f1 FROM d GROUP BY 1 UNION ALL SELECT city, 2, corr(a, d2), corr(b, d2) FROM d GROUP BY 1),
+l AS (SELECT city, component, 'f0' AS feature, 0 AS idx, f0 AS r FROM r UNION ALL SELECT city, component, 'f1', 1, f1 FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY city, component ORDER BY round(r, 6) DESC, idx) AS u, row_number() OVER (PARTITION BY city, component ORDER BY round(r, 6), idx DESC) AS w FROM l)
+SELECT city, component, feature, round(k.r, 6) AS r, 'top' AS side, u::INT AS place FROM k UNION ALL SELECT city, component, feature, round(k.r, 6), 'bottom', w::INT FROM k""")
 def pc_correlates(spark, sf_dir):
-    x = X.values(spark, sf_dir)
-    d = X.vectors(spark, sf_dir).select("city", "cell_id", F.get("v", F.lit(0)).alias("d1"))
-    r = x.join(d, ["city", "cell_id"]).groupBy("city", F.lit(1).alias("component"), "feature", "idx").agg(stats.pearson("value", "d1").alias("r"))
-    return clusters.pc_correlates(r).withColumn("r", F.round("r", 6))
+    """Features that correlate most and least with both components, from eigenvalues and loadings alone."""
+    known = features(spark).filter("idx < 2")
+    r = stats.component_correlations(stats.pca(pairs(spark, sf_dir), 2), known).withColumn("r", F.round("r", 6))
+    return clusters.pc_correlates(r)
+
+
+@query(f"WITH {Z_SQL} SELECT a.city, a.idx AS i, b.idx AS j, round(sum(a.z * b.z) / (count(*) - 1), 6) AS cov FROM z a JOIN z b ON a.city = b.city AND a.cell_id = b.cell_id AND a.idx <= b.idx GROUP BY ALL")
+def pca_rebuilt(spark, sf_dir):
+    """All 64 components of every city, multiplied out: the covariance matrix again."""
+    return stats.rebuilt(stats.pca(zvectors(spark, sf_dir), 64, 1.0)).select("city", "i", "j", *r6("cov"))
 
 
 TERMS = {"A": [(1.0, "g0"), (1.5, ("f1", "f9"))], "B": [(0.9, ("f3",)), (-0.8, "g2")], "C": [(2.0, ("f60", "missing"))], "D": [(1.0, ("missing",))]}
@@ -586,7 +605,7 @@ def cells_geojson(spark, sf_dir):
 @query()
 def sweep(spark, sf_dir):
     """k-means of every city for several k, seeds, sets of features and shares of variance."""
-    every, some = list(range(64)), list(range(8, 40))
-    settings = [(i, k, s, 12, 200, f, v) for i, (k, s, f, v) in enumerate((k, s, f, v) for k in (2, 5, 12) for s, f, v in ((42, every, 0.86), (1, every, 0.86), (42, some, 0.86), (42, every, 0.5)))]
-    settings = spark.createDataFrame(settings, "param_id int, k int, seed long, restarts int, max_iter int, features array<int>, var_target double")
-    return kmeans.cluster_groups(X.vectors(spark, sf_dir), settings).groupBy("city", "param_id").agg(F.countDistinct("label").alias("clusters"), F.round(F.max("inertia"), 6).alias("inertia"))
+    some = tuple(range(8, 40))
+    settings = [cities.SweepSetting(k, s, f, v) for k in (2, 5, 12) for s, f, v in ((42, (), 0.86), (1, (), 0.86), (42, some, 0.86), (42, (), 0.5))]
+    known = features(spark).withColumn("kind", F.lit("score"))
+    return cities.sweep(X.values(spark, sf_dir).select("city", "cell_id", "feature", "value"), known, settings).groupBy("city", "param_id").agg(F.countDistinct("label").alias("clusters"), F.round(F.max("inertia"), 6).alias("inertia"))

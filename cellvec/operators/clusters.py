@@ -22,18 +22,20 @@ def profile(z: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def highlights(profiles: DataFrame, features: DataFrame, top: int = 4, low: int = 3, cut: float = 0.25) -> DataFrame:
-    """The most and least marked features of each cluster; ties by feature order (features: feature, idx)."""
+    """The most and least marked features of each cluster (features: feature, idx). Ties go by feature order on the high
+    side and against it on the low side, which is the same order read from its end."""
     x = profiles.join(F.broadcast(features.select("feature", "idx")), "feature")  # one row a feature
     by = Window.partitionBy("city", "label")
-    x = x.withColumns({"up": F.row_number().over(by.orderBy(F.desc("mean_z"), "idx")), "down": F.row_number().over(by.orderBy("mean_z", "idx"))})
+    x = x.withColumns({"up": F.row_number().over(by.orderBy(F.desc("mean_z"), "idx")), "down": F.row_number().over(by.orderBy("mean_z", F.desc("idx")))})
     high = x.filter((F.col("up") <= top) & (F.col("mean_z") > cut)).select("city", "label", "feature", "mean_z", F.lit("high").alias("side"), F.col("up").alias("place"))
     return high.union(x.filter((F.col("down") <= low) & (F.col("mean_z") < -cut)).select("city", "label", "feature", "mean_z", F.lit("low"), "down"))
 
 
 def pc_correlates(correlations: DataFrame, n: int = 5) -> DataFrame:
-    """Top and bottom n features by correlation with each component (city, component, feature, idx, r)."""
+    """Top and bottom n features by correlation with each component (city, component, feature, idx, r); ties as of
+    ``highlights``."""
     by = Window.partitionBy("city", "component")
-    x = correlations.withColumns({"up": F.row_number().over(by.orderBy(F.desc("r"), "idx")), "down": F.row_number().over(by.orderBy("r", "idx"))})
+    x = correlations.withColumns({"up": F.row_number().over(by.orderBy(F.desc("r"), "idx")), "down": F.row_number().over(by.orderBy("r", F.desc("idx")))})
     top = x.filter(F.col("up") <= n).select("city", "component", "feature", "r", F.lit("top").alias("side"), F.col("up").alias("place"))
     return top.union(x.filter(F.col("down") <= n).select("city", "component", "feature", "r", F.lit("bottom"), "down"))
 

@@ -1,23 +1,27 @@
-"""k-means of all cities and restarts at once.
+"""k-means of all cities, settings and restarts at once.
 
-Vectors: (city, cell_id, v array<double>). Centroids are k rows per (city, restart), so they
-travel as one small table; rows never move: a step is a map with partial sums and one aggregate.
+Vectors: (city, cell_id, v array<double>). Rows never move: a step is a pass over them that leaves partial sums,
+which are added by (city, setting, restart, label); only centroids go to the tasks. ``cluster_all`` seeds by
+distance (k-means++) and iterates until labels stay; ``lloyd`` takes given centroids for a fixed number of steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import eigen
+from ..tables import keep as write
 
 SEED_STEP = 7919
-#: Cells of one city in ``cluster_groups``; 100 times the default grid.
-MOST_CELLS = 100_000
+#: Rows of a chunk, whose distances are summed before a draw looks into it.
+CHUNK = 4096
+#: Bytes of centroids that go to the tasks at once; cities beyond are clustered after those before.
+MOST_BYTES = 64 << 20
 
 
 def square_distance(a, b):
@@ -47,8 +51,14 @@ def lloyd(vectors: DataFrame, centroids: DataFrame, steps: int, keep: Callable[[
     return assign(vectors, centroids)
 
 
+def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to each centroid; one centroid at a time, so nothing is larger than the rows."""
+    return np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], axis=1)
+
+
 def kmeans_array(x: np.ndarray, k: int, restarts: int = 12, max_iter: int = 200, seed: int = 42) -> tuple[np.ndarray, np.ndarray, float]:
-    """Labels, centroids and inertia of one city's vectors; the earlier restart wins ties."""
+    """Labels, centroids and inertia of one city's vectors in one array; the earlier restart wins ties. What
+    ``cluster_all`` is held against."""
     n = len(x)
     k = min(k, n)
     best = (np.zeros(0, np.int32), x[:0], np.inf)
@@ -63,7 +73,7 @@ def kmeans_array(x: np.ndarray, k: int, restarts: int = 12, max_iter: int = 200,
         c = np.array(c)
         labels = np.full(n, -1)
         for it in range(max_iter):
-            apart = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+            apart = distances(x, c)
             new = apart.argmin(axis=1)
             inertia = float(apart[np.arange(n), new].sum())
             same = bool((new == labels).all())
@@ -78,27 +88,216 @@ def kmeans_array(x: np.ndarray, k: int, restarts: int = 12, max_iter: int = 200,
     return best
 
 
-def cluster_groups(vectors: DataFrame, params: DataFrame, column: str = "v") -> DataFrame:
-    """(city, param_id, cell_id, label, inertia) for every city and setting (param_id, k, seed,
-    restarts, max_iter): a sweep of small problems, one group each. With columns features (array of
-    places) and var_target, a setting takes these features and their own components. A city's cells are
-    bounded by the grid (MOST_CELLS here, an error beyond); for larger tables use ``lloyd``."""
-    chosen = "features" in params.columns
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > MOST_CELLS:
-            raise ValueError(f"{len(frame)} cells in a city; use lloyd")
-        frame = frame.sort_values("cell_id")
-        p = frame.iloc[0]
-        x = np.stack(frame[column].to_numpy()).astype(float)
-        if chosen:
-            x = x[:, list(p.features)]
-            x = x - x.mean(axis=0)
-            _, loadings, n = eigen(np.atleast_2d(np.cov(x.T)), float(p.var_target))
-            x = x @ loadings[:, :n]
-        labels, _, inertia = kmeans_array(x, int(p.k), int(p.restarts), int(p.max_iter), int(p.seed))
-        return pd.DataFrame({"city": frame.city, "param_id": frame.param_id, "cell_id": frame.cell_id, "label": labels, "inertia": inertia})
-
-    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
-    x = vectors.select("city", "cell_id", column).join(F.broadcast(params))  # settings of a sweep, a few rows
-    return x.groupBy("city", "param_id").applyInPandas(solve, f"city {kinds['city']}, param_id int, cell_id {kinds['cell_id']}, label int, inertia double")
+# ---- all cities, settings and restarts ----
+
+
+@dataclass(frozen=True)
+class Setting:
+    param_id: int
+    k: int
+    seed: int = 42
+    restarts: int = 12
+    max_iter: int = 200
+
+
+@dataclass
+class Run:
+    """One restart of a setting in a city."""
+
+    city: object
+    setting: Setting
+    restart: int
+    n: int
+    rng: np.random.Generator
+    centroids: np.ndarray | None = None
+    before: np.ndarray | None = None  # centroids of the step before
+    inertia: float = np.inf
+    steps: int = 0
+    done: bool = False
+    key: int = field(default=0)
+
+
+def number_rows(vectors: DataFrame, column: str) -> DataFrame:
+    """(city, pos, cell_id, v): rows of a city numbered from 0 by cell_id. Rows are dealt by ranges and counted in each;
+    the counts before a range are added, so no city is sorted in one task."""
+    x = vectors.select("city", "cell_id", F.col(column).alias("v")).repartitionByRange("city", "cell_id").sortWithinPartitions("city", "cell_id")
+    x = write(x.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "ranges")  # once, as both differ from run to run
+    parts = x.groupBy("city", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("city").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("city", "part", (before - F.col("first")).alias("shift"))  # a row for each range and city in it
+    return write(x.join(parts, ["city", "part"]).select("city", (F.col("at") + F.col("shift")).alias("pos"), "cell_id", "v"), "rows")
+
+
+class Rows:
+    """Numbered rows of some cities, in the space of each setting: v itself, or v times the setting's loadings."""
+
+    def __init__(self, rows: DataFrame, loadings: DataFrame | None):
+        self.rows = rows
+        self.loadings = None if loadings is None else {(r.city, r.param_id): np.array(r.loading) for r in loadings.collect()}  # of the cities taken at once
+        self.kind = rows.schema["city"].dataType.simpleString()
+
+    def space(self, city: object, param_id: int, v: np.ndarray) -> np.ndarray:
+        return v if self.loadings is None else v @ self.loadings[city, param_id]
+
+    def over(self, runs: list[Run], f: Callable, schema: str, rows: DataFrame | None = None) -> DataFrame:
+        """f(city, pos, x of each setting, the city's runs, table) of every batch's rows of a city, as tables."""
+        by_city: dict[object, list[Run]] = {}
+        for r in runs:
+            by_city.setdefault(r.city, []).append(r)
+        loadings = None if self.loadings is None else {(c, p): m for (c, p), m in self.loadings.items() if c in by_city}
+        sent = self.rows.sparkSession.sparkContext.broadcast((by_city, loadings))
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, loads = sent.value
+            for batch in batches:
+                cities = batch.column("city").to_pylist()
+                flat = batch.column("v").flatten().to_numpy()
+                for city in dict.fromkeys(cities):
+                    if city not in own:
+                        continue
+                    mine = np.flatnonzero(np.fromiter((c == city for c in cities), bool, len(cities)))
+                    v = flat.reshape(len(cities), -1)[mine]
+                    spaces = {p: v if loads is None else v @ loads[city, p] for p in {r.setting.param_id for r in own[city]}}
+                    yield from f(city, batch.column("pos").to_numpy()[mine], spaces, own[city], batch.take(pa.array(mine)))
+
+        return (self.rows if rows is None else rows).mapInArrow(go, schema)
+
+    def at(self, wanted: dict[tuple[object, int], None]) -> dict[tuple[object, int], np.ndarray]:
+        """The vectors at some places (city, pos)."""
+        if not wanted:
+            return {}
+        places = self.rows.sparkSession.createDataFrame(list(wanted), f"city {self.kind}, pos long")
+        return {(r.city, r.pos): np.array(r.v) for r in self.rows.join(F.broadcast(places), ["city", "pos"]).collect()}  # a row for each draw
+
+
+def draw_any(rows: Rows, runs: list[Run]) -> list[np.ndarray]:
+    """A row for each run, all alike likely."""
+    places = [(r.city, min(r.n - 1, int(r.rng.random() * r.n))) for r in runs]
+    found = rows.at(dict.fromkeys(places))
+    return [rows.space(r.city, r.setting.param_id, found[p][None, :])[0] for r, p in zip(runs, places, strict=True)]
+
+
+def draw_far(rows: Rows, runs: list[Run]) -> list[np.ndarray]:
+    """A row for each run, as likely as its squared distance to the nearest centroid so far is large: distances are summed
+    by chunk, the chunk in which the running sum reaches the draw is found by prefix sums, and the row in that chunk."""
+    for k, r in enumerate(runs):
+        r.key = k
+    spark = rows.rows.sparkSession
+
+    def sums(city, pos, spaces, own, _):
+        chunk, where = np.unique(pos // CHUNK, return_inverse=True)
+        for r in own:
+            d = distances(spaces[r.setting.param_id], r.centroids).min(axis=1)
+            yield pa.RecordBatch.from_pydict({"run": [r.key] * len(chunk), "chunk": chunk, "s": np.bincount(where, d, len(chunk))})
+
+    draws = F.broadcast(spark.createDataFrame([(r.key, r.rng.random()) for r in runs], "run long, u double"))  # a row a run
+    chunks = rows.over(runs, sums, "run long, chunk long, s double").groupBy("run", "chunk").agg(F.sum("s").alias("s"))
+    by, whole = Window.partitionBy("run").orderBy("chunk"), Window.partitionBy("run")
+    x = chunks.withColumns({"until": F.sum("s").over(by), "total": F.sum("s").over(whole), "last": F.max("chunk").over(whole)}).join(draws, "run")
+    hit = x.filter("until >= u * total or chunk = last").groupBy("run").agg(F.min(F.struct("chunk", F.expr("u * total - (until - s)").alias("rest"))).alias("h"))
+    found = {h.run: (h.chunk, h.rest) for h in hit.select("run", "h.chunk", "h.rest").collect()}
+    places = spark.createDataFrame(list({(runs[k].city, c) for k, (c, _) in found.items()}), f"city {rows.kind}, chunk long")
+    near = rows.rows.withColumn("chunk", F.expr(f"pos div {CHUNK}")).join(F.broadcast(places), ["city", "chunk"])  # a chunk for each run at most
+
+    def distant(city, pos, spaces, own, table):
+        for r in own:
+            chunk, rest = found[r.key]
+            mine = np.flatnonzero(pos // CHUNK == chunk)
+            x = spaces[r.setting.param_id][mine]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), r.key)), pa.array(np.full(len(mine), rest)), pa.array(pos[mine]), pa.array(distances(x, r.centroids).min(axis=1)), pa.array(list(x), pa.list_(pa.float64()))], names=["run", "rest", "pos", "d", "x"])
+
+    d = rows.over(runs, distant, "run long, rest double, pos long, d double, x array<double>", near.select(*rows.rows.columns))
+    by = Window.partitionBy("run").orderBy("pos")  # the rows of a chunk
+    d = d.withColumns({"until": F.sum("d").over(by), "last": F.max("pos").over(whole)}).filter("until >= rest or pos = last")
+    chosen = {r.run: np.array(r.x) for r in d.groupBy("run").agg(F.min_by("x", "pos").alias("x")).collect()}
+    return [chosen[r.key] for r in runs]
+
+
+def step(rows: Rows, runs: list[Run]) -> None:
+    """One assignment and update of every run. A run is done when no label has changed, not before its second step, or
+    after as many steps as it may take."""
+    for k, r in enumerate(runs):
+        r.key = k
+
+    def partial(city, pos, spaces, own, _):
+        for r in own:
+            x = spaces[r.setting.param_id]
+            apart = distances(x, r.centroids)
+            label = apart.argmin(axis=1)
+            moved = np.ones(len(x), bool) if r.before is None else label != distances(x, r.before).argmin(axis=1)
+            k, m = len(r.centroids), x.shape[1]
+            total = np.zeros((k, m + 3))
+            total[:, :m] = [x[label == j].sum(axis=0) for j in range(k)]
+            total[:, m] = np.bincount(label, minlength=k)
+            total[:, m + 1] = np.bincount(label, apart[np.arange(len(x)), label], k)
+            total[:, m + 2] = np.bincount(label, moved, k)
+            used = np.flatnonzero(total[:, m])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), r.key)), pa.array(used), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["run", "label", "t"])
+
+    x = rows.over(runs, partial, "run long, label long, t array<double>").select("run", "label", F.posexplode("t").alias("i", "t"))
+    x = x.groupBy("run", "label", "i").agg(F.sum("t").alias("t")).groupBy("run", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))), lambda e: e["t"]).alias("t"))
+    sums: dict[int, dict[int, np.ndarray]] = {}
+    for r in x.collect():  # a row for each centroid
+        sums.setdefault(r.run, {})[r.label] = np.array(r.t)
+    empty = []
+    for r in runs:
+        own = sums[r.key]
+        r.inertia = sum(t[-2] for t in own.values())
+        r.steps += 1
+        if r.steps > 1 and not sum(t[-1] for t in own.values()) or r.steps >= r.setting.max_iter:
+            r.done = True
+            continue
+        r.before = r.centroids
+        r.centroids = np.array([own[j][:-3] / own[j][-3] if j in own else np.full(r.before.shape[1], np.nan) for j in range(len(r.before))])
+        empty += [(r, j) for j in range(len(r.before)) if j not in own]
+    for (r, j), x in zip(empty, draw_any(rows, [r for r, _ in empty]), strict=True):
+        r.centroids[j] = x
+
+
+def cluster_all(vectors: DataFrame, settings: list[Setting], column: str = "v", loadings: DataFrame | None = None) -> DataFrame:
+    """(city, param_id, cell_id, label, inertia) for every city and setting. loadings: (city, param_id, loading: a row of
+    numbers for each entry of v), in whose space a setting clusters; rows aren't copied for it.
+
+    All restarts of all settings and cities go through the rows together, as many cities at once as MOST_BYTES of
+    centroids and loadings allow; runs that are done take no further part."""
+    table = number_rows(vectors, column)
+    sizes = [(r.city, r.n, r.width) for r in table.groupBy("city").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).collect()]  # a row a city
+    groups: list[list] = []
+    left = 0
+    for city, n, width in sorted(sizes, key=lambda s: str(s[0])):
+        need = 8 * width * (sum(2 * s.restarts * min(s.k, n) for s in settings) + (0 if loadings is None else width * len(settings)))
+        if not groups or left < need:
+            groups.append([])
+            left = MOST_BYTES
+        groups[-1].append((city, n))
+        left -= need
+    out = [cluster_some(table, some, settings, loadings, len(groups) > 1) for some in groups]
+    if not out:
+        return vectors.sparkSession.createDataFrame([], f"city {table.schema['city'].dataType.simpleString()}, param_id int, cell_id {vectors.schema['cell_id'].dataType.simpleString()}, label int, inertia double")
+    while len(out) > 1:
+        out = [a.union(b) for a, b in zip(out[::2], out[1::2], strict=False)] + out[len(out) - len(out) % 2 :]
+    return out[0]
+
+
+def cluster_some(table: DataFrame, cities: list[tuple[object, int]], settings: list[Setting], loadings: DataFrame | None, part: bool) -> DataFrame:
+    mine = F.col("city").isin([c for c, _ in cities])
+    rows = Rows(table.filter(mine), loadings if loadings is None else loadings.filter(mine)) if part else Rows(table, loadings)
+    runs = [Run(c, s, r, n, np.random.default_rng(s.seed + SEED_STEP * r)) for c, n in cities for s in settings for r in range(s.restarts)]
+    for r, x in zip(runs, draw_any(rows, runs), strict=True):
+        r.centroids = x[None, :]
+    while some := [r for r in runs if len(r.centroids) < min(r.setting.k, r.n)]:
+        for r, x in zip(some, draw_far(rows, some), strict=True):
+            r.centroids = np.concatenate([r.centroids, x[None, :]])
+    while some := [r for r in runs if not r.done]:
+        step(rows, some)
+    best: dict[tuple[object, int], Run] = {}
+    for r in runs:
+        if (at := (r.city, r.setting.param_id)) not in best or r.inertia < best[at].inertia:
+            best[at] = r
+
+    def label(city, pos, spaces, own, table):
+        for r in own:
+            near = distances(spaces[r.setting.param_id], r.centroids).argmin(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([table.column("city"), pa.array(np.full(len(near), r.setting.param_id, np.int32)), table.column("cell_id"), pa.array(near), pa.array(np.full(len(near), r.inertia))], names=["city", "param_id", "cell_id", "label", "inertia"])
+
+    return rows.over(list(best.values()), label, f"city {rows.kind}, param_id int, cell_id {table.schema['cell_id'].dataType.simpleString()}, label int, inertia double")

@@ -78,6 +78,43 @@ def pca(vectors: DataFrame, width: int, target: float = 0.86, column: str = "z")
     return cov.groupBy("city").applyInPandas(solve, f"city {kind}, component int, eigenvalue double, share double, loading array<double>")
 
 
+def setting_loadings(cov: DataFrame, width: int, settings: list[tuple[int, list[int], float]]) -> DataFrame:
+    """(city, param_id, components, loading) of settings (param_id, places of the features in use, share of variance): the
+    components of a part of each city's one covariance matrix. loading has a row for each feature, zeros for those not
+    in use; rows of the cities aren't read again."""
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((width, width))
+        m[frame.i, frame.j] = frame["cov"]
+        m[frame.j, frame.i] = frame["cov"]
+        out = []
+        for param, used, target in settings:
+            _, v, k = eigen(m[np.ix_(used, used)], target)
+            whole = np.zeros((width, k))
+            whole[used] = v[:, :k]
+            out.append((frame.city.iloc[0], param, k, list(whole)))
+        return pd.DataFrame(out, columns=["city", "param_id", "components", "loading"])
+
+    kind = cov.schema["city"].dataType.simpleString()
+    return cov.groupBy("city").applyInPandas(solve, f"city {kind}, param_id int, components int, loading array<array<double>>")
+
+
+def component_correlations(components: DataFrame, features: DataFrame) -> DataFrame:
+    """(city, component, feature, idx, r): correlation of each standardised feature (feature, idx) with the scores of each
+    component. For scores z . l that is l_j times the root of the component's eigenvalue, so no row is read; features
+    without spread have loadings of 0."""
+    x = components.select("city", "component", "eigenvalue", F.posexplode("loading").alias("idx", "l"))
+    r = x.select("city", "component", "idx", (F.col("l") * F.sqrt("eigenvalue")).alias("r"))
+    return r.join(F.broadcast(features.select("feature", "idx")), "idx").select("city", "component", "feature", "idx", "r")  # a row a feature
+
+
+def rebuilt(components: DataFrame) -> DataFrame:
+    """(city, i, j, cov), i <= j, from eigenvalues and loadings: the covariance matrix again where all components are kept."""
+    x = components.select("city", "eigenvalue", "loading", F.posexplode("loading").alias("i", "a"))
+    x = x.select("city", "eigenvalue", "i", "a", F.posexplode("loading").alias("j", "b")).filter("i <= j")
+    return x.groupBy("city", "i", "j").agg(F.sum(F.col("eigenvalue") * F.col("a") * F.col("b")).alias("cov"))
+
+
 def scores(vectors: DataFrame, components: DataFrame, column: str = "z") -> DataFrame:
     """vectors with ``score``: an array of one number per component of the city."""
     c = components.groupBy("city").agg(F.transform(F.sort_array(F.collect_list(F.struct("component", "loading"))), lambda t: t["loading"]).alias("loadings"))  # one row per city
