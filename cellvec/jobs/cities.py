@@ -47,11 +47,13 @@ def boundary_rings(areas: DataFrame) -> DataFrame:
 def build_cells(points: DataFrame, land_use: DataFrame, areas: DataFrame, water: DataFrame, bounds: DataFrame, centers: DataFrame, target_cells: int = 800) -> DataFrame:
     """Cell vectors of all cities. areas: (city, lon0, lat0, parts: the boundary's polygons in metres); water: (city,
     rings) to be taken off it; bounds: as of ``city_bounds``, one row per city, best read from a written table;
-    land_use: (city, cls, rings in metres); centers: (city, clon, clat)."""
+    land_use: (city, cls, rings in metres); centers: (city, clon, clat). Points outside the boundary don't count, in
+    whichever cell they are."""
     params = grid.grid_params(bounds, target_cells)
-    land = overlay.cell_land(boundary_rings(areas), water, params)
+    land = keep(overlay.cell_land(boundary_rings(areas), water, params), "land")
+    points = overlay.inside(grid.to_cells(points, params), overlay.measures(areas).select("city", "parts", "minx", "miny", "maxx", "maxy"))
     cells = grid.with_centres(land.select("city", "row", "col", "area"), params)
-    counts = grid.cell_activity(grid.to_cells(points, params)).filter(grid.ACTIVE)  # cells without points aren't active
+    counts = grid.cell_activity(points).filter(grid.ACTIVE)  # cells without points aren't active
     x = grid.with_land(cells, overlay.overlay_land(land_use, land, params)).join(counts, grid.CELL)
     x = x.join(F.broadcast(centers), "city").withColumns(grid.place_columns(F.col("clon"), F.col("clat")))  # one row per city
     return x.select("city", "cell_id", "lon", "lat", grid.corners().alias("p"), F.round("land_km2", 4).alias("land_km2"), "dist_km", *grid.densities(), *(f"{c}_frac" for c in AREA_CLASSES))

@@ -129,6 +129,14 @@ def systematic_sample(spark, sf_dir):
     return grid.systematic_sample(X.points(spark, sf_dir), 500).select("city", "osm_id", "step")
 
 
+@query(f"""WITH p AS ({X.points_sql()}), k AS (SELECT city, osm_id, lat, lon, row_number() OVER (PARTITION BY city ORDER BY lat, lon, source, osm_id) - 1 AS place, greatest(1, count(*) OVER (PARTITION BY city) // 300) AS step FROM p WHERE source <> 'trees')
+SELECT city, round(lat, 9) AS lat, round(lon, 9) AS lon, step FROM k WHERE place % step = 0""")
+def sample_without_ids(spark, sf_dir):
+    """Points as files hold them, without ids: sampled in the order of where they are."""
+    x = X.points(spark, sf_dir).filter("source <> 'trees'").withColumn("osm_id", F.lit(None).cast("long"))
+    return grid.systematic_sample(x, 300).select("city", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "step")
+
+
 @query(f"WITH p AS ({X.points_sql()}), c(city, clon, clat) AS (VALUES (0, -74.0e0, 40.7e0), (1, -0.125e0, 51.5e0), (2, 2.375e0, 48.875e0)), h AS (SELECT osm_id, c.city, 2 * 6371e0 * asin(sqrt(pow(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2))) AS km FROM p CROSS JOIN c) SELECT osm_id, arg_min(city, (km, city)) AS nearest, round(min(km), 6) AS km FROM h GROUP BY osm_id")
 def nearest_city_km(spark, sf_dir):
     options = [F.struct(haversine_km(F.col("lon"), F.col("lat"), F.lit(a), F.lit(b)).alias("km"), F.lit(i).alias("city")) for i, (a, b) in enumerate(X.CENTERS)]
@@ -341,12 +349,42 @@ def water_pieces(spark, sf_dir):
     t = X.apply(X.table(spark, sf_dir, "supplier"), X.PIECE)
     params = grid.grid_params(X.bounds(spark), X.TARGET_CELLS)
     b = grid.to_cells(X.points(spark, sf_dir).filter("source = 'buildings'"), params).select("city", "x", "y")
-    tile = 2000.0  # equi-join on tiles; a piece covers a few
-    span = lambda m: F.explode(F.sequence(F.floor((F.col(m) - F.col("e")) / tile), F.floor((F.col(m) + F.col("e")) / tile)))
-    tiles = t.withColumn("tx", span("mx")).withColumn("ty", span("my"))
-    hit = b.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)}).join(tiles, ["city", "tx", "ty"]).filter("x > mx - e and x <= mx + e and y > my - e and y <= my + e")
-    pieces = t.withColumn("area_m2", 4 * F.col("e") * F.col("e"))
-    return overlay.water_pieces(pieces, hit.select("city", "piece_id", F.lit(1).alias("step"))).select("city", "piece_id", "buildings", "is_water")
+    pieces = t.select("city", "piece_id", X.rectangle_rings("mx", "my", "e", "e").alias("rings"))
+    hit = overlay.buildings_of(pieces, b.withColumn("step", F.lit(1)), 500.0)
+    return overlay.water_pieces(t.withColumn("area_m2", 4 * F.col("e") * F.col("e")), hit).select("city", "piece_id", "buildings", "is_water")
+
+
+@query(f"WITH {LOCATED_SQL} SELECT city, \"row\", col, {', '.join(f'count(*) FILTER (WHERE {feature_sql(f)}) AS {f.key}' for f in POINT_FEATURES)} FROM l JOIN (SELECT city, minx, miny, maxx, maxy FROM g) USING (city) WHERE NOT (x > 0 AND y > 0) AND x BETWEEN minx AND maxx AND y BETWEEN miny AND maxy GROUP BY ALL")
+def counts_inside(spark, sf_dir):
+    """Counts of cells on the border hold the points inside the boundary only."""
+    points = grid.to_cells(X.points(spark, sf_dir), grid.grid_params(X.bounds(spark), X.TARGET_CELLS))
+    return grid.cell_counts(overlay.inside(points, overlay.measures(X.lands(spark)[0])))
+
+
+#: Land of two rectangles and water of two, all of which overlap; each in parts of a district's half sizes.
+UNITED = {"a": (-1, -1, 1, 0.2), "b": (-1, -0.4, 0.4, 1), "v": (-1, -1, 0, 0), "w": (-0.5, -0.5, 0.5, 0.5)}
+
+
+def united_sql() -> str:
+    """(A + B - AB)(1 - V - W + VW), a product being what rectangles have in common."""
+    terms = []
+    for sign, land in ((1, "a"), (1, "b"), (-1, "ab")):
+        for more, sea in ((1, ""), (-1, "v"), (-1, "w"), (1, "vw")):
+            low = lambda k, m, e: ", ".join(f"{m} + {UNITED[n][k]} * {e}" for n in land + sea)
+            side = lambda k, c, m, e: f"greatest(0, least({low(k + 2, m, e)}, {c}2) - greatest({low(k, m, e)}, {c}1))"
+            terms.append(f"{'+' if sign * more > 0 else '-'} {side(0, 'ix', 'mx', 'ex')} * {side(1, 'iy', 'my', 'ey')}")
+    return " ".join(terms)
+
+
+@query(f"""WITH t AS ({X.DISTRICT_SQL}){CELL_SQL}, d AS (SELECT *, {united_sql()} AS area FROM c) SELECT city, "row", col, round(area, 3) AS area FROM d WHERE area > 1e-6""")
+def united_land(spark, sf_dir):
+    """Land of each cell where boundaries overlap each other, and waters do."""
+    x = X.districts(spark, sf_dir)
+    at = lambda a, b: F.struct((F.col("mx") + a * F.col("ex")).alias("x"), (F.col("my") + b * F.col("ey")).alias("y"))
+    ring = lambda x1, y1, x2, y2: F.array(at(x1, y1), at(x2, y1), at(x2, y2), at(x1, y2))
+    some = lambda names: x.select("city", F.explode(F.array(*(F.array(ring(*map(F.lit, map(float, UNITED[n])))) for n in names))).alias("rings"))
+    land = overlay.cell_land(some("ab"), some("vw"), square_params(x), "square")
+    return land.select("city", "row", "col", F.round("area", 3).alias("area"))
 
 
 def built(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import AREA_CLASSES, KEYS, POINT_FEATURES, STREET_KEYS
 from ..functions.geo import AREA_OF_R2, SQRT3, haversine_km, hex_radius, hex_ring, locate, project, unproject
+from .order import places, quantiles
 
 CELL = ["city", "row", "col"]
 
@@ -149,25 +150,23 @@ def city_index(registry: DataFrame, cells: DataFrame, generated: str) -> DataFra
     return registry.join(cells.groupBy("city").agg(F.count("*").alias("cells")), registry["slug"] == F.col("city")).drop("city").withColumn("generated", F.lit(generated))
 
 
-def systematic_sample(points: DataFrame, most: int, rows: int = 10_000) -> DataFrame:
-    """Every step-th point of a city in order of osm_id, with the step: 1 where there are no more than ``most``.
-    Points are numbered in parts of about ``rows`` by ranges of osm_id and prefix sums over these."""
-    part = F.expr(f"osm_id div {rows}")
-    x = points.withColumn("part", part)
-    parts = x.groupBy("city", "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(by_city("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    steps = parts.withColumns({"before": before, "step": F.greatest(F.lit(1), F.floor(F.sum("n").over(Window.partitionBy("city")) / most))}).drop("n")
-    x = x.join(steps, ["city", "part"]).withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("city", "part").orderBy("osm_id")) - 1)
-    return x.filter(F.col("at") % F.col("step") == 0).drop("part", "before", "at")
+def systematic_sample(points: DataFrame, most: int) -> DataFrame:
+    """Every step-th point of a city, with the step: 1 where there are no more than ``most``. Points go by osm_id; those
+    without one come first, by where they are and what they say, so points of TSV files are sampled too."""
+    tags = F.to_json(F.array_sort(F.map_entries("tags")))
+    x = places(points, ["city"], ["osm_id", "lat", "lon", "source", tags])
+    step = F.greatest(F.lit(1), F.floor(F.col("total") / most))
+    return x.withColumn("step", step).filter(F.col("before") % F.col("step") == 0).drop("before", "total")
 
 
 def robust_extent(cells: DataFrame) -> DataFrame:
     """Bounds of the cells whose distance to the median centre is within 2.5 times its 95 % quantile."""
-    mid = cells.groupBy("city").agg(F.percentile("lon", 0.5).alias("mlon"), F.percentile("lat", 0.5).alias("mlat"))
-    x = cells.join(F.broadcast(mid), "city")  # one row per city
+    mid = quantiles(cells.select("city", "lon", "lat").unpivot("city", ["lon", "lat"], "axis", "value"), ["city", "axis"], {"m": 0.5})
+    mid = mid.groupBy("city").agg(*(F.max(F.when(F.col("axis") == c, F.col("m"))).alias(f"m{c}") for c in ("lon", "lat")))
+    x = cells.join(mid, "city")  # mid, cut: one row per city
     x = x.withColumn("d", F.hypot((F.col("lon") - F.col("mlon")) * F.cos(F.radians("mlat")), F.col("lat") - F.col("mlat")))
-    cut = x.groupBy("city").agg((F.percentile("d", 0.95) * 2.5).alias("cut"))
-    x = x.join(F.broadcast(cut), "city").filter("d <= cut")
+    cut = quantiles(x, ["city"], {"q": 0.95}, "d").select("city", (F.col("q") * 2.5).alias("cut"))
+    x = x.join(cut, "city").filter("d <= cut")
     return x.groupBy("city").agg(*(f(c).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("min", F.min), ("max", F.max))))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import keep as write
+from .order import places
 
 SEED_STEP = 7919
 #: Rows of a chunk, whose distances are summed before a draw looks into it.
@@ -118,14 +119,9 @@ class Run:
 
 
 def number_rows(vectors: DataFrame, column: str) -> DataFrame:
-    """(city, pos, cell_id, v): rows of a city numbered from 0 by cell_id. Rows are dealt by ranges and counted in each;
-    the counts before a range are added, so no city is sorted in one task."""
-    x = vectors.select("city", "cell_id", F.col(column).alias("v")).repartitionByRange("city", "cell_id").sortWithinPartitions("city", "cell_id")
-    x = write(x.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "ranges")  # once, as both differ from run to run
-    parts = x.groupBy("city", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("city").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("city", "part", (before - F.col("first")).alias("shift"))  # a row for each range and city in it
-    return write(x.join(parts, ["city", "part"]).select("city", (F.col("at") + F.col("shift")).alias("pos"), "cell_id", "v"), "rows")
+    """(city, pos, cell_id, v): rows of a city numbered from 0 by cell_id."""
+    x = places(vectors.select("city", "cell_id", F.col(column).alias("v")), ["city"], ["cell_id"])
+    return write(x.select("city", F.col("before").alias("pos"), "cell_id", "v"), "rows")
 
 
 class Rows:

@@ -1,9 +1,10 @@
 """Polygons on cells: ring assembly, clipped areas, points in polygons. Rings are arrays of (x, y).
 
-A polygon row stays whole on one task, finds the cells of its bounding box there and sends on areas,
-or the parts of its rings inside each cell; no whole ring is copied to cells. Where a cell crosses
-the border of a city's land, its pieces meet the land's by an equi-join on the cell. Bad polygons
-give no rows.
+Polygons that cover many cells or have many vertices are halved until each piece is small, and pieces are dealt
+to the tasks anew; then all rings of a batch are cut to their cells at once. What goes on are areas, or the parts
+of rings inside each cell; no whole ring is copied to cells. Where a cell crosses the border of a city's land,
+its pieces meet the land's by an equi-join on the cell. Polygons that overlap are united by counting how many cover a
+place. Bad polygons (rings of fewer than three points, or coordinates that are no numbers) give no rows.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import DoubleType
+
+from ..tables import keep
 
 SQRT3 = 3**0.5
 
@@ -120,72 +124,291 @@ def as_rings(value) -> list[np.ndarray]:
     return [np.array([(p["x"], p["y"]) for p in r], dtype=float) for r in value]
 
 
-def area_where(layers: list[list[np.ndarray]], wanted: Callable[[list[np.ndarray]], np.ndarray]) -> float:
-    """Area of the points that are wanted by which of the layers (rings by the even-odd rule) they lie in.
+def as_polygons(value) -> list[list[np.ndarray]]:
+    return [as_rings(p) for p in value]
+
+
+def edges_of(polygons: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (x1, y1, x2, y2) that aren't upright, from left to right, and the number of the polygon of each."""
+    ends = [np.hstack([r, np.roll(r, -1, axis=0)]) for p in polygons for r in p]
+    of = [np.full(len(r), k) for k, p in enumerate(polygons) for r in p]
+    if not ends:
+        return np.zeros((0, 4)), np.zeros(0, np.int64)
+    e, k = np.vstack(ends), np.concatenate(of)
+    e, k = e[e[:, 0] != e[:, 2]], k[e[:, 0] != e[:, 2]]
+    return np.where((e[:, 0] < e[:, 2])[:, None], e, e[:, [2, 3, 0, 1]]), k
 
-    Between neighbouring x of vertices and crossings no edges cross, so a strip's part is its width
-    times its length along the middle."""
-    edges = []
-    for k, rings in enumerate(layers):
-        for ring in rings:
-            for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, axis=0), strict=True):
-                if x1 != x2:
-                    edges.append((x1, y1, x2, y2, k) if x1 < x2 else (x2, y2, x1, y1, k))
-    if not edges:
+
+def area_where(layers: list[list[list[np.ndarray]]], wanted: Callable[[list[np.ndarray]], np.ndarray]) -> float:
+    """Area of the places that are wanted by which of the layers cover them. A layer is polygons (rings by the even-odd
+    rule), of which one at least must cover the place; so polygons of a layer that overlap are united.
+
+    Between neighbouring x of vertices and crossings no edges cross, so a strip's part is its width times its length
+    along the middle. Up a strip, each edge begins or ends the cover of its polygon in turn."""
+    e, of = edges_of([p for layer in layers for p in layer])
+    if not len(e):
         return 0.0
-    x1, y1, x2, y2, layer = np.array(edges).T
+    layer = np.repeat(np.arange(len(layers)), [len(v) for v in layers])[of]
+    x1, y1, x2, y2 = e.T
     slope = (y2 - y1) / (x2 - x1)
     base = y1 - slope * x1
     with np.errstate(divide="ignore", invalid="ignore"):
         cross = (base[None, :] - base[:, None]) / (slope[:, None] - slope[None, :])
     cross = cross[(cross > np.maximum(x1[:, None], x1)) & (cross < np.minimum(x2[:, None], x2))]
     xs = np.unique(np.concatenate((x1, x2, cross)))
-    middle, width = (xs[1:] + xs[:-1]) / 2, np.diff(xs)
     total = 0.0
-    for m, w in zip(middle, width, strict=True):
+    for m, w in zip((xs[1:] + xs[:-1]) / 2, np.diff(xs), strict=True):
         on = np.flatnonzero((x1 < m) & (m < x2))
+        if len(on) < 2:
+            continue
         y = base[on] + slope[on] * m
-        order = np.argsort(y)
-        inside = [np.cumsum(layer[on][order] == k)[:-1] % 2 == 1 for k in range(len(layers))]
-        if len(on) > 1:
-            total += w * float(np.diff(y[order])[wanted(inside)].sum())
+        on, y = on[np.argsort(y, kind="stable")], np.sort(y, kind="stable")
+        by = np.argsort(of[on], kind="stable")  # the edges of a polygon, from below
+        first = np.flatnonzero(np.concatenate(([True], np.diff(of[on][by]) != 0)))
+        turn = np.empty(len(on), np.int64)
+        turn[by] = np.arange(len(on)) - np.repeat(first, np.diff(np.concatenate((first, [len(on)]))))
+        change = 1 - 2 * (turn % 2)
+        inside = [np.cumsum(np.where(layer[on] == k, change, 0))[:-1] > 0 for k in range(len(layers))]
+        total += w * float(np.diff(y)[wanted(inside)].sum())
     return total
 
 
-def clip_to_cells(polys: DataFrame, params: DataFrame, shape: str = "hexagon", keep: Sequence[str] = ("cls",)) -> DataFrame:
-    """(city, row, col, *keep, area, parts) for each cell that a polygon (city, *keep, rings in metres) meets: its
-    area there, and its rings cut to the cell. shape: hexagon cells, or squares of side w."""
-    grid = params.select("city", "r", "w", "minx0", "miny0")  # one row per city
-    x = polys.select("city", *keep, "rings").repartition(F.xxhash64("rings")).join(F.broadcast(grid), "city")
-    names = ["city", "row", "col", *keep, "area", "parts"]
+# ---- many rings at once ----
 
-    def clip(frames):
-        for frame in frames:
-            out = []
-            for p in frame.itertuples(index=False):
-                rings = as_rings(p.rings)
-                if not rings or len(rings[0]) < 3:
-                    continue
-                (x1, y1), (x2, y2) = rings[0].min(axis=0), rings[0].max(axis=0)
-                high = p.w if shape == "square" else 1.5 * p.r
-                reach = 1 if shape == "square" else 2
-                for row in range(int((y1 - p.miny0) // high) - reach + 1, int((y2 - p.miny0) // high) + reach + 1):
-                    shift = p.w / 2 if shape == "hexagon" and row % 2 else 0.0
-                    for col in range(int((x1 - p.minx0 - shift) // p.w) - reach + 1, int((x2 - p.minx0 - shift) // p.w) + reach + 1):
-                        window = cell_window(p.minx0 + col * p.w + shift, p.miny0 + row * high, p.r, p.w, shape)
-                        parts = [clip_convex(r, window) for r in rings]
-                        area = max(0.0, sum((abs(ring_area(c)) if len(c) >= 3 else 0.0) * (-1 if k else 1) for k, c in enumerate(parts)))
-                        if area > 0:
-                            out.append((p.city, row, col, *(getattr(p, c) for c in keep), area, [[{"x": a, "y": b} for a, b in c] for c in parts if len(c) >= 3]))
-            yield pd.DataFrame(out, columns=names)
 
-    kinds = {f.name: f.dataType.simpleString() for f in x.schema}
-    return x.mapInPandas(clip, f"city {kinds['city']}, row int, col int, " + "".join(f"{c} {kinds[c]}, " for c in keep) + "area double, parts array<array<struct<x: double, y: double>>>")
+class Rings:
+    """Many rings: the points of each behind those of the one before, and the number of each ring's polygon."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, size: np.ndarray, poly: np.ndarray, hole: np.ndarray):
+        self.x, self.y, self.size, self.poly, self.hole = x, y, size, poly, hole
 
+    def take(self, k: np.ndarray) -> Rings:
+        begin = np.cumsum(self.size) - self.size
+        size = self.size[k]
+        at = np.arange(int(size.sum())) + np.repeat(begin[k] - (np.cumsum(size) - size), size)
+        return Rings(self.x[at], self.y[at], size, self.poly[k], self.hole[k])
+
+    def clip(self, px: np.ndarray, py: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> Rings:
+        """The part of each ring to the left of its own line through (px, py) along (dx, dy); what is left of a ring may
+        have no points."""
+        ring = np.repeat(np.arange(len(self.size)), self.size)
+        after = np.arange(1, len(ring) + 1)
+        last = np.cumsum(self.size) - 1
+        after[last[self.size > 0]] = (last - self.size + 1)[self.size > 0]
+        side = dx[ring] * (self.y - py[ring]) - dy[ring] * (self.x - px[ring])
+        inside = side >= 0
+        cross = inside != inside[after] if len(ring) else inside
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(cross, side / (side - side[after]), 0.0) if len(ring) else side
+        both = np.stack([inside, cross], axis=1).reshape(-1)
+        x = np.stack([self.x, self.x + t * (self.x[after] - self.x)], axis=1).reshape(-1)[both] if len(ring) else self.x
+        y = np.stack([self.y, self.y + t * (self.y[after] - self.y)], axis=1).reshape(-1)[both] if len(ring) else self.y
+        return Rings(x, y, np.bincount(np.repeat(ring, 2)[both], minlength=len(self.size)), self.poly, self.hole)
+
+    def areas(self) -> np.ndarray:
+        """Area of each ring."""
+        if not len(self.x):
+            return np.zeros(len(self.size))
+        ring = np.repeat(np.arange(len(self.size)), self.size)
+        last = np.cumsum(self.size) - 1
+        after = np.arange(1, len(ring) + 1)
+        after[last[self.size > 0]] = (last - self.size + 1)[self.size > 0]
+        begin = (last - self.size + 1)[ring]
+        x, y = self.x - self.x[begin], self.y - self.y[begin]  # from its first point: small numbers
+        x2, y2 = self.x[after] - self.x[begin], self.y[after] - self.y[begin]
+        return np.abs(np.bincount(ring, x * y2 - x2 * y, len(self.size))) / 2
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """minx, miny, maxx, maxy of each ring, which must have points."""
+        begin = np.cumsum(self.size) - self.size
+        return np.minimum.reduceat(self.x, begin), np.minimum.reduceat(self.y, begin), np.maximum.reduceat(self.x, begin), np.maximum.reduceat(self.y, begin)
+
+    @staticmethod
+    def of(column: pa.Array) -> Rings:
+        """Rings of an Arrow column of polygons; a polygon with a bad ring has none."""
+        outer = column.offsets.to_numpy()
+        rings = column.values.slice(outer[0], outer[-1] - outer[0])
+        inner = rings.offsets.to_numpy()
+        points = rings.values.slice(inner[0], inner[-1] - inner[0])
+        size, many = np.diff(inner), np.where(np.array(column.is_valid()), np.diff(outer), 0)
+        poly = np.repeat(np.arange(len(column)), many)
+        hole = np.arange(len(poly)) > np.repeat(np.cumsum(many) - many, many)
+        x, y = (np.nan_to_num(points.field(c).to_numpy(zero_copy_only=False).astype(float), nan=np.inf) for c in "xy")
+        whole = np.bincount(np.repeat(np.arange(len(size)), size), np.isinf(x) | np.isinf(y), len(size)) == 0
+        bad = np.bincount(poly, (size < 3) | ~whole, len(column)) > 0
+        return Rings(x, y, size, poly, hole).take(np.flatnonzero(~bad[poly]))
+
+    def column(self, n: int) -> pa.Array:
+        """Rings of three points or more as an Arrow column of n polygons."""
+        r = self.take(np.flatnonzero(self.size >= 3))
+        points = pa.StructArray.from_arrays([pa.array(r.x), pa.array(r.y)], names=["x", "y"])
+        ends = lambda sizes: pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        return pa.ListArray.from_arrays(ends(np.bincount(r.poly, minlength=n)), pa.ListArray.from_arrays(ends(r.size), points))
+
+
+#: Cells times points of a piece, beyond which it is halved; and beyond which its halves are dealt to other tasks.
+SMALL, LARGE = 512, 1 << 20
+#: Points that are cut to cells at once.
+AT_ONCE = 1 << 18
+POINTS = "array<array<struct<x: double, y: double>>>"
+
+
+def grid_of(batch: pa.RecordBatch, shape: str) -> dict[str, np.ndarray]:
+    """Of each polygon's grid: corner x0, y0, width w, radius r, and what rows are apart."""
+    g = {n: batch.column(c).to_numpy().astype(float) for n, c in (("w", "w"), ("r", "r"), ("x0", "minx0"), ("y0", "miny0"))}
+    return g | {"high": g["w"] if shape == "square" else 1.5 * g["r"]}
+
+
+def cells_around(rings: Rings, g: dict[str, np.ndarray], shape: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(polygon, first row, rows, first column, columns) of the cells around each outer ring. Hexagons reach beyond their
+    centres by r up and by w across, with the shift of odd rows."""
+    outer = rings.take(np.flatnonzero(~rings.hole & (rings.size > 0)))
+    if not len(outer.size):
+        return (np.zeros(0, np.int64),) * 5
+    minx, miny, maxx, maxy = outer.bounds()
+    p = outer.poly
+    up, wide = (0.0, 0.0) if shape == "square" else (g["r"][p], g["w"][p])
+    row, col = np.floor((miny - g["y0"][p] - up) / g["high"][p]), np.floor((minx - g["x0"][p] - wide) / g["w"][p])
+    rows, cols = np.floor((maxy - g["y0"][p] + up) / g["high"][p]) - row + 1, np.floor((maxx - g["x0"][p] + wide / 2) / g["w"][p]) - col + 1
+    return p, row.astype(np.int64), rows.astype(np.int64), col.astype(np.int64), cols.astype(np.int64)
+
+
+def halve(rings: Rings, some: np.ndarray) -> tuple[Rings, np.ndarray]:
+    """Each of ``some`` polygons cut in two across its longer side, and the polygon of each piece."""
+    n = len(some)
+    place = np.full(int(rings.poly.max(initial=-1)) + 1, -1)
+    place[some] = np.arange(n)
+    own = rings.take(np.flatnonzero(place[rings.poly] >= 0))
+    own.poly = place[own.poly]
+    minx, miny, maxx, maxy = own.bounds()
+    outer = np.flatnonzero(~own.hole)
+    at = own.poly[outer]
+    box = np.zeros((4, n))
+    box[:, at] = np.stack([minx, miny, maxx, maxy])[:, outer]
+    across = box[2] - box[0] >= box[3] - box[1]
+    mx, my = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
+    parts = []
+    for k, sign in enumerate((1.0, -1.0)):  # left of the line up and below the line along, then the rest
+        dx, dy = np.where(across, 0.0, -sign), np.where(across, sign, 0.0)
+        cut = own.clip(mx[own.poly], my[own.poly], dx[own.poly], dy[own.poly])
+        kept = cut.take(np.flatnonzero((cut.size >= 3) & (cut.areas() > 0)))
+        kept.poly = kept.poly + k * n
+        parts.append(kept)
+    both = Rings(*(np.concatenate([getattr(q, a) for q in parts]) for a in ("x", "y", "size", "poly", "hole")))
+    return both, np.concatenate([some, some])
+
+
+def costs(rings: Rings, g: dict[str, np.ndarray], shape: str, n: int) -> np.ndarray:
+    """Cells times points of each of n polygons; none for those no larger than a cell, which aren't halved."""
+    p, _, rows, _, cols = cells_around(rings, g, shape)
+    out = np.zeros(n)
+    if len(p):
+        points = np.bincount(rings.poly, rings.size, n)
+        minx, miny, maxx, maxy = rings.take(np.flatnonzero(~rings.hole & (rings.size > 0))).bounds()
+        out[p] = np.where((maxx - minx > g["w"][p]) | (maxy - miny > g["high"][p]), rows * cols * points[p], 0)
+    return out
 
-def cell_window(x: float, y: float, r: float, w: float, shape: str) -> np.ndarray:
-    """A cell as a convex ring: the hexagon around a centre, or the square from a corner."""
-    return np.array([(x, y), (x + w, y), (x + w, y + w), (x, y + w)]) if shape == "square" else hexagon(x, y, r)
+
+def deal_large(polys: DataFrame, shape: str) -> DataFrame:
+    """Polygons with the grid's columns, those of a cost beyond LARGE cut to pieces below it: each round cuts a piece in 16
+    and deals the pieces out, so neither one task's work nor its output grows with a polygon."""
+    bound = F.flatten("rings")
+    xs, ys = F.transform(bound, lambda p: p["x"]), F.transform(bound, lambda p: p["y"])
+    high = F.col("w") if shape == "square" else 1.5 * F.col("r")
+    across, along = (F.array_max(xs) - F.array_min(xs)) / F.col("w"), (F.array_max(ys) - F.array_min(ys)) / high
+    cost = F.when((across > 1) | (along > 1), (across + 2) * (along + 2) * F.size(bound)).otherwise(0.0)
+    large = polys.filter(cost > LARGE)
+    if large.isEmpty():
+        return polys
+    names = [c for c in polys.columns if c != "rings"]
+
+    def cut(batches):
+        for batch in batches:
+            rings, of = Rings.of(batch.column("rings")), np.arange(batch.num_rows)
+            for _ in range(4):
+                rings, before = halve(rings, np.unique(rings.poly))
+                of = of[before]
+                place = np.unique(rings.poly, return_inverse=True)
+                of, rings.poly = of[place[0]], place[1]
+            rows = batch.take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), rings.column(len(of))], names=[*names, "rings"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in large.select(*names).schema) + f", rings {POINTS}"
+    small = polys.filter(~(cost > LARGE))
+    while not large.isEmpty():
+        pieces = keep(large.mapInArrow(cut, schema).repartition(F.xxhash64("rings")), "pieces")
+        small = small.unionByName(pieces.filter(~(cost > LARGE)))
+        large = pieces.filter(cost > LARGE)
+    return small
+
+
+def clip_to_cells(polys: DataFrame, params: DataFrame, shape: str = "hexagon", keep_columns: Sequence[str] = ("cls",)) -> DataFrame:
+    """(city, row, col, *keep_columns, area, parts) for each cell that a polygon (city, *keep_columns, rings in metres)
+    meets: its area there, and its rings cut to the cell. A polygon that was halved may have some rows for a cell.
+    shape: hexagon cells, or squares of side w. params: one row per city."""
+    kept = list(keep_columns)
+    x = polys.select("city", *kept, F.col("rings").cast(POINTS).alias("rings")).join(params.select("city", "r", "w", "minx0", "miny0"), "city")
+    x = deal_large(x, shape)
+
+    def clip(batches):
+        for batch in batches:
+            g = grid_of(batch, shape)
+            rings, of = Rings.of(batch.column("rings")), np.arange(batch.num_rows)
+            while True:
+                own = {k: v[of] for k, v in g.items()}
+                cost = costs(rings, own, shape, len(of))
+                big = np.flatnonzero(cost > SMALL)
+                small = rings.take(np.flatnonzero(cost[rings.poly] <= SMALL)) if len(big) else rings
+                yield from cut_cells(small, own, shape, batch, of, kept)
+                if not len(big):
+                    break
+                rings, before = halve(rings, big)
+                of = of[before]
+
+    kinds = {f.name: f.dataType.simpleString() for f in x.schema}
+    return x.mapInArrow(clip, f"city {kinds['city']}, row int, col int, " + "".join(f"{c} {kinds[c]}, " for c in kept) + f"area double, parts {POINTS}")
+
+
+def cut_cells(rings: Rings, g: dict[str, np.ndarray], shape: str, batch: pa.RecordBatch, of: np.ndarray, kept: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``clip_to_cells`` for small polygons, AT_ONCE points cut together."""
+    p, row, rows, col, cols = cells_around(rings, g, shape)
+    if not len(p):
+        return
+    points = np.bincount(rings.poly, rings.size, len(of))
+    order = np.argsort(rings.poly, kind="stable")
+    first = np.searchsorted(rings.poly[order], p)
+    many = np.bincount(rings.poly, minlength=len(of))[p]
+    work = np.cumsum(rows * cols * points[p])
+    i = 0
+    while i < len(p):
+        j = max(i + 1, int(np.searchsorted(work, (work[i - 1] if i else 0) + AT_ONCE, side="right")))
+        n = (rows * cols)[i:j]
+        poly = np.repeat(np.arange(i, j), n)  # a row for each polygon and cell
+        at = np.arange(len(poly)) - np.repeat(np.cumsum(n) - n, n)
+        r, c = row[poly] + at // cols[poly], col[poly] + at % cols[poly]
+        pair = np.repeat(np.arange(len(poly)), many[poly])  # a ring for each of these
+        ring = order[np.arange(len(pair)) - np.repeat(np.cumsum(many[poly]) - many[poly], many[poly]) + np.repeat(first[poly], many[poly])]
+        own = rings.take(ring)
+        own.poly = pair
+        q = p[poly]
+        x, y = g["x0"][q] + c * g["w"][q], g["y0"][q] + r * g["high"][q]
+        if shape == "square":
+            corners = [(x, y), (x + g["w"][q], y), (x + g["w"][q], y + g["w"][q]), (x, y + g["w"][q])]
+        else:
+            x = x + np.where(r % 2 == 1, g["w"][q] / 2, 0.0)
+            corners = [(x + g["r"][q] * np.cos(a), y + g["r"][q] * np.sin(a)) for a in np.radians(60.0 * np.arange(6) - 30)]
+        for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1], strict=True):
+            own = own.clip(ax[own.poly], ay[own.poly], (bx - ax)[own.poly], (by - ay)[own.poly])
+            own = own.take(np.flatnonzero(own.size > 0))
+        area = np.maximum(np.bincount(own.poly, own.areas() * np.where(own.hole, -1, 1), len(poly)), 0)
+        met = np.flatnonzero(area > 0)
+        place = np.full(len(poly), -1)
+        place[met] = np.arange(len(met))
+        own = own.take(np.flatnonzero(place[own.poly] >= 0))
+        own.poly = place[own.poly]
+        source = batch.take(pa.array(of[q[met]]))
+        yield pa.RecordBatch.from_arrays([source.column("city"), pa.array(r[met].astype(np.int32)), pa.array(c[met].astype(np.int32)), *(source.column(k) for k in kept), pa.array(area[met]), own.column(len(met))], names=["city", "row", "col", *kept, "area", "parts"])
+        i = j
 
 
 def overlay(polys: DataFrame, params: DataFrame, shape: str = "hexagon") -> DataFrame:
@@ -196,20 +419,21 @@ def overlay(polys: DataFrame, params: DataFrame, shape: str = "hexagon") -> Data
 
 def cell_land(boundaries: DataFrame, water: DataFrame, params: DataFrame, shape: str = "hexagon") -> DataFrame:
     """(city, row, col, area, whole, land, sea) of every cell that meets a boundary (city, rings) outside the
-    water (city, rings): the area of its land, whether that is the whole cell, and the rings cut to the cell.
-    A cell's few pieces come together in one row."""
+    water (city, rings): the area of its land, whether that is the whole cell, and the polygons of either, cut to the
+    cell. Boundaries that overlap are united, and so is water. A cell's few pieces come together in one row."""
     part = lambda df, name: clip_to_cells(df.withColumn("cls", F.lit(name)), params, shape)
     both = part(boundaries, "land").union(part(water, "sea"))
-    pieces = lambda name: F.coalesce(F.flatten(F.collect_list(F.when(F.col("cls") == name, F.col("parts")))), F.array())
+    pieces = lambda name: F.collect_list(F.when(F.col("cls") == name, F.col("parts")))
     x = both.groupBy("city", "row", "col").agg(F.sum(F.when(F.col("cls") == "land", F.col("area"))).alias("area"), pieces("land").alias("land"), pieces("sea").alias("sea"))
-    x = x.filter("area is not null").join(F.broadcast(params.select("city", "r", "w")), "city")  # one row per city
+    x = x.filter("area is not null").join(params.select("city", "r", "w"), "city")
     full = F.col("w") * F.col("w") if shape == "square" else F.lit(1.5) * F.col("r") * F.col("w")
-    x = x.withColumns({"whole": (F.size("sea") == 0) & (F.col("area") >= full * (1 - 1e-9)), "wet": F.size("sea") > 0})
 
     def dry(land: pd.Series, sea: pd.Series) -> pd.Series:
-        return pd.Series([area_where([as_rings(a), as_rings(b)], lambda i: i[0] & ~i[1]) for a, b in zip(land, sea, strict=True)], dtype=float)
+        return pd.Series([0.0 if a is None else area_where([as_polygons(a), as_polygons(b)], lambda i: i[0] & ~i[1]) for a, b in zip(land, sea, strict=True)], dtype=float)
 
-    x = x.withColumn("area", F.when(F.col("wet"), F.pandas_udf(dry, DoubleType())("land", "sea")).otherwise(F.col("area")))
+    single = (F.size("sea") == 0) & (F.size("land") == 1)
+    x = x.withColumn("area", F.when(~single, F.pandas_udf(dry, DoubleType())(F.when(~single, F.col("land")), F.when(~single, F.col("sea")))).otherwise(F.col("area")))
+    x = x.withColumn("whole", (F.size("sea") == 0) & (F.col("area") >= full * (1 - 1e-9)))
     return x.filter("area > 1e-6").select("city", "row", "col", "area", "whole", "land", "sea")
 
 
@@ -218,7 +442,7 @@ def overlay_land(polys: DataFrame, land: DataFrame, params: DataFrame, shape: st
     x = clip_to_cells(polys, params, shape).join(land.select("city", "row", "col", "whole", "land", "sea"), ["city", "row", "col"])
 
     def common(parts: pd.Series, land: pd.Series, sea: pd.Series) -> pd.Series:
-        return pd.Series([area_where([as_rings(p), as_rings(a), as_rings(b)], lambda i: i[0] & i[1] & ~i[2]) for p, a, b in zip(parts, land, sea, strict=True)], dtype=float)
+        return pd.Series([area_where([[as_rings(p)], as_polygons(a), as_polygons(b)], lambda i: i[0] & i[1] & ~i[2]) for p, a, b in zip(parts, land, sea, strict=True)], dtype=float)
 
     inner, border = x.filter("whole"), x.filter("not whole").withColumn("area", F.pandas_udf(common, DoubleType())("parts", "land", "sea"))
     out = inner.select("city", "row", "col", "cls", "area").union(border.select("city", "row", "col", "cls", "area").filter("area > 0"))
@@ -246,27 +470,56 @@ def measures(polys: DataFrame) -> DataFrame:
     return x.withColumns({"cx": F.col("mx") / F.col("area"), "cy": F.col("my") / F.col("area"), **ends}).drop("sums", "all", "mx", "my")
 
 
+#: Cells across the longer side of an area in its cover.
+COVER = 64
+
+
+def cover(polys: DataFrame, params: DataFrame, keep_columns: Sequence[str] = ()) -> DataFrame:
+    """(city, row, col, *keep_columns, whole, pieces) of the square cells (params: city, w, minx0, miny0) that polygons
+    (city, *keep_columns, rings) meet: whether one covers the whole cell, and else the edges (x1, y1, x2, y2) of what
+    covers some of it. Polygons of the same city and keep_columns are united."""
+    cut = clip_to_cells(polys, params.withColumn("r", F.col("w")), "square", keep_columns)
+    edge = lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+    edges = F.flatten(F.transform("parts", lambda r: F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), edge)))
+    x = cut.join(params.select("city", "w"), "city").withColumn("whole", F.col("area") >= F.col("w") * F.col("w") * (1 - 1e-12))
+    x = x.groupBy("city", "row", "col", *keep_columns).agg(F.max("whole").alias("whole"), F.collect_list(F.when(~F.col("whole"), edges)).alias("pieces"))
+    return x.withColumn("pieces", F.when(~F.col("whole"), F.col("pieces")))
+
+
+def contained(points: DataFrame, covered: DataFrame, params: DataFrame) -> DataFrame:
+    """Points (city, x, y, ..) with each row of ``covered`` (from ``cover``) that holds them. They meet by the cell; in whole
+    cells nothing is tested, in others the even-odd rule over the few edges there. Points on a border belong to the
+    part above or to the right of it."""
+    at = params.select("city", F.col("w").alias("_w"), F.col("minx0").alias("_x0"), F.col("miny0").alias("_y0"))
+    x = points.join(at, "city").withColumns({"_col": F.floor((F.col("x") - F.col("_x0")) / F.col("_w")).cast("int"), "_row": F.floor((F.col("y") - F.col("_y0")) / F.col("_w")).cast("int")})
+    y = covered.withColumnsRenamed({"row": "_row", "col": "_col", "whole": "_whole", "pieces": "_pieces"})
+    crossed = lambda e: ((e["y1"] > F.col("y")) != (e["y2"] > F.col("y"))) & (F.col("x") < (e["x2"] - e["x1"]) * (F.col("y") - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
+    hit = F.exists("_pieces", lambda p: F.size(F.filter(p, crossed)) % 2 == 1)
+    return x.join(y, ["city", "_row", "_col"]).filter(F.col("_whole") | hit).drop("_w", "_x0", "_y0", "_row", "_col", "_whole", "_pieces")
+
+
+def cover_params(bounds: DataFrame, cells: int = COVER) -> DataFrame:
+    """(city, w, minx0, miny0) of a grid of ``cells`` squares across the longer side of each city's bounds."""
+    w = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")) / cells
+    return bounds.select("city", w.alias("w"), F.col("minx").alias("minx0"), F.col("miny").alias("miny0")).filter("w > 0")
+
+
 def inside(points: DataFrame, areas: DataFrame) -> DataFrame:
-    """Points (city, x, y, ..) inside their city's area (city, parts, and minx .. maxy as of ``measures``): first
-    the bounds, then the even-odd rule. Areas, one row per city, go to every task; points stay where they are."""
-    held = F.broadcast(areas.select("city", "minx", "miny", "maxx", "maxy"))  # one row per city
-    near = points.join(held, "city").filter("x between minx and maxx and y between miny and maxy").drop("minx", "miny", "maxx", "maxy")
-    shapes = points.sparkSession.sparkContext.broadcast({r.city: [np.array([(p.x, p.y) for p in ring]) for part in r.parts for ring in part] for r in areas.select("city", "parts").collect()})
+    """Points (city, x, y, ..) inside their city's area (city, parts, and minx .. maxy as of ``measures``)."""
+    params = cover_params(areas)
+    return contained(points, cover(areas.select("city", F.explode("parts").alias("rings")), params), params)
 
-    def test(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for city, x, y in batches:
-            hit = np.zeros(len(x), dtype=bool)
-            for c in city.unique():
-                mine = (city == c).to_numpy()
-                hit[mine] = contains(shapes.value[c], x.to_numpy()[mine], y.to_numpy()[mine])
-            yield pd.Series(hit)
 
-    return near.filter(F.pandas_udf(test, BooleanType())("city", "x", "y"))
+def buildings_of(pieces: DataFrame, buildings: DataFrame, side: float) -> DataFrame:
+    """(city, piece_id, step) of the buildings (city, x, y, step) inside each piece (city, piece_id, rings), which may
+    overlap; they meet in squares of a side that is to be some fraction of a piece's."""
+    params = pieces.select("city").distinct().select("city", F.lit(float(side)).alias("w"), F.lit(0.0).alias("minx0"), F.lit(0.0).alias("miny0"))
+    return contained(buildings, cover(pieces, params, ["piece_id"]), params).select("city", "piece_id", "step")
 
 
 def water_pieces(pieces: DataFrame, buildings: DataFrame, least_km2: float = 0.02, most_density: float = 15.0) -> DataFrame:
     """Pieces (city, piece_id, area_m2) that are water: large and with few buildings to the km².
-    buildings: (city, piece_id, step) of those inside each piece."""
+    buildings: (city, piece_id, step) of those inside each piece; a sampled one stands for ``step``."""
     n = buildings.groupBy("city", "piece_id").agg(F.sum("step").alias("n"))
     x = pieces.join(n, ["city", "piece_id"], "left").withColumn("buildings", F.coalesce("n", F.lit(0)))
     km2 = F.col("area_m2") / 1e6

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import places, quantiles
+
 MIN_STD = 1e-9
 
 
@@ -123,16 +125,19 @@ def scores(vectors: DataFrame, components: DataFrame, column: str = "z") -> Data
 
 
 def percent_rank(values: DataFrame) -> DataFrame:
-    return values.withColumn("rank", F.percent_rank().over(Window.partitionBy("city", "feature").orderBy("value")))
+    """values with ``rank``: the share of the other values of the city and feature that are smaller. Equal values are counted
+    together before they are put in order, so many of them cost no more than few."""
+    x = places(values.groupBy("city", "feature", "value").agg(F.count("*").alias("_m")), ["city", "feature"], ["value"], "_m")
+    rank = x.select("city", "feature", "value", F.when(F.col("total") > 1, F.col("before") / (F.col("total") - 1)).otherwise(0.0).alias("rank"))
+    return values.join(rank, ["city", "feature", "value"]).select(*values.columns, "rank")
 
 
 def winsorised(values: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """value clipped to two quantiles and scaled to 0..1, by city and feature."""
-    q = values.groupBy("city", "feature").agg(F.percentile("value", low).alias("lo"), F.percentile("value", high).alias("hi"))
-    x = values.join(q, ["city", "feature"])
+    x = values.join(quantiles(values, ["city", "feature"], {"lo": low, "hi": high}), ["city", "feature"])
     width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
     return x.withColumn("scaled", (F.least(F.greatest("value", "lo"), F.col("hi")) - F.col("lo")) / width).drop("lo", "hi")
 
 
 def legend_range(values: DataFrame) -> DataFrame:
-    return values.groupBy("city", "feature").agg(F.percentile("value", 0.02).alias("low"), F.percentile("value", 0.98).alias("high"))
+    return quantiles(values, ["city", "feature"], {"low": 0.02, "high": 0.98})
