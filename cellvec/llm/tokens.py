@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 
 from .texthash import BASE, BASE_INVERSE, PLACES, SPACE, flat, mix, powers
@@ -46,11 +49,18 @@ class Known:
         self.ids = np.concatenate((self.ids, ids))
 
 
+@cache
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """Added tokens that the vocabulary's JSON file, beside the rank file, lists: their strings in a text are theirs alone."""
+    listed = Path(ranks_path).with_suffix(".json")
+    return {t["content"]: int(t["id"]) for t in json.loads(listed.read_text())["added_tokens"]} if listed.exists() else {}
+
+
 @cache
 def encoder(ranks_path: str) -> tuple[tiktoken.Encoding, np.ndarray, Known]:
     """The encoder of a rank file, the bytes that each id stands for, and the worker's table. From the rank file of
     ``byte_bpe_50k`` it gives the ids of ``byte_bpe_50k.json`` (the tests compare them) in less
-    time. Special tokens' strings in a text are ordinary text."""
+    time, added tokens included."""
     import public_tokenizers
 
     with open(ranks_path, "rb") as f:
@@ -58,7 +68,7 @@ def encoder(ranks_path: str) -> tuple[tiktoken.Encoding, np.ndarray, Known]:
     sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
     for token, rank in ranks.items():
         sizes[rank] = len(token)
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes, Known()
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(ranks_path)), sizes, Known()
 
 
 def token_ids(texts: pa.Array, ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +109,10 @@ def token_ids(texts: pa.Array, ranks_path: str) -> tuple[np.ndarray, np.ndarray]
     out = ids[np.repeat(first[which] - (ends - n), n) + np.arange(ends[-1])]
     bounds = np.concatenate(([0], ends))[np.searchsorted(a, offsets)]
     odd = {i: t for i, t in enumerate(texts.to_pylist()) if t and OTHER_SPACE.search(t)} if has_other_space(data) else {}
+    for token in added_tokens(ranks_path):
+        odd |= {i: texts[i].as_py() for i in np.flatnonzero(pc.fill_null(pc.match_substring(texts, token), False)).tolist()}
     if odd:
-        each = [np.array(encoding.encode_ordinary(odd[i]), dtype=np.uint32) if i in odd else out[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+        each = [np.array(encoding.encode(odd[i], allowed_special="all"), dtype=np.uint32) if i in odd else out[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
         return np.concatenate(each), np.concatenate(([0], np.cumsum([len(x) for x in each])))
     return out, bounds
 

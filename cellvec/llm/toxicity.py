@@ -78,7 +78,8 @@ def frequent_content(texts: list[str]) -> bytes:
     try:
         return zstandard.train_dictionary(ORDINARY_BYTES, samples, k=64, d=8).as_bytes() if samples else b""
     except zstandard.ZstdError:
-        return b" ".join(samples)[:ORDINARY_BYTES]
+        step = -(-sum(map(len, samples)) // ORDINARY_BYTES)  # windows of all the sample
+        return b" ".join(samples[:: max(1, step)])
 
 
 def byte_runs(text: str) -> np.ndarray:
@@ -114,12 +115,12 @@ def contrasting_content(own: list[str], other: list[str]) -> bytes:
         at = np.searchsorted(runs, r)
         at[at == len(runs)] = 0
         hit = runs[at] == r if len(runs) else np.zeros(len(r), bool)
-        for s in np.flatnonzero(hit)[:CANDIDATES].tolist():
+        for s in np.flatnonzero(hit).tolist():
             inside = slice(s, s + SEGMENT - RUN + 1)
             covers = np.unique(at[inside][hit[inside]])
             segments.append((-float(weight[covers].sum()), raw[s : s + SEGMENT], covers))
-        if len(segments) > 2 * CANDIDATES:
-            segments = heapq.nsmallest(CANDIDATES, segments, key=lambda x: x[0])
+            if len(segments) > 2 * CANDIDATES:  # the best of all texts so far, whole
+                segments = heapq.nsmallest(CANDIDATES, segments, key=lambda x: x[0])
     heap = [(gain, n) for n, (gain, _, _) in enumerate(segments)]
     heapq.heapify(heap)
     out, size = [], 0
@@ -213,11 +214,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     share = shares.get(1, 0) / max(1, sum(shares.values()))
     chosen = [known.filter(f"toxic = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").filter("text is not null")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
-    before = F.sum(F.char_length("text")).over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.orderBy(*order).limit(2 * per_class).withColumn("before", F.coalesce(before, F.lit(0)))  # at most 2 * per_class rows
-    rows = rows.filter(F.col("before") < per_class * SAMPLE_CHARS).orderBy(*order).collect()
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").filter("text is not null").dropDuplicates(["doc_id", "text"])
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    before = F.coalesce(F.sum(F.char_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_class).withColumn("before", before)  # of each label alike
+    rows = rows.filter(F.col("before") < per_class * SAMPLE_CHARS).orderBy("toxic", "place").collect()  # at most 2 * per_class rows
     texts = [[r.text for r in rows if r.toxic == y] for y in (0, 1)]
     if not all(texts):
         return None, share

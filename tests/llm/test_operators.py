@@ -8,8 +8,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from cellvec.llm import lengths, line_dedup, lm_score, merkle, mixing, ngram_join, packing, tokens, tool_calls, toxicity, vectors
 
@@ -68,11 +70,7 @@ def least_linked(n, links, ids):
 
 
 def test_token_ids_are_those_of_the_tokenizer():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rng = random.Random(3)
     alphabet = list("ab  \n\t'sé1٣  漢😀!?._\r\x0b\x1c\x85\xa0") + ["<|endoftext|>"]
     some = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(4000)] + [x or "" for _, x in texts()]
@@ -83,10 +81,10 @@ def test_token_ids_are_those_of_the_tokenizer():
 
 def test_packing(spark, docs, empty):
     got = packing.pack_documents(spark, docs).toPandas()
-    enc = tokens.encoder(tokens.vocabulary_path())[0]
+    enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = []
     for i, t in texts():
-        ids = np.array([*enc.encode_ordinary(t or ""), 2], dtype="<u4")
+        ids = np.array([*enc.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
         first = (len(ids) - 1) % 1024 + 1
         for piece, a in enumerate([0, *range(first, len(ids), 1024)]):
             b = first if piece == 0 else a + 1024
@@ -382,8 +380,8 @@ def test_mixing_and_packing_of_rows_alike(spark, monkeypatch):
 
 
 def test_length_histogram(spark, docs, empty):
-    enc = tokens.encoder(tokens.vocabulary_path())[0]
-    n = [len(enc.encode_ordinary(t or "")) for _, t in texts()]
+    enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = [len(enc.encode(t or "", add_special_tokens=False).ids) for _, t in texts()]
     for r in lengths.suffix_sums(lengths.token_lengths(docs)).collect():
         assert (r.n_docs, r.docs_at_least, r.tokens_at_least, r.truncated_tokens) == (n.count(r.length), sum(v >= r.length for v in n), sum(v for v in n if v >= r.length), sum(min(v, r.length) for v in n))
     sums = lengths.suffix_sums(lengths.token_lengths(docs))
@@ -516,3 +514,14 @@ def test_toxicity_of_few_or_long_texts(spark, n_toxic, at):
     train = spark.createDataFrame([(i, int(i < n_toxic)) for i in range(40)], "doc_id long, toxic int")
     got = toxicity.score_toxicity(spark, docs, train).toPandas().set_index("doc_id").score
     assert got.loc[range(100, 110)].min() > got.loc[range(110, 120)].max()
+
+
+def test_one_repeated_id_leaves_room_for_the_other_label(spark):
+    """A labelled id with very many rows must not push all others out of the sample."""
+    rows = [(k, f"fine words of text {k} about weather and trains") for k in range(8)] + [(100, f"bad nasty words {k % 3}") for k in range(200)] + [(101, "nasty bad words again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k >= 100)) for k in [*range(8), 100, 101]], "doc_id long, toxic int")
+    model, share = toxicity.fit_toxicity(docs, labels, 5)
+    assert model is not None and share == pytest.approx(0.2)
+    scores = [r.score for r in toxicity.score_toxicity(spark, docs, labels, 5).collect()]
+    assert len(scores) == len(rows) and len({round(s, 6) for s in scores}) > 1
