@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import AREA_CLASSES, KEYS
+from ..functions.geo import unproject
 from ..operators import clusters, grid, kmeans, overlay, stats
+from ..sources import documents
 from ..tables import keep
 
 
@@ -56,7 +58,28 @@ def build_cells(points: DataFrame, land_use: DataFrame, areas: DataFrame, water:
     counts = grid.cell_activity(points).filter(grid.ACTIVE)  # cells without points aren't active
     x = grid.with_land(cells, overlay.overlay_land(land_use, land, params)).join(counts, grid.CELL)
     x = x.join(F.broadcast(centers), "city").withColumns(grid.place_columns(F.col("clon"), F.col("clat")))  # one row per city
-    return x.select("city", "cell_id", "lon", "lat", grid.corners().alias("p"), F.round("land_km2", 4).alias("land_km2"), "dist_km", *grid.densities(), *(f"{c}_frac" for c in AREA_CLASSES))
+    return x.select("city", "cell_id", "lon", "lat", grid.corners().alias("p"), F.round("land_km2", 4).alias("land_km2"), "dist_km", F.array(*KEYS).alias("n"), *grid.densities(), *(f"{c}_frac" for c in AREA_CLASSES))
+
+
+def write_run(spark: SparkSession, cells: DataFrame, registry: DataFrame, areas: DataFrame, bounds: DataFrame, path: str, generated: str, target_cells: int = 800) -> DataFrame:
+    """Write a document for each city of ``cells`` (from ``build_cells``; a written table) under path/cities, and the index
+    of all documents there, which is returned, under path/index. registry: (slug: the city, name, country,
+    osm_relation, center, center_label); areas and bounds as of ``build_cells``."""
+    features = feature_table(spark)
+    keys = [r.feature for r in features.orderBy("idx").select("feature").collect()]  # the catalogue's rows
+    kept = grid.sparse_features(grid.long_form(cells, ["city", "cell_id"], keys)).filter("kept").select("city", "feature")
+    lonlat = lambda p: F.struct(*(c.alias(n) for c, n in zip(unproject(p["x"], p["y"], F.col("lon0"), F.col("lat0")), ("lon", "lat"), strict=True)))
+    shape = F.transform("parts", lambda part: F.transform(part, lambda ring: F.transform(ring, lonlat)))
+    r = grid.grid_params(bounds, target_cells).select("city", F.round("r").cast("long").alias("hex_radius_m"))
+    groups = F.array(*(F.lit(g) for g in dict.fromkeys(row.grp for row in features.orderBy("idx").collect())))
+    heads = registry.withColumn("city", F.col("slug")).join(r, "city").join(areas.select("city", documents.geometry(shape).alias("boundary")), "city")
+    heads = heads.withColumns({"generated": F.lit(generated), "groups": groups}).select("city", "slug", "name", "country", "osm_relation", "center", "center_label", "hex_radius_m", "generated", "groups", "boundary")
+    at = F.split("cell_id", "_")
+    cells = cells.withColumns({"row": at[0].cast("int"), "col": at[1].cast("int")})
+    documents.write_documents(documents.document_lines(heads, cells, kept, features, ("row", "col")), f"{path}/cities")
+    index = documents.read_index(spark, f"{path}/cities", registry)
+    documents.write_index(index, f"{path}/index")
+    return index
 
 
 @dataclass(frozen=True)

@@ -11,8 +11,9 @@ from ..catalog import AREA_CLASSES, KEYS, LAND_USE, POINT_FEATURES, STREET_KEYS
 from ..functions.geo import haversine_km, project
 from ..functions.scalars import height_m, is_tall, land_use_class, levels, tag
 from ..operators import clusters, grid, kmeans, overlay, stats
+from ..sources import documents
 from ..sources.elements import LAND_USE_TAGS, land_use_elements, parse_boundary, parse_elements, parse_points, parse_registry, points_of, source_filters
-from ..tables import keep
+from ..tables import keep, new_folder
 from . import cities
 from . import fixtures as X
 
@@ -627,6 +628,27 @@ def city_documents(spark, sf_dir):
     return clusters.city_documents(x.groupBy("city").agg(F.count("*").alias("cells")), x.select("city", "cell_id"))
 
 
+#: Every third feature is 0 in most cells, and so is dropped in small cities.
+SPARSE_SQL = "CASE WHEN idx % 3 = 0 AND cell_id % 20 <> 0 THEN 0e0 ELSE value END"
+
+
+@query(f"""WITH v AS (SELECT city, cell_id, idx, feature, {SPARSE_SQL} AS value FROM ({X.VALUES_SQL})), k AS (SELECT city, feature FROM v GROUP BY ALL HAVING count(*) FILTER (WHERE value <> 0) >= greatest(5, 0.02e0 * count(*)))
+SELECT city, cell_id, feature, row_number() OVER (PARTITION BY city, cell_id ORDER BY idx)::INT AS place, round(v.value, 6) AS value FROM v JOIN k USING (city, feature)""")
+def documents_back(spark, sf_dir):
+    """Every city's document, written and read again: cells with the values of the features that its head lists."""
+    known = features(spark).withColumns({"label": F.col("feature"), "kind": F.lit("density")})
+    x = X.vectors(spark, sf_dir)
+    cells = x.select("city", "cell_id", *(F.expr(SPARSE_SQL.replace("idx", str(i)).replace("value", f"v[{i}]")).alias(f"f{i}") for i in range(64)))
+    kept = grid.sparse_features(grid.long_form(cells, ["city", "cell_id"], [f"f{i}" for i in range(64)])).filter("kept").select("city", "feature")
+    place = {"lon": F.lit(0.0), "lat": F.lit(0.0), "land_km2": F.lit(1.0), "dist_km": F.lit(0.0), "p": F.array(F.struct(F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))), "n": F.array(F.lit(1))}
+    heads = cells.select("city").distinct().select("city", F.col("city").alias("slug"), F.lit("2026-01-01").alias("generated"))
+    path = f"{new_folder(spark, 'documents')}/cities"
+    documents.write_documents(documents.document_lines(heads, cells.withColumns(place), kept, known), path)
+    back = documents.read_documents(spark, path).join(documents.read_heads(spark, path).select("city", "features"), "city")
+    named = back.select(F.col("city").cast("int").alias("city"), F.col("id").cast("long").alias("cell_id"), F.posexplode(F.arrays_zip("features", "v")).alias("place", "e"))
+    return named.select("city", "cell_id", F.col("e.features.key").alias("feature"), (F.col("place") + 1).alias("place"), F.round("e.v", 6).alias("value"))
+
+
 @query(f"WITH v AS ({X.VALUES_SQL}) SELECT grp, count(DISTINCT feature) FILTER (WHERE feature NOT IN ('f1', 'f2', 'f63')) AS enabled, count(DISTINCT feature) AS total FROM v GROUP BY 1")
 def group_counts(spark, sf_dir):
     used = X.values(spark, sf_dir).select("feature", "grp").distinct()

@@ -131,11 +131,6 @@ def city_summary(cells: DataFrame, components: DataFrame) -> DataFrame:
     return x.join(c, "city")
 
 
-def write_cities(cells: DataFrame, path: str) -> None:
-    """Parquet of cell vectors, a folder a city."""
-    cells.repartition("city").write.mode("overwrite").partitionBy("city").parquet(path)
-
-
 def city_documents(header: DataFrame, cells: DataFrame) -> DataFrame:
     """(city, line, document): the header as line 0 of a city, then one JSON line per cell, so no city is gathered in
     a row. Write it with ``repartition("city").sortWithinPartitions("city", "line")`` and ``partitionBy("city")``."""

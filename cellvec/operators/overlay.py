@@ -428,11 +428,12 @@ def cell_land(boundaries: DataFrame, water: DataFrame, params: DataFrame, shape:
     x = x.filter("area is not null").join(params.select("city", "r", "w"), "city")
     full = F.col("w") * F.col("w") if shape == "square" else F.lit(1.5) * F.col("r") * F.col("w")
 
-    def dry(land: pd.Series, sea: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if a is None else area_where([as_polygons(a), as_polygons(b)], lambda i: i[0] & ~i[1]) for a, b in zip(land, sea, strict=True)], dtype=float)
+    @F.arrow_udf(DoubleType())
+    def dry(land: pa.Array, sea: pa.Array) -> pa.Array:
+        return pa.array([0.0 if a is None else area_where([as_polygons(a), as_polygons(b)], lambda i: i[0] & ~i[1]) for a, b in zip(land.to_pylist(), sea.to_pylist(), strict=True)], pa.float64())
 
     single = (F.size("sea") == 0) & (F.size("land") == 1)
-    x = x.withColumn("area", F.when(~single, F.pandas_udf(dry, DoubleType())(F.when(~single, F.col("land")), F.when(~single, F.col("sea")))).otherwise(F.col("area")))
+    x = x.withColumn("area", F.when(~single, dry(F.when(~single, F.col("land")), F.when(~single, F.col("sea")))).otherwise(F.col("area")))
     x = x.withColumn("whole", (F.size("sea") == 0) & (F.col("area") >= full * (1 - 1e-9)))
     return x.filter("area > 1e-6").select("city", "row", "col", "area", "whole", "land", "sea")
 
@@ -441,10 +442,11 @@ def overlay_land(polys: DataFrame, land: DataFrame, params: DataFrame, shape: st
     """As ``overlay``, for the part of each cell that is land (from ``cell_land``)."""
     x = clip_to_cells(polys, params, shape).join(land.select("city", "row", "col", "whole", "land", "sea"), ["city", "row", "col"])
 
-    def common(parts: pd.Series, land: pd.Series, sea: pd.Series) -> pd.Series:
-        return pd.Series([area_where([[as_rings(p)], as_polygons(a), as_polygons(b)], lambda i: i[0] & i[1] & ~i[2]) for p, a, b in zip(parts, land, sea, strict=True)], dtype=float)
+    @F.arrow_udf(DoubleType())
+    def common(parts: pa.Array, land: pa.Array, sea: pa.Array) -> pa.Array:
+        return pa.array([area_where([[as_rings(p)], as_polygons(a), as_polygons(b)], lambda i: i[0] & i[1] & ~i[2]) for p, a, b in zip(parts.to_pylist(), land.to_pylist(), sea.to_pylist(), strict=True)], pa.float64())
 
-    inner, border = x.filter("whole"), x.filter("not whole").withColumn("area", F.pandas_udf(common, DoubleType())("parts", "land", "sea"))
+    inner, border = x.filter("whole"), x.filter("not whole").withColumn("area", common("parts", "land", "sea"))
     out = inner.select("city", "row", "col", "cls", "area").union(border.select("city", "row", "col", "cls", "area").filter("area > 0"))
     return out.groupBy("city", "row", "col", "cls").agg(F.sum("area").alias("area"))
 
