@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import freeing
 from .texthash import mix
 
 #: Bits of the largest bitmap (a byte a cell in tasks, a bit in broadcasts) and its cells for each hash.
@@ -70,7 +71,7 @@ def add_up(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
 
     schema = "chunk long, held binary"
     out = np.zeros((size // chunk_cells, chunk_cells), dtype=bool if once else np.int64)
-    for row in df.mapInArrow(fill, schema).repartition("chunk").mapInArrow(add, schema).collect():
+    for row in df.mapInArrow(freeing(fill), schema).repartition("chunk").mapInArrow(freeing(add), schema).collect():
         out[row.chunk] = unpack(row.held)
     return out.reshape(-1)
 
@@ -106,4 +107,4 @@ def only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(held.has(batch.column(column).to_numpy().view(np.uint64))))
 
-    return df.filter(F.col(column).isNotNull()).mapInArrow(keep, df.schema)
+    return df.filter(F.col(column).isNotNull()).mapInArrow(freeing(keep), df.schema)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memory import freeing
 from .scratch import Scratch
 from .texthash import blocks
 from .tokens import forget, token_ids, vocabulary_path
@@ -29,7 +30,7 @@ def token_lengths(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(token_ids(block.column(0), path)[1]).astype(np.int64))], names=["length"])
         forget(path)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(measure, "length long")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(freeing(measure), "length long")
 
 
 def suffix_sums(lengths: DataFrame) -> DataFrame:

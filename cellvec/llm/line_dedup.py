@@ -26,6 +26,7 @@ from pyspark.sql.types import StringType
 
 from .cells import Bitmap, cell_of, only
 from .linking import link_buckets
+from .memory import freeing
 from .scratch import Scratch
 from .texthash import BASE, BASE_INVERSE, PLACES, blocks, flat, lists, mix, overlap, powers, signed
 
@@ -164,7 +165,7 @@ def line_index(docs: DataFrame) -> DataFrame:
                 own = [block.column(c).take(text) for c in ("doc_id", "document")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(x.number[full].astype(np.int32)), pa.array(signed(x.d1[full])), pa.array(signed(x.d2[full])), lists(bands, pa.int32())], names=["doc_id", "document", "line", "d1", "d2", "bands"])
 
-    return docs.mapInArrow(index, "doc_id long, document long, line int, d1 long, d2 long, bands array<int>")
+    return docs.mapInArrow(freeing(index), "doc_id long, document long, line int, d1 long, d2 long, bands array<int>")
 
 
 def line_sets(docs: DataFrame, wanted: Bitmap) -> DataFrame:
@@ -185,7 +186,7 @@ def line_sets(docs: DataFrame, wanted: Bitmap) -> DataFrame:
                     odd = np.packbits((np.bincount(cell, minlength=64 * SIGNS * len(hit)) & 1).astype(np.uint8).reshape(len(hit), -1), axis=1).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(x.d1[hit])), pa.array(signed(x.d2[hit])), pa.array(n, pa.int32()), *(pa.array(odd[:, k]) for k in range(SIGNS)), pa.array([x.string(i) for i in hit])], names=["d1", "d2", "n", *(f"s{k}" for k in range(SIGNS)), "string"])
 
-    return docs.select("text").mapInArrow(fetch, "d1 long, d2 long, n int" + "".join(f", s{k} long" for k in range(SIGNS)) + ", string string")
+    return docs.select("text").mapInArrow(freeing(fetch), "d1 long, d2 long, n int" + "".join(f", s{k} long" for k in range(SIGNS)) + ", string string")
 
 
 def alike_lines(pairs: DataFrame) -> DataFrame:
@@ -200,7 +201,7 @@ def alike_lines(pairs: DataFrame) -> DataFrame:
                 sizes = [(len(p), len(q), overlap(p, q)) for p, q in zip(x, y, strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array([100 * c >= ALIKE * (p + q - c) for p, q, c in sizes], pa.bool_()))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(freeing(compare), "a long, b long")
 
 
 def may_be_alike(x, y):

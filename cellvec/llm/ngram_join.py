@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .cells import Bitmap, cell_of, count_cells
 from .linking import link_buckets
+from .memory import freeing
 from .scratch import Scratch
 from .texthash import blocks, flat, lists, overlap, sequence_digests, shingles, signed, words
 
@@ -75,7 +76,7 @@ def prefixes(spark: SparkSession, docs: DataFrame, counts: np.ndarray, width: in
                 yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), block.column("doc_id"), pa.array(signed(d1)), pa.array(signed(d2)), pa.array(n), lists(prefix, pa.int64()), lists(signs, pa.int64())], names=[*keep, "doc_id", "d1", "d2", "n", "prefix", "signs"])
 
     kinds = "".join(f"`{c}` {kind}, " for c, kind in docs.select(*keep).dtypes)
-    return docs.mapInArrow(index, kinds + "doc_id long, d1 long, d2 long, n int, prefix array<long>, signs array<long>")
+    return docs.mapInArrow(freeing(index), kinds + "doc_id long, d1 long, d2 long, n int, prefix array<long>, signs array<long>")
 
 
 def wanted_texts(docs: DataFrame, wanted: Bitmap) -> DataFrame:
@@ -91,7 +92,7 @@ def wanted_texts(docs: DataFrame, wanted: Bitmap) -> DataFrame:
                 if len(keep):
                     yield pa.RecordBatch.from_arrays([pa.array(signed(d1[keep])), pa.array(signed(d2[keep])), block.column("text").take(pa.array(keep))], names=["d1", "d2", "text"])
 
-    return docs.select("text").mapInArrow(fetch, "d1 long, d2 long, text string")
+    return docs.select("text").mapInArrow(freeing(fetch), "d1 long, d2 long, text string")
 
 
 def alike_texts(pairs: DataFrame, width: int, alike: int) -> DataFrame:
@@ -108,7 +109,7 @@ def alike_texts(pairs: DataFrame, width: int, alike: int) -> DataFrame:
                 keep.append((100 + alike) * common >= alike * (len(own) + len(q)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(freeing(compare), "a long, b long")
 
 
 def link_documents(spark: SparkSession, docs: DataFrame, width: int = WIDTH, alike: int = ALIKE) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .memory import freeing
 from .scratch import Scratch
 from .texthash import blocks
 from .tokens import END_ID, forget, token_ids, vocabulary_path
@@ -58,7 +59,7 @@ def token_pieces(docs: DataFrame, max_len: int = MAX_LEN, ranks_path: str | None
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
         forget(path)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(freeing(cut), PIECES)
 
 
 def patterns(max_len: int) -> np.ndarray:
@@ -200,4 +201,4 @@ def pack_documents(spark: SparkSession, docs: DataFrame, max_len: int = MAX_LEN,
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in COLUMNS), *done], names=[*COLUMNS, "sequence_id", "offset"])
 
     COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*COLUMNS, (F.col("at") + F.col("base")).alias("rank")).mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return ranked.select(*COLUMNS, (F.col("at") + F.col("base")).alias("rank")).mapInArrow(freeing(place), f"{PIECES}, sequence_id long, offset long")

@@ -50,6 +50,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return got
 
 
+def forget_powers() -> None:
+    _powers.clear()
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and their offsets; null counts as empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())

@@ -37,6 +37,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .memory import release
+
 WINDOW = 256
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 1_024
 RUN, SEGMENT, SURE = 6, 12, 4.0
@@ -237,6 +239,7 @@ def toxicity_column(spark: SparkSession, docs: DataFrame, labels: DataFrame, per
         scorer = Scorer(*held.value)
         for part in texts:
             yield pd.Series(scorer.scores(np.array([scorer.saved(t) for t in part]).reshape(-1, FEATURES)))
+        release()
 
     return score(F.col("text").cast("string"))
 
