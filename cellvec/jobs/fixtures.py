@@ -43,6 +43,24 @@ POINT_STAGES = [
 ]
 TAGS = {"building": "building", "levels": "building:levels", "height": "height", "highway": "highway", "railway": "railway", "amenity": "amenity", "shop": "shop", "tourism": "tourism", "leisure": "leisure", "office": "office"}
 
+#: One of each tag value that a feature asks for, and some that none does.
+EVERY_TAG = {
+    "amenity": ["bar", "pub", "biergarten", "nightclub", "casino", "stripclub", "music_venue", "events_venue", "restaurant", "cafe", "fast_food", "ice_cream", "theatre", "cinema", "arts_centre", "library", "place_of_worship", "school", "kindergarten", "childcare", "university", "college", "hospital", "doctors", "clinic", "dentist", "pharmacy", "bank", "atm", "police", "fire_station", "post_office", "community_centre", "social_facility", "marketplace", "veterinary", "bicycle_parking", "bicycle_rental", "parking", "fuel", "charging_station", "car_wash", "coworking_space", "bench", ""],
+    "shop": ["alcohol", "wine", "bakery", "deli", "butcher", "cheese", "pastry", "confectionery", "coffee", "tea", "books", "supermarket", "convenience", "greengrocer", "general", "grocery", "clothes", "shoes", "jewelry", "boutique", "fashion_accessories", "bag", "watches", "hairdresser", "beauty", "massage", "tattoo", "cosmetics", "nail_salon", "laundry", "dry_cleaning", "hardware", "doityourself", "car_repair", "mobile_phone", "variety_store", "florist", ""],
+    "tourism": ["museum", "gallery", "artwork", "attraction", "viewpoint", "hotel", "hostel", "guest_house", "motel", "apartment", "picnic_site"],
+    "leisure": ["park", "nature_reserve", "garden", "playground", "dog_park", "pitch", "sports_centre", "fitness_centre", "swimming_pool", "golf_course", "track", "stadium", "marina"],
+    "railway": ["station", "halt", "subway_entrance", "tram_stop", "rail"],
+    "highway": ["motorway", "trunk", "primary", "secondary", "tertiary", "residential", "unclassified", "living_street", "pedestrian", "footway", "steps", "path", "cycleway", "service", "bus_stop"],
+    "building": ["house", "detached", "semidetached_house", "terrace", "bungalow", "semi", "apartments", "residential", "dormitory", "yes", ""],
+}
+#: Source and tag of an event, by its number: every pair of a source with a tag of its own or of another's.
+TAGGED = [("amenity", "amenity"), ("shop", "shop"), ("tlo", "tourism"), ("tlo", "leisure"), ("tlo", "office"), ("transit", "railway"), ("transit", "highway"), ("streets", "highway"), ("buildings", "building"), ("trees", "leisure"), ("shop", "amenity"), ("streets", "shop")]
+TAGGED_POINT = [
+    ("city", "CAST(user_id % 3 AS INT)"), ("source", "CASE event_id % 12 " + " ".join(f"WHEN {i} THEN '{s}'" for i, (s, _) in enumerate(TAGGED)) + " END"), ("tag", "CASE event_id % 12 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(TAGGED)) + " END"),
+    ("value", "CASE event_id % 12 " + " ".join(f"WHEN {i} THEN " + (pick("(event_id // 12)", EVERY_TAG[t]) if t in EVERY_TAG else "'company'") for i, (_, t) in enumerate(TAGGED)) + " END"),
+    ("levels", "CASE WHEN event_id % 12 = 8 THEN " + pick("(event_id // 12)", ["6", "5;7", "7,5", "3"]) + " END"), ("height", "CASE WHEN event_id % 12 = 8 THEN " + pick("(event_id // 12)", ["", "19 m", "66 ft", "20m", "65 ft"]) + " END"),
+]
+
 RECT_CLASS = "CASE WHEN p_type LIKE 'STANDARD%' THEN 'residential' WHEN p_type LIKE 'PROMO%' THEN 'commercial' WHEN p_type LIKE 'SMALL%' THEN 'industrial' WHEN p_type LIKE 'LARGE%' THEN 'green' WHEN p_type LIKE 'ECONOMY%' THEN 'water' ELSE 'beach' END"
 RECT = [("city", "CAST(p_partkey % 3 AS INT)"), ("poly_id", "p_partkey"), ("cls", RECT_CLASS), ("mx", "CAST((p_partkey * 7919) % 20011 - 10005 AS DOUBLE)"), ("my", "CAST((p_partkey * 104729) % 16001 - 8000 AS DOUBLE)"), ("ex", "CAST(100 + p_size * 10 AS DOUBLE)"), ("ey", "CAST(80 + (p_partkey % 40) * 10 AS DOUBLE)")]
 PIECE = [("city", "CAST(s_suppkey % 3 AS INT)"), ("piece_id", "s_suppkey"), ("mx", "CAST((s_suppkey * 7919) % 20011 - 10005 AS DOUBLE)"), ("my", "CAST((s_suppkey * 104729) % 16001 - 8000 AS DOUBLE)"), ("e", "CAST(1000 + (s_suppkey * 37) % 2000 AS DOUBLE)")]
@@ -77,6 +95,14 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("city", "source", kind.alias("osm_type"), "osm_id", "lat", "lon", tags.alias("tags"))
 
 
+def tagged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with every tag value of the catalogue, some under sources that don't ask for them."""
+    x = apply(table(spark, sf_dir, "events"), [(n, e.replace("//", "div")) for n, e in TAGGED_POINT])
+    entry = lambda k, v: F.struct(k.alias("key"), F.col(v).alias("value"))
+    entries = F.array(entry(F.col("tag"), "value"), entry(F.lit("building:levels"), "levels"), entry(F.lit("height"), "height"))
+    return x.select("city", "source", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("tags"))
+
+
 def bounds(spark: SparkSession) -> DataFrame:
     """Three cities' rectangles in metres around their centres."""
     x = spark.createDataFrame([(i, *c) for i, c in enumerate(CENTERS)], "city int, lon0 double, lat0 double")

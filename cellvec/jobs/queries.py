@@ -83,6 +83,73 @@ def cell_counts(spark, sf_dir):
     return counts(spark, sf_dir)
 
 
+#: What each feature counts, written out: source, tag, values (none: any).
+FEATURES_SQL = """
+bars_pubs: amenity amenity bar pub biergarten
+nightclubs: amenity amenity nightclub casino stripclub music_venue events_venue
+liquor_stores: shop shop alcohol wine
+restaurants: amenity amenity restaurant
+cafes: amenity amenity cafe
+fast_food: amenity amenity fast_food ice_cream
+bakeries_delis: shop shop bakery deli butcher cheese pastry confectionery coffee tea
+museums_galleries: tlo tourism museum gallery
+theatres_cinemas: amenity amenity theatre cinema arts_centre
+libraries: amenity amenity library
+bookshops: shop shop books
+places_of_worship: amenity amenity place_of_worship
+public_art: tlo tourism artwork
+attractions: tlo tourism attraction viewpoint
+hotels: tlo tourism hotel hostel guest_house motel apartment
+shops_total: shop shop
+grocery: shop shop supermarket convenience greengrocer general grocery
+fashion: shop shop clothes shoes jewelry boutique fashion_accessories bag watches
+personal_care: shop shop hairdresser beauty massage tattoo cosmetics nail_salon
+laundry_repair: shop shop laundry dry_cleaning hardware doityourself car_repair mobile_phone variety_store
+schools: amenity amenity school kindergarten childcare
+higher_ed: amenity amenity university college
+healthcare: amenity amenity hospital doctors clinic dentist pharmacy
+banks_atms: amenity amenity bank atm
+public_safety: amenity amenity police fire_station post_office
+community: amenity amenity community_centre social_facility marketplace veterinary
+rail_stations: transit railway station halt
+subway_entrances: transit railway subway_entrance
+tram_stops: transit railway tram_stop
+bus_stops: transit highway bus_stop
+bike_infra: amenity amenity bicycle_parking bicycle_rental
+car_parking: amenity amenity parking
+fuel_charging: amenity amenity fuel charging_station car_wash
+major_roads: streets highway motorway trunk primary secondary tertiary
+local_streets: streets highway residential unclassified living_street
+pedestrian_paths: streets highway pedestrian footway steps path
+cycleways: streets highway cycleway
+service_roads: streets highway service
+buildings: buildings building
+houses: buildings building house detached semidetached_house terrace bungalow semi
+apartments: buildings building apartments residential dormitory
+offices: tlo office
+coworking: amenity amenity coworking_space
+parks: tlo leisure park nature_reserve
+gardens_playgrounds: tlo leisure garden playground dog_park
+sports: tlo leisure pitch sports_centre fitness_centre swimming_pool golf_course track stadium
+"""
+
+
+def written_sql() -> str:
+    out = ["source = 'trees' AS trees", "source = 'buildings' AND (levels IN ('6', '7,5') OR height IN ('66 ft', '20m')) AS tall_buildings"]
+    for line in FEATURES_SQL.split("\n")[1:-1]:
+        key, _, rest = line.partition(": ")
+        source, tag_, *values = rest.split()
+        out.append(f"source = '{source}' AND tag = '{tag_}' AND " + (f"value IN ({', '.join(map(repr, values))})" if values else "value <> ''") + f" AS {key}")
+    return ", ".join(f"count(*) FILTER (WHERE {o.rpartition(' AS ')[0]}) AS {o.rpartition(' AS ')[2]}" for o in out)
+
+
+@query(f"SELECT city, {written_sql()} FROM (SELECT city, source, tag, value, levels, height FROM ({X.select(X.TAGGED_POINT, 'events')})) GROUP BY city")
+def every_feature(spark, sf_dir):
+    """Each feature's count of a city, over points that carry every tag value of the catalogue."""
+    x = X.tagged_points(spark, sf_dir).withColumns({"row": F.lit(0), "col": F.lit(0)})
+    return grid.cell_counts(x).drop("row", "col")
+
+
 @query(f"WITH {COUNTS_SQL} SELECT city, \"row\", col FROM n WHERE {ACTIVE_SQL}")
 def active_cells(spark, sf_dir):
     return counts(spark, sf_dir).filter(grid.is_active()).select("city", "row", "col")
@@ -219,6 +286,13 @@ def multipolygons(spark, sf_dir):
     return x.select("id", "type", "part", (F.size(F.get("parts", F.lit(0))) - 1).cast("long").alias("holes"), *r6("area"))
 
 
+@query(f"""SELECT poly_id AS id, CASE poly_id % 4 WHEN 1 THEN 'relation' WHEN 3 THEN 'node' ELSE 'way' END AS kind, round(mx, 6) AS lon, round(my, 6) AS lat FROM ({X.select(X.RECT, 'part')})""")
+def representative_points(spark, sf_dir):
+    """The middle of the bounds of ways, of relations' members and of nodes."""
+    x = land_elements(spark, sf_dir).select("city", "type", "id", F.create_map(F.lit("building"), F.lit("yes"), F.lit("amenity"), F.lit("bar")).alias("tags"), "geometry", "members")
+    return points_of(x).filter("source = 'amenity'").select(F.col("osm_id").alias("id"), F.col("osm_type").alias("kind"), *r6("lon", "lat"))
+
+
 TSV_SQL = "osm_id % 11"
 
 
