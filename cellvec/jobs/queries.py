@@ -191,6 +191,16 @@ def cell_corners(spark, sf_dir):
     return cells.select("city", "row", "col", F.posexplode(grid.corners()).alias("corner", "p")).select("city", "row", "col", "corner", "p.lon", "p.lat")
 
 
+@query(f"""WITH {COUNTS_SQL}, k AS (SELECT n.city, "row", col, g.lon0, g.lat0, g.r, g.minx0 + col * g.w + CASE WHEN abs("row") % 2 = 1 THEN g.w / 2 ELSE 0e0 END AS cx, g.miny0 + "row" * 1.5e0 * g.r AS cy FROM n JOIN g USING (city)),
+centre AS (SELECT *, lon0 + cx / (111320e0 * cos(radians(lat0))) AS lon, lat0 + cy / 110540e0 AS lat, lon0 + 0.013e0 AS clon, lat0 - 0.007e0 AS clat FROM k)
+SELECT city, "row" || '_' || col AS cell_id, round(lon, 5) AS lon, round(lat, 5) AS lat, round(2 * 6371e0 * asin(sqrt(pow(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2))), 2) AS dist_km, round(2.598076e0 * r * r / 1e6, 4) AS land_km2 FROM centre""")
+def cell_places(spark, sf_dir):
+    """Ids, centres, distances to a point off the middle, and land of cells, rounded as documents have them."""
+    cells = grid.with_centres(counts(spark, sf_dir).select("city", "row", "col"), grid.grid_params(X.bounds(spark), X.TARGET_CELLS))
+    at = grid.place_columns(F.col("lon0") + 0.013, F.col("lat0") - 0.007)
+    return cells.withColumns(at).select("city", "cell_id", "lon", "lat", "dist_km", F.round(2.598076 * F.col("r") * F.col("r") / 1e6, 4).alias("land_km2"))
+
+
 @query(f"""WITH p AS ({X.points_sql()}), k AS (SELECT city, osm_id, row_number() OVER (PARTITION BY city ORDER BY osm_id) - 1 AS place, greatest(1, count(*) OVER (PARTITION BY city) // 500) AS step FROM p)
 SELECT city, osm_id, step FROM k WHERE place % step = 0""")
 def systematic_sample(spark, sf_dir):
@@ -451,6 +461,18 @@ def united_sql() -> str:
     return " ".join(terms)
 
 
+@query("SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN 'no ring' WHEN 1 THEN 'no ring' WHEN 2 THEN 'ring of fewer than three points' WHEN 3 THEN 'ring of fewer than three points' ELSE 'coordinate that is no number' END AS reason FROM part WHERE p_partkey % 7 < 6")
+def bad_polygons(spark, sf_dir):
+    """Parts' rectangles, most of them broken in some way, with what is wrong."""
+    x = X.land_use(spark, sf_dir).withColumn("ring", F.get("rings", F.lit(0)))
+    point = lambda v: F.struct(F.lit(v).cast("double").alias("x"), F.lit(1.0).alias("y"))
+    broken = [F.lit(None), F.filter("rings", lambda r: F.size(r) < 0), F.array("ring", F.slice("ring", 1, 2)), F.array(F.slice("ring", 1, 0)), F.array(F.concat("ring", F.array(point("NaN")))), F.array("ring", F.concat("ring", F.array(point(None))))]
+    rings = F.col("rings")
+    for k, b in enumerate(broken):
+        rings = F.when(F.col("poly_id") % 7 == k, b).otherwise(rings)
+    return overlay.polygon_errors(x.withColumn("rings", rings)).select(F.col("poly_id").alias("id"), "reason")
+
+
 @query(f"""WITH t AS ({X.DISTRICT_SQL}){CELL_SQL}, d AS (SELECT *, {united_sql()} AS area FROM c) SELECT city, "row", col, round(area, 3) AS area FROM d WHERE area > 1e-6""")
 def united_land(spark, sf_dir):
     """Land of each cell where boundaries overlap each other, and waters do."""
@@ -680,11 +702,18 @@ def cluster_share(spark, sf_dir):
     return clusters.cluster_share(assigned(spark, sf_dir)).select("city", "label", "n", *r6("percent", "miles"))
 
 
-@query(f"WITH v AS ({X.VALUES_SQL}) SELECT city, count(DISTINCT cell_id) AS cells, round(sum(land_km2) FILTER (WHERE idx = 0), 6) AS land_km2, count(DISTINCT feature) AS dims, 2 AS components, 1e0 AS explained FROM v GROUP BY 1")
+#: Every third feature is 0 in most cells, and so is dropped in small cities.
+SPARSE_SQL = "CASE WHEN idx % 3 = 0 AND cell_id % 20 <> 0 THEN 0e0 ELSE value END"
+
+
+@query(f"""WITH v AS (SELECT *, {SPARSE_SQL} AS rare FROM ({X.VALUES_SQL})), k AS (SELECT city, feature FROM v GROUP BY ALL HAVING count(*) FILTER (WHERE rare <> 0) >= greatest(5, 0.02e0 * count(*))), d AS (SELECT city, count(*) AS dims FROM k GROUP BY 1)
+SELECT city, count(DISTINCT cell_id) AS cells, round(sum(land_km2) FILTER (WHERE idx = 0), 6) AS land_km2, any_value(dims) AS dims, 2 AS components, 1e0 AS explained FROM v JOIN d USING (city) GROUP BY 1""")
 def city_summary(spark, sf_dir):
-    """Totals of each city, with components of its first two features (two are the least kept, and explain these)."""
+    """Totals of each city, with the number of its features that aren't sparse, and components of its first two features
+    (two are the least kept, and explain these)."""
     x = zvectors(spark, sf_dir).withColumn("z", F.slice("z", 1, 2))
-    s = clusters.city_summary(X.vectors(spark, sf_dir), stats.pca(x, 2))
+    used = grid.sparse_features(X.values(spark, sf_dir).withColumn("value", F.expr(SPARSE_SQL))).filter("kept")
+    s = clusters.city_summary(X.vectors(spark, sf_dir), stats.pca(x, 2), used)
     return s.select("city", "cells", *r6("land_km2"), "dims", "components", *r6("explained"))
 
 
@@ -702,10 +731,6 @@ def city_documents(spark, sf_dir):
     return clusters.city_documents(x.groupBy("city").agg(F.count("*").alias("cells")), x.select("city", "cell_id"))
 
 
-#: Every third feature is 0 in most cells, and so is dropped in small cities.
-SPARSE_SQL = "CASE WHEN idx % 3 = 0 AND cell_id % 20 <> 0 THEN 0e0 ELSE value END"
-
-
 @query(f"""WITH v AS (SELECT city, cell_id, idx, feature, {SPARSE_SQL} AS value FROM ({X.VALUES_SQL})), k AS (SELECT city, feature FROM v GROUP BY ALL HAVING count(*) FILTER (WHERE value <> 0) >= greatest(5, 0.02e0 * count(*)))
 SELECT city, cell_id, feature, row_number() OVER (PARTITION BY city, cell_id ORDER BY idx)::INT AS place, round(v.value, 6) AS value FROM v JOIN k USING (city, feature)""")
 def documents_back(spark, sf_dir):

@@ -123,12 +123,13 @@ def map_values(cells: DataFrame, features: DataFrame, mode: str) -> DataFrame:
     return cells.filter(F.col("feature") == mode).join(F.broadcast(one), "feature").select("city", "cell_id", "value", "label", "unit")  # one row
 
 
-def city_summary(cells: DataFrame, components: DataFrame) -> DataFrame:
-    """(city, cells, land_km2, dims, components, explained) from cells (city, land_km2, v) and components (city,
-    component, share)."""
-    x = cells.groupBy("city").agg(F.count("*").alias("cells"), F.sum("land_km2").alias("land_km2"), F.max(F.size("v")).cast("long").alias("dims"))
+def city_summary(cells: DataFrame, components: DataFrame, used: DataFrame) -> DataFrame:
+    """(city, cells, land_km2, dims, components, explained) from cells (city, land_km2), components (city, component,
+    share) and the features in use (city, feature), which dims counts."""
+    x = cells.groupBy("city").agg(F.count("*").alias("cells"), F.sum("land_km2").alias("land_km2"))
+    d = used.groupBy("city").agg(F.count("*").alias("dims"))
     c = components.groupBy("city").agg(F.count("*").alias("components"), F.sum("share").alias("explained"))
-    return x.join(c, "city")
+    return x.join(d, "city").join(c, "city").select("city", "cells", "land_km2", "dims", "components", "explained")
 
 
 def city_documents(header: DataFrame, cells: DataFrame) -> DataFrame:

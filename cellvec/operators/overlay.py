@@ -342,6 +342,14 @@ def deal_large(polys: DataFrame, shape: str) -> DataFrame:
     return small
 
 
+def polygon_errors(polys: DataFrame) -> DataFrame:
+    """polys (.., rings) that give no rows, with the reason; what a run should report beside its result."""
+    number = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    bad = lambda p: ~F.coalesce(number(p["x"]) & number(p["y"]), F.lit(False))
+    reason = F.when(F.coalesce(F.size("rings"), F.lit(0)) <= 0, "no ring").when(F.exists("rings", lambda r: F.coalesce(F.size(r), F.lit(0)) < 3), "ring of fewer than three points")
+    return polys.withColumn("reason", reason.when(F.exists("rings", lambda r: F.exists(r, bad)), "coordinate that is no number")).filter("reason is not null")
+
+
 def clip_to_cells(polys: DataFrame, params: DataFrame, shape: str = "hexagon", keep_columns: Sequence[str] = ("cls",)) -> DataFrame:
     """(city, row, col, *keep_columns, area, parts) for each cell that a polygon (city, *keep_columns, rings in metres)
     meets: its area there, and its rings cut to the cell. A polygon that was halved may have some rows for a cell.
