@@ -147,12 +147,11 @@ class Rows:
             own, loads = sent.value
             for batch in batches:
                 cities = batch.column("city").to_pylist()
-                flat = batch.column("v").flatten().to_numpy()
                 for city in dict.fromkeys(cities):
                     if city not in own:
                         continue
                     mine = np.flatnonzero(np.fromiter((c == city for c in cities), bool, len(cities)))
-                    v = flat.reshape(len(cities), -1)[mine]
+                    v = batch.column("v").take(pa.array(mine)).flatten().to_numpy().reshape(len(mine), -1)  # as long as the city's are
                     spaces = {p: v if loads is None else v @ loads[city, p] for p in {r.setting.param_id for r in own[city]}}
                     yield from f(city, batch.column("pos").to_numpy()[mine], spaces, own[city], batch.take(pa.array(mine)))
 

@@ -15,7 +15,7 @@ def clouds(seed, n, width, groups):
 
 def test_same_as_one_array(spark, monkeypatch):
     monkeypatch.setattr(kmeans, "CHUNK", 16)
-    data = {"a": clouds(1, 130, 3, 4), "b": clouds(2, 57, 3, 3), "one": clouds(3, 1, 3, 1), "two": clouds(4, 2, 3, 1), "same": np.repeat(clouds(5, 3, 3, 1), 9, axis=0)}
+    data = {"a": clouds(1, 130, 3, 4), "b": clouds(2, 57, 3, 3), "one": clouds(3, 1, 3, 1), "two": clouds(4, 2, 3, 1), "same": np.repeat(clouds(5, 3, 3, 1), 9, axis=0), "wider": clouds(6, 40, 5, 2)}
     rows = [(c, f"{i:04d}", [float(v) for v in x]) for c, xs in data.items() for i, x in enumerate(xs)]
     settings = [kmeans.Setting(0, 4, 42, 3, 200), kmeans.Setting(5, 6, 1, 2, 2)]
     df = spark.createDataFrame(rows, "city string, cell_id string, v array<double>").repartition(5)
