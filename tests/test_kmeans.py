@@ -78,3 +78,12 @@ def test_low_ties_go_against_feature_order(spark):
     got = clusters.highlights(spark.createDataFrame(rows, "city string, label int, feature string, mean_z double"), known)
     assert [r.feature for r in got.filter(F.col("side") == "low").orderBy("place").collect()] == ["f3", "f2", "f1"]
     assert [r.feature for r in got.filter(F.col("side") == "high").orderBy("place").collect()] == ["f4", "f5"]
+
+
+def test_signs_of_nearly_equal_entries():
+    """Rounding of the covariance turns components of near eigenvalues; the first of entries that are equal but for that
+    is positive."""
+    for rho in (1.5e-4, -1.5e-4, 0.3):
+        for a, b in ((0.0, 4e-15), (4e-15, 0.0)):
+            _, v, _ = stats.eigen(np.array([[1 + a, rho], [rho, 1 + b]]), 1.0)
+            assert (v[0] > 0).all() and v[1] == pytest.approx(np.array([1, -1]) * np.sign(rho) * 0.5**0.5, abs=1e-6)
