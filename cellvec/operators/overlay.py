@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -120,57 +121,124 @@ def polygons(elements: DataFrame) -> DataFrame:
     return elements.select("city", "type", "id", "geometry", "members").mapInPandas(build, f"city {kind}, type string, id long, part int, rings {ring}")
 
 
-def as_rings(value) -> list[np.ndarray]:
-    return [np.array([(p["x"], p["y"]) for p in r], dtype=float) for r in value]
+#: A layer of polygons of each of many places: edges (x1, y1, x2, y2), and the place and polygon of each.
+Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def as_polygons(value) -> list[list[np.ndarray]]:
-    return [as_rings(p) for p in value]
-
-
-def edges_of(polygons: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (x1, y1, x2, y2) that aren't upright, from left to right, and the number of the polygon of each."""
-    ends = [np.hstack([r, np.roll(r, -1, axis=0)]) for p in polygons for r in p]
-    of = [np.full(len(r), k) for k, p in enumerate(polygons) for r in p]
+def edges_of(polygons: list[list[np.ndarray]]) -> Edges:
+    """Edges of the polygons of one place, 0."""
+    rings = [(k, r) for k, p in enumerate(polygons) for r in p]
+    ends = [np.hstack([r, np.roll(r, -1, axis=0)]) for _, r in rings]
+    of = [np.full(len(r), k) for k, r in rings]
     if not ends:
-        return np.zeros((0, 4)), np.zeros(0, np.int64)
-    e, k = np.vstack(ends), np.concatenate(of)
-    e, k = e[e[:, 0] != e[:, 2]], k[e[:, 0] != e[:, 2]]
-    return np.where((e[:, 0] < e[:, 2])[:, None], e, e[:, [2, 3, 0, 1]]), k
+        return np.zeros((0, 4)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of = np.concatenate(of)
+    return np.vstack(ends), np.zeros(len(of), np.int64), of
+
+
+def column_edges(column: pa.Array, whole: bool = False) -> Edges:
+    """Edges of an Arrow column with the polygons of a place in each row, or with its only polygon if ``whole``; none where it
+    is null."""
+    sizes, x = [], column
+    for _ in range(2 if whole else 3):
+        sizes.append(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        x = x.flatten()
+    if whole:
+        sizes.insert(0, np.ones(len(column), np.int64))
+    px, py = (x.field(c).to_numpy(zero_copy_only=False).astype(float) for c in "xy")
+    size = sizes[2]
+    last = np.cumsum(size) - 1
+    after = np.arange(1, len(px) + 1)
+    after[last[size > 0]] = (last - size + 1)[size > 0]
+    of = np.repeat(np.repeat(np.arange(len(sizes[1])), sizes[1]), size)
+    return np.stack([px, py, px[after], py[after]], axis=1), np.repeat(np.arange(len(column)), sizes[0])[of], of
 
 
 def area_where(layers: list[list[list[np.ndarray]]], wanted: Callable[[list[np.ndarray]], np.ndarray]) -> float:
-    """Area of the places that are wanted by which of the layers cover them. A layer is polygons (rings by the even-odd
-    rule), of which one at least must cover the place; so polygons of a layer that overlap are united.
-
-    Between neighbouring x of vertices and crossings no edges cross, so a strip's part is its width times its length
-    along the middle. Up a strip, each edge begins or ends the cover of its polygon in turn."""
-    e, of = edges_of([p for layer in layers for p in layer])
-    if not len(e):
-        return 0.0
-    layer = np.repeat(np.arange(len(layers)), [len(v) for v in layers])[of]
+    """``areas_where`` of one place, with the polygons of each layer as lists of rings."""
+    return float(areas_where([edges_of(p) for p in layers], wanted, 1)[0])
+
+
+#: Pairs of edges that are looked at together.
+PAIRS = 1 << 19
+
+
+def areas_where(layers: list[Edges], wanted: Callable[[list[np.ndarray]], np.ndarray], n: int) -> np.ndarray:
+    """For each of n places, the area that is wanted by which of the layers cover it. A layer is polygons (rings by the
+    even-odd rule), of which one at least must cover the place; so polygons of a layer that overlap are united.
+
+    Many places are swept together: as many as have PAIRS pairs of edges."""
+    e, place = np.concatenate([v[0] for v in layers]), np.concatenate([v[1] for v in layers])
+    layer = np.repeat(np.arange(len(layers)), [len(v[0]) for v in layers])
+    before = np.cumsum([0, *(v[2].max(initial=-1) + 1 for v in layers)])
+    of = np.concatenate([v[2] for v in layers]) + before[layer]
+    keep_ = np.flatnonzero(e[:, 0] != e[:, 2])  # no upright ones
+    keep_ = keep_[np.argsort(place[keep_], kind="stable")]
+    e, place, layer, of = e[keep_], place[keep_], layer[keep_], of[keep_]
+    e = np.where((e[:, 0] < e[:, 2])[:, None], e, e[:, [2, 3, 0, 1]])
+    out = np.zeros(n)
+    many = np.bincount(place, minlength=n)
+    begin, work = np.cumsum(many) - many, np.cumsum(many * many)
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(work, (work[i - 1] if i else 0) + PAIRS, side="right")))
+        some = slice(begin[i], begin[j - 1] + many[j - 1])
+        out[i:j] = sweep_strips(e[some], place[some] - i, of[some], layer[some], len(layers), wanted, many[i:j])
+        i = j
+    return out
+
+
+def spans(size: np.ndarray) -> np.ndarray:
+    """0, 1, .. below each size, one behind the other."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def sweep_strips(e: np.ndarray, place: np.ndarray, of: np.ndarray, layer: np.ndarray, layers: int, wanted: Callable, many: np.ndarray) -> np.ndarray:
+    """Areas of ``many`` places with so many edges each, from left to right and by place. Between neighbouring x of vertices
+    and crossings of a place no edges cross, so a strip's part is its width times its length along the middle. Up a strip,
+    each edge begins or ends the cover of its polygon in turn."""
     x1, y1, x2, y2 = e.T
     slope = (y2 - y1) / (x2 - x1)
     base = y1 - slope * x1
+    begin = np.cumsum(many) - many
+    later = np.repeat(begin + many, many) - np.arange(len(e)) - 1  # edges of the place behind each
+    a = np.repeat(np.arange(len(e)), later)
+    b = a + 1 + spans(later)
     with np.errstate(divide="ignore", invalid="ignore"):
-        cross = (base[None, :] - base[:, None]) / (slope[:, None] - slope[None, :])
-    cross = cross[(cross > np.maximum(x1[:, None], x1)) & (cross < np.minimum(x2[:, None], x2))]
-    xs = np.unique(np.concatenate((x1, x2, cross)))
-    total = 0.0
-    for m, w in zip((xs[1:] + xs[:-1]) / 2, np.diff(xs), strict=True):
-        on = np.flatnonzero((x1 < m) & (m < x2))
-        if len(on) < 2:
-            continue
-        y = base[on] + slope[on] * m
-        on, y = on[np.argsort(y, kind="stable")], np.sort(y, kind="stable")
-        by = np.argsort(of[on], kind="stable")  # the edges of a polygon, from below
-        first = np.flatnonzero(np.concatenate(([True], np.diff(of[on][by]) != 0)))
-        turn = np.empty(len(on), np.int64)
-        turn[by] = np.arange(len(on)) - np.repeat(first, np.diff(np.concatenate((first, [len(on)]))))
+        cross = (base[b] - base[a]) / (slope[a] - slope[b])
+    hit = np.flatnonzero((cross > np.maximum(x1[a], x1[b])) & (cross < np.minimum(x2[a], x2[b])))
+    xs, of_x = np.concatenate((x1, x2, cross[hit])), np.concatenate((place, place, place[a[hit]]))
+    order = np.lexsort((xs, of_x))
+    xs, of_x = xs[order], of_x[order]
+    strip = np.flatnonzero((of_x[1:] == of_x[:-1]) & (xs[1:] > xs[:-1]))
+    middle, width, own = (xs[strip + 1] + xs[strip]) / 2, xs[strip + 1] - xs[strip], of_x[strip]
+    out = np.zeros(len(many))
+    work = np.cumsum(many[own])
+    i = 0
+    while i < len(own):  # strips times edges
+        j = max(i + 1, int(np.searchsorted(work, (work[i - 1] if i else 0) + PAIRS, side="right")))
+        s = np.repeat(np.arange(i, j), many[own[i:j]])
+        on = begin[own[s]] + spans(many[own[i:j]])
+        held = np.flatnonzero((x1[on] < middle[s]) & (middle[s] < x2[on]))
+        s, on = s[held], on[held]
+        y = base[on] + slope[on] * middle[s]
+        up = np.lexsort((y, s))
+        s, on, y = s[up], on[up], y[up]
+        by = np.lexsort((of[on], s))  # the edges of a polygon in a strip, from below
+        new = np.concatenate(([True], (np.diff(of[on][by]) != 0) | (np.diff(s[by]) != 0))) if len(by) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        turn = np.empty(len(by), np.int64)
+        turn[by] = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
         change = 1 - 2 * (turn % 2)
-        inside = [np.cumsum(np.where(layer[on] == k, change, 0))[:-1] > 0 for k in range(len(layers))]
-        total += w * float(np.diff(y)[wanted(inside)].sum())
-    return total
+        low = np.searchsorted(s, s, side="left")  # the first edge of each one's strip
+        inside = []
+        for k in range(layers):
+            run = np.concatenate(([0], np.cumsum(np.where(layer[on] == k, change, 0))))
+            inside.append((run[1:] - run[low])[:-1] > 0)
+        same = np.flatnonzero((s[1:] == s[:-1]) & wanted(inside))
+        out += np.bincount(own[s[same]], width[s[same]] * (y[same + 1] - y[same]), len(many))
+        i = j
+    return out
 
 
 # ---- many rings at once ----
@@ -353,10 +421,12 @@ def polygon_errors(polys: DataFrame) -> DataFrame:
 def clip_to_cells(polys: DataFrame, params: DataFrame, shape: str = "hexagon", keep_columns: Sequence[str] = ("cls",)) -> DataFrame:
     """(city, row, col, *keep_columns, area, parts) for each cell that a polygon (city, *keep_columns, rings in metres)
     meets: its area there, and its rings cut to the cell. A polygon that was halved may have some rows for a cell.
-    shape: hexagon cells, or squares of side w. params: one row per city."""
+    shape: hexagon cells, or squares of side w. params: one row per city, whose r and w may be kept too. Polygons are dealt out
+    before they are cut: those of a small file would all be cut by its few readers."""
     kept = list(keep_columns)
-    x = polys.select("city", *kept, F.col("rings").cast(POINTS).alias("rings")).join(params.select("city", "r", "w", "minx0", "miny0"), "city")
-    x = deal_large(x, shape)
+    own = [c for c in kept if c not in ("r", "w")]
+    x = polys.select("city", *own, F.col("rings").cast(POINTS).alias("rings")).join(params.select("city", "r", "w", "minx0", "miny0"), "city")
+    x = deal_large(x, shape).repartition(F.xxhash64("city", *own, "rings"))
 
     def clip(batches):
         for batch in batches:
@@ -429,17 +499,18 @@ def cell_land(boundaries: DataFrame, water: DataFrame, params: DataFrame, shape:
     """(city, row, col, area, whole, land, sea) of every cell that meets a boundary (city, rings) outside the
     water (city, rings): the area of its land, whether that is the whole cell, and the polygons of either, cut to the
     cell. Boundaries that overlap are united, and so is water. A cell's few pieces come together in one row."""
-    part = lambda df, name: clip_to_cells(df.withColumn("cls", F.lit(name)), params, shape)
+    part = lambda df, name: clip_to_cells(df.select("city", "rings", F.lit(name).alias("cls")), params, shape, ("cls", "r", "w"))
     both = part(boundaries, "land").union(part(water, "sea"))
     pieces = lambda name: F.collect_list(F.when(F.col("cls") == name, F.col("parts")))
-    x = both.groupBy("city", "row", "col").agg(F.sum(F.when(F.col("cls") == "land", F.col("area"))).alias("area"), pieces("land").alias("land"), pieces("sea").alias("sea"))
-    x = x.filter("area is not null").join(params.select("city", "r", "w"), "city")
+    x = both.groupBy("city", "row", "col").agg(F.sum(F.when(F.col("cls") == "land", F.col("area"))).alias("area"), pieces("land").alias("land"), pieces("sea").alias("sea"), F.first("r").alias("r"), F.first("w").alias("w"))
+    x = x.filter("area is not null")
     full = F.col("w") * F.col("w") if shape == "square" else F.lit(1.5) * F.col("r") * F.col("w")
 
     @F.arrow_udf(DoubleType())
     def dry(land: pa.Array, sea: pa.Array) -> pa.Array:
-        return pa.array([0.0 if a is None else area_where([as_polygons(a), as_polygons(b)], lambda i: i[0] & ~i[1]) for a, b in zip(land.to_pylist(), sea.to_pylist(), strict=True)], pa.float64())
+        return pa.array(areas_where([column_edges(land), column_edges(sea)], lambda i: i[0] & ~i[1], len(land)))
 
+    dry = dry.asNondeterministic()  # so that the filter below doesn't compute it again
     single = (F.size("sea") == 0) & (F.size("land") == 1)
     x = x.withColumn("area", F.when(~single, dry(F.when(~single, F.col("land")), F.when(~single, F.col("sea")))).otherwise(F.col("area")))
     x = x.withColumn("whole", (F.size("sea") == 0) & (F.col("area") >= full * (1 - 1e-9)))
@@ -452,8 +523,9 @@ def overlay_land(polys: DataFrame, land: DataFrame, params: DataFrame, shape: st
 
     @F.arrow_udf(DoubleType())
     def common(parts: pa.Array, land: pa.Array, sea: pa.Array) -> pa.Array:
-        return pa.array([area_where([[as_rings(p)], as_polygons(a), as_polygons(b)], lambda i: i[0] & i[1] & ~i[2]) for p, a, b in zip(parts.to_pylist(), land.to_pylist(), sea.to_pylist(), strict=True)], pa.float64())
+        return pa.array(areas_where([column_edges(parts, True), column_edges(land), column_edges(sea)], lambda i: i[0] & i[1] & ~i[2], len(parts)))
 
+    common = common.asNondeterministic()  # so that the filter below doesn't compute it again
     inner, border = x.filter("whole"), x.filter("not whole").withColumn("area", common("parts", "land", "sea"))
     out = inner.select("city", "row", "col", "cls", "area").union(border.select("city", "row", "col", "cls", "area").filter("area > 0"))
     return out.groupBy("city", "row", "col", "cls").agg(F.sum("area").alias("area"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellvec.jobs import cities
 from cellvec.operators import grid, order, overlay, stats
 
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -110,3 +111,24 @@ def test_ranks_and_samples(spark):
     got = grid.systematic_sample(points, 13).collect()
     every = sorted(rows[:50], key=lambda r: (r[2], r[3])) + rows[50:]
     assert sorted((r.osm_id or 0, r.lat, r.lon) for r in got) == sorted((r[1] or 0, r[2], r[3]) for r in every[::4]) and {r.step for r in got} == {4}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def district(spark, parts=False):
+    """One file-like partition of a boundary with its water."""
+    at = [("c", plain([np.array([(0, 0), (9, 0), (9, 7), (0, 7)], dtype=float)]), plain([np.array([(1, 1), (3, 1), (3, 3)], dtype=float)]))]
+    x = spark.createDataFrame(at, f"city string, land {RINGS}, sea {RINGS}").coalesce(1)
+    sea = x.select("city", F.col("sea").alias("rings"))
+    return (x.select("city", F.lit(0.0).alias("lon0"), F.lit(0.0).alias("lat0"), F.array("land").alias("parts")) if parts else x.select("city", F.col("land").alias("rings"))), sea
+
+
+def test_land_is_dealt_out_and_measured_once(spark):
+    """Polygons of one task are dealt to others before they are cut, and a cell's land isn't measured again to be filtered."""
+    land, sea = district(spark)
+    params = spark.createDataFrame([("c", 2.0, 2.0, 0.0, 0.0)], "city string, r double, w double, minx0 double, miny0 double")
+    x = overlay.cell_land(land, sea, params, "square")
+    assert plan(x).count("REPARTITION_BY_COL") == 2 and plan(x).count("ArrowEvalPython") == 1
+    assert sum(r.area for r in x.collect()) == pytest.approx(61)
