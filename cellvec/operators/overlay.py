@@ -589,14 +589,80 @@ def cover_params(bounds: DataFrame, cells: int = COVER) -> DataFrame:
 def inside(points: DataFrame, areas: DataFrame) -> DataFrame:
     """Points (city, x, y, ..) inside their city's area (city, parts, and minx .. maxy as of ``measures``)."""
     params = cover_params(areas)
-    return contained(points, cover(areas.select("city", F.explode("parts").alias("rings")), params), params)
+    covered = keep(cover(areas.select("city", F.explode("parts").alias("rings")), params), "cover")
+    size = covered.agg(F.count("*") + F.coalesce(F.sum(F.size(F.flatten("pieces"))), F.lit(0))).first()[0]
+    return contained(points, F.broadcast(covered) if size <= FEW else covered.hint("merge"), params)
+
+
+#: Rows and edges of a cover that may go to every task.
+FEW = 1 << 17
+#: Points, and pieces, of a square that are tested together.
+POINT_BLOCK, PIECE_BLOCK = 4096, 512
+#: Points and edges that are compared at once.
+TESTS = 1 << 18
 
 
 def buildings_of(pieces: DataFrame, buildings: DataFrame, side: float) -> DataFrame:
-    """(city, piece_id, step) of the buildings (city, x, y, step) inside each piece (city, piece_id, rings), which may
-    overlap; they meet in squares of a side that is to be some fraction of a piece's."""
+    """(city, piece_id, step) with sums of the steps of the buildings (city, x, y, step) inside each piece (city, piece_id,
+    rings), some rows a piece. Pieces may overlap, so buildings aren't joined with them: whole squares of a side, which is
+    to be some fraction of a piece's, take the square's sum, and on a piece's border blocks of the square's buildings meet
+    blocks of the pieces there. Neither table is broadcast, as both grow."""
     params = pieces.select("city").distinct().select("city", F.lit(float(side)).alias("w"), F.lit(0.0).alias("minx0"), F.lit(0.0).alias("miny0"))
-    return contained(buildings, cover(pieces, params, ["piece_id"]), params).select("city", "piece_id", "step")
+    square = ["city", "row", "col"]
+    covered = keep(cover(pieces, params, ["piece_id"]), "cover")
+    at = {"col": F.floor(F.col("x") / float(side)).cast("int"), "row": F.floor(F.col("y") / float(side)).cast("int")}
+    b = keep(buildings.join(params.select("city"), "city", "left_semi").withColumns(at).select(*square, "x", "y", "step"), "buildings")
+    sums = b.groupBy(*square).agg(F.sum("step").alias("step"), F.count("*").alias("n"))
+    whole = covered.filter("whole").select(*square, "piece_id").hint("merge").join(sums, square).select("city", "piece_id", "step")
+
+    dealt = lambda df, n, size, *by: df.withColumn("block", F.pmod(F.xxhash64(*by), F.ceil(F.col(n) / size)))
+    point = dealt(b.join(sums.select(*square, "n"), square), "n", POINT_BLOCK, "x", "y").groupBy(*square, "block").agg(F.collect_list(F.struct("x", "y", "step")).alias("points")).drop("block")
+    border = covered.filter("not whole")
+    many = border.groupBy(*square).agg(F.count("*").alias("n"))
+    border = dealt(border.join(many, square), "n", PIECE_BLOCK, "piece_id").groupBy(*square, "block").agg(F.collect_list(F.struct("piece_id", "pieces")).alias("own")).drop("block")
+    x = border.hint("merge").join(point, square).select("city", "own", "points")
+    kind = {f.name: f.dataType.simpleString() for f in [*pieces.schema, *sums.schema]}
+
+    def count(batches):
+        for batch in batches:
+            points, own = batch.column("points"), batch.column("own")
+            for k in range(batch.num_rows):
+                p, mine = points[k].values, own[k].values
+                x, y = (p.field(c).to_numpy(zero_copy_only=False) for c in "xy")
+                steps = p.field("step").to_numpy(zero_copy_only=False)
+                total = steps_inside(mine.field("pieces"), x, y, steps)
+                hit = pa.array(np.flatnonzero(total))
+                yield pa.RecordBatch.from_arrays([batch.column("city").take(pa.array(np.full(len(hit), k))), mine.field("piece_id").take(hit), pa.array(total[hit]).cast(batch_step)], names=["city", "piece_id", "step"])
+
+    batch_step = pa.float64() if kind["step"] == "double" else pa.int64()
+    return whole.union(x.mapInArrow(count, f"city {kind['city']}, piece_id {kind['piece_id']}, step {kind['step']}"))
+
+
+def steps_inside(pieces: pa.Array, x: np.ndarray, y: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """For each row of ``pieces`` (the edges of each polygon that a row unites), the sum of the steps of the points inside
+    by the even-odd rule."""
+    per_row = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+    polygons = pieces.flatten()
+    size = pc.list_value_length(polygons).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = polygons.flatten()
+    e = np.stack([edges.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")])
+    polygon = np.repeat(np.arange(len(size)), size)
+    crossing = np.flatnonzero(e[1] != e[3])  # level edges are never crossed
+    (x1, y1, x2, y2), polygon = e[:, crossing, None], polygon[crossing]
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    out = np.zeros(len(per_row), steps.dtype)
+    block = max(1, TESTS // max(1, len(polygon)))
+    first = np.searchsorted(polygon, np.arange(len(size)))
+    some = np.flatnonzero(np.diff(np.append(first, len(polygon))))  # polygons with edges
+    rows = np.unique(row[some], return_index=True)
+    for i in range(0, len(x) if len(some) else 0, block):
+        p, q = x[i : i + block], y[i : i + block]
+        hit = ((y1 > q) != (y2 > q)) & (p < (x2 - x1) * (q - y1) / (y2 - y1) + x1)
+        odd = np.bitwise_xor.reduceat(hit, first[some], axis=0)
+        if len(rows[1]) < len(some):
+            odd = np.bitwise_or.reduceat(odd, rows[1], axis=0)
+        out[rows[0]] += odd @ steps[i : i + block]
+    return out
 
 
 def water_pieces(pieces: DataFrame, buildings: DataFrame, least_km2: float = 0.02, most_density: float = 15.0) -> DataFrame:

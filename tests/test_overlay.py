@@ -132,3 +132,21 @@ def test_land_is_dealt_out_and_measured_once(spark):
     x = overlay.cell_land(land, sea, params, "square")
     assert plan(x).count("REPARTITION_BY_COL") == 2 and plan(x).count("ArrowEvalPython") == 1
     assert sum(r.area for r in x.collect()) == pytest.approx(61)
+
+
+def test_buildings_are_summed_by_blocks(spark, monkeypatch):
+    """Many pieces over many buildings: sums of squares and blocks, no row a pair, and no growing table broadcast."""
+    monkeypatch.setattr(overlay, "POINT_BLOCK", 64)
+    monkeypatch.setattr(overlay, "PIECE_BLOCK", 8)
+    monkeypatch.setattr(overlay, "TESTS", 512)
+    rng = np.random.default_rng(8)
+    polys = shapes(rng, 40)
+    at = rng.normal(size=(3000, 2)) * 6
+    points = spark.createDataFrame([("c", float(x), float(y), k % 3) for k, (x, y) in enumerate(at)], "city string, x double, y double, step long")
+    pieces = spark.createDataFrame([("c", k, plain(p)) for k, p in enumerate(polys)], f"city string, piece_id long, rings {RINGS}")
+    x = overlay.buildings_of(pieces, points, 2.0)
+    n = {r.piece_id: r.n for r in x.groupBy("piece_id").agg(F.sum("step").alias("n")).collect() if r.n}
+    want = {k: int((overlay.contains(p, at[:, 0], at[:, 1]) * (np.arange(3000) % 3)).sum()) for k, p in enumerate(polys)}
+    assert n == {k: v for k, v in want.items() if v}
+    assert x.count() < sum(overlay.contains(p, at[:, 0], at[:, 1]).sum() for p in polys) / 2
+    assert plan(x).count("SortMergeJoin") >= 2
