@@ -150,3 +150,28 @@ def test_buildings_are_summed_by_blocks(spark, monkeypatch):
     assert n == {k: v for k, v in want.items() if v}
     assert x.count() < sum(overlay.contains(p, at[:, 0], at[:, 1]).sum() for p in polys) / 2
     assert plan(x).count("SortMergeJoin") >= 2
+
+
+def test_many_places_are_swept_together(monkeypatch):
+    """Overlapping rectangles, with and without a cut between batches, against squares of 1 counted one by one; stars of
+    themselves."""
+    rng = np.random.default_rng(4)
+    boxes = [[[tuple(sorted(rng.choice(12, 2, replace=False))) + tuple(sorted(rng.choice(12, 2, replace=False))) for _ in range(rng.integers(0, 4))] for _ in range(2)] for _ in range(60)]
+    square = lambda x1, x2, y1, y2: [np.array([(x1, y1), (x2, y1), (x2, y2), (x1, y2)], dtype=float)]
+    layers = []
+    for k in range(2):
+        parts = [overlay.edges_of([square(*b) for b in place[k]]) for place in boxes]
+        more = np.cumsum([0, *(len(place[k]) for place in boxes)])
+        layers.append((np.concatenate([p[0] for p in parts]), np.repeat(np.arange(60), [len(p[0]) for p in parts]), np.concatenate([p[2] + m for p, m in zip(parts, more, strict=False)])))
+    want = []
+    for place in boxes:
+        a, b = np.zeros((2, 12, 12), bool)
+        for cover, some in zip((a, b), place, strict=True):
+            for x1, x2, y1, y2 in some:
+                cover[x1:x2, y1:y2] = True
+        want.append((a & ~b).sum())
+    for pairs in (1 << 19, 50):
+        monkeypatch.setattr(overlay, "PAIRS", pairs)
+        assert overlay.areas_where(layers, lambda i: i[0] & ~i[1], 60) == pytest.approx(np.array(want))
+    for p in shapes(rng, 12):
+        assert overlay.area_where([[p, p]], lambda i: i[0]) == pytest.approx(abs(overlay.ring_area(p[0])) - sum(abs(overlay.ring_area(h)) for h in p[1:]))
