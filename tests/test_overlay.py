@@ -175,3 +175,11 @@ def test_many_places_are_swept_together(monkeypatch):
         assert overlay.areas_where(layers, lambda i: i[0] & ~i[1], 60) == pytest.approx(np.array(want))
     for p in shapes(rng, 12):
         assert overlay.area_where([[p, p]], lambda i: i[0]) == pytest.approx(abs(overlay.ring_area(p[0])) - sum(abs(overlay.ring_area(h)) for h in p[1:]))
+
+
+def test_boundary_land_is_dealt_out(spark):
+    """The land of a boundary is cut in more tasks than read it, and its parameters are joined before the cells only."""
+    areas, sea = district(spark, True)
+    x = cities.city_bounds(areas, sea)
+    assert plan(x).count("REPARTITION_BY_COL") == 2 and plan(x).count("ArrowEvalPython") == 1
+    assert x.first().land_m2 == pytest.approx(61)
