@@ -33,6 +33,40 @@ def test_same_as_one_array(spark, monkeypatch):
     assert again[["city", "cell_id", "label"]].values.tolist() == want[["city", "cell_id", "label"]].values.tolist()
 
 
+def test_passes_leave_sums_and_not_rows(spark, monkeypatch):
+    """A draw leaves a row for each run, a step one for each task and setting, however many rows a chunk has; and few steps
+    over several chunks equal one array's."""
+    monkeypatch.setattr(kmeans, "CHUNK", 16)
+    left, over = [], kmeans.Rows.over
+
+    def counted(self, runs, f, schema, *rest, **more):
+        out = over(self, runs, f, schema, *rest, **more)
+        left.append((f.__name__, len(runs), out.count()))
+        return out
+
+    data = {1: clouds(1, 70, 3, 4), 2: np.repeat(clouds(5, 3, 3, 1), 9, axis=0)}
+    df = spark.createDataFrame([(c, i, [float(v) for v in x]) for c, xs in data.items() for i, x in enumerate(xs)], "city int, cell_id int, v array<double>")
+    monkeypatch.setattr(kmeans.Rows, "over", counted)
+    got = kmeans.cluster_all(df, [kmeans.Setting(0, 4, 42, 3, 3)]).toPandas().sort_values(["city", "cell_id"])
+    for city, g in got.groupby("city"):
+        labels, _, inertia = kmeans.kmeans_array(data[city], 4, 3, 3)
+        assert g.label.tolist() == labels.tolist() and g.inertia.iloc[0] == pytest.approx(inertia, abs=1e-9)
+    assert {n for n, _, _ in left} >= {"distant", "partial"}
+    assert all(rows == runs for name, runs, rows in left if name == "distant")
+    assert all(rows <= 2 * 8 for name, _, rows in left if name == "partial")
+
+
+def test_nearest_of_many_runs_with_ties():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(50, 7)), 1e8 + rng.normal(size=(9, 7))])
+    c = np.stack([x[rng.integers(0, 59, 5)] for _ in range(6)])
+    c[:, 3] = c[:, 1]  # alike: the lower label
+    c[0, 2] = np.nextafter(c[0, 1], np.inf)
+    want = np.stack([kmeans.distances(x, own).argmin(axis=1) for own in c], axis=1)
+    assert (kmeans.nearest(x, c) == want).all()
+    assert (kmeans.nearest_distances(x, c) == np.stack([kmeans.distances(x, own).min(axis=1) for own in c], axis=1)).all()
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "city string, cell_id string, v array<double>")
     assert kmeans.cluster_all(df, [kmeans.Setting(0, 3)]).count() == 0
