@@ -124,8 +124,11 @@ def link_rows(spark: SparkSession, docs: DataFrame, width: int = WIDTH, alike: i
     docs = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     index = scratch.keep(prefixes(spark, docs, shingle_counts(docs.select("doc_id", "text"), width, ORDER_BITS), width, alike, keep), "index")
     classes = index.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signs").alias("signs"))
-    classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    buckets = classes.select("id", F.col("n").alias("size"), F.posexplode("prefix").alias("at", "bucket")).select("bucket", "id", "size", "at")
+    whole = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    index, old = scratch.keep(index.drop("prefix", "signs"), "documents"), index
+    classes = scratch.keep(whole.drop("prefix"), "classes")
+    scratch.drop(old)
+    buckets = whole.select("id", F.col("n").alias("size"), F.posexplode("prefix").alias("at", "bucket")).select("bucket", "id", "size", "at")
 
     def admit(x, y):
         least, most = F.least(x("size"), y("size")), F.greatest(x("size"), y("size"))
@@ -137,6 +140,7 @@ def link_rows(spark: SparkSession, docs: DataFrame, width: int = WIDTH, alike: i
         return F.lit(100 + alike) * apart <= F.lit(100 - alike) * (x("n") + y("n"))
 
     def narrow(ids):
+        scratch.drop(whole)  # buckets are written by now, and prefixes are most of what lies on disk
         signs = classes.select("id", "n", *(F.get("signs", F.lit(k)).alias(f"s{k}") for k in range(SIGNS)))
         return scratch.keep(signs.join(ids, "id", "left_semi"), "signs")
 
