@@ -83,3 +83,19 @@ def test_stages_with_clashing_columns_and_empty_tables(spark, tmp_path):
         assert all(tuple(r)[5:] == tuple(range(9)) for r in out.collect())
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_tables_that_nothing_reads_go(spark, monkeypatch):
+    """Of the stages' tables the last stays; the n-gram join gives its tables of prefixes back before pairs are compared."""
+    from cellvec.llm import ngram_join, scratch
+
+    there, drop = [], scratch.Scratch.drop
+    monkeypatch.setattr(scratch.Scratch, "drop", lambda self, *tables: (there.extend(t._scratch_path.rsplit("-", 1)[1] for t in tables), drop(self, *tables)))
+    docs = spark.createDataFrame([(i, f"a b c d e f {i % 3} h i") for i in range(12)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.link_documents(spark, docs).collect()}
+    assert got == {i: i % 3 for i in range(12)}
+    assert there.index("index") < there.index("classes") < there.index("edges")
+    there.clear()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*((n, lambda spark, docs, sf_dir: docs) for n in ("one", "two", "three")), ("last", lambda spark, docs, sf_dir: docs)])
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert there == ["one", "two"]
