@@ -377,37 +377,44 @@ def costs(rings: Rings, g: dict[str, np.ndarray], shape: str, n: int) -> np.ndar
     return out
 
 
-def deal_large(polys: DataFrame, shape: str) -> DataFrame:
-    """Polygons with the grid's columns, those of a cost beyond LARGE cut to pieces below it: each round cuts a piece in 16
-    and deals the pieces out, so neither one task's work nor its output grows with a polygon."""
-    bound = F.flatten("rings")
-    xs, ys = F.transform(bound, lambda p: p["x"]), F.transform(bound, lambda p: p["y"])
-    high = F.col("w") if shape == "square" else 1.5 * F.col("r")
-    across, along = (F.array_max(xs) - F.array_min(xs)) / F.col("w"), (F.array_max(ys) - F.array_min(ys)) / high
-    cost = F.when((across > 1) | (along > 1), (across + 2) * (along + 2) * F.size(bound)).otherwise(0.0)
-    large = polys.filter(cost > LARGE)
-    if large.isEmpty():
-        return polys
+def cut_large(polys: DataFrame, shape: str) -> DataFrame:
+    """Polygons with the grid's columns, those of a cost beyond LARGE cut to pieces below it, in one pass over the rows: a
+    polygon's pieces number some root of its cost, and are dealt out by the caller before they meet their cells."""
     names = [c for c in polys.columns if c != "rings"]
 
     def cut(batches):
         for batch in batches:
-            rings, of = Rings.of(batch.column("rings")), np.arange(batch.num_rows)
-            for _ in range(4):
-                rings, before = halve(rings, np.unique(rings.poly))
-                of = of[before]
-                place = np.unique(rings.poly, return_inverse=True)
-                of, rings.poly = of[place[0]], place[1]
-            rows = batch.take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), rings.column(len(of))], names=[*names, "rings"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in large.select(*names).schema) + f", rings {POINTS}"
-    small = polys.filter(~(cost > LARGE))
-    while not large.isEmpty():
-        pieces = keep(large.mapInArrow(cut, schema).repartition(F.xxhash64("rings")), "pieces")
-        small = small.unionByName(pieces.filter(~(cost > LARGE)))
-        large = pieces.filter(cost > LARGE)
-    return small
+            rings, of, g = Rings.of(batch.column("rings")), np.arange(batch.num_rows), grid_of(batch, shape)
+            large = np.flatnonzero(costs(rings, g, shape, len(of)) > LARGE)
+            if not len(large):
+                yield batch.select([*names, "rings"])
+                continue
+            rest = np.setdiff1d(of, large)
+            yield batch.select([*names, "rings"]).take(pa.array(rest))
+            for k in large.tolist():  # one by one, as pieces of many at once could be much
+                yield from halves(rings.take(np.flatnonzero(rings.poly == k)), k, batch)
+
+    def halves(rings, k, batch):
+        rings.poly = np.zeros_like(rings.poly)
+        of = np.array([k])
+        while len(of):
+            cost = costs(rings, {n: v[of] for n, v in grid_of(batch, shape).items()}, shape, len(of))
+            big, done = np.flatnonzero(cost > LARGE), np.flatnonzero(cost <= LARGE)
+            done = np.intersect1d(done, rings.poly)
+            if len(done):
+                place = np.full(len(of), -1)
+                place[done] = np.arange(len(done))
+                own = rings.take(np.flatnonzero(place[rings.poly] >= 0))
+                own.poly = place[own.poly]
+                rows = batch.take(pa.array(of[done]))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), own.column(len(done))], names=[*names, "rings"])
+            if not len(big):
+                return
+            rings, before = halve(rings, big)
+            of = of[before]
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in polys.select(*names).schema) + f", rings {POINTS}"
+    return polys.mapInArrow(cut, schema)
 
 
 def polygon_errors(polys: DataFrame) -> DataFrame:
@@ -426,7 +433,7 @@ def clip_to_cells(polys: DataFrame, params: DataFrame, shape: str = "hexagon", k
     kept = list(keep_columns)
     own = [c for c in kept if c not in ("r", "w")]
     x = polys.select("city", *own, F.col("rings").cast(POINTS).alias("rings")).join(params.select("city", "r", "w", "minx0", "miny0"), "city")
-    x = deal_large(x, shape).repartition(F.xxhash64("city", *own, "rings"))
+    x = cut_large(x, shape).repartition(F.xxhash64("city", *own, "rings"))
 
     def clip(batches):
         for batch in batches:
@@ -534,22 +541,54 @@ def overlay_land(polys: DataFrame, land: DataFrame, params: DataFrame, shape: st
 def measures(polys: DataFrame) -> DataFrame:
     """polys (.., parts: polygons, rings, points (x, y)) with area (holes less), centroid cx, cy and bounds minx .. maxy.
     Outer rings may run either way."""
-    def ring_sums(ring):
-        after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-        pairs = F.zip_with(ring, after, lambda p, q: F.struct((p["x"] * q["y"] - q["x"] * p["y"]).alias("c"), (p["x"] + q["x"]).alias("x"), (p["y"] + q["y"]).alias("y")))
-        total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda t, e: t + f(e))
-        return F.struct(total(lambda e: e["c"] / 2).alias("a"), total(lambda e: e["c"] * e["x"] / 6).alias("mx"), total(lambda e: e["c"] * e["y"] / 6).alias("my"))
-
-    def signed(rings):
-        sums = F.transform(rings, ring_sums)
-        return F.transform(sums, lambda s, i: F.struct(*((s[k] * F.signum(s["a"]) * F.when(i == 0, 1.0).otherwise(-1.0)).alias(k) for k in ("a", "mx", "my"))))
-
-    x = polys.withColumn("sums", F.flatten(F.transform("parts", signed))).withColumn("all", F.flatten(F.flatten("parts")))
-    total = lambda k: F.aggregate("sums", F.lit(0.0), lambda t, e: t + e[k])
-    x = x.withColumns({"area": total("a"), "mx": total("mx"), "my": total("my")})
-    place = {"x": F.transform("all", lambda p: p["x"]), "y": F.transform("all", lambda p: p["y"])}
-    ends = {f"{n}{c}": f(place[c]) for n, f in (("min", F.array_min), ("max", F.array_max)) for c in "xy"}
-    return x.withColumns({"cx": F.col("mx") / F.col("area"), "cy": F.col("my") / F.col("area"), **ends}).drop("sums", "all", "mx", "my")
+    names = ["area", "cx", "cy", "minx", "miny", "maxx", "maxy"]
+    kept = polys.columns
+
+    def measure(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *parts_measures(batch.column("parts"))], names=[*kept, *names])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in polys.schema)
+    return polys.mapInArrow(measure, own + "".join(f", {n} double" for n in names))
+
+
+def parts_measures(column: pa.Array) -> list[pa.Array]:
+    """Columns of ``measures`` for an Arrow column of lists of polygons; null where a coordinate or a list is null."""
+    many, x, gap = [], column, []
+    for _ in range(3):
+        gap.append(x.is_null().to_numpy(zero_copy_only=False))
+        many.append(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        x = x.flatten()
+    part_row = np.repeat(np.arange(len(column)), many[0])
+    ring_row = np.repeat(part_row, many[1])
+    row = np.repeat(ring_row, many[2])
+    points = [x.field(c) for c in "xy"]
+    missing = [p.is_null().to_numpy(zero_copy_only=False) for p in points]
+    px, py = (p.to_numpy(zero_copy_only=False).astype(float) for p in points)
+    n, rings = len(column), len(many[2])
+    ring = np.repeat(np.arange(rings), many[2])
+    last = np.cumsum(many[2]) - 1
+    after = np.arange(1, len(px) + 1)
+    after[last[many[2] > 0]] = (last - many[2] + 1)[many[2] > 0]
+    c = px * py[after] - px[after] * py
+    hole = spans(many[1]) > 0
+    per_ring = [np.bincount(ring, v, rings) for v in (c / 2, c * (px + px[after]) / 6, c * (py + py[after]) / 6)]
+    sign = np.sign(per_ring[0]) * np.where(hole, -1.0, 1.0)
+    area, mx, my = (np.bincount(ring_row, v * sign, n) for v in per_ring)
+    none = gap[0] | (np.bincount(row, missing[0] | missing[1], n) > 0) | (np.bincount(part_row, gap[1], n) > 0) | (np.bincount(ring_row, gap[2], n) > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = [pa.array(area, mask=none), *(pa.array(m / area, mask=none | (area == 0)) for m in (mx, my))]
+    size = np.bincount(row, minlength=n)
+    some = size > 0
+    begin = (np.cumsum(size) - size)[some]
+    broken = gap[0] | (np.bincount(part_row, gap[1], n) > 0) | (np.bincount(ring_row, gap[2], n) > 0)
+    for least in (True, False):
+        for v, lost in ((px, missing[0]), (py, missing[1])):
+            held = np.full(n, np.nan)
+            if len(begin):  # a coordinate that is no number is above all others; nulls don't count
+                held[some] = np.fmin.reduceat(v, begin) if least else np.maximum.reduceat(np.where(lost, -np.inf, v), begin)
+            out.append(pa.array(held, mask=broken | (np.bincount(row, ~lost, n) == 0)))
+    return out
 
 
 #: Cells across the longer side of an area in its cover.

@@ -183,3 +183,16 @@ def test_boundary_land_is_dealt_out(spark):
     x = cities.city_bounds(areas, sea)
     assert plan(x).count("REPARTITION_BY_COL") == 2 and plan(x).count("ArrowEvalPython") == 1
     assert x.first().land_m2 == pytest.approx(61)
+
+
+def test_boundaries_are_measured_in_one_pass(spark):
+    """A large polygon is cut to pieces, and a boundary measured, as its rows pass: no query of its own looks for large ones."""
+    areas, sea = district(spark, True)
+    group = "one pass"
+    spark.sparkContext.setJobGroup(group, group)
+    cities.city_bounds(areas, sea)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    rows = [(1, [[[(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 1.5)]]]), (2, None), (3, [[[(0.0, 0.0), (1.0, None), (2.0, 5.0)]]])]
+    got = {r.city: r for r in overlay.measures(spark.createDataFrame(rows, f"city long, parts array<{RINGS}>").coalesce(1)).collect()}
+    assert (got[1].area, got[1].minx, got[1].maxy) == (7.75, 0.0, 2.0) and got[1].cx == pytest.approx((16 - 0.25 * 5 / 3) / 7.75)
+    assert got[2].area is None and got[2].minx is None and got[3].area is None and (got[3].maxx, got[3].maxy) == (2.0, 5.0)
