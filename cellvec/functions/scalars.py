@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ TALL_LEVELS, TALL_METRES = 6, 20
 FOOT = 0.3048
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used: written out, code grows with every use of a use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tag(key: str) -> Column:
     return F.nullif(F.try_element_at(F.col("tags"), F.lit(key)), F.lit(""))
 
@@ -26,8 +31,7 @@ def has_tag(key: str) -> Column:
 
 def number(text: Column) -> Column:
     """A plain decimal number, else null."""
-    text = F.trim(text)
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return let(F.trim(text), lambda t: F.when(t.rlike(NUMBER), t.try_cast("double")))
 
 
 def levels(text: Column) -> Column:
@@ -37,15 +41,18 @@ def levels(text: Column) -> Column:
 
 def height_m(text: Column) -> Column:
     """Metres, from metres or feet; inches don't count."""
-    t = F.trim(F.lower(text))
-    t = F.when(t.endswith("m"), F.trim(F.substring(t, F.lit(1), F.length(t) - 1))).otherwise(t)
-    feet = F.contains(t, F.lit("'")) | F.contains(t, F.lit("ft"))
-    in_feet = number(F.replace(F.get(F.split(t, "'"), F.lit(0)), F.lit("ft"), F.lit(""))) * FOOT
-    return F.when(feet, in_feet).otherwise(levels(t))
+    def metres(t: Column) -> Column:
+        feet = F.contains(t, F.lit("'")) | F.contains(t, F.lit("ft"))
+        in_feet = number(F.replace(F.get(F.split(t, "'"), F.lit(0)), F.lit("ft"), F.lit(""))) * FOOT
+        return F.when(feet, in_feet).otherwise(levels(t))
+
+    without = lambda t: F.when(t.endswith("m"), F.trim(F.substring(t, F.lit(1), F.length(t) - 1))).otherwise(t)
+    return let(F.trim(F.lower(text)), lambda t: let(without(t), metres))
 
 
 def is_tall() -> Column:
-    return F.coalesce(levels(tag("building:levels")) >= TALL_LEVELS, F.lit(False)) | F.coalesce(height_m(tag("height")) >= TALL_METRES, F.lit(False))
+    tall = lambda key, height, least: F.when(F.coalesce(F.map_contains_key("tags", key), F.lit(False)), F.coalesce(height(tag(key)) >= least, F.lit(False))).otherwise(F.lit(False))
+    return tall("building:levels", levels, TALL_LEVELS) | tall("height", height_m, TALL_METRES)
 
 
 def land_use_class(rules: dict[str, dict[str, list[str]]]) -> Column:

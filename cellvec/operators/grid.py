@@ -46,36 +46,50 @@ def to_cells(points: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def feature_rules(spark: SparkSession) -> DataFrame:
-    """(source, key, value, feature): the tag values of each feature; value * stands for any, key "" for every row
-    and key rule:.. for a feature's own predicate."""
-    rows = []
+    """(source, key, value, bits): the features of each tag value, as bits of a number; value * stands for any."""
+    held: dict[tuple[str, str, str], int] = {}
     for i, f in enumerate(POINT_FEATURES):
-        key = f"rule:{f.key}" if f.rule else f.tag or ""
-        rows += [(f.source, key, v, i) for v in (f.values if f.tag and f.values else ("*",))]
-    return spark.createDataFrame(rows, "source string, key string, value string, feature int")
-
-
-def feature_hits(located: DataFrame) -> DataFrame:
-    """(city, row, col, feature): one row per feature that a point counts for, or one with null. Each tag is read
-    once and meets the features' values by a hash join with a table of some 150 rows."""
-    anyway = {f.tag for f in POINT_FEATURES if f.tag and not f.values}
-    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
-    star = F.lit("*")
-    tags = F.flatten(F.transform(F.filter(F.map_entries("tags"), lambda e: e["value"] != ""), lambda e: F.when(e["key"].isin(*anyway), F.array(entry(e["key"], e["value"]), entry(e["key"], star))).otherwise(F.array(entry(e["key"], e["value"])))))
-    own = [F.when((F.col("source") == f.source) & f.rule(), entry(F.lit(f"rule:{f.key}"), star)) for f in POINT_FEATURES if f.rule]
-    every = F.array_compact(F.array(entry(F.lit(""), star), *own))
-    x = located.select(*CELL, "source", F.explode(F.concat(F.coalesce(tags, F.array()), every)).alias("e")).select(*CELL, "source", "e.key", "e.value")
-    return x.join(F.broadcast(feature_rules(located.sparkSession)), ["source", "key", "value"], "left").select(*CELL, "feature")
+        for v in (f.values or ("*",)) if f.tag and not f.rule else ():
+            held[f.source, f.tag, v] = held.get((f.source, f.tag, v), 0) | 1 << i
+    return spark.createDataFrame([(*k, bits) for k, bits in held.items()], "source string, key string, value string, bits long")
+
+
+def feature_masks(located: DataFrame) -> DataFrame:
+    """(city, row, col, mask, n): how many tags of a cell's points stand for the features whose bits the mask has. Tags become
+    rows as they are; each meets the features' values by hash joins with tables of some 150 rows, and a point's own rules
+    count with its first row. Rows of equal masks are added up before anything is told apart by feature."""
+    bits = lambda features: F.lit(sum(1 << i for i in features)).cast("long")
+    own = F.lit(0).cast("long")
+    for source in dict.fromkeys(f.source for f in POINT_FEATURES):
+        mine = [(i, f) for i, f in enumerate(POINT_FEATURES) if f.source == source]
+        held = bits(i for i, f in mine if not f.rule and not f.tag)
+        for i, f in mine:
+            if f.rule:
+                held = held.bitwiseOR(F.when(f.rule(), bits([i])).otherwise(bits([])))
+        own = F.when(F.col("source") == source, held).otherwise(own)
+    rules = feature_rules(located.sparkSession)
+    some, every = rules.filter("value != '*'"), rules.filter("value = '*'").select("source", "key", F.col("bits").alias("any"))
+    x = located.select(*CELL, "source", own.alias("own"), F.posexplode_outer("tags").alias("at", "key", "value"))
+    x = x.join(F.broadcast(some), ["source", "key", "value"], "left").join(F.broadcast(every), ["source", "key"], "left")
+    none = F.lit(0).cast("long")
+    mask = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("own")).otherwise(none).bitwiseOR(F.coalesce("bits", none)).bitwiseOR(F.when(F.col("value") != "", F.coalesce("any", none)).otherwise(none))
+    return x.select(*CELL, mask.alias("mask")).groupBy(*CELL, "mask").agg(F.count("*").alias("n"))
+
+
+def tagged(features: list[int]) -> Column:
+    """The sum over rows of ``feature_masks`` of the features that each of a row's points counts for, among these."""
+    held = F.bit_count(F.col("mask").bitwiseAND(F.lit(sum(1 << i for i in features)).cast("long")))
+    return F.coalesce(F.sum(held * F.col("n")), F.lit(0).cast("long"))
 
 
 def key_counts() -> list[Column]:
-    return [F.count_if(F.col("feature") == i).alias(k) for i, k in enumerate(KEYS)]
+    return [tagged([i]).alias(k) for i, k in enumerate(KEYS)]
 
 
 def cell_counts(located: DataFrame) -> DataFrame:
     """48 counts per cell in one pass; partial counts leave each task, so a cell that a third of all
     points fall in costs no more than others."""
-    return feature_hits(located).groupBy(*CELL).agg(*key_counts())
+    return feature_masks(located).groupBy(*CELL).agg(*key_counts())
 
 
 def cell_activity(located: DataFrame) -> DataFrame:
@@ -84,7 +98,7 @@ def cell_activity(located: DataFrame) -> DataFrame:
     streets = [i for i, k in enumerate(KEYS) if k in STREET_KEYS]
     others = [i for i, k in enumerate(KEYS) if k not in [*STREET_KEYS, "buildings", "trees"]]
     some = {"street_points": streets, "other_points": others, "building_points": [KEYS.index("buildings")]}
-    return feature_hits(located).groupBy(*CELL).agg(*key_counts(), *(F.count_if(F.col("feature").isin(*chosen)).alias(name) for name, chosen in some.items()))
+    return feature_masks(located).groupBy(*CELL).agg(*key_counts(), *(tagged(chosen).alias(name) for name, chosen in some.items()))
 
 
 def with_land(cells: DataFrame, areas: DataFrame) -> DataFrame:

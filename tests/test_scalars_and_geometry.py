@@ -61,3 +61,21 @@ def test_components_and_kmeans():
     labels, centroids, inertia = kmeans_array(z, 3)
     assert inertia == pytest.approx(((z - centroids[labels]) ** 2).sum()) and set(labels) == {0, 1, 2}
     assert len(kmeans_array(z[:2], 5)[1]) == 2 and len(kmeans_array(z[:0], 5)[0]) == 0
+
+
+def test_activity_is_added_up_by_masks(spark):
+    """Counts and totals of cells against each feature's own predicate; equal points are one row before features are told apart."""
+    from pyspark.sql import functions as F
+
+    from cellvec.catalog import KEYS, POINT_FEATURES, STREET_KEYS
+    from cellvec.jobs import fixtures
+    from cellvec.operators import grid
+
+    x = fixtures.tagged_points(spark, "/root/testdata/sf0.001").withColumns({"row": F.lit(0), "col": F.lit(0)}).coalesce(2).localCheckpoint()
+    assert grid.feature_masks(x).agg(F.sum("n")).first()[0] > 2 * grid.feature_masks(x).count()
+    got = {r.city: r for r in grid.cell_activity(x).collect()}
+    want = x.groupBy("city").agg(*(F.count_if(f.matches()).alias(f.key) for f in POINT_FEATURES)).collect()
+    for r in want:
+        assert [got[r.city][k] for k in KEYS] == [r[k] for k in KEYS]
+        assert got[r.city].street_points == sum(r[k] for k in STREET_KEYS) and got[r.city].building_points == r.buildings
+        assert got[r.city].other_points == sum(r[k] for k in KEYS if k not in [*STREET_KEYS, "buildings", "trees"])
