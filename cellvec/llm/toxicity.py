@@ -6,10 +6,12 @@ over runs of RUN bytes weighted by how much larger a share of toxic texts than o
 them, or than texts of their length would hold (runs whose shares differ by fewer than SURE standard
 errors weigh nothing). A cover by plain
 frequency fills both dictionaries with the language's common words, and their distance tells little
-(AUC of 0.62 in cross-validation on the training labels of sf0.1, where this one has 0.94).
+(AUC of 0.62 in cross-validation on the training labels of sf0.1, where this one has 0.94). Many of its
+runs are weak, save a little in any text and so hide what a single strong word saves; its strong
+segments are a third dictionary, of their own.
 
-Every window of a text is compressed without a dictionary and with either. What each dictionary saves
-gives a text's features: the most, the three most and the mean that the toxic one saves in a window,
+Every window of a text is compressed without a dictionary and with each. What each dictionary saves
+gives a text's features: the most, the three most and the mean that either toxic one saves in a window,
 and the mean of the ordinary one. A logistic curve over these, which toxic savings
 raise and ordinary ones lower, fitted to labelled texts that the dictionaries did not see, calibrates
 the score. All settings were chosen by cross-validation on
@@ -42,12 +44,14 @@ from .memory import release
 WINDOW = 256
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 1_024
 RUN, SEGMENT, SURE = 6, 12, 4.0
+#: Segments that weigh at least this part of the best one's weight are strong.
+STRONG = 0.25
 #: Places of toxic texts that may enter the dictionary.
 CANDIDATES = 200_000
 PER_CLASS = 3_000
 SAMPLE_CHARS = 8_192
 THRESHOLD = 0.7
-FEATURES = 5
+FEATURES = 9
 SETTINGS = {"window_log": 12, "chain_log": 12, "hash_log": 12, "search_log": 4, "min_match": 5, "target_length": 32}
 STRATEGIES = (zstandard.STRATEGY_DFAST, zstandard.STRATEGY_BTOPT)
 
@@ -93,12 +97,12 @@ def byte_runs(text: str) -> np.ndarray:
     return h
 
 
-def contrasting_content(own: list[str], other: list[str]) -> bytes:
+def contrasting_content(own: list[str], other: list[str]) -> tuple[bytes, bytes]:
     """Segments of ``own`` that hold the runs whose share of texts most exceeds that of ``other``, each run counted
-    once: greedy cover, best segments last, where matches are cheapest."""
+    once: greedy cover, best segments last, where matches are cheapest. All of them, and the strong ones alone."""
     runs, held = np.unique(np.concatenate([np.unique(byte_runs(t)) for t in own]), return_counts=True)
     if not len(runs):
-        return b""
+        return b"", b""
     there = np.zeros(len(runs), np.int64)
     for t in other:
         r = np.unique(byte_runs(t))
@@ -125,7 +129,7 @@ def contrasting_content(own: list[str], other: list[str]) -> bytes:
                 segments = heapq.nsmallest(CANDIDATES, segments, key=lambda x: x[0])
     heap = [(gain, n) for n, (gain, _, _) in enumerate(segments)]
     heapq.heapify(heap)
-    out, size = [], 0
+    out, gains, size = [], [], 0
     while heap and size < TOXIC_BYTES:
         _, n = heapq.heappop(heap)
         gain = -float(weight[segments[n][2]].sum())
@@ -135,26 +139,30 @@ def contrasting_content(own: list[str], other: list[str]) -> bytes:
             heapq.heappush(heap, (gain, n))
             continue
         out.append(segments[n][1])
+        gains.append(gain)
         size += len(out[-1])
         weight[segments[n][2]] = 0
-    return b"".join(reversed(out))
+    strong = [x for x, gain in zip(out, gains, strict=True) if gain <= STRONG * gains[0]]
+    return b"".join(reversed(out)), b"".join(reversed(strong))
 
 
 class Scorer:
     """What the dictionaries save in a text's windows, and the score from that."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray):
-        self.bare, self.ordinary, self.toxic, self.weights = Coder(b""), Coder(ordinary), Coder(toxic), weights
+    def __init__(self, ordinary: bytes, toxic: bytes, strong: bytes, weights: np.ndarray):
+        self.bare, self.ordinary, self.toxic, self.weights = Coder(b""), Coder(ordinary), (Coder(toxic), Coder(strong)), weights
 
     def saved(self, text: str | None) -> list[float]:
         cut = windows(text)
         if not cut:
             return [0.0] * FEATURES
         bare = [self.bare.length(w) for w in cut]
-        toxic = sorted((n - self.toxic.length(w) for n, w in zip(bare, cut, strict=True)), reverse=True)
-        ordinary = sum(bare) - sum(self.ordinary.length(w) for w in cut)
         per = 1000 / (sum(map(len, cut)) + WINDOW)
-        return [toxic[0], sum(toxic[:3]), per * sum(toxic), per * sum(max(0, x - 1) for x in toxic), per * ordinary]
+        out = []
+        for coder in self.toxic:
+            toxic = sorted((n - coder.length(w) for n, w in zip(bare, cut, strict=True)), reverse=True)
+            out += [toxic[0], sum(toxic[:3]), per * sum(toxic), per * sum(max(0, x - 1) for x in toxic)]
+        return [*out, per * (sum(bare) - sum(self.ordinary.length(w) for w in cut))]
 
     def scores(self, saved: np.ndarray) -> np.ndarray:
         z = self.weights[0] + saved @ self.weights[1:]
@@ -174,7 +182,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 #: What a feature may do to the score: savings of the toxic dictionary raise it, those of the ordinary one lower it.
-SIGNS = np.array([1, 1, 1, 1, -1])
+SIGNS = np.array([1] * 8 + [-1])
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -195,11 +203,11 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(toxic: list[str], ordinary: list[str], share: float) -> tuple[bytes, bytes, np.ndarray]:
+def fit(toxic: list[str], ordinary: list[str], share: float) -> tuple[bytes, bytes, bytes, np.ndarray]:
     """Dictionaries from two thirds of the sample, weights from the rest at the share of toxic labels."""
     cut = [t for i, t in enumerate(toxic) if i % 3] or toxic, [t for i, t in enumerate(ordinary) if i % 3] or ordinary
     rest = toxic[::3], ordinary[::3]
-    held = frequent_content(cut[1]), contrasting_content(*cut)
+    held = frequent_content(cut[1]), *contrasting_content(*cut)
     model = Scorer(*held, np.zeros(1 + FEATURES))
     x = np.array([model.saved(t) for part in rest for t in part])
     y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])
@@ -222,9 +230,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_class).withColumn("before", before)  # of each label alike
     rows = rows.filter(F.col("before") < per_class * SAMPLE_CHARS).orderBy("toxic", "place").collect()  # at most 2 * per_class rows
     texts = [[r.text for r in rows if r.toxic == y] for y in (0, 1)]
+    del rows
     if not all(texts):
         return None, share
-    return fit(texts[1], texts[0], share), share
+    model = fit(texts[1], texts[0], share)
+    del texts
+    release()  # of the driver, which has more to do and not much memory
+    return model, share
 
 
 def toxicity_column(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Column:

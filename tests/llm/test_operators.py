@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -525,3 +526,17 @@ def test_one_repeated_id_leaves_room_for_the_other_label(spark):
     assert model is not None and share == pytest.approx(0.2)
     scores = [r.score for r in toxicity.score_toxicity(spark, docs, labels, 5).collect()]
     assert len(scores) == len(rows) and len({round(s, 6) for s in scores}) > 1
+
+
+def test_texts_with_strong_words_are_caught():
+    """Of held-out texts that hold words only toxic ones hold, most score 0.7 or more; texts of ordinary labels seldom do."""
+    folder = "/root/testdata/sf0.1"
+    docs = pd.read_parquet(f"{folder}/documents.parquet", columns=["doc_id", "text"]).dropna().merge(pd.read_parquet(f"{folder}/labels.parquet"), "left", on="doc_id")
+    train = docs.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3 != 1)
+    toxic, ordinary = (docs[train & (docs.toxic == y)].text.tolist()[:3000] for y in (1, 0))
+    *held, weights = toxicity.fit(toxic, ordinary, len(toxic) / (len(toxic) + len(ordinary)))
+    model = toxicity.Scorer(*held, weights)
+    caught = lambda texts: (model.scores(np.array([model.saved(t) for t in texts])) >= toxicity.THRESHOLD).mean()
+    marked = docs.text.str.contains("trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron", case=False)
+    assert caught(docs[~train & marked].text) > 0.75
+    assert caught(docs[~train & (docs.toxic == 0)].text.iloc[:300]) < 0.03
