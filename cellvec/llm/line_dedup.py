@@ -17,6 +17,8 @@ own; a block needs some 100 times its size in memory.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -41,57 +43,84 @@ FEW = 1_000
 #: Hashes of lines that a task remembers, so as not to work on equal lines again.
 SEEN = 1 << 18
 NONE = np.uint64(2**64 - 1)
+#: Bytes as numbers above 0, and those that are no white space.
+BYTES = np.arange(1, 257, dtype=np.uint64)
+SOLID = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 class Lines:
-    """The lines of a block of texts as code points; digests of all, signatures of some."""
+    """The lines of a block of texts as bytes; digests of all and, from code points, signatures and sets of some. Each is
+    computed when asked for."""
 
     def __init__(self, texts: pa.Array):
-        data, offsets = flat(texts)
-        self.code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-        heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        ends = heads[offsets]
-        feed = np.flatnonzero(self.code == 11)
-        filled = np.flatnonzero(np.diff(ends) > 0)
-        self.start = np.sort(np.concatenate((ends[filled], feed + 1)))
-        self.stop = np.sort(np.concatenate((feed, ends[filled + 1])))
-        self.text = np.repeat(filled, np.searchsorted(feed, ends[filled + 1]) - np.searchsorted(feed, ends[filled]) + 1)
-        first = np.searchsorted(self.text, self.text)
-        self.number = np.arange(len(self.text)) - first
-        solid = np.concatenate(([0], np.cumsum(~np.isin(self.code, [10, 11, 12, 13, 14, 33]))))
-        self.blank = solid[self.stop] == solid[self.start]
-        self.d1, self.d2 = self.digest(BASE, BASE_INVERSE), self.digest(int(PLACES[9]), pow(int(PLACES[9]), -1, 1 << 64))
+        self.data, offsets = flat(texts)
+        feed = np.flatnonzero(self.data == 10)
+        filled = np.flatnonzero(np.diff(offsets) > 0)
+        self.start = np.sort(np.concatenate((offsets[filled], feed + 1)))
+        self.stop = np.sort(np.concatenate((feed, offsets[filled + 1])))
+        self.text = np.repeat(filled, np.searchsorted(feed, offsets[filled + 1]) - np.searchsorted(feed, offsets[filled]) + 1)
+
+    @property
+    def number(self) -> np.ndarray:
+        return np.arange(len(self.text)) - np.searchsorted(self.text, self.text)
+
+    @cached_property
+    def blank(self) -> np.ndarray:
+        solid = np.zeros(len(self.data) + 1, dtype=np.int64)
+        np.cumsum(SOLID[self.data], out=solid[1:])
+        return solid[self.stop] == solid[self.start]
+
+    @cached_property
+    def d1(self) -> np.ndarray:
+        return self.digest(BASE, BASE_INVERSE)
+
+    @cached_property
+    def d2(self) -> np.ndarray:
+        return self.digest(int(PLACES[9]), pow(int(PLACES[9]), -1, 1 << 64))
 
     def digest(self, base: int, inverse: int) -> np.ndarray:
-        n = len(self.code)
+        n = len(self.data)
         total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(self.code * powers(base, n)[:n], out=total[1:])
+        np.multiply(BYTES[self.data], powers(base, n)[:n], out=total[1:])
+        np.cumsum(total, out=total)
         return mix((total[self.stop] - total[self.start]) * powers(inverse, n)[self.start] + (self.stop - self.start).astype(np.uint64))
 
     def string(self, i: int) -> str:
-        return (self.code[self.start[i] : self.stop[i]] - np.uint64(1)).astype("<u4").tobytes().decode("utf-32-le")
+        return self.data[self.start[i] : self.stop[i]].tobytes().decode("utf-8")
+
+    @cached_property
+    def code(self) -> np.ndarray:
+        return np.frombuffer(self.data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+
+    @cached_property
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first code point of each line, and the one behind its last."""
+        if len(self.code) == len(self.data):
+            return self.start, self.stop
+        heads = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
+        return heads[self.start], heads[self.stop]
 
     def signatures(self, some: np.ndarray) -> np.ndarray:
         """BINS values for each of the lines ``some``, none of them blank."""
-        h = self.runs()
-        length = self.stop[some] - self.start[some]
+        h, (start, stop) = self.runs(), self.ends
+        length = stop[some] - start[some]
         n = np.maximum(length - SHINGLE + 1, 0)
         line = np.repeat(np.arange(len(some)), n)
         ends = np.cumsum(n)
-        value = h[np.repeat(self.start[some] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        value = h[np.repeat(start[some] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         out = np.full(len(some) * BINS, NONE, dtype=np.uint64)
         np.minimum.at(out, line * BINS + self.bin(value), value)
         short = np.flatnonzero(n == 0)
-        value = self.d1[some[short]]
+        value = self.d1[some[short]] if len(short) else value[:0]
         out[short * BINS + self.bin(value)] = value
         return fill_empty(out.reshape(-1, BINS))
 
     def sets(self, some: np.ndarray) -> list[np.ndarray]:
         """Sorted distinct hashes of the runs of SHINGLE characters of the lines ``some``."""
-        h = self.runs()
+        h, (start, stop) = self.runs(), self.ends
         out = []
         for i in some.tolist():
-            a, b = self.start[i], self.stop[i]
+            a, b = start[i], stop[i]
             s = np.sort(h[a : b - SHINGLE + 1]) if b - a >= SHINGLE else self.d1[i : i + 1]
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         return out
@@ -120,7 +149,7 @@ def fill_empty(grid: np.ndarray) -> np.ndarray:
     for attempt in range(1, 100):
         if not len(line):
             return grid
-        source = (mix(place.astype(np.uint64) * PLACES[8] + np.uint64(attempt)) % np.uint64(BINS)).astype(np.int64)
+        source = (mix(np.arange(BINS, dtype=np.uint64) * PLACES[8] + np.uint64(attempt)) % np.uint64(BINS)).astype(np.int64)[place]
         found = was[line, source]
         good = found != NONE
         grid[line[good], place[good]] = found[good]
@@ -180,11 +209,12 @@ def line_sets(docs: DataFrame, wanted: Bitmap) -> DataFrame:
                 hit = np.flatnonzero(wanted.has(x.d1) & ~x.blank)
                 hit = hit[unseen(x.d1[hit], seen)]
                 if len(hit):
-                    sets = x.sets(hit)
+                    strings = pa.array([x.string(i) for i in hit])
+                    sets = Lines(strings).whole_sets()
                     n = np.array([len(s) for s in sets])
                     cell = cell_of(np.concatenate(sets), 6 + int(np.log2(SIGNS))) + np.repeat(np.arange(len(hit)), n) * 64 * SIGNS
                     odd = np.packbits((np.bincount(cell, minlength=64 * SIGNS * len(hit)) & 1).astype(np.uint8).reshape(len(hit), -1), axis=1).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(x.d1[hit])), pa.array(signed(x.d2[hit])), pa.array(n, pa.int32()), *(pa.array(odd[:, k]) for k in range(SIGNS)), pa.array([x.string(i) for i in hit])], names=["d1", "d2", "n", *(f"s{k}" for k in range(SIGNS)), "string"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(x.d1[hit])), pa.array(signed(x.d2[hit])), pa.array(n, pa.int32()), *(pa.array(odd[:, k]) for k in range(SIGNS)), strings], names=["d1", "d2", "n", *(f"s{k}" for k in range(SIGNS)), "string"])
 
     return docs.select("text").mapInArrow(freeing(fetch), "d1 long, d2 long, n int" + "".join(f", s{k} long" for k in range(SIGNS)) + ", string string")
 

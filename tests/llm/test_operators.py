@@ -540,3 +540,14 @@ def test_texts_with_strong_words_are_caught():
     marked = docs.text.str.contains("trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron", case=False)
     assert caught(docs[~train & marked].text) > 0.75
     assert caught(docs[~train & (docs.toxic == 0)].text.iloc[:300]) < 0.03
+
+
+def test_lines_are_hashed_as_bytes_alone():
+    """Lines are told apart without code points, which only signatures and sets need; those of some lines are those of the block."""
+    x = line_dedup.Lines(pa.array(["é\nüß longer line here\n \t\n", None, "", "日本語のとても長い行です\nabc", "abc"]))
+    assert x.text.tolist() == [0, 0, 0, 0, 3, 3, 4] and x.number.tolist() == [0, 1, 2, 3, 0, 1, 0]
+    assert x.blank.tolist() == [False, False, True, True, False, False, False]
+    assert x.d1[5] == x.d1[6] and len(set(x.d1[~x.blank].tolist())) == 4 and "code" not in vars(x) and "d2" not in vars(x)
+    full = np.flatnonzero(~x.blank)
+    alone = line_dedup.Lines(pa.array([x.string(i) for i in full])).whole_sets()
+    assert [s.tolist() for s in alone] == [s.tolist() for s in x.sets(full)] and [len(s) for s in alone] == [1, 12, 5, 1, 1]
