@@ -95,18 +95,35 @@ def with_hubs(rows: DataFrame, attrs: Sequence[str], admit: Admit | None, salted
     return x.select("bucket", "id", *attrs, F.col("h.id").alias("hub"), ok.alias("ok"), *(["salts"] if salted else []))
 
 
+def with_others(rows: DataFrame) -> DataFrame:
+    """Rows with all buckets of their id (others), null for those of more than CARRIED; narrow rows and one shuffle, by id."""
+    at = Window.partitionBy("id")
+    x = rows.withColumn("others", F.row_number().over(at.orderBy("bucket")))
+    x = x.withColumn("others", F.collect_list(F.when(F.col("others") <= CARRIED + 1, F.col("bucket"))).over(at))
+    return x.withColumn("others", F.when(F.size("others") <= CARRIED, F.col("others")))
+
+
 def side(alias: str) -> Callable[[str], Column]:
     return lambda c: F.col(f"{alias}.{c}")
 
 
-def all_pairs(rows: DataFrame, admit: Admit) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components, block by block: a block holds about BLOCK_ROWS rows
+def all_pairs(rows: DataFrame, admit: Admit, blocks: bool = False) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components. Buckets of one block meet themselves, so both sides of the join
+    are one shuffle. With ``blocks``, larger ones go block by block: a block holds about BLOCK_ROWS rows
     of a bucket (held), and a row is copied once for each block of its bucket. A pair that shares several
     buckets comes from the least of them, unless an id has too many to carry (others is null)."""
-    blocks = F.expr(f"held div {BLOCK_ROWS} + 1")
-    x = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    u, v = x.alias("x"), x.alias("y")
-    out = u.join(v, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))).filter("x.id < y.id and x.component != y.component")
+    x = rows.filter(f"held < {BLOCK_ROWS}").drop("held") if blocks else rows.drop("held")
+    out = pairs_of(x.alias("x"), x.alias("y"), F.col("x.bucket") == F.col("y.bucket"), admit)
+    if not blocks:
+        return out
+    number = F.expr(f"held div {BLOCK_ROWS} + 1")
+    x = rows.filter(f"held >= {BLOCK_ROWS}").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), number)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), number - 1)))
+    met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    return out.union(pairs_of(x.alias("x"), x.alias("y"), met, admit))
+
+
+def pairs_of(u: DataFrame, v: DataFrame, met: Column, admit: Admit) -> DataFrame:
+    out = u.join(v, met).filter("x.id < y.id and x.component != y.component")
     once = F.coalesce(F.array_min(F.array_intersect("x.others", "y.others")) == F.col("x.bucket"), F.lit(True))
     return out.filter(admit(side("x"), side("y")) & once).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
@@ -147,15 +164,13 @@ def link_buckets(spark: SparkSession, scratch: Scratch, buckets: DataFrame, narr
     spent = [live]
     for k in range(1, rounds + 2):
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).filter("low < high").select("bucket", "held")
-        rest = scratch.keep(named.join(mixed, "bucket").join(held, "id"), "rest")
-        own = rest.groupBy("id").agg(F.when(F.count("*") <= CARRIED, F.collect_list("bucket")).alias("others"))
-        named = rest.join(own, "id")
+        rest = scratch.keep(with_others(named.join(mixed, "bucket")).join(held, "id"), "rest")
         scratch.drop(*spent)
         spent = [rest]
         if k <= rounds:
-            new = all_pairs(named.filter(f"held <= {SMALL}"), later).union(hub_pairs(rest.filter(f"held > {SMALL}"), ["hub", *attrs, *columns], later, k))
+            new = all_pairs(rest.filter(f"held <= {SMALL}"), later).union(hub_pairs(rest.filter(f"held > {SMALL}"), ["hub", *attrs, *columns], later, k))
         else:
-            new = all_pairs(named, later)
+            new = all_pairs(rest, later, True)
         new = scratch.keep(new.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
         tried = tried.union(new)
         large = rest.filter(f"held > {SMALL}") if k <= rounds else rest.limit(0)

@@ -12,9 +12,10 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cellvec.llm import lengths, line_dedup, lm_score, merkle, mixing, ngram_join, packing, tokens, tool_calls, toxicity, vectors
+from cellvec.llm import lengths, line_dedup, linking, lm_score, merkle, mixing, ngram_join, packing, tokens, tool_calls, toxicity, vectors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, bucket int, n int"
 
@@ -551,3 +552,30 @@ def test_lines_are_hashed_as_bytes_alone():
     full = np.flatnonzero(~x.blank)
     alone = line_dedup.Lines(pa.array([x.string(i) for i in full])).whole_sets()
     assert [s.tolist() for s in alone] == [s.tolist() for s in x.sets(full)] and [len(s) for s in alone] == [1, 12, 5, 1, 1]
+
+
+def test_pairs_of_a_bucket_come_from_one_shuffle(spark, monkeypatch):
+    """Each pair of two components once, however many buckets it shares; rows go to their bucket once, not once a side."""
+    monkeypatch.setattr(linking, "CARRIED", 3)
+    rng = random.Random(2)
+    rows = sorted({(rng.randrange(12), rng.randrange(40)) for _ in range(150)})
+    many = Counter(b for b, _ in rows)
+    x = spark.createDataFrame([(b, i, i % 7, many[b]) for b, i in rows], "bucket long, id long, component long, held long")
+    x = linking.with_others(x)
+    own = {i: sorted(b for b, j in rows if j == i) for _, i in rows}
+    assert all((sorted(r.others) if r.others is not None else None) == (own[r.id] if len(own[r.id]) <= 3 else None) for r in x.collect())
+    want = {(i, j) for b, i in rows for c, j in rows if b == c and i < j and i % 7 != j % 7}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for size in (1024, 4):
+            monkeypatch.setattr(linking, "BLOCK_ROWS", size)
+            out = linking.all_pairs(x, lambda p, q: F.lit(True), True).collect()
+            assert {(r.a, r.b) for r in out} == want
+            few = [(r.a, r.b) for r in out if len(own[r.a]) <= 3 and len(own[r.b]) <= 3]
+            assert len(few) == len(set(few))
+        once = linking.all_pairs(x, lambda p, q: F.lit(True))
+        assert {(r.a, r.b) for r in once.collect()} == want
+        assert "ReusedExchange" in once._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
